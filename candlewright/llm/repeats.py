@@ -53,15 +53,24 @@ def _power(n: int) -> np.uint64:
     return np.uint64(pow(_M, n, 1 << 64))
 
 
-def gram_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all GRAM-byte and SPAN-byte strings, by doubling."""
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """Hashes of all GRAM-byte strings, by doubling."""
     h = {1: _BYTE[data]}
-    for n in (1, 2, 4, 8, 16, 32, 64):
-        h[2 * n] = h[n][: len(data) - 2 * n + 1] * _power(n) + h[n][n:]
-    gram = h[32][: len(data) - 47] * _power(16) + h[16][32:]
-    end = len(data) - SPAN + 1
-    span = (h[128][:end] * _power(64) + h[64][128 : 128 + end]) * _power(8) + h[8][192:]
-    return gram, span
+    for n in (1, 2, 4, 8, 16):
+        h[2 * n] = h[n][:-n] * _power(n)
+        h[2 * n] += h[n][n:]
+    gram = h[32][: len(data) - GRAM + 1] * _power(16)
+    gram += h[16][32:]
+    return gram
+
+
+def _context_hashes(gram: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A hash of the bytes first..last+SPAN, from grams that cover them."""
+    h = (last - first).astype(np.uint64)
+    for at in (first, last):
+        for step in (0, 48, 96, 144, SPAN - GRAM):
+            h = mix64(h * np.uint64(_M) + gram[at + step])
+    return h
 
 
 def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -85,9 +94,10 @@ def find_anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     if len(data) < SPAN or lengths.max() < SPAN:
         return nothing
     starts = np.cumsum(lengths) - lengths
-    gram, span = gram_hashes(data)
-    mixed = mix64(gram)
-    order = (mixed & ~_POS) | (_POS - np.arange(len(gram), dtype=np.uint64))
+    gram = gram_hashes(data)
+    order = gram * np.uint64(_M)
+    order &= ~_POS
+    order |= np.arange(int(_POS), int(_POS) - len(gram), -1, dtype=np.uint64)
     least = _sliding_least(order, WINDOW)
     valid = np.zeros(len(least) + 1, np.int8)
     fits = lengths >= SPAN
@@ -100,13 +110,13 @@ def find_anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     first, last, a = p[lo], p[hi], anchor[lo]
     text = np.searchsorted(starts, first, side="right") - 1
     most, fewest = a - first, a - last
-    context = mix64(span[first] * np.uint64(_M) + mix64(span[last]) + (most * 256 + fewest).astype(np.uint64))
-    return text, mixed[a].view(np.int64), context.view(np.int64), (a - starts[text]) << 16 | fewest << 8 | most
+    context = _context_hashes(gram, first, last)
+    return text, mix64(gram[a]).view(np.int64), context.view(np.int64), (a - starts[text]) << 16 | fewest << 8 | most
 
 
 def anchors(docs: DataFrame) -> DataFrame:
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in rows_of(batches, text_bytes=1 << 20):
+        for part in rows_of(batches, text_bytes=1 << 16):
             ids = part.column(0).to_numpy()
             text, gram, context, at = find_anchors([(t or "").encode() for t in part.column(1).to_pylist()])
             if len(text):
