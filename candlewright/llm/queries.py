@@ -33,9 +33,24 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from candlewright.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents")).drop("js_chars", "js_words")
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from candlewright.llm.repeats import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_records": op1_token_records, "op3_packing": op3_packing, "op6_minhash": op6_minhash}
+    found = (op1_token_records, op3_packing, op6_minhash, op9_quality, op10_suffix_dedup)
+    return {query.__name__: query for query in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from candlewright.llm import quality
+
+    return {"op9_quality": quality.ORACLE}
