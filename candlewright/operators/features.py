@@ -82,7 +82,7 @@ def rolling_percentile(df: DataFrame, column: str, n: int, least: int, name: str
 
 def with_returns(bars: DataFrame) -> DataFrame:
     """Adds log_ret, the log return of one step."""
-    return bars.withColumn("log_ret", F.ln(F.col("close") / F.lag("close").over(series())))
+    return bars.withColumn("log_ret", F.ln(F.try_divide("close", F.lag("close").over(series()))))
 
 
 def momentum(bars: DataFrame, steps: tuple[int, ...] = (1, 5, 20, 60)) -> DataFrame:
@@ -96,7 +96,7 @@ def volume_features(bars: DataFrame) -> DataFrame:
     """Volume z-score, trend, shock, imbalance, money flow, VWAP distance and illiquidity."""
     w = series()
     before = F.lag("close").over(w)
-    b = bars.withColumn("ret", F.col("close") / before - 1).withColumn("typical", (F.col("high") + F.col("low") + F.col("close")) / 3)
+    b = bars.withColumn("ret", F.try_divide("close", before) - 1).withColumn("typical", (F.col("high") + F.col("low") + F.col("close")) / 3)
     b = b.withColumn("up", F.when(F.col("ret") > 0, F.col("volume")).when(F.col("ret").isNotNull(), 0.0)).withColumn("down", F.when(F.col("ret") < 0, F.col("volume")).when(F.col("ret").isNotNull(), 0.0))
     b = b.withColumn("illiq", F.when((F.col("volume") > 0) & (F.col("close") > 0), F.abs("ret") / (F.col("volume") * F.col("close"))))
     b = b.withColumn("flow", F.col("typical") * F.col("volume")).withColumn("d_typical", F.col("typical") - F.lag("typical").over(w))
@@ -104,12 +104,12 @@ def volume_features(bars: DataFrame) -> DataFrame:
     total = F.sum("up").over(last(20)) + F.sum("down").over(last(20))
     money = F.sum("flow_in").over(last(14)) + F.sum("flow_out").over(last(14))
     prior = series().rowsBetween(-20, -1)
-    return (b.withColumn("vol_z20", rolling_z("volume", 20)).withColumn("vol_trend", valid(F.ln(F.avg("volume").over(last(5)) / F.avg("volume").over(last(20))), "volume", 20, 20))
+    return (b.withColumn("vol_z20", rolling_z("volume", 20)).withColumn("vol_trend", valid(F.ln(F.try_divide(F.avg("volume").over(last(5)), F.avg("volume").over(last(20)))), "volume", 20, 20))
             .withColumn("vol_shock", F.when((F.count("volume").over(prior) == 20) & (F.max("volume").over(prior) > 0), F.col("volume") / F.max("volume").over(prior)))
-            .withColumn("vol_ratio_median", F.ln(F.col("volume") / F.expr("percentile(volume, 0.5) OVER (PARTITION BY market, symbol, timeframe ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)")))
+            .withColumn("vol_ratio_median", F.ln(F.try_divide("volume", F.expr("percentile(volume, 0.5) OVER (PARTITION BY market, symbol, timeframe ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"))))
             .withColumn("imbalance20", F.when((F.count("ret").over(last(20)) == 20) & (total > 0), (F.sum("up").over(last(20)) - F.sum("down").over(last(20))) / total))
             .withColumn("mfi14", F.when((F.count("d_typical").over(last(14)) == 14) & (money > 0), F.sum("flow_in").over(last(14)) / money - 0.5))
-            .withColumn("vwap_gap", valid(F.ln(F.col("close") / (F.sum("flow").over(last(20)) / F.sum("volume").over(last(20)))), "flow", 20, 12))
+            .withColumn("vwap_gap", valid(F.ln(F.try_divide(F.col("close") * F.sum("volume").over(last(20)), F.sum("flow").over(last(20)))), "flow", 20, 12))
             .withColumn("log_amihud", F.when((F.count("illiq").over(last(20)) >= 12) & (F.avg("illiq").over(last(20)) > 0), F.ln(F.avg("illiq").over(last(20))))))
 
 
@@ -144,7 +144,7 @@ def forward_returns(bars: DataFrame, h: int, kind: str = "open_close") -> Column
     w = series()
     start, end = {"open_close": (F.lead("open", 1), F.lead("close", h)), "close_close": (F.col("close"), F.lead("close", h)), "open_open": (F.lead("open", 1), F.lead("open", h + 1))}[kind]
     start = start if kind == "close_close" else start.over(w)
-    return F.ln(end.over(w) / start)
+    return F.ln(F.try_divide(end.over(w), start))
 
 
 def breadth(bars: DataFrame) -> DataFrame:

@@ -11,11 +11,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 CLUSTERS = 1_000_000
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     """Two-sided p of a standard normal value."""
     return z.map(lambda x: None if pd.isna(x) else math.erfc(abs(x) / math.sqrt(2)))
