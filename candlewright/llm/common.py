@@ -10,7 +10,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of the rows that can be referred to: those without a doc_id are left out."""
+    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder shared by driver and executors."""
     global _own_dir
@@ -92,15 +97,11 @@ def rows_of(batches: Iterator[pa.RecordBatch], rows: int = 1024, text_bytes: int
     for batch in batches:
         if not batch.num_rows:
             continue
-        step = int(max(1, min(rows, rows * text_bytes // max(text_bytes, 1), batch.num_rows * text_bytes // max(batch.nbytes, 1))))
+        step = max(1, min(rows, batch.num_rows * text_bytes // max(batch.nbytes, 1)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     arrays = [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)]
     return pa.RecordBatch.from_arrays(arrays, schema=schema)

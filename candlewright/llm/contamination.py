@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlewright.llm.common import Scratch, batch, mix64, rows_of
+from candlewright.llm.common import batch, keyed, mix64, rows_of, Scratch
 
 GRAM, PASSAGE, REGION, SEEDS, KEPT, RARE, SHARE = 3, 64, 256, 2, 24, 0.001, 0.5
 TABLE_BITS = 25
@@ -102,7 +102,7 @@ def regions(docs: DataFrame, table: np.ndarray) -> DataFrame:
             if out:
                 yield batch(_REGIONS, *(list(c) for c in zip(*out, strict=True)))
 
-    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, region long, words binary, grams array<long>")
+    return keyed(docs).mapInArrow(cut, "doc_id long, region long, words binary, grams array<long>")
 
 
 def alignment_share(a: np.ndarray, b: np.ndarray) -> float:

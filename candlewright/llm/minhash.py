@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlewright.llm.common import Scratch, batch, mix64, rows_of
+from candlewright.llm.common import batch, keyed, mix64, rows_of, Scratch
 from candlewright.llm.components import components
 
 SHINGLE, HASHES, BANDS, BLOCK = 5, 128, 32, 1024
@@ -86,7 +86,7 @@ def sketch(docs: DataFrame) -> DataFrame:
             small = (least >> np.uint64(48)).astype("<u2")
             yield batch(_SKETCH, part.column(0), [len(s) for s in sets], halves[:, 0], halves[:, 1], [k if len(s) else [] for k, s in zip(keys, sets, strict=True)], [m.tobytes() for m in small])
 
-    return docs.select("doc_id", "text").mapInArrow(sketches, SKETCH_SCHEMA)
+    return keyed(docs).mapInArrow(sketches, SKETCH_SCHEMA)
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -97,7 +97,7 @@ def packed(docs: DataFrame) -> DataFrame:
         for part in rows_of(batches):
             yield batch(schema, part.column(0), [pack_text(t) for t in part.column(1).to_pylist()])
 
-    return docs.select("doc_id", "text").mapInArrow(squeeze, "doc_id long, blob binary")
+    return keyed(docs).mapInArrow(squeeze, "doc_id long, blob binary")
 
 
 def pack_text(text: str | None) -> bytes:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlewright.llm.common import Scratch, batch, rows_of
+from candlewright.llm.common import batch, keyed, rows_of, Scratch
 from candlewright.llm.encoding import encoder
 
 MERGED = 64
@@ -137,7 +137,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, kind: str = "byte", s
         if (out := packer.taken()) is not None:
             yield out
 
-    placed = scratch.save(docs.select("doc_id", "text").mapInArrow(online, PIECES_SCHEMA), "placed")
+    placed = scratch.save(keyed(docs).mapInArrow(online, PIECES_SCHEMA), "placed")
     left = placed.where("sequence_id IS NULL")
     parts = left.agg(F.max("part")).first()[0]
     groups = (parts or 0) // MERGED + 1

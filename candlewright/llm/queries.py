@@ -45,7 +45,7 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from candlewright.llm.licenses import as_files, licences
 
     found = licences(as_files(table(spark, sf_dir, "documents")))
-    return found.select(F.element_at(F.split("path", r"\."), -1).cast("long").alias("doc_id"), "path", "license", "origin", "score", "directory")
+    return found.select(F.element_at(F.split("path", r"\."), -1).try_cast("long").alias("doc_id"), "path", "license", "origin", "score", "directory")
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from candlewright.llm.common import Scratch, batch, rows_of
+from candlewright.llm.common import batch, keyed, rows_of, Scratch
 from candlewright.llm.encoding import encoder
 
 #: Fixed value of the masked checksum (as in the public TFRecord format).
@@ -77,7 +77,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, k
             yield batch(_FRAMES, [frame(d, np.append(x, encode.dtype.type(end_id))) for d, x in zip(part.column(0).to_pylist(), ids, strict=True)])
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    ordered = keyed(docs).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
     (ordered.mapInArrow(frames, "frame binary").select(F.col("frame").cast("string").alias("value"))
      .write.mode("overwrite").option("maxRecordsPerFile", records_per_file).text(path))
 

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlewright.llm.common import Scratch, batch, mix64, rows_of
+from candlewright.llm.common import batch, keyed, mix64, rows_of, Scratch
 from candlewright.llm.minhash import packed, unpack_text
 from candlewright.llm.suffix_sort import repeated_offsets
 
@@ -122,7 +122,7 @@ def anchors(docs: DataFrame) -> DataFrame:
             if len(text):
                 yield batch(_ANCHORS, gram, context, ids[text], at)
 
-    return docs.select("doc_id", "text").mapInArrow(found, "gram long, context long, doc_id long, at long")
+    return keyed(docs).mapInArrow(found, "gram long, context long, doc_id long, at long")
 
 
 def _contexts(kinds: DataFrame, docs: DataFrame) -> DataFrame:
