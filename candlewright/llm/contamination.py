@@ -5,13 +5,15 @@ word 3-grams are seeds.  A bit table of fixed size tells which grams of a docume
 words around them are cut out as regions, and an exact join on gram hashes follows, so the table's
 size never decides a result.
 
-Rarity.  A gram is rare if it occurs in at most ``RARE`` of all documents; each passage also keeps
-its ``KEPT`` rarest grams however frequent they are, so a passage copied into a third of the corpus
-is found as well.  A pair of region and passage with ``SEEDS`` different rare seeds is a candidate.
+Candidates.  Every gram of a passage is a seed, however many documents hold it: a passage copied
+into a third of the corpus is found, and so is an edited or partial copy beside the exact ones.  A
+pair of region and passage with ``SEEDS`` different seeds is a candidate.  Hits of a gram with more
+than ``HOT`` regions are dealt out to several keys of the join.
 
 Alignment.  Smith-Waterman on words (match 2, mismatch -1, gap -1) scores each candidate, as a share
 of the score of a perfect copy.  A document is contaminated by an item if some passage reaches
-``SHARE``.
+``SHARE``.  No score exceeds the share of the passage's words that the region holds, so candidates
+under ``SHARE`` by that count are not aligned.
 
 Cases: null and empty texts and items without a 3-gram match nothing; repeated rows are matched once
 per doc_id; an empty corpus or benchmark gives an empty result; further columns are ignored;
@@ -25,12 +27,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candlewright.llm.common import batch, keyed, mix64, rows_of, Scratch
 
-GRAM, PASSAGE, REGION, SEEDS, KEPT, RARE, SHARE = 3, 64, 256, 2, 24, 0.001, 0.5
+GRAM, PASSAGE, REGION, SEEDS, SHARE, HOT = 3, 64, 256, 2, 0.5, 20_000
 TABLE_BITS = 25
 MATCH, MISMATCH, GAP = 2, -1, -1
 _EDGE = b".,;:!?\"'()[]{}<>|*#$%&"
@@ -131,11 +133,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, na
     hits = found.select("doc_id", "region", F.explode("grams").alias("gram"))
     hits = scratch.save(hits.join(grams.select("gram").distinct(), "gram", "left_semi"), "hits")
 
-    n_docs = docs.select("doc_id").count()
-    frequency = hits.select("gram", "doc_id").distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    ranked = grams.join(frequency, "gram").withColumn("rank", F.row_number().over(Window.partitionBy("item_id", "passage").orderBy("df", "gram")))
-    seeds = ranked.where((F.col("df") <= F.lit(RARE * n_docs)) | (F.col("rank") <= KEPT)).select("item_id", "passage", "gram")
-    pairs = hits.join(seeds, "gram").groupBy("doc_id", "region", "item_id", "passage").agg(F.count_distinct("gram").alias("n_seeds")).where(F.col("n_seeds") >= SEEDS)
+    frequent = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT)
+    frequent = F.broadcast(scratch.save(frequent.select("gram", F.floor(F.col("n") / HOT + 1).alias("parts")), "frequent"))  # a part of the benchmark's grams, and one of HOT hits
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    dealt = hits.join(frequent, "gram", "left").select("gram", F.pmod(F.xxhash64("doc_id", "region"), parts).alias("part"), "doc_id", "region")
+    seeds = grams.join(frequent, "gram", "left").select("gram", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "item_id", "passage")
+    pairs = dealt.join(seeds, ["gram", "part"]).groupBy("doc_id", "region", "item_id", "passage").agg(F.count_distinct("gram").alias("n_seeds")).where(F.col("n_seeds") >= SEEDS)
     rows = (pairs.join(tests.select("item_id", "passage", F.col("words").alias("test")), ["item_id", "passage"])
             .join(found.select("doc_id", "region", "words"), ["doc_id", "region"]))
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_seeds", pa.int64()), ("score", pa.float64())])
@@ -143,8 +146,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, na
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in rows_of(batches):
             a, b = part.column("test").to_pylist(), part.column("words").to_pylist()
-            scores = [alignment_share(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b, strict=True)]
+            scores = [score(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b, strict=True)]
             yield batch(schema, part.column("doc_id"), part.column("item_id"), part.column("n_seeds"), scores)
 
+    def score(a: np.ndarray, b: np.ndarray) -> float:
+        most = np.isin(a, b).mean()  # each match needs a word of the passage that the region holds
+        return alignment_share(a, b) if most >= share else float(most)
+
     aligned = rows.select("doc_id", "item_id", "n_seeds", "test", "words").mapInArrow(align, "doc_id long, item_id long, n_seeds long, score double")
     return aligned.where(F.col("score") >= share).groupBy("doc_id", "item_id").agg(F.max("n_seeds").alias("n_seeds"), F.max("score").alias("score"))

@@ -211,6 +211,20 @@ def test_contamination(spark):
     assert contamination.contaminated(frame(spark, []), benchmark).count() == 0 == contamination.contaminated(frame(spark, rows), benchmark.limit(0)).count()
 
 
+def test_contamination_finds_edited_copies_beside_exact_ones(spark):
+    rng = random.Random(13)
+    first, second = ([f"{letter}{i}" for i in range(59)] for letter in "vw")
+    edited = [x if i % 5 else "changed%d" % i for i, x in enumerate(first)]
+    rows = [(100 * k + i, " ".join(words(rng, 20) + item + words(rng, 20))) for k, item in enumerate((first, second)) for i in range(40)]
+    rows += [(50, " ".join(words(rng, 20) + edited + words(rng, 20))), (150, " ".join(words(rng, 20) + second[:34] + words(rng, 20)))]
+    benchmark = spark.createDataFrame([(0, " ".join(first)), (1, " ".join(second))], "item_id long, text string")
+    for hot in (20_000, 3):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(contamination, "HOT", hot, raising=False)
+            got = {(r["doc_id"], r["item_id"]): r["score"] for r in contamination.contaminated(frame(spark, rows), benchmark).collect()}
+        assert set(got) == {(100 * k + i, k) for k in range(2) for i in [*range(40), 50]} and got[50, 0] == pytest.approx(0.7, abs=0.02)
+
+
 def naive_alignment(a, b):
     h = np.zeros((len(a) + 1, len(b) + 1), int)
     for i, x in enumerate(a, 1):
