@@ -6,9 +6,9 @@ fixed space.  A chain is up to ``CHAIN`` consecutive words of a document.  Emiss
 transitions give each word's label probabilities by forward-backward; a document's language is the
 one with the greatest mean probability over its words, and that mean is its score.
 
-Training.  At most ``per_language`` labelled documents of each of the ``MAX_LANGUAGES`` most
-frequent languages, chosen by a hash of doc_id, are fitted on the driver: this bound is a parameter,
-documents count whole.  Every fourth chain is spliced from two documents, so that transitions
+Training.  At most ``per_language`` labelled documents of every language, chosen by a hash of
+doc_id, are fitted on the driver, in blocks of chains: this bound is a parameter, documents count
+whole.  Every fourth chain is spliced from two documents, so that transitions
 between languages are learned.  The model is a fixed-size array and travels in the closure.
 
 Cases: a null text, or one without letters, is ``und`` with score 0; without any labelled document
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from candlewright.llm.common import batch, crc_mod, keyed, rows_of
 
-BITS, CHAIN, MAX_LANGUAGES, PER_LANGUAGE = 17, 64, 64, 80
-WORDS_KEPT = 400_000
+BITS, CHAIN, PER_LANGUAGE = 17, 64, 80
+VALUES_KEPT, BLOCK = 1_600_000, 1 << 21
 _OUT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 _EDGE = ".,;:!?\"'()[]{}<>*#$%&|-_/\\=+`~^@0123456789"
 
@@ -53,7 +53,7 @@ class Emitter:
         self.lettered = np.zeros(1024, bool)
 
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.known) > WORDS_KEPT:
+        if len(self.known) * self.weights.shape[1] > VALUES_KEPT:
             self.known.clear()
         new = [w for w in dict.fromkeys(words) if w not in self.known]
         if new:
@@ -123,24 +123,33 @@ def train(rows: list[tuple[str, str]], rounds: int = 30, rate: float = 0.15, dec
     n, k = len(chains), len(langs)
     lengths = np.array([len(c) for c in chains])
     place = np.full((n, CHAIN), len(words))
-    gold = np.zeros((n, CHAIN, k))
+    gold = np.full((n, CHAIN), -1)
     for i, (c, y) in enumerate(zip(chains, labels, strict=True)):
-        place[i, : len(c)] = c
-        gold[i, np.arange(len(y)), y] = 1
+        place[i, : len(c)], gold[i, : len(y)] = c, y
     found = [features(w) for w in words] + [[]]
     flat = np.array([i for f in found for i in f], np.int64)
     owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
     used, local = np.unique(flat, return_inverse=True)
     lettered = np.array([bool(f) for f in found])
-    gold_pair = np.einsum("nti,ntj->ij", gold[:, :-1], gold[:, 1:])
+    gold_pair = np.zeros((k, k))
+    before, after = gold[:, :-1].ravel(), gold[:, 1:].ravel()
+    np.add.at(gold_pair, (before[after >= 0], after[after >= 0]), 1)
+    block = max(1, BLOCK // (CHAIN * k))  # chains whose probabilities are held at a time
     params = [np.zeros((len(used), k)), np.zeros((k, k)), np.zeros(k)]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, rounds + 1):
         emit = np.stack([np.bincount(owner, params[0][local, c], len(found)) for c in range(k)], axis=1)
-        gamma, pair, _ = forward_backward(emit[place], lengths, params[1], params[2])
-        wrong = (gamma - gold).reshape(-1, k)
-        by_word = np.stack([np.bincount(place.ravel(), wrong[:, c], len(found)) for c in range(k)], axis=1) * lettered[:, None]
-        grads = [np.stack([np.bincount(local, by_word[owner, c], len(used)) for c in range(k)], axis=1), pair - gold_pair, (gamma[:, 0] - gold[:, 0]).sum(axis=0)]
+        by_word, moves, begins = np.zeros((len(found), k)), -gold_pair, np.zeros(k)
+        for at in range(0, n, block):
+            inside = slice(at, at + block)
+            wrong, pair, _ = forward_backward(emit[place[inside]], lengths[inside], params[1], params[2])
+            chain, spot = np.nonzero(gold[inside] >= 0)
+            wrong[chain, spot, gold[inside][chain, spot]] -= 1
+            moves += pair
+            begins += wrong[:, 0].sum(axis=0)
+            by_word += np.stack([np.bincount(place[inside].ravel(), wrong[:, :, c].ravel(), len(found)) for c in range(k)], axis=1)
+        by_word *= lettered[:, None]
+        grads = [np.stack([np.bincount(local, by_word[owner, c], len(used)) for c in range(k)], axis=1), moves, begins]
         for p, g, a, b in zip(params, grads, m, v, strict=True):
             g = g / n + decay * p
             a += 0.1 * (g - a)
@@ -152,11 +161,10 @@ def train(rows: list[tuple[str, str]], rounds: int = 30, rate: float = 0.15, dec
 
 
 def training_rows(docs: DataFrame, per_language: int) -> list[tuple[str, str]]:
-    """At most ``per_language`` documents of each frequent language, by a hash of doc_id."""
+    """At most ``per_language`` documents of each language, by a hash of doc_id."""
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL")
-    langs = [r["lang"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    rows = labelled.where(F.col("lang").isin(langs)).select("lang", "text", F.row_number().over(order).alias("rank")).where(F.col("rank") <= per_language)
+    rows = labelled.select("lang", "text", F.row_number().over(order).alias("rank")).where(F.col("rank") <= per_language)
     return sorted((r["text"], r["lang"]) for r in rows.collect())
 
 
@@ -178,8 +186,9 @@ def label_words(model: dict, texts: list[str | None]) -> list[tuple[list[str], n
     begin = np.repeat(np.cumsum(counts) - counts, chains) + np.concatenate([np.arange(c) * CHAIN for c in chains]) if len(flat) else np.empty(0, np.int64)
     end = np.minimum(begin + CHAIN, np.repeat(np.cumsum(counts), chains))
     gamma = np.empty((len(flat), len(model["langs"])))
-    for at in range(0, len(begin), 512):
-        b, lengths = begin[at : at + 512].astype(np.int64), (end - begin)[at : at + 512].astype(np.int64)
+    block = max(1, min(512, BLOCK // (CHAIN * max(1, len(model["langs"])))))
+    for at in range(0, len(begin), block):
+        b, lengths = begin[at : at + block].astype(np.int64), (end - begin)[at : at + block].astype(np.int64)
         place = b[:, None] + np.arange(CHAIN)[None, :]
         live = np.arange(CHAIN)[None, :] < lengths[:, None]
         e = np.where(live[:, :, None], emit[np.minimum(place, len(flat) - 1)], 0)

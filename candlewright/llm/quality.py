@@ -12,13 +12,13 @@ distance (base 2), and its least distances count.  It is rejected if either is a
 threshold; documents under ``min_words`` words have histograms too small to judge and are left to
 the base rules.
 
-Nothing is gathered per document or per word: references are a bounded table (languages times bins)
-that becomes literals of the plan; a document's word histogram is pre-aggregated before its shuffle.
+References are tables for any number of languages: the class histograms become one row that every
+document meets; the common words are joined to the documents' words, and a grouped minimum over the
+languages follows.  A document's word histogram is pre-aggregated before its shuffle.
 
 Cases: null and empty texts have no words and fail; without any language in the table, or for a
-document without words, no divergence is measured; languages beyond the ``MAX_LANGUAGES`` most
-frequent ones give no reference; repeated rows of one doc_id share their word histogram; an
-empty table gives an empty result; further columns are ignored.
+document without words, no divergence is measured; repeated rows of one doc_id share their word
+histogram; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[^#*$%&|<>]+"
 CLASSES = {"lower": r"[^\p{Ll}]+", "upper": r"[^\p{Lu}]+", "digit": r"[^0-9]+", "space": r"[^\x20\x09-\x0D]+"}
 SHORT_WORD = r"^\p{L}{0,5}$"
-MAX_LANGUAGES, COMMON_WORDS, MIN_WORDS = 64, 30, 50
+COMMON_WORDS, MIN_WORDS = 30, 50
 #: Clean prose lies under 0.26 and 0.37, symbol-laden, shouted or tabular text above.
 CHARS_DISTANCE, WORDS_DISTANCE = 0.29, 0.42
 _INDEX_BITS = 24
@@ -87,28 +87,27 @@ def features(docs: DataFrame) -> DataFrame:
 BINS = ["c_lower", "c_upper", "c_digit", "c_space", "c_symbol", "c_other"]
 
 
-def _term(p: Column, q: float | Column) -> Column:
+def _term(p: Column, q: Column) -> Column:
     """One bin's part of the Jensen-Shannon divergence."""
-    q = q if isinstance(q, Column) else F.lit(q)
     m = (p + q) / 2
     return F.when(p > 0, p * F.log2(p / m)).otherwise(0.0) / 2 + F.when(q > 0, q * F.log2(q / m)).otherwise(0.0) / 2
 
 
-def _least(columns: list[Column]) -> Column:
-    return F.least(*columns) if len(columns) > 1 else columns[0]
-
-
 def _root(x: Column) -> Column:
     return F.sqrt(F.greatest(x, F.lit(0.0)))
 
 
-def char_distance(references: dict[str, list[float]]) -> Column:
+def char_references(spoken: DataFrame) -> DataFrame:
+    """One row (refs): the class histograms of all languages with characters."""
+    total = sum((F.col(b) for b in BINS), F.lit(0))
+    return spoken.where(total > 0).agg(F.collect_list(F.array(*[F.col(b) / total for b in BINS])).alias("refs"))
+
+
+def char_distance(refs: Column) -> Column:
     """Least distance of the character classes; null without references or characters."""
-    if not references:
-        return F.lit(None).cast("double")
     total = F.col("n_chars_all")
-    each = [_root(sum((_term(F.col(b) / total, q) for b, q in zip(BINS, ref, strict=True)), F.lit(0.0))) for ref in references.values()]
-    return F.when(total > 0, _least(each))
+    each = F.transform(refs, lambda ref: _root(sum((_term(F.col(b) / total, F.get(ref, F.lit(k))) for k, b in enumerate(BINS)), F.lit(0.0))))
+    return F.when(total > 0, F.array_min(each))
 
 
 def tokens(docs: DataFrame) -> DataFrame:
@@ -118,45 +117,28 @@ def tokens(docs: DataFrame) -> DataFrame:
     return words.withColumn("word", F.when(F.col("word").rlike(r"\p{L}"), F.col("word")).otherwise(""))
 
 
-def common_words(words: DataFrame) -> dict[str, dict[str, int]]:
-    """Each language's most frequent short words with their counts: a bounded report."""
+def word_references(words: DataFrame, spoken: DataFrame) -> DataFrame:
+    """(lang, word, q, mass, apart): each language's most frequent short words with their shares, the sum
+    of those, and the distance of a document that has none of them."""
     counted = words.where(F.col("lang").isNotNull() & F.col("word").rlike(SHORT_WORD)).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     first = [F.desc(F.col("word") == ""), F.desc("n"), "word"]  # the bin of words without a letter always counts
     ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*first))).where(F.col("rank") <= COMMON_WORDS)
-    out: dict[str, dict[str, int]] = {}
-    for row in ranked.select("lang", "word", "n").orderBy("lang", "rank").collect():
-        out.setdefault(row["lang"], {})[row["word"]] = row["n"]
-    return out
-
-
-def word_distance(words: DataFrame, references: dict[str, dict[str, float]]) -> DataFrame:
-    """(doc_id, js_words): least distance of the common-word histograms."""
-    bins = sorted({w for ref in references.values() for w in ref})
-    counted = words.where(F.col("word").isin(bins)).groupBy("doc_id", "n_words", "word").agg(F.count(F.lit(1)).alias("n"))
-    sums = []
-    p = F.col("n") / F.col("n_words")
-    for k, ref in enumerate(references.values()):
-        q = F.coalesce(F.create_map(*[F.lit(x) for pair in ref.items() for x in pair])[F.col("word")], F.lit(0.0))
-        sums += [F.sum(F.when(q > 0, _term(p, q))).alias(f"t{k}"), F.sum(F.when(q > 0, p)).alias(f"p{k}"), F.sum(q).alias(f"q{k}")]
-    joined = counted.groupBy("doc_id", "n_words").agg(*sums)
-    each = []
-    for k, ref in enumerate(references.values()):
-        mass = sum(ref.values())
-        absent = (F.lit(mass) - F.coalesce(F.col(f"q{k}"), F.lit(0.0))) / 2
-        each.append(_root(F.coalesce(F.col(f"t{k}"), F.lit(0.0)) + absent + _term(1 - F.coalesce(F.col(f"p{k}"), F.lit(0.0)), 1 - mass)))
-    return joined.select("doc_id", _least(each).alias("js_words"))
-
-
-def without_common_words(references: dict[str, dict[str, float]]) -> float | None:
-    """The distance of a document that has none of the common words."""
-    from math import log2
-
-    def distance(mass: float) -> float:
-        rest = 1 - mass
-        m = (1 + rest) / 2
-        return max(0.0, mass / 2 + log2(1 / m) / 2 + (rest * log2(rest / m) / 2 if rest > 0 else 0.0)) ** 0.5
-
-    return min((distance(sum(ref.values())) for ref in references.values()), default=None)
+    shares = ranked.join(spoken.select("lang", F.col("words").alias("total")), "lang").select("lang", "word", (F.col("n") / F.col("total")).alias("q"))
+    mass = shares.groupBy("lang").agg(F.sum("q").alias("mass")).withColumn("apart", _root(F.col("mass") / 2 + _term(F.lit(1.0), 1 - F.col("mass"))))
+    return shares.join(mass, "lang")
+
+
+def word_distance(words: DataFrame, references: DataFrame, apart: DataFrame) -> DataFrame:
+    """(doc_id, js_words): least distance of the common-word histograms, of the documents with any
+    common word.  ``apart``: one row with the languages by their distance from none of their words."""
+    counted = words.join(references.select("word").distinct(), "word", "left_semi").groupBy("doc_id", "n_words", "word").agg(F.count(F.lit(1)).alias("n"))
+    p, q, mass = F.col("n") / F.col("n_words"), F.col("q"), F.col("mass")
+    sums = [F.sum(_term(p, q)).alias("t"), F.sum(p).alias("p"), F.sum("q").alias("q")]
+    each = counted.join(references, "word").groupBy("doc_id", "n_words", "lang", "mass").agg(*sums)
+    js = _root(F.col("t") + (mass - F.col("q")) / 2 + _term(1 - F.col("p"), 1 - mass))
+    near = each.groupBy("doc_id").agg(F.min(js).alias("js"), F.collect_set("lang").alias("met"))
+    other = F.get(F.filter("apart", lambda x: ~F.array_contains("met", x["lang"])), F.lit(0))["apart"]
+    return near.crossJoin(F.broadcast(apart)).select("doc_id", F.least("js", other).alias("js_words"))  # one row
 
 
 def quality(docs: DataFrame, name: str = "op9", chars_distance: float = CHARS_DISTANCE, words_distance: float = WORDS_DISTANCE, min_words: int = MIN_WORDS) -> DataFrame:
@@ -164,20 +146,14 @@ def quality(docs: DataFrame, name: str = "op9", chars_distance: float = CHARS_DI
     scratch = Scratch(docs.sparkSession, name)
     per_doc = scratch.save(features(docs), "features")
     spoken = per_doc.where("lang IS NOT NULL").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words"), *[F.sum(b).alias(b) for b in BINS])
-    rows = spoken.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    chars = {r["lang"]: [r[b] / sum(r[c] for c in BINS) for b in BINS] for r in rows if sum(r[c] for c in BINS)}
-
+    spoken = scratch.save(spoken, "spoken")
     words = tokens(docs)
-    common = common_words(words.select("lang", "word"))
-    totals = {r["lang"]: r["words"] for r in rows}
-    shares = {lang: {w: n / totals[lang] for w, n in common[lang].items()} for lang in sorted(totals) if lang in common}
-
-    df = per_doc.withColumn("js_chars", char_distance(chars))
-    if shares:
-        spread = word_distance(words.select("doc_id", "n_words", "word"), shares)
-        df = df.join(spread, "doc_id", "left").withColumn("js_words", F.coalesce("js_words", F.when(F.col("n_words") > 0, F.lit(without_common_words(shares)))))
-    else:
-        df = df.withColumn("js_words", F.lit(None).cast("double"))
+    references = scratch.save(word_references(words.select("lang", "word"), spoken), "references")
+    apart = references.select("apart", "lang").distinct().agg(F.sort_array(F.collect_list(F.struct("apart", "lang"))).alias("apart"))
+
+    df = per_doc.crossJoin(F.broadcast(char_references(spoken))).withColumn("js_chars", char_distance(F.col("refs"))).drop("refs")  # one row
+    df = df.join(word_distance(words.select("doc_id", "n_words", "word"), references, apart), "doc_id", "left").crossJoin(F.broadcast(apart))
+    df = df.withColumn("js_words", F.coalesce("js_words", F.when(F.col("n_words") > 0, F.get("apart", F.lit(0))["apart"])))
     df = df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     far = (F.col("n_words") >= min_words) & ((F.coalesce("js_chars", F.lit(0.0)) > chars_distance) | (F.coalesce("js_words", F.lit(0.0)) > words_distance))
     return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~far).alias("kept"), "js_chars", "js_words")

@@ -159,6 +159,30 @@ def test_quality_equals_sql_and_is_native(spark):
     assert quality.quality(frame(spark, [])).count() == 0
 
 
+def many_languages(spark, each):
+    """70 languages with words of their own, the last of them with the fewest documents."""
+    rng = random.Random(21)
+    rows = []
+    for k in range(70):
+        own = [chr(97 + k % 26) + chr(97 + k // 26) + "aeiou"[j] for j in range(5)]
+        rows += [(len(rows) + j, " ".join(rng.choice(own) + ("" if rng.random() < 0.8 else rng.choice("xyz") + rng.choice(own) * 2) for _ in range(60)), f"l{k:02d}") for j in range(each + (k < 65))]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+
+def test_quality_of_many_languages_equals_sql(spark):
+    df = many_languages(spark, 2)
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    want = con.sql(quality.ORACLE).df().set_index("doc_id").kept
+    got = quality.quality(df).toPandas().set_index("doc_id").kept
+    assert got.to_dict() == want.to_dict()
+
+
+def test_language_id_of_many_languages(spark):
+    got = langid.language_id(many_languages(spark, 8), per_language=3).select("lang_pred").distinct().count()
+    assert got == 70
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(0)
     emit, trans, start = rng.normal(size=(1, 4, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
