@@ -39,7 +39,7 @@ def features(word: str) -> list[int]:
     core = word.strip(_EDGE).lower()
     if not core or not any(map(str.isalpha, core)):
         return []
-    edged = f"<{core[:40]}>"
+    edged = f"<{core}>"
     names = {"w" + core, *("p" + core[:k] for k in (1, 2, 3)), *("s" + core[-k:] for k in (1, 2, 3)), *(edged[i : i + n] for n in (2, 3) for i in range(len(edged) - n + 1))}
     return [zlib.crc32(n.encode()) & (1 << BITS) - 1 for n in names]
 

@@ -2,7 +2,8 @@
 
 A word's vector is the mean of the vectors of its whole form and of its letter n-grams of 3 to 5
 with word edges, hashed into a fixed table, so a misspelling that was never seen shares vectors with
-the known form.  A window's vector is the mean over its words and goes into a linear softmax of
+the known form.  A word of over ``LONGEST`` letters, such as a text without blanks, stands as
+overlapping pieces of ``PIECE`` letters, each a word of its own.  A window's vector is the mean over its words and goes into a linear softmax of
 two classes.  Vectors and softmax are trained jointly in numpy.  Insults are few in long texts, so a
 document is scored by its most toxic window of ``WINDOW`` words: training first averages whole
 documents, then alternates between choosing each document's worst windows and fitting on them.
@@ -29,15 +30,28 @@ from pyspark.sql import functions as F
 from candlewright.llm.common import batch, crc_mod, keyed, mix64, rows_of
 
 BITS, DIM, WINDOW, PER_CLASS = 18, 8, 3, 600
+LONGEST, PIECE = 40, 12
 WORDS_KEPT = 500_000
 _EDGE = ".,;:!?\"'()[]{}<>|-_/\\=+`~^"
 _OUT = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
 
+def pieces(text: str | None) -> list[str]:
+    """The words of a text, long ones as pieces that overlap by half."""
+    words = (text or "").split()
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    step, out = PIECE // 2, []
+    for word in words:
+        core = word.strip(_EDGE)
+        out += [word] if len(core) <= LONGEST else [core[at : at + PIECE] for at in range(0, len(core) - step, step)]
+    return out
+
+
 def edged(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all words with their edges, one word after the other, and each word's length (2 if
     nothing but edges is left of it)."""
-    cores = [f"<{w.strip(_EDGE).lower()[:40]}>" for w in words]
+    cores = [f"<{w.strip(_EDGE).lower()}>" for w in words]
     codes = np.frombuffer("".join(cores).encode("utf-32-le"), np.uint32).astype(np.uint64)
     return codes, np.fromiter(map(len, cores), np.int64, len(cores))
 
@@ -56,14 +70,17 @@ def subwords(codes: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarra
             yield _place(h, k), full & (left > k)
     starts = ends - lengths
     whole = np.zeros(n, np.uint64)
-    whole[starts] = np.add.reduceat(codes * _POWERS[np.arange(n) - np.repeat(starts, lengths)], starts)
+    whole[starts] = np.add.reduceat(codes * _powers(int(lengths.max()))[np.arange(n) - np.repeat(starts, lengths)], starts)
     first = np.zeros(n, bool)
     first[starts] = True
     yield _place(whole, 0), full & first
 
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = np.array([pow(int(_STEP), k, 1 << 64) for k in range(1, 65)], np.uint64)
+
+
+def _powers(n: int) -> np.ndarray:
+    return np.multiply.accumulate(np.full(n, _STEP))
 
 
 def _place(h: np.ndarray, kind: int) -> np.ndarray:
@@ -85,7 +102,7 @@ def train(rows: list[tuple[str, int]], rounds: int = 160, rate: float = 0.1, dec
     """Fit vectors and softmax.  ``rows``: (text, label).  Subwords of fewer than ``min_docs``
     documents have no vector: they would only recall single documents."""
     words: dict[str, int] = {}
-    docs = [np.array([words.setdefault(w, len(words)) for w in text.split()], np.int64) for text, _ in rows]
+    docs = [np.array([words.setdefault(w, len(words)) for w in pieces(text)], np.int64) for text, _ in rows]
     y = np.array([label for _, label in rows], float)
     if not words:
         return {"table": np.zeros(1 << BITS, np.float32), "bias": 0.0}
@@ -156,11 +173,11 @@ class Scorer:
     def __init__(self, model: dict):
         self.table, self.bias, self.known = model["table"], model["bias"], {}
 
-    def learn(self, texts: list[str | None]) -> None:
-        """Remember the scalars of all words of a batch."""
+    def learn(self, texts: list[list[str]]) -> None:
+        """Remember the scalars of all words in a batch of texts' pieces."""
         if len(self.known) > WORDS_KEPT:
             self.known.clear()
-        new = list({w for t in texts if t for w in t.split() if w not in self.known})
+        new = list({w for t in texts for w in t if w not in self.known})
         for at in range(0, len(new), 1 << 16):
             part = new[at : at + (1 << 16)]
             codes, lengths = edged(part)
@@ -173,12 +190,12 @@ class Scorer:
             self.known.update(zip(part, values.tolist(), strict=True))
 
     def scores(self, texts: list[str | None]) -> list[float]:
-        self.learn(texts)
-        return [self.score(t) for t in texts]
+        split = [pieces(t) for t in texts]
+        self.learn(split)
+        return [self.score(words) for words in split]
 
-    def score(self, text: str | None) -> float:
-        """The score of a text whose words are known."""
-        words = (text or "").split()
+    def score(self, words: list[str]) -> float:
+        """The score of a text's pieces, all known."""
         if not words:
             return float(_sigmoid(self.bias))
         values = np.fromiter(map(self.known.__getitem__, words), float, len(words))

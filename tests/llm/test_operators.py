@@ -223,6 +223,22 @@ def test_toxicity(spark):
     assert toxicity.toxicity(frame(spark, rows), labels.limit(0)).agg({"score": "max"}).first()[0] < 1e-9
 
 
+def test_toxicity_scores_whole_words():
+    rng = random.Random(6)
+    rows = [(" ".join(words(rng, 40) + (["you", "blockhead"] if i % 3 == 0 else []) + words(rng, 40)), int(i % 3 == 0)) for i in range(200)]
+    scorer = toxicity.Scorer(toxicity.train(rows))
+    letters = "".join(rng.choice("abcdefghijklmnop") for _ in range(130))
+    for joined in (letters[:60] + "blockhead", letters[:60] + "blockhead" + letters[60:], ".".join(letters[i : i + 5] for i in range(0, 60, 5)) + ".blockhead"):
+        clean, insult, plain = scorer.scores([joined.replace("blockhead", "abcdefghi"), joined, "blockhead"])
+        assert clean < 0.5 < insult <= plain + 1e-9
+    assert b"".join(p.encode()[toxicity.PIECE // 2 if k else 0 :] for k, p in enumerate(toxicity.pieces("".join(map(str, range(60)))))) == "".join(map(str, range(60))).encode()
+
+
+def test_language_features_of_whole_words():
+    start = "abcdefgh" * 6
+    assert len(langid.features(start + "qzwxqzw")) > len(langid.features(start)) + 3
+
+
 def test_contamination(spark):
     rng = random.Random(9)
     items = [words(rng, 45) for _ in range(6)]
