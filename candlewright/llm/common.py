@@ -2,7 +2,8 @@
 
 Scratch tables are Parquet files in the folder that ``spark.checkpoint.dir`` names, which every
 executor of a cluster shares.  They cut lineage and survive lost executors.  Only where the
-setting is absent (tests, a laptop) is a temporary folder of the driver used.
+setting is absent and all tasks run in the driver's process (tests, a laptop) is a temporary folder
+of the driver used; a cluster without the setting is refused.
 """
 
 from __future__ import annotations
@@ -36,6 +37,9 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="candlewright-")
     return _own_dir
@@ -51,7 +55,8 @@ class Scratch:
     """A folder of intermediate tables that belongs to one run of one operator.
 
     ``save`` writes a table and reads it back; ``drop`` frees one that is no longer read.  What the
-    operator's lazy result still reads stays until ``drop_all`` or the end of the driver.
+    operator's lazy result still reads stays until ``drop_all`` or the end of the driver.  ``last`` saves
+    an operator's end result and frees all other tables of the run.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -70,6 +75,11 @@ class Scratch:
         for tag in tags:
             _delete(self.spark, self.path(tag))
 
+    def last(self, df: DataFrame) -> DataFrame:
+        kept = Scratch(self.spark, "result").save(df, "rows")
+        self.drop_all()
+        return kept
+
     def drop_all(self) -> None:
         _delete(self.spark, self.root)
         _live.pop(self.root, None)
@@ -84,12 +94,19 @@ def _clear() -> None:
             return
 
 
-def drop_scratch(name: str) -> None:
-    """Free every scratch folder of the runs called ``name``."""
-    for root, spark in list(_live.items()):
-        if root.rsplit("/", 1)[1].startswith(f"{name}-"):
-            _delete(spark, root)
-            _live.pop(root, None)
+def salt(spark: SparkSession, *columns: str):
+    """A number below the number of shuffle partitions, by which a hot group is dealt to all tasks."""
+    return F.pmod(F.xxhash64(*columns), F.lit(int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def group_sizes(df: DataFrame, keys: list[str], dealt_by: list[str], scratch: Scratch, tag: str) -> DataFrame:
+    """(keys, salt, n): the groups of ``df`` with over one row, once for each salt that they have rows of.
+
+    Joined back to ``df`` by keys and salt, it tells every row the size of its group; counts are
+    aggregated per salt first, so no task gets a whole group."""
+    parts = scratch.save(df.groupBy(*keys, salt(df.sparkSession, *dealt_by).alias("salt")).agg(F.count(F.lit(1)).alias("c")), tag)
+    total = parts.groupBy(*keys).agg(F.sum("c").alias("n")).where("n > 1")
+    return parts.select(*keys, "salt").join(total, keys)
 
 
 def rows_of(batches: Iterator[pa.RecordBatch], rows: int = 1024, text_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ adaptive skew join.  Each round is written as a table, which cuts the lineage.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from candlewright.llm.common import Scratch
@@ -31,15 +31,17 @@ def components(edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
     """(node, component) of every node with a link; the component is its least node.
 
     ``edges`` has columns u and v; order, repeats and self-links don't matter.  An empty table of
-    links gives an empty result."""
+    links gives an empty result.  The rounds end when one changes nothing: the number of links and
+    the sum of their hashes are observed while a round is written."""
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    state, step = scratch.save(edges, f"{tag}-0"), 0
-    seen = None
+    step, seen = 0, None
     while True:
-        now = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        told = Observation()
+        state = scratch.save(edges.observe(told, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), f"{tag}-{step}")
+        if step:
+            scratch.drop(f"{tag}-{step - 1}")
+        now = (told.get["n"], told.get["h"])
         if now == seen or not now[0]:
             return state.select(F.col("u").alias("node"), F.col("v").alias("component"))
         seen, step = now, step + 1
-        after = scratch.save(_small(_large(state)), f"{tag}-{step}")
-        scratch.drop(f"{tag}-{step - 1}")
-        state = after
+        edges = _small(_large(state))

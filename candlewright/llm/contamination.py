@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,10 +79,8 @@ def seed_table(grams: DataFrame) -> np.ndarray:
     return table
 
 
-def regions(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """Stretches of documents around grams that the table lets through."""
-
-    spread = docs.sparkSession.sparkContext.broadcast(table)  # of fixed size
+def regions(docs: DataFrame, spread: Broadcast[np.ndarray]) -> DataFrame:
+    """Stretches of documents around grams that the bit table lets through."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, low = spread.value, np.uint64((1 << TABLE_BITS) - 1)
@@ -129,7 +128,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, na
     scratch = Scratch(spark, name)
     tests = scratch.save(passages(benchmark.where("text IS NOT NULL")).where(F.size("grams") > 0), "passages")
     grams = tests.select("item_id", "passage", F.explode("grams").alias("gram"))
-    found = scratch.save(regions(docs, seed_table(grams)), "regions")
+    spread = spark.sparkContext.broadcast(seed_table(grams))  # of fixed size
+    found = scratch.save(regions(docs, spread), "regions")
+    spread.destroy()
     hits = found.select("doc_id", "region", F.explode("grams").alias("gram"))
     hits = scratch.save(hits.join(grams.select("gram").distinct(), "gram", "left_semi"), "hits")
 
@@ -154,4 +155,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, na
         return alignment_share(a, b) if most >= share else float(most)
 
     aligned = rows.select("doc_id", "item_id", "n_seeds", "test", "words").mapInArrow(align, "doc_id long, item_id long, n_seeds long, score double")
-    return aligned.where(F.col("score") >= share).groupBy("doc_id", "item_id").agg(F.max("n_seeds").alias("n_seeds"), F.max("score").alias("score"))
+    return scratch.last(aligned.where(F.col("score") >= share).groupBy("doc_id", "item_id").agg(F.max("n_seeds").alias("n_seeds"), F.max("score").alias("score")))

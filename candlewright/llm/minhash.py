@@ -6,19 +6,23 @@ sequence), each as a 64-bit hash.  128 universal hashes h(x) = a*x + b (mod 2^64
 minima, in 32 bands of 4: a pair at similarity 0.75 shares no band with probability 5e-6.
 
 Equal sets first fall into one class each, whose least document stands for it, so copies never meet
-in a bucket.  Links are then found in two rounds:
+in a bucket.  A class is aggregated by salted keys, one part for each shuffle partition, and joined
+back by them, so a class of a third of all rows is spread over all tasks.  Links are then found in
+two rounds:
 
 1. each document is checked against the least of the documents it shares buckets with;
-2. in buckets that still hold several components, documents of different components are compared,
-   block by block: their minima first (a pair under an estimate of 0.55 can't plausibly reach
-   0.75), then their full sets.  At most n-1 links leave a bucket of n.  Buckets beyond
-   ``BLOCK`` documents are compared in pairs of blocks, spread over tasks.
+2. in buckets that still hold documents not known to be linked, those are compared, block by
+   block: their minima first (at similarity 0.75 an estimate under 0.55 is more than five deviations
+   off, about 1 in 4 million pairs), then their full sets.  At most n-1 links leave a bucket of n.  Buckets
+   beyond ``BLOCK`` documents are compared in pairs of blocks, spread over tasks.
 
 Each link is confirmed on full shingle sets.  Components come from alternating large-star and
 small-star steps.
 
-Cases: null texts and texts without words have an empty set, no links, and are kept; repeated rows
-share a class; an empty table gives an empty result; further columns are ignored.
+Cases: null texts and texts without words have an empty set, no links, and are kept; each row of the
+input gives one row; rows of one doc_id with different texts are one document to the links, so what
+links either links both; rows without a doc_id are left out; an empty table gives an empty result;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,18 +35,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlewright.llm.common import batch, keyed, mix64, rows_of, Scratch
+from candlewright.llm.common import batch, keyed, mix64, rows_of, salt, Scratch
 from candlewright.llm.components import components
 
 SHINGLE, HASHES, BANDS, BLOCK = 5, 128, 32, 1024
-#: Pairs whose share of equal minima is below this are not confirmed: six deviations under 0.75.
+#: Pairs whose share of equal minima is below this are not confirmed: five deviations under 0.75.
 ESTIMATE = 0.55
 _rng = np.random.default_rng(20240607)
 _A = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2)
 _MIX = _rng.integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bands", pa.list_(pa.int64())), ("minima", pa.binary())])
-SKETCH_SCHEMA = "doc_id long, n long, h1 long, h2 long, bands array<long>, minima binary"
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bands", pa.list_(pa.int64())), ("minima", pa.binary()), ("blob", pa.binary())])
+SKETCH_SCHEMA = "doc_id long, n long, h1 long, h2 long, bands array<long>, minima binary, blob binary"
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -76,30 +80,23 @@ def band_keys(least: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
+    """One row per document: its set's size, a digest of it, band keys, minima, and its text compressed."""
+
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in rows_of(batches):
-            sets = [shingles(t) for t in part.column(1).to_pylist()]
+            texts = part.column(1).to_pylist()
+            sets = [shingles(t) for t in texts]
             digest = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             halves = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
             least = np.array([minima(s) for s in sets])
             keys = band_keys(least).view(np.int64)
             small = (least >> np.uint64(48)).astype("<u2")
-            yield batch(_SKETCH, part.column(0), [len(s) for s in sets], halves[:, 0], halves[:, 1], [k if len(s) else [] for k, s in zip(keys, sets, strict=True)], [m.tobytes() for m in small])
+            yield batch(_SKETCH, part.column(0), [len(s) for s in sets], halves[:, 0], halves[:, 1], [k if len(s) else [] for k, s in zip(keys, sets, strict=True)], [m.tobytes() for m in small],
+                        [pack_text(t) if len(s) else None for t, s in zip(texts, sets, strict=True)])
 
     return keyed(docs).mapInArrow(sketches, SKETCH_SCHEMA)
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """(doc_id, blob): texts compressed before they are shuffled."""
-    schema = pa.schema([("doc_id", pa.int64()), ("blob", pa.binary())])
-
-    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in rows_of(batches):
-            yield batch(schema, part.column(0), [pack_text(t) for t in part.column(1).to_pylist()])
-
-    return keyed(docs).mapInArrow(squeeze, "doc_id long, blob binary")
-
-
 def pack_text(text: str | None) -> bytes:
     import zstandard
 
@@ -144,12 +141,11 @@ def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa
         yield pa.Table.from_batches(held)
 
 
-def confirmed_pairs(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets are similar.
+def confirmed_pairs(pairs: DataFrame, blobs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v), u < v, whose full sets are similar.  ``blobs``: (doc_id, blob), one or more
+    texts per doc_id.
 
     The text of v travels to u's group; a group of many pairs is split, each part with u's text."""
-    involved = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    blobs = packed(docs).join(involved, "doc_id", "left_semi")
     spread = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
     pairs = pairs.join(spread, "u").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts"))).select("u", "part", "v")
     heads = pairs.select("u", "part", F.col("u").alias("v")).distinct()
@@ -158,15 +154,18 @@ def confirmed_pairs(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFram
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, head_set = None, None
+        head, head_sets, done = None, [], None
         for part in rows_of(batches):
             out = []
             for u, p, v, blob in zip(*(part.column(c).to_pylist() for c in ("u", "part", "v", "blob")), strict=True):
                 s = shingles(unpack_text(blob).decode())
+                if head != (u, p):
+                    head, head_sets = (u, p), []
                 if u == v:  # the least of its group, so it comes first
-                    head, head_set = (u, p), s
-                elif head == (u, p) and similar(head_set, s, percent):
-                    out.append((u, v))
+                    head_sets.append(s)
+                elif done != (u, v) and any(similar(h, s, percent) for h in head_sets):
+                    done = (u, v)
+                    out.append(done)
             if out:
                 yield batch(schema, *(list(c) for c in zip(*out, strict=True)))
 
@@ -174,7 +173,8 @@ def confirmed_pairs(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFram
 
 
 def bucket_links(members: DataFrame, percent: int) -> DataFrame:
-    """Links between documents of different components that share a bucket.
+    """Links between documents of different components that share a bucket; ``component`` may be any
+    label that linked documents have in common.
 
     ``members``: bucket, x, y (blocks), doc_id, block, component, minima, blob."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
@@ -216,39 +216,51 @@ def bucket_links(members: DataFrame, percent: int) -> DataFrame:
     return members.mapInArrow(links, "u long, v long")
 
 
-def _second_round(members: DataFrame, labels: DataFrame, heads: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    placed = members.join(labels, members.doc_id == labels.node, "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+def _labels(first: DataFrame) -> DataFrame:
+    """(doc_id, component): a document that each is already linked to, by two steps of first links."""
+    up = first.select(F.col("v").alias("doc_id"), F.col("u").alias("near"))
+    far = up.select(F.col("doc_id").alias("near"), F.col("near").alias("far"))
+    return up.join(far, "near", "left").select("doc_id", F.coalesce("far", "near").alias("component"))
+
+
+def _second_round(members: DataFrame, labels: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    placed = members.join(labels, "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     mixed = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.expr("bit_xor(xxhash64(doc_id))").alias("who")).where("lo <> hi")
     mixed = mixed.groupBy("n", "who").agg(F.min("bucket").alias("bucket"))  # buckets with the same documents need one look
     rows = placed.join(mixed.select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks")), "bucket")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    involved = rows.select("doc_id").distinct()
-    blobs = packed(docs).join(involved, "doc_id", "left_semi").join(heads.select("doc_id", "minima"), "doc_id")
-    rows = rows.select("bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "doc_id", "block", "component").join(blobs, "doc_id")
+    rows = rows.select("bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "doc_id", "block", "component").join(heads.select("doc_id", "minima", "blob"), "doc_id")
     rows = rows.select("bucket", "x", "y", "doc_id", "block", "component", "minima", "blob").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
     return bucket_links(rows, percent)
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, name: str = "op6") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
+def near_duplicates(docs: DataFrame, percent: int = 75, scratch: Scratch | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, name)
-    sketched = scratch.save(sketch(docs), "sketch")
+    scratch = scratch or Scratch(spark, "op6")
+    dealt_by = salt(spark, "doc_id", "row").alias("salt")
+    sketched = scratch.save(sketch(docs).withColumn("row", F.monotonically_increasing_id()), "sketch")
     full = sketched.where("n > 0")
-    equal = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("head"))
-    classes = scratch.save(full.select("doc_id", "h1", "h2").join(equal, ["h1", "h2"]).select("doc_id", "head"), "classes")
-    heads = full.join(equal.select(F.col("head").alias("doc_id")), "doc_id", "left_semi")
+    dealt = scratch.save(full.groupBy("h1", "h2", dealt_by).agg(F.min(F.struct("doc_id", "row")).alias("least"), F.count(F.lit(1)).alias("copies")), "dealt")
+    classes = dealt.groupBy("h1", "h2").agg(F.min("least").alias("least"), F.sum("copies").alias("copies"))
+    classes = scratch.save(classes.select("h1", "h2", F.col("least.doc_id").alias("head"), F.col("least.row").alias("row"), "copies"), "classes")
+    heads = scratch.save(full.select("row", "doc_id", "bands", "minima", "blob").join(classes.select("row"), "row", "left_semi"), "heads")
 
     bands = heads.select("doc_id", F.explode("bands").alias("bucket"))
     shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("first")).where("size > 1").select("bucket", "first")
-    members = scratch.save(bands.join(shared, "bucket"), "members")
+    members = scratch.save(bands.join(shared, "bucket").distinct(), "members")
     nearest = members.where("first < doc_id").groupBy("doc_id").agg(F.min("first").alias("u")).select("u", F.col("doc_id").alias("v"))
-    first = scratch.save(confirmed_pairs(nearest, docs, percent), "first")
-    labels = components(first, scratch, "labels")
-    second = scratch.save(_second_round(members.select("bucket", "doc_id"), labels, heads, docs, percent), "second")
-    joined = components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(second), scratch, "joined")
-
-    out = sketched.select("doc_id", F.col("n").alias("n_shingles")).join(classes, "doc_id", "left").join(joined.withColumnRenamed("node", "head"), "head", "left")
-    out = out.withColumn("component_id", F.coalesce("component", "head", "doc_id"))
+    first = scratch.save(confirmed_pairs(nearest, heads.select("doc_id", "blob"), percent), "first")
+    second = _second_round(members.select("bucket", "doc_id"), _labels(first), heads, percent)
+    several = sketched.groupBy("doc_id").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("doc_id")  # documents with several texts
+    own = full.select("doc_id", "h1", "h2").join(several, "doc_id").join(classes.select("h1", "h2", "head"), ["h1", "h2"]).select(F.col("head").alias("u"), F.col("doc_id").alias("v"))
+    joined = components(first.unionByName(second).unionByName(own), scratch, "joined")
+    scratch.drop("heads", "members")
+
+    known = classes.select("h1", "h2", "head", "copies").join(joined.withColumnRenamed("node", "head"), "head", "left").where("copies > 1 OR component IS NOT NULL")
+    known = known.select("h1", "h2", F.coalesce("component", "head").alias("component"))
+    known = dealt.select("h1", "h2", "salt").join(known, ["h1", "h2"])
+    out = sketched.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2", dealt_by).join(known, ["h1", "h2", "salt"], "left")
+    out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))

@@ -110,8 +110,6 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, kind: str = "byte", s
     where asked for, the ids themselves as little-endian integers of the tokenizer's width."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "op3")
-    width = encoder(tokenizer, kind).dtype.str
-
     def online(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, kind)
         part = TaskContext.get().partitionId()
@@ -129,8 +127,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, kind: str = "byte", s
         number = TaskContext.get().partitionId()
         packer = Packer(size, windows, _base((1 << 30) + number), number, with_ids)
         for piece in rows_of(batches, rows=256):
-            for doc_id, start, total, ids in zip(*(piece.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens", "ids")), strict=True):
-                packer.add(doc_id, start, total, np.frombuffer(ids, width))
+            for doc_id, start, n, total, ids in zip(*(piece.column(c).to_pylist() for c in ("doc_id", "start", "length", "doc_tokens", "ids")), strict=True):
+                packer.add(doc_id, start, total, np.frombuffer(ids, f"<u{len(ids) // n}"))
             if (out := packer.taken()) is not None:
                 yield out
         packer.finish()

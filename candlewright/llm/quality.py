@@ -141,9 +141,9 @@ def word_distance(words: DataFrame, references: DataFrame, apart: DataFrame) ->
     return near.crossJoin(F.broadcast(apart)).select("doc_id", F.least("js", other).alias("js_words"))  # one row
 
 
-def quality(docs: DataFrame, name: str = "op9", chars_distance: float = CHARS_DISTANCE, words_distance: float = WORDS_DISTANCE, min_words: int = MIN_WORDS) -> DataFrame:
+def quality(docs: DataFrame, scratch: Scratch | None = None, chars_distance: float = CHARS_DISTANCE, words_distance: float = WORDS_DISTANCE, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per document: doc_id, the counts, base_failed, kept, js_chars, js_words."""
-    scratch = Scratch(docs.sparkSession, name)
+    scratch = scratch or Scratch(docs.sparkSession, "op9")
     per_doc = scratch.save(features(docs), "features")
     spoken = per_doc.where("lang IS NOT NULL").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words"), *[F.sum(b).alias(b) for b in BINS])
     spoken = scratch.save(spoken, "spoken")

@@ -8,7 +8,7 @@ window chooses as its anchor the 48-byte gram with the least hash inside it (the
 depends on the window's bytes alone: equal windows choose equal grams at equal offsets.  About one byte
 in 77 is an anchor.  Then
 
-1. grams that occur once are dropped (a grouped count and a join);
+1. grams that occur once are dropped (counts by salted keys and a join);
 2. anchors with equal contexts, the bytes that their windows cover, fall together (a grouped count
    on hashes of 64 and 64 bits): all their windows are repeated;
 3. grams with several contexts need their bytes.  One context of each kind is cut out of its text;
@@ -16,12 +16,14 @@ in 77 is an anchor.  Then
    orders and common prefixes tell which windows occur twice;
 4. windows become spans, spans are merged in each document, and the bytes go.
 
-A gram with more than ``HOT`` contexts is divided by blocks of offsets and by the bytes that all
-windows of a block share, so no task holds an unbounded group.
+A gram with more than ``HOT`` contexts is too much for one task to sort.  Its windows are dealt out
+singly instead, each under a 128-bit hash of its bytes, and counted by salted keys.
 
 Cases: null and empty texts have no bytes and no spans; texts under SPAN bytes stay whole; runs of
-one byte repeat within their document; repeated rows are repeats of each other; further columns are
-ignored; an empty table gives an empty result.  Texts of up to 256 MB are handled.
+one byte repeat within their document; repeated rows are repeats of each other; rows of one doc_id
+with different texts are judged each by its own text; rows without a doc_id are left out; further
+columns are ignored; an empty table gives an empty result; very long texts are searched in chunks
+that overlap.
 """
 
 from __future__ import annotations
@@ -35,18 +37,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlewright.llm.common import batch, keyed, mix64, rows_of, Scratch
-from candlewright.llm.minhash import packed, unpack_text
+from candlewright.llm.common import batch, group_sizes, keyed, mix64, rows_of, salt, Scratch
+from candlewright.llm.minhash import pack_text, unpack_text
 from candlewright.llm.suffix_sort import repeated_offsets
 
 SPAN, GRAM = 200, 48
 WINDOW = SPAN - GRAM + 1
-HOT, OFFSETS = 100_000, 8
+HOT, CHUNK = 20_000, 1 << 24
 _rng = np.random.default_rng(77)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _M = 0x9E3779B97F4A7C15
 _POS = np.uint64((1 << 28) - 1)
-_ANCHORS = pa.schema([("gram", pa.int64()), ("context", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64())])
+_ANCHORS = pa.schema([("gram", pa.int64()), ("context", pa.int64()), ("doc_id", pa.int64()), ("copy", pa.int32()), ("at", pa.int64())])
 
 
 def _power(n: int) -> np.uint64:
@@ -114,51 +116,95 @@ def find_anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return text, mix64(gram[a]).view(np.int64), context.view(np.int64), (a - starts[text]) << 16 | fewest << 8 | most
 
 
+def copy_key(text: bytes) -> int:
+    """Tells the rows of one doc_id apart."""
+    return xxhash.xxh32_intdigest(text) - (1 << 31)
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, copy, blob): texts compressed before they are shuffled."""
+    schema = pa.schema([("doc_id", pa.int64()), ("copy", pa.int32()), ("blob", pa.binary())])
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in rows_of(batches):
+            texts = part.column(1).to_pylist()
+            yield batch(schema, part.column(0), [copy_key((t or "").encode()) for t in texts], [pack_text(t) for t in texts])
+
+    return keyed(docs).mapInArrow(squeeze, "doc_id long, copy int, blob binary")
+
+
 def anchors(docs: DataFrame) -> DataFrame:
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in rows_of(batches, text_bytes=1 << 16):
             ids = part.column(0).to_numpy()
-            text, gram, context, at = find_anchors([(t or "").encode() for t in part.column(1).to_pylist()])
-            if len(text):
-                yield batch(_ANCHORS, gram, context, ids[text], at)
+            texts = [(t or "").encode() for t in part.column(1).to_pylist()]
+            copies = np.array([copy_key(t) for t in texts], np.int32)
+            chunks = [(i, at) for i, t in enumerate(texts) for at in range(0, max(1, len(t) - SPAN + 1), CHUNK)]  # each window begins in one chunk
+            for k in range(0, len(chunks), len(texts)):
+                row, base = (np.array(x) for x in zip(*chunks[k : k + len(texts)], strict=True))
+                text, gram, context, at = find_anchors([texts[i][b : b + CHUNK + SPAN - 1] for i, b in zip(row.tolist(), base.tolist(), strict=True)])
+                if len(text):
+                    yield batch(_ANCHORS, gram, context, ids[row[text]], copies[row[text]], at + (base[text] << 16))
 
-    return keyed(docs).mapInArrow(found, "gram long, context long, doc_id long, at long")
+    return keyed(docs).mapInArrow(found, "gram long, context long, doc_id long, copy int, at long")
 
 
 def _contexts(kinds: DataFrame, docs: DataFrame) -> DataFrame:
-    """The bytes of one context of each kind; contexts of hot grams come as blocks of offsets."""
-    wanted = kinds.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "context", "n", "at", "kinds")).alias("wanted"))
-    rows = packed(docs).join(wanted, "doc_id")
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("n", pa.int64()), ("least", pa.int32()), ("most", pa.int32()), ("bytes", pa.binary())])
+    """The bytes of one context of each kind (gram, n, doc_id, copy, at)."""
+    wanted = kinds.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("gram", "n", "at")).alias("wanted"))
+    rows = packed(docs).dropDuplicates(["doc_id", "copy"]).join(wanted, ["doc_id", "copy"]).select("doc_id", "copy", "blob", "wanted")
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("copy", pa.int32()), ("at", pa.int64()), ("n", pa.int64()), ("least", pa.int32()), ("most", pa.int32()), ("bytes", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in rows_of(batches, rows=256):
             out = []
-            for doc_id, blob, wanted in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+            for doc_id, copy, blob, wanted in zip(*(part.column(c).to_pylist() for c in range(4)), strict=True):
                 data = unpack_text(blob)
                 for w in wanted:
                     pos, least, most = w["at"] >> 16, w["at"] >> 8 & 255, w["at"] & 255
-                    if w["kinds"] <= HOT:
-                        out.append((w["gram"], doc_id, w["at"], w["n"], least, most, data[pos - most : pos - least + SPAN]))
-                        continue
-                    parts = w["kinds"] // HOT + 1
-                    for lo in range(least - least % OFFSETS, most + 1, OFFSETS):
-                        a, b = max(lo, least), min(lo + OFFSETS - 1, most)
-                        core = data[max(0, pos - lo) : pos - lo - OFFSETS + 1 + SPAN]  # in every window of the block
-                        key = xxhash.xxh3_64_intdigest(f"{w['gram']} {lo} {xxhash.xxh3_64_intdigest(core) % parts}") - (1 << 63)
-                        out.append((key, doc_id, w["at"], w["n"], a, b, data[pos - b : pos - a + SPAN]))
+                    out.append((w["gram"], doc_id, copy, w["at"], w["n"], least, most, data[pos - most : pos - least + SPAN]))
+                    if len(out) >= 8192:
+                        yield batch(schema, *(list(c) for c in zip(*out, strict=True)))
+                        out = []
             if out:
                 yield batch(schema, *(list(c) for c in zip(*out, strict=True)))
 
-    return rows.mapInArrow(cut, "key long, doc_id long, at long, n long, least int, most int, bytes binary")
+    return rows.mapInArrow(cut, "key long, doc_id long, copy int, at long, n long, least int, most int, bytes binary")
+
+
+def _windows(contexts: DataFrame) -> DataFrame:
+    """Every window of some contexts by itself: gram, offset and a hash of its bytes, and its place."""
+    schema = pa.schema([("key", pa.int64()), ("offset", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64()), ("doc_id", pa.int64()), ("copy", pa.int32()), ("begin", pa.int64())])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in rows_of(batches, rows=256):
+            out, digests = [], []
+            for key, doc_id, copy, at, least, most, data in zip(*(part.column(c).to_pylist() for c in ("key", "doc_id", "copy", "at", "least", "most", "bytes")), strict=True):
+                for offset in range(least, most + 1):
+                    digests.append(xxhash.xxh3_128_digest(data[most - offset : most - offset + SPAN]))
+                    out.append((key, offset, doc_id, copy, (at >> 16) - offset))
+            halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+            key, offset, doc_id, copy, begin = zip(*out, strict=True)
+            yield batch(schema, list(key), list(offset), halves[:, 0], halves[:, 1], list(doc_id), list(copy), list(begin))
+
+    return contexts.mapInArrow(deal, "key long, offset int, w1 long, w2 long, doc_id long, copy int, begin long")
+
+
+def _counted(contexts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Spans of the windows that occur in two contexts of a hot gram."""
+    keys, place = ["key", "offset", "w1", "w2"], ["doc_id", "copy", "begin"]
+    windows = scratch.save(_windows(contexts), "windows")
+    sizes = group_sizes(windows, keys, place, scratch, "window-counts")
+    twice = windows.withColumn("salt", salt(windows.sparkSession, *place)).join(sizes, [*keys, "salt"], "left_semi")
+    return twice.select("doc_id", "copy", "begin", (F.col("begin") + SPAN).alias("end"))
 
 
 def _resolved(contexts: DataFrame) -> DataFrame:
-    """Spans (doc_id, begin, end) of windows that occur twice among different contexts of a gram."""
-    schema = pa.schema([("doc_id", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())])
+    """Spans (doc_id, copy, begin, end) of windows that occur twice among different contexts of a gram."""
+    schema = pa.schema([("doc_id", pa.int64()), ("copy", pa.int32()), ("begin", pa.int64()), ("end", pa.int64())])
 
     def spans(table: pa.Table) -> pa.RecordBatch | None:
-        key, doc, at, n, least, most = (table.column(c).to_numpy() for c in ("key", "doc_id", "at", "n", "least", "most"))
+        key, doc, copy, at, n, least, most = (table.column(c).to_numpy() for c in ("key", "doc_id", "copy", "at", "n", "least", "most"))
         data = table.column("bytes").to_pylist()
         groups = np.cumsum(np.append(0, key[1:] != key[:-1]))
         found = repeated_offsets([d[:m][::-1] for d, m in zip(data, most.tolist(), strict=True)], [d[m:] for d, m in zip(data, most.tolist(), strict=True)], least, most, groups, SPAN)
@@ -169,7 +215,7 @@ def _resolved(contexts: DataFrame) -> DataFrame:
         if not len(i):
             return None
         pos = at[i] >> 16
-        return batch(schema, doc[i], pos - hi, pos - lo + SPAN)
+        return batch(schema, doc[i], copy[i], pos - hi, pos - lo + SPAN)
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -188,34 +234,38 @@ def _resolved(contexts: DataFrame) -> DataFrame:
         if held and (out := spans(pa.Table.from_batches(held))) is not None:
             yield out
 
-    return contexts.repartition("key").sortWithinPartitions("key").mapInArrow(resolve, "doc_id long, begin long, end long")
+    return contexts.repartition("key").sortWithinPartitions("key").mapInArrow(resolve, "doc_id long, copy int, begin long, end long")
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Spans (doc_id, begin, end), overlapping ones included, that repeated strings cover."""
-    twice = scratch.save(anchors(docs).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "grams")
-    shared = scratch.save(anchors(docs).join(twice, "gram"), "anchors")
-    kinds = scratch.save(shared.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "at")).alias("one")).select("gram", "context", "n", "one.doc_id", "one.at"), "kinds")
-    several = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    partial = scratch.save(_resolved(_contexts(kinds.join(several, "gram"), docs)), "partial")
+    """Spans (doc_id, copy, begin, end), overlapping ones included, that repeated strings cover."""
+    place = ["doc_id", "copy", "at"]
+    twice = group_sizes(anchors(docs), ["gram"], place, scratch, "grams")
+    dealt = anchors(docs).withColumn("salt", salt(docs.sparkSession, *place))
+    shared = scratch.save(dealt.join(twice, ["gram", "salt"], "left_semi").drop("salt"), "anchors")
+    kinds = scratch.save(shared.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*place)).alias("one")).select("gram", "context", "n", "one.*"), "kinds")
+    several = group_sizes(kinds, ["gram"], ["context"], scratch, "kind-counts").withColumnRenamed("n", "kinds")
+    several = scratch.save(kinds.withColumn("salt", salt(docs.sparkSession, "context")).join(several, ["gram", "salt"]), "several")
+    partial = scratch.save(_resolved(_contexts(several.where(F.col("kinds") <= HOT), docs)), "partial")
+    hot = _counted(_contexts(several.where(F.col("kinds") > HOT), docs), scratch)
     whole = shared.join(kinds.where("n > 1").select("gram", "context"), ["gram", "context"])
     pos = F.shiftright("at", 16)
-    whole = whole.select("doc_id", (pos - F.col("at").bitwiseAND(255)).alias("begin"), (pos - F.shiftright("at", 8).bitwiseAND(255) + SPAN).alias("end"))
-    return whole.unionByName(partial)
+    whole = whole.select("doc_id", "copy", (pos - F.col("at").bitwiseAND(255)).alias("begin"), (pos - F.shiftright("at", 8).bitwiseAND(255) + SPAN).alias("end"))
+    return whole.unionByName(partial).unionByName(hot)
 
 
 def remove_repeats(docs: DataFrame, name: str = "op10", with_text: bool = True) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, where asked for,
+    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, where asked for,
     the remaining text (bytes that no longer form a character are left out of it)."""
     scratch = Scratch(docs.sparkSession, name)
-    spans = repeated_spans(docs, scratch).groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    spans = scratch.last(repeated_spans(docs, scratch).groupBy("doc_id", "copy").agg(F.collect_set(F.struct("begin", "end")).alias("spans")))
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
     schema = pa.schema(fields + [("kept_text", pa.string())] * with_text)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in rows_of(batches, rows=512):
             out = []
-            for doc_id, blob, spans in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+            for doc_id, blob, spans in zip(*(part.column(c).to_pylist() for c in ("doc_id", "blob", "spans")), strict=True):
                 data = unpack_text(blob)
                 kept, runs, done = [], 0, 0
                 merged_end = -1
@@ -231,4 +281,4 @@ def remove_repeats(docs: DataFrame, name: str = "op10", with_text: bool = True)
             yield batch(schema, *(list(c) for c in zip(*out, strict=True)))
 
     columns = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
-    return packed(docs).join(spans, "doc_id", "left").mapInArrow(cut, columns)
+    return packed(docs).join(spans, ["doc_id", "copy"], "left").mapInArrow(cut, columns)

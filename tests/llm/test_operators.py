@@ -105,6 +105,14 @@ def test_near_duplicates(spark, monkeypatch, block):
     assert got == {i: (n, c, c == i) for i, (n, c) in want.items()}
 
 
+def test_near_duplicates_of_repeated_rows(spark):
+    rng = random.Random(4)
+    a, b, c = (" ".join(words(rng, 80)) for _ in range(3))
+    rows = [(5, a), (5, b), (3, a), (5, a), (9, b), (7, c), (7, c), (7, None), (None, a)]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(5, 76, 3, False), (5, 76, 3, False), (3, 76, 3, True), (5, 76, 3, False), (9, 76, 3, False), (7, 76, 7, True), (7, 76, 7, True), (7, 0, 7, True)])
+
+
 def test_near_duplicates_empty(spark):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
 
@@ -121,14 +129,24 @@ def brute_repeats(rows, span=200):
     return out
 
 
-@pytest.mark.parametrize("hot", [100_000, 1])
-def test_repeats(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot, chunk", [(20_000, 1 << 24), (1, 300)])
+def test_repeats(spark, monkeypatch, hot, chunk):
     monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "CHUNK", chunk)
     rows = texts()
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.remove_repeats(frame(spark, rows)).collect()}
     assert got == brute_repeats({i: (t or "").encode() for i, t in rows})
 
 
+def test_repeats_of_repeated_rows(spark):
+    rng = random.Random(8)
+    a, b, c = (" ".join(words(rng, 90)) for _ in range(3))
+    rows = [(1, a), (1, b), (2, c), (2, c), (3, b[:400] + c[:100]), (1, None), (None, a)]
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(1, len(a), 0), (1, len(b), 400), (2, len(c), len(c)), (2, len(c), len(c)), (3, 500, 400), (1, 0, 0)])
+    assert repeats.remove_repeats(frame(spark, [])).count() == 0
+
+
 def test_deep_shallow_is_a_sort():
     rng = random.Random(1)
     strings = [bytes(rng.choice(b"ab\0") for _ in range(rng.randint(0, 60))) for _ in range(300)] + [b"a" * 40] * 5 + [b"a" * k for k in range(50)]
