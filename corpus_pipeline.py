@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewright.llm.common import Scratch, drop_scratch, table
+from candlewright.llm.common import Scratch, table
 from candlewright.llm.contamination import contaminated
 from candlewright.llm.minhash import near_duplicates
 from candlewright.llm.packing import pack
@@ -27,29 +27,28 @@ ORACLE_SQL = None
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the quality rules reject."""
-    kept = quality(docs, name="pipeline-quality").where("kept").select("doc_id")
+    scratch = Scratch(spark, "quality-rules")
+    kept = scratch.last(quality(docs, scratch=scratch).where("kept").select("doc_id"))
     return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates."""
-    drop_scratch("pipeline-quality")
-    kept = near_duplicates(docs, name="pipeline-near").where("kept").select("doc_id")
+    scratch = Scratch(spark, "near-dedup")
+    kept = scratch.last(near_duplicates(docs, scratch=scratch).where("kept").select("doc_id"))
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
 
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts long repeated strings out of the texts; documents of which nothing is left go."""
-    drop_scratch("pipeline-near")
-    cut = remove_repeats(docs, name="pipeline-repeats").select("doc_id", "n_removed", F.col("kept_text").alias("text"))
+    cut = remove_repeats(docs).select("doc_id", "n_removed", F.col("kept_text").alias("text"))
     out = docs.drop("text", "n_chars").join(cut.where("n_removed = 0 OR text <> ''"), "doc_id")
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark passage."""
-    drop_scratch("pipeline-repeats")
-    found = contaminated(docs, table(spark, sf_dir, "benchmark"), name="pipeline-leaks").select("doc_id").distinct()
+    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
 
 
@@ -57,7 +56,6 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the rest into sequences of at most 2048 tokens."""
     import public_tokenizers
 
-    drop_scratch("pipeline-leaks")
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
