@@ -4,7 +4,8 @@ A tokenizer first cuts text at places that its pattern fixes and then works on e
 For texts of plain characters (Latin letters, digits, ASCII punctuation without the apostrophe,
 single spaces and line feeds in any number) the cuts are found here, and each piece goes to the
 library once in the life of a worker, as long as the bounded memory of pieces holds it.  Every
-other text goes to the library whole.  Both ways give the library's ids.
+other text, and one that holds the name of an added token, goes to the library whole.  Both ways
+give the ids of a plain library call.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already fill the cores
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # a special token's name in a text is ordinary text
+        names = [t.content.strip() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, filter(None, names))) or "(?!)", re.IGNORECASE)
         self.kind, self.pieces = kind, _PIECES[kind]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
@@ -59,7 +61,7 @@ class Encoder:
         for text in texts:
             if not text:
                 out.append(b"")
-            elif _PLAIN.fullmatch(text):
+            elif _PLAIN.fullmatch(text) and not self.added.search(text):
                 pieces = self.pieces.findall(text.lower() if self.kind == "word" else text)
                 try:
                     out.append(b"".join(map(self.known.__getitem__, pieces)))

@@ -17,8 +17,9 @@ document meets; the common words are joined to the documents' words, and a group
 languages follows.  A document's word histogram is pre-aggregated before its shuffle.
 
 Cases: null and empty texts have no words and fail; without any language in the table, or for a
-document without words, no divergence is measured; repeated rows of one doc_id share their word
-histogram; an empty table gives an empty result; further columns are ignored.
+document without words, no divergence is measured; each row of the input is judged by its own text
+and gives one row, repeated rows included; rows without a doc_id are left out, of the references
+too; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,8 +36,11 @@ SHORT_WORD = r"^\p{L}{0,5}$"
 COMMON_WORDS, MIN_WORDS = 30, 50
 #: Clean prose lies under 0.26 and 0.37, symbol-laden, shouted or tabular text above.
 CHARS_DISTANCE, WORDS_DISTANCE = 0.29, 0.42
-_INDEX_BITS = 24
-_LOW = (1 << _INDEX_BITS) - 1
+
+
+def text_key() -> Column:
+    """Tells the rows of one doc_id with different texts apart."""
+    return F.xxhash64("text").alias("text_key")
 
 
 def words_of(text: Column) -> Column:
@@ -51,20 +55,18 @@ def count_of(text: Column, others: str) -> Column:
 def with_repeat_words(df: DataFrame) -> DataFrame:
     """Adds n_repeat_words from ``words``.
 
-    Each window's hash is packed with its place and the array sorted, so equal windows become
+    Each window's 64-bit hash stands with its place and the array is sorted, so equal windows become
     neighbours; neighbours with equal hashes are compared word by word."""
     w = F.col("words")
     heads = F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0)))
-    df = df.withColumn("p", F.sort_array(F.transform(heads, lambda a, i: F.xxhash64(a, F.get(w, i + 1), F.get(w, i + 2)).bitwiseAND(F.lit(~_LOW)).bitwiseOR(i.cast("long")))))
+    df = df.withColumn("p", F.sort_array(F.transform(heads, lambda a, i: F.struct(F.xxhash64(a, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")))))
     p = F.col("p")
 
-    def place(x: Column) -> Column:
-        return x.bitwiseAND(F.lit(_LOW)).cast("int")
-
     def same(x: Column, y: Column) -> Column:
-        return (F.shiftright(x, _INDEX_BITS) == F.shiftright(y, _INDEX_BITS)) & (F.get(w, place(x)) == F.get(w, place(y))) & (F.get(w, place(x) + 1) == F.get(w, place(y) + 1)) & (F.get(w, place(x) + 2) == F.get(w, place(y) + 2))
+        i, j = x["i"], y["i"]
+        return (x["h"] == y["h"]) & (F.get(w, i) == F.get(w, j)) & (F.get(w, i + 1) == F.get(w, j + 1)) & (F.get(w, i + 2) == F.get(w, j + 2))
 
-    twice = F.transform(p, lambda x, k: F.when(F.coalesce(same(x, F.get(p, k + 1)), F.lit(False)) | F.coalesce(same(x, F.get(p, k - 1)), F.lit(False)), place(x)))
+    twice = F.transform(p, lambda x, k: F.when(F.coalesce(same(x, F.get(p, k + 1)), F.lit(False)) | F.coalesce(same(x, F.get(p, k - 1)), F.lit(False)), x["i"]))
     df = df.withColumn("d", F.sort_array(F.array_compact(twice)))
     d = F.col("d")
     covered = F.transform(d, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(d, k + 1) - x, F.lit(3))))
@@ -75,10 +77,10 @@ def features(docs: DataFrame) -> DataFrame:
     """The counts and character classes of each document."""
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = docs.select("doc_id", "lang", "text", words_of(F.col("text")).alias("words"), lines.alias("lines"))
+    df = docs.select("doc_id", text_key(), "lang", "text", words_of(F.col("text")).alias("words"), lines.alias("lines"))
     df = with_repeat_words(df)
     classes = [count_of(F.col("text"), others).alias(f"c_{name}") for name, others in CLASSES.items()]
-    df = df.select("doc_id", "lang", F.size("words").cast("long").alias("n_words"), F.length(text).cast("long").alias("n_chars_all"), count_of(F.col("text"), SYMBOLS).alias("n_symbols"),
+    df = df.select("doc_id", "text_key", "lang", F.size("words").cast("long").alias("n_words"), F.length(text).cast("long").alias("n_chars_all"), count_of(F.col("text"), SYMBOLS).alias("n_symbols"),
                    (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), "n_repeat_words", *classes)
     df = df.withColumn("word_chars", F.col("n_chars_all") - F.col("c_space")).withColumn("c_symbol", F.col("n_symbols"))
     return df.withColumn("c_other", F.col("n_chars_all") - F.col("c_lower") - F.col("c_upper") - F.col("c_digit") - F.col("c_space") - F.col("c_symbol"))
@@ -111,9 +113,10 @@ def char_distance(refs: Column) -> Column:
 
 
 def tokens(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, n_words, word): one row per word; words without a letter become one, empty."""
-    words = docs.select("doc_id", "lang", words_of(F.col("text")).alias("words"))
-    words = words.select("doc_id", "lang", F.size("words").alias("n_words"), F.explode("words").alias("word"))
+    """(row, doc_id, text_key, lang, n_words, word): one row per word; words without a letter become
+    one, empty.  ``row`` numbers the documents within this plan, so that repeats stay apart."""
+    words = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text_key(), "lang", words_of(F.col("text")).alias("words"))
+    words = words.select("row", "doc_id", "text_key", "lang", F.size("words").alias("n_words"), F.explode("words").alias("word"))
     return words.withColumn("word", F.when(F.col("word").rlike(r"\p{L}"), F.col("word")).otherwise(""))
 
 
@@ -129,21 +132,24 @@ def word_references(words: DataFrame, spoken: DataFrame) -> DataFrame:
 
 
 def word_distance(words: DataFrame, references: DataFrame, apart: DataFrame) -> DataFrame:
-    """(doc_id, js_words): least distance of the common-word histograms, of the documents with any
-    common word.  ``apart``: one row with the languages by their distance from none of their words."""
-    counted = words.join(references.select("word").distinct(), "word", "left_semi").groupBy("doc_id", "n_words", "word").agg(F.count(F.lit(1)).alias("n"))
+    """(doc_id, text_key, js_words): least distance of the common-word histograms, of the documents with
+    any common word.  ``apart``: one row with the languages by their distance from none of their words."""
+    document = ["row", "doc_id", "text_key", "n_words"]
+    counted = words.join(references.select("word").distinct(), "word", "left_semi").groupBy(*document, "word").agg(F.count(F.lit(1)).alias("n"))
     p, q, mass = F.col("n") / F.col("n_words"), F.col("q"), F.col("mass")
     sums = [F.sum(_term(p, q)).alias("t"), F.sum(p).alias("p"), F.sum("q").alias("q")]
-    each = counted.join(references, "word").groupBy("doc_id", "n_words", "lang", "mass").agg(*sums)
+    each = counted.join(references, "word").groupBy(*document, "lang", "mass").agg(*sums)
     js = _root(F.col("t") + (mass - F.col("q")) / 2 + _term(1 - F.col("p"), 1 - mass))
-    near = each.groupBy("doc_id").agg(F.min(js).alias("js"), F.collect_set("lang").alias("met"))
+    near = each.groupBy(*document).agg(F.min(js).alias("js"), F.collect_set("lang").alias("met"))
     other = F.get(F.filter("apart", lambda x: ~F.array_contains("met", x["lang"])), F.lit(0))["apart"]
-    return near.crossJoin(F.broadcast(apart)).select("doc_id", F.least("js", other).alias("js_words"))  # one row
+    each_row = near.crossJoin(F.broadcast(apart)).select("doc_id", "text_key", F.least("js", other).alias("js_words"))  # one row
+    return each_row.groupBy("doc_id", "text_key").agg(F.min("js_words").alias("js_words"))  # the same for repeated rows
 
 
 def quality(docs: DataFrame, scratch: Scratch | None = None, chars_distance: float = CHARS_DISTANCE, words_distance: float = WORDS_DISTANCE, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per document: doc_id, the counts, base_failed, kept, js_chars, js_words."""
     scratch = scratch or Scratch(docs.sparkSession, "op9")
+    docs = docs.where("doc_id IS NOT NULL")
     per_doc = scratch.save(features(docs), "features")
     spoken = per_doc.where("lang IS NOT NULL").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words"), *[F.sum(b).alias(b) for b in BINS])
     spoken = scratch.save(spoken, "spoken")
@@ -152,7 +158,7 @@ def quality(docs: DataFrame, scratch: Scratch | None = None, chars_distance: flo
     apart = references.select("apart", "lang").distinct().agg(F.sort_array(F.collect_list(F.struct("apart", "lang"))).alias("apart"))
 
     df = per_doc.crossJoin(F.broadcast(char_references(spoken))).withColumn("js_chars", char_distance(F.col("refs"))).drop("refs")  # one row
-    df = df.join(word_distance(words.select("doc_id", "n_words", "word"), references, apart), "doc_id", "left").crossJoin(F.broadcast(apart))
+    df = df.join(word_distance(words.drop("lang"), references, apart), ["doc_id", "text_key"], "left").crossJoin(F.broadcast(apart))
     df = df.withColumn("js_words", F.coalesce("js_words", F.when(F.col("n_words") > 0, F.get("apart", F.lit(0))["apart"])))
     df = df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     far = (F.col("n_words") >= min_words) & ((F.coalesce("js_chars", F.lit(0.0)) > chars_distance) | (F.coalesce("js_words", F.lit(0.0)) > words_distance))
@@ -160,43 +166,43 @@ def quality(docs: DataFrame, scratch: Scratch | None = None, chars_distance: flo
 
 
 ORACLE = r"""
-WITH d AS (
-  SELECT doc_id, lang, coalesce(text, '') AS text,
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
-  FROM documents),
+  FROM documents WHERE doc_id IS NOT NULL),
 g AS (
-  SELECT doc_id, i, w[i] || chr(10) || w[i + 1] || chr(10) || w[i + 2] AS gram
-  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1))) AS i FROM d)),
+  SELECT rid, i, w[i] || chr(10) || w[i + 1] || chr(10) || w[i + 2] AS gram
+  FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 1, 1))) AS i FROM d)),
 r AS (
-  SELECT doc_id, count(DISTINCT p) AS n FROM (
-    SELECT doc_id, unnest([i, i + 1, i + 2]) AS p
-    FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM g) WHERE c > 1)
-  GROUP BY doc_id),
+  SELECT rid, count(DISTINCT p) AS n FROM (
+    SELECT rid, unnest([i, i + 1, i + 2]) AS p
+    FROM (SELECT *, count(*) OVER (PARTITION BY rid, gram) AS c FROM g) WHERE c > 1)
+  GROUP BY rid),
 f AS (
-  SELECT d.doc_id, lang, len(w) AS n_words, length(text) AS c,
+  SELECT d.rid, d.doc_id, lang, len(w) AS n_words, length(text) AS c,
          length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
          len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
          length(regexp_replace(text, '[^\p{Ll}]+', '', 'g')) AS lo,
          length(regexp_replace(text, '[^\p{Lu}]+', '', 'g')) AS up,
          length(regexp_replace(text, '[^0-9]+', '', 'g')) AS di,
          length(regexp_replace(text, '[^\x20\x09-\x0D]+', '', 'g')) AS sp
-  FROM d LEFT JOIN r ON r.doc_id = d.doc_id),
+  FROM d LEFT JOIN r ON r.rid = d.rid),
 bins AS (
-  SELECT doc_id, lang, c, unnest(range(6)) AS b,
+  SELECT rid, lang, c, unnest(range(6)) AS b,
          unnest([lo, up, di, sp, n_symbols, c - lo - up - di - sp - n_symbols]) AS n FROM f),
 cref AS (
   SELECT lang, b, n / sum(n) OVER (PARTITION BY lang) AS q
   FROM (SELECT lang, b, sum(n) AS n FROM bins WHERE lang IS NOT NULL GROUP BY lang, b)),
 cjs AS (
-  SELECT doc_id, min(js) AS js FROM (
-    SELECT doc_id, r.lang, sqrt(greatest(0, sum(
+  SELECT rid, min(js) AS js FROM (
+    SELECT rid, r.lang, sqrt(greatest(0, sum(
       CASE WHEN n > 0 THEN n / c * log2(n / c / ((n / c + q) / 2)) ELSE 0 END +
       CASE WHEN q > 0 THEN q * log2(q / ((n / c + q) / 2)) ELSE 0 END) / 2)) AS js
-    FROM bins JOIN cref r ON r.b = bins.b WHERE c > 0 GROUP BY doc_id, r.lang) GROUP BY doc_id),
+    FROM bins JOIN cref r ON r.b = bins.b WHERE c > 0 GROUP BY rid, r.lang) GROUP BY rid),
 w AS (
-  SELECT doc_id, lang, n_words, CASE WHEN regexp_matches(word, '\p{L}') THEN word ELSE '' END AS word
-  FROM (SELECT doc_id, lang, len(w) AS n_words, unnest(w) AS word FROM d)),
+  SELECT rid, lang, n_words, CASE WHEN regexp_matches(word, '\p{L}') THEN word ELSE '' END AS word
+  FROM (SELECT rid, lang, len(w) AS n_words, unnest(w) AS word FROM d)),
 top AS (
   SELECT lang, word, n FROM (
     SELECT *, row_number() OVER (PARTITION BY lang ORDER BY word = '' DESC, n DESC, word) AS rank FROM (
@@ -208,27 +214,27 @@ wref AS (
   SELECT top.lang, word, top.n / tot.n AS q FROM top JOIN tot ON tot.lang = top.lang
   UNION ALL
   SELECT top.lang, NULL, 1 - sum(top.n / tot.n) FROM top JOIN tot ON tot.lang = top.lang GROUP BY top.lang),
-wc AS (SELECT doc_id, word, count(*) AS n FROM w WHERE word IN (SELECT word FROM top) GROUP BY doc_id, word),
+wc AS (SELECT rid, word, count(*) AS n FROM w WHERE word IN (SELECT word FROM top) GROUP BY rid, word),
 seen AS (
-  SELECT f.doc_id, wref.lang, wref.word, q, coalesce(wc.n, 0) / f.n_words AS p
-  FROM f JOIN wref ON wref.word IS NOT NULL LEFT JOIN wc ON wc.doc_id = f.doc_id AND wc.word = wref.word
+  SELECT f.rid, wref.lang, wref.word, q, coalesce(wc.n, 0) / f.n_words AS p
+  FROM f JOIN wref ON wref.word IS NOT NULL LEFT JOIN wc ON wc.rid = f.rid AND wc.word = wref.word
   WHERE f.n_words > 0),
 wall AS (
   SELECT * FROM seen
   UNION ALL
-  SELECT s.doc_id, s.lang, NULL, r.q, s.p
-  FROM (SELECT doc_id, lang, 1 - sum(p) AS p FROM seen GROUP BY doc_id, lang) s
+  SELECT s.rid, s.lang, NULL, r.q, s.p
+  FROM (SELECT rid, lang, 1 - sum(p) AS p FROM seen GROUP BY rid, lang) s
   JOIN wref r ON r.lang = s.lang AND r.word IS NULL),
 wjs AS (
-  SELECT doc_id, min(js) AS js FROM (
-    SELECT doc_id, lang, sqrt(greatest(0, sum(
+  SELECT rid, min(js) AS js FROM (
+    SELECT rid, lang, sqrt(greatest(0, sum(
       CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END +
       CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2)) AS js
-    FROM wall GROUP BY doc_id, lang) GROUP BY doc_id),
+    FROM wall GROUP BY rid, lang) GROUP BY rid),
 v AS (
   SELECT f.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
          coalesce(cjs.js, 0) > 0.29 OR coalesce(wjs.js, 0) > 0.42 AS far
-  FROM f LEFT JOIN cjs ON cjs.doc_id = f.doc_id LEFT JOIN wjs ON wjs.doc_id = f.doc_id)
+  FROM f LEFT JOIN cjs ON cjs.rid = f.rid LEFT JOIN wjs ON wjs.rid = f.rid)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(c - sp AS BIGINT) AS word_chars,
        CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
        CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND NOT far AS kept

@@ -8,6 +8,10 @@ File format.  A shard is a sequence of records in ascending document order.  A r
     uint32  masked crc32 of the payload
     byte    0x0A, the separator that Spark's text writer puts after each value
 
+A shard ends after the record with which it passes ``shard_bytes``, so its size follows from that bound
+and the longest document.  Shards lie in folders chunk=K; in a partition of the writer, documents go
+on from one chunk to the next.
+
 A masked checksum is the crc rotated right by 15 bits plus a constant, so that a checksum stored
 inside checked data does not look like one.  The shards go through Spark's text writer and come
 back through its binaryFile reader, so any store that Spark reaches will do.
@@ -37,7 +41,8 @@ from candlewright.llm.encoding import encoder
 #: Fixed value of the masked checksum (as in the public TFRecord format).
 MASK_DELTA = 0xA282EAD8
 _HEAD, _OWN, _CRC = struct.Struct("<QI"), struct.Struct("<qB"), struct.Struct("<I")
-_FRAMES = pa.schema([("frame", pa.binary())])
+_FRAMES = pa.schema([("chunk", pa.int32()), ("doc_id", pa.int64()), ("frame", pa.binary())])
+SHARD_BYTES = 32 << 20
 _INDEX = pa.schema([("shard", pa.string()), ("doc_id", pa.int64()), ("offset", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("before", pa.int64()), ("ids_crc32", pa.int64())])
 INDEX_SCHEMA = "shard string, doc_id long, offset long, n_bytes long, n_tokens long, before long, ids_crc32 long"
 
@@ -67,31 +72,43 @@ def parse(content: bytes, at: int) -> tuple[int, np.ndarray, int]:
     return doc_id, np.frombuffer(payload, f"<u{width}", offset=_OWN.size), at + 12 + size + 4 + 1
 
 
-def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, kind: str = "word", records_per_file: int = 4096) -> None:
+def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, kind: str = "word", shard_bytes: int = SHARD_BYTES) -> None:
     """Encode whole texts and write them as shards below ``path``, in ascending doc_id order."""
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, kind)
+        encode, written = encoder(tokenizer, kind), 0
+        chunk = 0
         for part in rows_of(batches):
+            out = []
             ids = encode.encode(part.column(1).to_pylist())
-            yield batch(_FRAMES, [frame(d, np.append(x, encode.dtype.type(end_id))) for d, x in zip(part.column(0).to_pylist(), ids, strict=True)])
+            for doc_id, x in zip(part.column(0).to_pylist(), ids, strict=True):
+                out.append((chunk, doc_id, frame(doc_id, np.append(x, encode.dtype.type(end_id)))))
+                written += len(out[-1][2]) + 1
+                if written >= shard_bytes:
+                    chunk, written = chunk + 1, 0
+            yield batch(_FRAMES, *(list(c) for c in zip(*out, strict=True)))
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = keyed(docs).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
-    (ordered.mapInArrow(frames, "frame binary").select(F.col("frame").cast("string").alias("value"))
-     .write.mode("overwrite").option("maxRecordsPerFile", records_per_file).text(path))
+    framed = ordered.mapInArrow(frames, "chunk int, doc_id long, frame binary").sortWithinPartitions("chunk", "doc_id")
+    framed.select(F.col("frame").cast("string").alias("value"), "chunk").write.mode("overwrite").partitionBy("chunk").text(path)
 
 
 def _shards(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
 
 
+def shard_name(path: str) -> str:
+    """Folder and file of a shard."""
+    return "/".join(path.split("/")[-2:])
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Every record of the shards below ``path``, verified; the rows of the index."""
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in rows_of(batches, rows=1):
-            shard, content = part.column(0)[0].as_py().rsplit("/", 1)[1], part.column(1)[0].as_py()
+            shard, content = shard_name(part.column(0)[0].as_py()), part.column(1)[0].as_py()
             rows, at, before = [], 0, 0
             while at < len(content):
                 doc_id, ids, after = parse(content, at)
@@ -114,11 +131,12 @@ def with_starts(index: DataFrame) -> DataFrame:
 
     Running sums go over shards in blocks of 256 and over blocks, never over all documents."""
     number = F.regexp_extract("shard", r"part-(\d+)", 1).cast("long")
-    shards = index.groupBy("shard").agg(F.sum("n_tokens").alias("total"), F.min("doc_id").alias("first"))
+    chunk = F.regexp_extract("shard", r"chunk=(\d+)", 1).cast("long")
+    shards = index.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
     shards = shards.withColumn("block", F.floor(number / 256))
     blocks = shards.groupBy("block").agg(F.sum("total").alias("block_total"))
     blocks = blocks.select("block", (F.sum("block_total").over(Window.orderBy("block")) - F.col("block_total")).alias("block_start"))
-    inside = Window.partitionBy("block").orderBy(number, "shard")
+    inside = Window.partitionBy("block").orderBy(number, chunk)
     shards = shards.join(blocks, "block").select("shard", (F.col("block_start") + F.sum("total").over(inside) - F.col("total")).alias("shard_start"))
     return index.join(shards, "shard").withColumn("start", F.col("shard_start") + F.col("before"))
 
@@ -137,7 +155,7 @@ def shuffled_read(spark: SparkSession, path: str, index: DataFrame, seed: int, p
             yield batch(schema, [d for d, _ in got], [x.astype(np.int32) for _, x in got])
 
     offsets = index.groupBy("shard").agg(F.collect_list("offset").alias("offsets"))
-    shards = _shards(spark, path).withColumn("shard", F.element_at(F.split("path", "/"), -1)).join(offsets, "shard")
+    shards = _shards(spark, path).withColumn("shard", F.array_join(F.slice(F.split("path", "/"), -2, 2), "/")).join(offsets, "shard")
     key = F.xxhash64("doc_id", F.lit(seed))
     return (shards.select("content", "offsets").mapInArrow(decode, "doc_id long, ids array<int>")
             .repartition(partitions, key).sortWithinPartitions(key, "doc_id"))

@@ -28,4 +28,4 @@ def texts() -> list[tuple[int, str | None]]:
 
 def frame(spark, rows=None):
     rows = texts() if rows is None else rows
-    return spark.createDataFrame([(i, t, ("en", None, "fr")[i % 3], f"src{i % 4}", len(t or ""), i, t, i % 2 == 0) for i, t in rows], SCHEMA).repartition(3)
+    return spark.createDataFrame([(i, t, ("en", None, "fr")[(i or 0) % 3], f"src{(i or 0) % 4}", len(t or ""), i, t, (i or 0) % 2 == 0) for i, t in rows], SCHEMA).repartition(3)

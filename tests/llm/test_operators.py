@@ -20,9 +20,7 @@ WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path
 
 
 def ids_of(path, text):
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids + [1]
+    return Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids + [1]
 
 
 def crc(ids):
@@ -30,11 +28,11 @@ def crc(ids):
 
 
 def test_records_round_trip(spark):
-    special = [(90, "it's <|endoftext|>  naïve\r\n  x y 12 don't ÀÉ ’s"), (91, "Ünï-çødé\x1cα βγ")]
+    special = [(90, "it's <|endoftext|>  naïve\r\n  x y 12 don't ÀÉ ’s"), (91, "Ünï-çødé\x1cα βγ"), (92, "x <|endoftext|> y"), (93, "a <|EndOfText|><|startoftext|>b"), (94, "<|endoftext"), (94, "twice"), (None, "none")]
     rows = texts() + special
     got = {r["doc_id"]: r for r in records.token_records(frame(spark, rows), WORD).collect()}
     start = 0
-    for i, text in rows:
+    for i, text in rows[:-3]:
         ids = ids_of(WORD, text)
         assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (start, len(ids), crc(ids)), i
         start += len(ids)
@@ -48,15 +46,20 @@ def test_records_detect_damage_and_shuffle(spark):
         with pytest.raises(Exception):
             records.parse(blob[:at] + bytes([blob[at] ^ 1]) + blob[at + 1 :], 0)
     scratch = Scratch(spark, "test")
-    records.write_records(frame(spark), scratch.path("s"), WORD, records_per_file=5)
+    records.write_records(frame(spark), scratch.path("s"), WORD, shard_bytes=2000)
     index = records.build_index(spark, scratch.path("s"), scratch.path("i"))
     a, b = ([r["doc_id"] for r in records.shuffled_read(spark, scratch.path("s"), index, seed, 1).collect()] for seed in (1, 2))
     assert sorted(a) == sorted(b) == [i for i, _ in texts()] and a != b
+    start = 0
+    for r in records.with_starts(index).orderBy("doc_id").collect():  # shards of a few records
+        assert r["start"] == start
+        start += r["n_tokens"]
+    assert index.select("shard").distinct().count() > 5
 
 
 def test_packing(spark):
-    rows = texts()
-    out = packing.pack(frame(spark), BYTE, size=256, windows=4).toPandas()
+    rows = texts() + [(92, "x <|endoftext|> y\n<|endoftext|>")]
+    out = packing.pack(frame(spark, rows), BYTE, size=256, windows=4).toPandas()
     for i, text in rows:
         ids = ids_of(BYTE, text)
         mine = out[out.doc_id == i].sort_values("start")
@@ -177,6 +180,20 @@ def test_quality_equals_sql_and_is_native(spark):
     assert quality.quality(frame(spark, [])).count() == 0
 
 
+def test_quality_of_repeated_rows_equals_sql(spark):
+    rng = random.Random(15)
+    a, b = (" ".join(words(rng, 120)) for _ in range(2))
+    rows = [(1, a, "en"), (1, a, "en"), (1, b, "fr"), (1, None, "en"), (2, b, "en"), (2, "", None), (None, a, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    columns = ["doc_id", "n_words", "word_chars", "kept"]
+    want = con.sql(quality.ORACLE).df()[columns]
+    out = quality.quality(df).toPandas()
+    assert sorted(out[columns].values.tolist()) == sorted(want.values.tolist()) and len(out) == 6
+    assert out.js_words.dropna().between(0, 1).all()
+
+
 def many_languages(spark, each):
     """70 languages with words of their own, the last of them with the fewest documents."""
     rng = random.Random(21)
