@@ -90,9 +90,12 @@ def ema_array(x: np.ndarray, n: int) -> np.ndarray:
     if len(x) - first < n:
         return out
     k = 2 / (n + 1)
-    out[first + n - 1] = x[first : first + n].mean()
-    for i in range(first + n, len(x)):
-        out[i] = x[i] * k + out[i - 1] * (1 - k)
+    value = float(x[first : first + n].mean())
+    run = [value]
+    for v in x[first + n :].tolist():
+        value = v * k + value * (1 - k)
+        run.append(value)
+    out[first + n - 1 :] = run
     return out
 
 
@@ -103,71 +106,82 @@ def rsi_array(x: np.ndarray, n: int = 14) -> np.ndarray:
         return out
     d = np.diff(x)
     gain, loss = np.maximum(d, 0), np.maximum(-d, 0)
-    g, s = gain[:n].mean(), loss[:n].mean()
-    out[n] = 100.0 if s == 0 else 100 - 100 / (1 + g / s)
-    for i in range(n, len(d)):
-        g, s = (g * (n - 1) + gain[i]) / n, (s * (n - 1) + loss[i]) / n
-        out[i + 1] = 100.0 if s == 0 else 100 - 100 / (1 + g / s)
+    g, s = float(gain[:n].mean()), float(loss[:n].mean())
+    run = [100.0 if s == 0 else 100 - 100 / (1 + g / s)]
+    for up, down in zip(gain[n:].tolist(), loss[n:].tolist(), strict=True):
+        g, s = (g * (n - 1) + up) / n, (s * (n - 1) + down) / n
+        run.append(100.0 if s == 0 else 100 - 100 / (1 + g / s))
+    out[n:] = run
     return out
 
 
 def ewma_vol_array(close: np.ndarray, decay: float = 0.94) -> np.ndarray:
     """Exponentially weighted volatility of log returns."""
     out = np.full(len(close), np.nan)
-    r = np.diff(np.log(close))
     v = np.nan
-    for i, x in enumerate(r):
-        v = x * x if np.isnan(v) else decay * v + (1 - decay) * x * x
-        out[i + 1] = np.sqrt(v)
-    return out
+    for i, x in enumerate(np.diff(np.log(close)).tolist()):
+        v = x * x if v != v else decay * v + (1 - decay) * x * x
+        out[i + 1] = v
+    return np.sqrt(out)
 
 
 RECURSIVE = ["ema12", "ema20", "ema26", "macd", "macd_signal", "macd_hist", "rsi14", "ewma_vol"]
 
 
-def with_recursive(bars: DataFrame) -> DataFrame:
-    """Adds the recursive indicators.  A series is one group: its length is bounded by time, and series
-    are the unit of parallel work."""
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts", kind="stable").reset_index(drop=True)
-        close = pdf["close"].to_numpy(float)
-        pdf["ema12"], pdf["ema20"], pdf["ema26"] = (ema_array(close, n) for n in (12, 20, 26))
-        pdf["macd"] = pdf["ema12"] - pdf["ema26"]
-        pdf["macd_signal"] = ema_array(pdf["macd"].to_numpy(float), 9)
-        pdf["macd_hist"] = pdf["macd"] - pdf["macd_signal"]
-        pdf["rsi14"], pdf["ewma_vol"] = rsi_array(close), ewma_vol_array(close)
-        return pdf
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema) + "".join(f", {c} double" for c in RECURSIVE)
-    out = bars.groupBy(*SERIES).applyInPandas(fill, schema)
-    return out.select(*bars.columns, *[F.nanvl(c, F.lit(None)).alias(c) for c in RECURSIVE])
+def _fill_recursive(pdf: pd.DataFrame) -> None:
+    close = pdf["close"].to_numpy(float)
+    pdf["ema12"], pdf["ema20"], pdf["ema26"] = (ema_array(close, n) for n in (12, 20, 26))
+    pdf["macd"] = pdf["ema12"] - pdf["ema26"]
+    pdf["macd_signal"] = ema_array(pdf["macd"].to_numpy(float), 9)
+    pdf["macd_hist"] = pdf["macd"] - pdf["macd_signal"]
+    pdf["rsi14"], pdf["ewma_vol"] = rsi_array(close), ewma_vol_array(close)
 
 
 def levels_array(swing: np.ndarray, price: np.ndarray, reach: int, kept: int, ascending: bool) -> list[list[float]]:
     """At each bar the last ``kept`` distinct levels, by first appearance, of swings ``reach`` bars old."""
-    seen: dict[float, None] = {}
+    seen: set[float] = set()
+    recent: list[float] = []
     out, now = [], []
     for i in range(len(price)):
         j = i - reach
-        if j >= 0 and swing[j]:
-            seen.setdefault(round(float(price[j]), 4))
-            now = sorted(list(seen)[-kept:], reverse=not ascending)
+        if j >= 0 and swing[j] and (level := round(float(price[j]), 4)) not in seen:
+            seen.add(level)
+            recent = [*recent[-(kept - 1) :], level]
+            now = sorted(recent, reverse=not ascending)
         out.append(now)
     return out
 
 
-def with_levels(bars: DataFrame, reach: int = 5, kept: int = 3) -> DataFrame:
-    """Adds supports (descending) and resistances (ascending) known at each bar.  The order of first
-    appearance is a recursive state, hence a grouped pass over flags that windows made."""
-    flagged = with_swings(bars, reach)
+def _fill_levels(pdf: pd.DataFrame, reach: int, kept: int) -> None:
+    low, high = (pdf.pop(c).fillna(False).to_numpy(bool) for c in ("swing_low", "swing_high"))
+    pdf["supports"] = levels_array(low, pdf["low"].to_numpy(float), reach, kept, False)
+    pdf["resistances"] = levels_array(high, pdf["high"].to_numpy(float), reach, kept, True)
+
+
+def with_state(bars: DataFrame, recursive: bool = True, levels: bool = True, reach: int = 5, kept: int = 3) -> DataFrame:
+    """Adds what needs a series' whole past in one grouped pass: the recursive indicators, and supports
+    (descending) and resistances (ascending) known at each bar, from swing flags that windows made.  A
+    series is one group: its length is bounded by time, and series are the unit of parallel work."""
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts", kind="stable").reset_index(drop=True)
-        low, high = pdf.pop("swing_low").fillna(False).to_numpy(bool), pdf.pop("swing_high").fillna(False).to_numpy(bool)
-        pdf["supports"] = levels_array(low, pdf["low"].to_numpy(float), reach, kept, False)
-        pdf["resistances"] = levels_array(high, pdf["high"].to_numpy(float), reach, kept, True)
+        if recursive:
+            _fill_recursive(pdf)
+        if levels:
+            _fill_levels(pdf, reach, kept)
         return pdf
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema) + ", supports array<double>, resistances array<double>"
-    return flagged.groupBy(*SERIES).applyInPandas(fill, schema)
+    added = [f"{c} double" for c in RECURSIVE] * recursive + ["supports array<double>", "resistances array<double>"] * levels
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema] + added)
+    out = (with_swings(bars, reach) if levels else bars).groupBy(*SERIES).applyInPandas(fill, schema)
+    return out.select(*bars.columns, *[F.nanvl(c, F.lit(None)).alias(c) for c in RECURSIVE] * recursive, *["supports", "resistances"] * levels)
+
+
+def with_recursive(bars: DataFrame) -> DataFrame:
+    """Adds the recursive indicators."""
+    return with_state(bars, levels=False)
+
+
+def with_levels(bars: DataFrame, reach: int = 5, kept: int = 3) -> DataFrame:
+    """Adds supports and resistances."""
+    return with_state(bars, recursive=False, reach=reach, kept=kept)

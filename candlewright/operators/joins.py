@@ -56,3 +56,29 @@ def fresh(candidates: DataFrame, recent: DataFrame, keys: list[str], at: str, ho
     same = [F.col(f"c.{k}") == F.col(f"r.{k}") for k in keys]
     seen = (F.col(f"r.{at}") <= F.col(f"c.{at}")) & (F.unix_seconds(F.col(f"c.{at}").cast("timestamp")) - F.unix_seconds(F.col(f"r.{at}").cast("timestamp")) < window * 3600)
     return candidates.alias("c").join(recent.alias("r"), [*same, seen], "left_anti")
+
+
+def to_all(left: DataFrame, right: DataFrame, spread: int = 64) -> DataFrame:
+    """Each left row with every right row, where that is the result itself (signals for those who follow
+    everything): the right rows are copied to ``spread`` keys and the left ones dealt to them."""
+    keys = F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("_k")
+    dealt = left.withColumn("_k", F.pmod(F.xxhash64(*left.columns), F.lit(spread)).cast("int"))
+    return dealt.join(right.select("*", keys), "_k").drop("_k")
+
+
+def asof_bucketed(left: DataFrame, right: DataFrame, on: str, take: list[str], by: list[str] | None = None, width: str = "day") -> DataFrame:
+    """As-of backward join without or with few keys, dealt out by time.
+
+    Both sides are cut into time buckets and each bucket is one window of its own.  The last right row of
+    earlier buckets, one row per bucket, is carried in by a running last over buckets."""
+    by = by or []
+    bucket = F.date_trunc(width, on).alias("_bucket")
+    left, right = left.select("*", bucket), right.select("*", bucket)
+    tag = lambda c: F.struct(*[F.col(x) for x in [on, *take]]).alias(c)
+    ends = right.groupBy(*by, "_bucket").agg(F.max_by(tag("t"), on).alias("_end"))
+    buckets = left.select(*by, "_bucket").distinct().join(ends, [*by, "_bucket"], "full_outer")
+    run = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = buckets.select(*by, "_bucket", F.last("_end", ignorenulls=True).over(run).alias("_carried"))
+    out = asof_backward(left, right, [*by, "_bucket"], on, take).join(carried, [*by, "_bucket"])
+    found = [F.coalesce(f"r_{c}", F.col("_carried")[c]).alias(f"r_{c}") for c in [on, *take]]
+    return out.select(*[c for c in left.columns if c != "_bucket"], *found)

@@ -1,7 +1,10 @@
-"""Live positions: price windows, stop and target evaluation, expiry.  Columns only."""
+"""Live positions: price windows, stop and target evaluation, expiry, throttling."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,3 +50,27 @@ def pending(rows: DataFrame, now: Column, hours: int = 6, limit: int = 50) -> Da
     """Active unsent rows, newest first: at most ``limit``, of the last ``hours``, not expired."""
     young = F.col("created_at") >= now - F.expr(f"INTERVAL {hours} HOURS")
     return rows.where((F.col("status") == "active") & ~F.coalesce("push_sent", F.lit(False)) & young & (F.col("expires_at").isNull() | (F.col("expires_at") > now))).orderBy(F.desc("created_at"), "id").limit(limit)
+
+
+def throttle(rows: DataFrame, user: str, at: str, number: str, gap_seconds: int) -> DataFrame:
+    """Adds allowed: whether a row goes out at least ``gap_seconds`` after the user's last one that did.
+
+    Each row depends on the one let through before it, so rows run through a task in order of user and
+    time, batch by batch; a task holds one batch and one time, however many rows a user has."""
+    slim = rows.select(user, at, number)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        who, last = None, None
+        for part in batches:
+            allowed = []
+            for u, t in zip(part[user].tolist(), part[at].astype("int64").tolist(), strict=True):
+                if u != who or last is None or t - last >= gap_seconds * 1_000_000:
+                    who, last = u, t
+                    allowed.append(True)
+                else:
+                    allowed.append(False)
+            yield part.assign(allowed=allowed)
+
+    ordered = slim.withColumn(at, F.unix_micros(F.col(at).cast("timestamp"))).repartition(user).sortWithinPartitions(user, at, number)
+    schema = f"{user} {dict(slim.dtypes)[user]}, {at} long, {number} {dict(slim.dtypes)[number]}, allowed boolean"
+    return ordered.mapInPandas(run, schema).withColumn(at, F.timestamp_micros(at).cast(dict(slim.dtypes)[at]))

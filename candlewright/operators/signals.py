@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlewright.functions.prices import risk_reward
-from candlewright.operators.indicators import bollinger, patterns, sma, trend, with_atr, with_levels, with_recursive
+from candlewright.operators.indicators import bollinger, patterns, sma, trend, with_atr, with_state
 from candlewright.sources.bars import SERIES, series
 
 
@@ -31,7 +31,10 @@ class EngineConfig:
     trend_confirmed: int = 2
     trend_short: int = 1
     band_touch: int = 1
-    pattern: int = 2
+    bullish_engulfing: int = 2
+    hammer: int = 2
+    bearish_engulfing: int = 2
+    shooting_star: int = 2
     level: int = 1
     level_share: float = 0.015
     act_at: int = 3
@@ -53,7 +56,7 @@ class EngineConfig:
 
 def with_indicators(bars: DataFrame) -> DataFrame:
     """Bars with every indicator that the rules read."""
-    out = with_atr(with_levels(with_recursive(bars)))
+    out = with_atr(with_state(bars))
     lower, _, upper = bollinger()
     out = out.withColumn("sma50", sma("close", 50)).withColumn("sma200", sma("close", 200)).withColumn("bb_lower", lower).withColumn("bb_upper", upper)
     return out.withColumn("trend", trend(F.col("close"), F.col("ema20"), F.col("sma50"), F.col("sma200")))
@@ -70,8 +73,8 @@ def score_rules(df: DataFrame, config: EngineConfig = EngineConfig()) -> DataFra
     before = {c: F.lag(c).over(w) for c in ("rsi14", "macd", "macd_signal", "macd_hist")}
     rsi, macd, line, hist, close = (F.col(c) for c in ("rsi14", "macd", "macd_signal", "macd_hist", "close"))
     flags = patterns()
-    near_support = F.get(F.filter("supports", lambda s: (s < close) & (close - s < config.level_share * close)), 0)
-    near_resistance = F.get(F.filter("resistances", lambda r: (r > close) & (r - close < config.level_share * close)), 0)
+    near_support = F.get(F.filter("supports", lambda s: (s < close) & ((close - s) / close < config.level_share)), 0)
+    near_resistance = F.get(F.filter("resistances", lambda r: (r > close) & ((r - close) / close < config.level_share)), 0)
     middle = rsi.between(config.rsi_low, config.rsi_high)
     out = df.withColumn("r_rsi_extreme", _rule(rsi < config.rsi_low, rsi > config.rsi_high, config.rsi_extreme))
     out = out.withColumn("r_rsi_cross", _rule(middle & (rsi > 50) & (before["rsi14"] < 50), middle & (rsi < 50) & (before["rsi14"] > 50), config.rsi_cross))
@@ -81,12 +84,15 @@ def score_rules(df: DataFrame, config: EngineConfig = EngineConfig()) -> DataFra
     out = out.withColumn("r_band", _rule(close < F.col("bb_lower"), close > F.col("bb_upper"), config.band_touch))
     for name in ("bullish_engulfing", "bearish_engulfing", "hammer", "shooting_star", "doji"):
         out = out.withColumn(name, flags[name])
-    count = lambda *names: sum((F.col(n).cast("int") for n in names), F.lit(0))
-    out = out.withColumn("p_bull", config.pattern * count("bullish_engulfing", "hammer")).withColumn("p_bear", config.pattern * count("bearish_engulfing", "shooting_star"))
+    out = out.withColumns({f"s_{n}": getattr(config, n) * F.col(n).cast("int") for n in ("bullish_engulfing", "bearish_engulfing", "hammer", "shooting_star")})
+    weighed = lambda *names: sum((F.col(f"s_{n}") for n in names), F.lit(0))
+    out = out.withColumn("p_bull", weighed("bullish_engulfing", "hammer")).withColumn("p_bear", weighed("bearish_engulfing", "shooting_star"))
+    tone = F.col("news") if "news" in df.columns else F.lit(None).cast("double")
+    out = out.withColumn("r_news", _rule(tone > 0.3, tone < -0.3, F.floor(F.abs(tone) * 2 + 0.5).cast("int")))
     return out.withColumn("near_support", near_support).withColumn("near_resistance", near_resistance)
 
 
-def trade_levels(config: EngineConfig):
+def deal_levels(config: EngineConfig):
     """A pandas UDF for entry, stop and target.
 
     Levels near the price count if they stay on their side after their margin; else ATR distances.
@@ -122,10 +128,41 @@ def trade_levels(config: EngineConfig):
     return levels
 
 
+#: Reasons in the order of their rules, (type, label, score column, its sign, weight).
+REASONS = (
+    ("technical", "RSI Oversold", "r_rsi_extreme", 1, 0.2),
+    ("technical", "RSI Overbought", "r_rsi_extreme", -1, 0.2),
+    ("technical", "RSI Cross 50", "r_rsi_cross", 1, 0.15),
+    ("technical", "RSI Cross 50", "r_rsi_cross", -1, 0.15),
+    ("technical", "MACD Bullish Cross", "r_macd", 1, 0.2),
+    ("technical", "MACD Bearish Cross", "r_macd", -1, 0.2),
+    ("technical", "Uptrend", "r_trend", 1, 0.2),
+    ("technical", "Downtrend", "r_trend", -1, 0.2),
+    ("technical", "BB Lower Touch", "r_band", 1, 0.15),
+    ("technical", "BB Upper Touch", "r_band", -1, 0.15),
+    ("pattern", "Bullish Engulfing", "s_bullish_engulfing", 1, 0.2),
+    ("pattern", "Bearish Engulfing", "s_bearish_engulfing", 1, 0.2),
+    ("pattern", "Hammer", "s_hammer", 1, 0.2),
+    ("pattern", "Shooting Star", "s_shooting_star", 1, 0.2),
+    ("technical", "At Support", "s_support", 1, 0.15),
+    ("technical", "At Resistance", "s_resistance", 1, 0.15),
+    ("news", "Bullish News", "r_news", 1, 0.2),
+    ("news", "Bearish News", "r_news", -1, 0.2),
+)
+#: Names and places of the published indicators.
+INDICATORS = {"rsi": ("rsi14", 2), "macd": ("macd", 4), "macd_signal": ("macd_signal", 4), "ma20": ("ema20", 4), "ma50": ("sma50", 4), "ma200": ("sma200", 4), "atr": ("atr", 4)}
+
+
+def indicator_map() -> Column:
+    """The published indicators by name; missing ones are left out."""
+    values = F.create_map(*[x for name, (column, places) in INDICATORS.items() for x in (F.lit(name), F.round(column, places))])
+    return F.map_filter(values, lambda _, v: v.isNotNull())
+
+
 def signals(df: DataFrame, config: EngineConfig = EngineConfig(), min_bars: int = 50) -> DataFrame:
     """Scored bars with action, strength, confidence, levels and reasons.  Bars with less than
     ``min_bars`` of history, or whose levels fall on the entry after rounding, have no signal."""
-    rules = ["r_rsi_extreme", "r_rsi_cross", "r_macd", "r_hist", "r_trend", "r_band"]
+    rules = ["r_rsi_extreme", "r_rsi_cross", "r_macd", "r_hist", "r_trend", "r_band", "r_news"]
     df = score_rules(df, config)
     at_support, at_resistance = F.col("near_support").isNotNull().cast("int"), F.col("near_resistance").isNotNull().cast("int")
     df = df.withColumn("bull", sum((F.greatest(F.col(r), F.lit(0)) for r in rules), F.col("p_bull") + config.level * at_support))
@@ -134,13 +171,12 @@ def signals(df: DataFrame, config: EngineConfig = EngineConfig(), min_bars: int
     df = df.withColumn("action", F.when(net >= config.act_at, "BUY").when(net <= -config.act_at, "SELL").otherwise("HOLD"))
     df = df.withColumn("strength", F.when(top >= 8, "very_strong").when(top >= 5, "strong").when(top >= 3, "moderate").otherwise("weak"))
     df = df.withColumn("confidence", F.least(F.lit(95), 40 + 6 * top).cast("double"))
-    levels = trade_levels(config)("close", "market", "atr", "near_support", "near_resistance", "action")
+    levels = deal_levels(config)("close", "market", "atr", "near_support", "near_resistance", "action")
     df = df.withColumn("levels", levels).select("*", *[F.nanvl(f"levels.{c}", F.lit(None)).alias(c) for c in ("entry_price", "stop_loss", "take_profit")]).drop("levels")
     df = df.withColumn("has_signal", (F.col("bar_idx") + 1 >= min_bars) & (F.col("close") > 0) & F.col("stop_loss").isNotNull())
-    labels = [("r_rsi_extreme", "rsi extreme"), ("r_rsi_cross", "rsi cross"), ("r_macd", "macd cross"), ("r_trend", "trend"), ("r_band", "band touch")]
-    reasons = [F.when(F.col(c) != 0, F.struct(F.lit("technical").alias("type"), F.lit(t).alias("label"), F.col(c).alias("score"))) for c, t in labels]
-    reasons += [F.when(F.col(c), F.struct(F.lit("pattern").alias("type"), F.lit(c).alias("label"), F.lit(2).alias("score"))) for c in ("bullish_engulfing", "bearish_engulfing", "hammer", "shooting_star")]
-    df = df.withColumn("reasons", F.slice(F.array_compact(F.array(*reasons)), 1, 5))
+    df = df.withColumn("s_support", config.level * at_support).withColumn("s_resistance", config.level * at_resistance)
+    reasons = [F.when(F.col(column) * sign > 0, F.struct(F.lit(kind).alias("type"), F.lit(label).alias("label"), F.lit(weight).alias("weight"))) for kind, label, column, sign, weight in REASONS]
+    df = df.withColumn("reasons", F.slice(F.array_compact(F.array(*reasons)), 1, 5)).withColumn("indicators", indicator_map())
     held = F.when(F.col("timeframe") == "1H", F.expr("INTERVAL 48 HOURS")).otherwise(F.expr("INTERVAL 168 HOURS"))
     return df.withColumn("expires_at", F.col("ts") + held)
 

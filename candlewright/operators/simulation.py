@@ -1,9 +1,8 @@
-"""Trade simulation: exits of all candidates in parallel, then the choice of trades that don't overlap.
+"""Deal simulation: exits of all candidates in parallel, then the choice of deals that don't overlap.
 
-A candidate's hold window is a bounded number of bars.  Its bars come by exploding that number
-of bar indices and an equality join, so the work grows with candidates times hold, never with the
-square of a series.  Only the choice of non-overlapping trades is sequential; it sees two integers
-per candidate.
+The bars that a deal can see are a frame of a bounded number of rows after its signal, in the exchange
+that the indicators already need; nothing is joined or shuffled again.  Only the choice of
+non-overlapping deals is sequential.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlewright.functions.prices import cost_bps, usable
+from candlewright.functions.prices import cost_bps, finite
 from candlewright.sources.bars import SERIES, series
 
 
@@ -26,69 +25,88 @@ def hold_window(candidates: DataFrame, bars: DataFrame, hold: int | Column) -> D
     return spread.join(path, [*SERIES, "b_idx"])
 
 
-def exits(candidates: DataFrame, bars: DataFrame, hold: int) -> DataFrame:
-    """Exit of each candidate, entered at the next bar's open.
+def with_ahead(bars: DataFrame, hold: int) -> DataFrame:
+    """Adds ahead, the next ``hold`` bars of the series (fewer at its end)."""
+    bar = F.struct("bar_idx", "ts", "open", "high", "low", "close")
+    return bars.withColumn("ahead", F.collect_list(bar).over(series().rowsBetween(1, hold)))
+
+
+def exits(candidates: DataFrame, hold: int, fees_r: float = 0.0) -> DataFrame:
+    """Exit of each candidate (with ``ahead``), entered at the next bar's open.
 
     Per usable bar: gap through the stop, gap through the target, stop, target; a bar that touches both
-    is a stop.  Without any, the last usable close."""
-    path = hold_window(candidates, bars, hold).where(usable("b_open", "b_high", "b_low", "b_close"))
+    is a stop.  Without any, the last usable close.  ``status`` is ``deal``, or ``skipped`` where the entry
+    bar is unusable; candidates on a series' last bar are left out."""
     long = F.col("action") == "BUY"
     stop, target = F.col("stop_loss"), F.col("take_profit")
-    past = lambda x, level, towards: F.when(long, (x - level) * towards >= 0).otherwise((level - x) * towards >= 0)
-    worst, best = F.when(long, F.col("b_low")).otherwise(F.col("b_high")), F.when(long, F.col("b_high")).otherwise(F.col("b_low"))
-    hit = (F.when(past(F.col("b_open"), stop, -1), F.struct(F.lit("gap_stop").alias("reason"), F.col("b_open").alias("exit")))
-           .when(past(F.col("b_open"), target, 1), F.struct(F.lit("gap_target").alias("reason"), F.col("b_open").alias("exit")))
-           .when(past(worst, stop, -1), F.struct(F.lit("stop_loss").alias("reason"), stop.alias("exit")))
-           .when(past(best, target, 1), F.struct(F.lit("take_profit").alias("reason"), target.alias("exit"))))
-    where = F.struct(F.col("b_idx").alias("exit_idx"), F.col("b_ts").alias("exit_ts"), hit["reason"].alias("reason"), hit["exit"].alias("exit"))
-    last = F.struct(F.col("b_idx").alias("exit_idx"), F.col("b_ts").alias("exit_ts"), F.lit("time_exit").alias("reason"), F.col("b_close").alias("exit"))
-    keys = [*SERIES, "bar_idx"]
-    found = path.groupBy(*keys).agg(F.min_by(where, F.when(hit.isNotNull(), F.col("k"))).alias("first_hit"), F.max_by(last, "k").alias("last"),
-                                    F.min_by("b_open", "k").alias("entry"), F.min_by("b_ts", "k").alias("entry_ts"), F.min("k").alias("first_k"))
-    found = found.where("first_k = 0").withColumn("done", F.when(F.col("first_hit.reason").isNotNull(), F.col("first_hit")).otherwise(F.col("last")))
-    out = candidates.join(found.select(*keys, "entry", "entry_ts", "done.exit_idx", "done.exit_ts", "done.reason", "done.exit"), keys)
+
+    def hit(bar: Column) -> Column:
+        past = lambda x, level, towards: F.when(long, (x - level) * towards >= 0).otherwise((level - x) * towards >= 0)
+        worst, best = F.when(long, bar["low"]).otherwise(bar["high"]), F.when(long, bar["high"]).otherwise(bar["low"])
+        end = lambda reason, price: F.struct(bar["bar_idx"].alias("exit_idx"), bar["ts"].alias("exit_ts"), F.lit(reason).alias("reason"), price.alias("exit"))
+        return (F.when(past(bar["open"], stop, -1), end("gap_stop", bar["open"])).when(past(bar["open"], target, 1), end("gap_target", bar["open"]))
+                .when(past(worst, stop, -1), end("stop_loss", stop)).when(past(best, target, 1), end("take_profit", target)))
+
+    def sound(bar: Column) -> Column:
+        prices = [F.coalesce(finite(bar[c]) > 0, F.lit(False)) for c in ("open", "high", "low", "close")]
+        return prices[0] & prices[1] & prices[2] & prices[3] & F.coalesce(bar["low"] <= bar["high"], F.lit(False))
+
+    df = candidates.where(F.size("ahead") > 0).withColumn("path", F.filter(F.slice("ahead", 1, hold), sound))
+    df = df.withColumn("hits", F.filter(F.transform("path", hit), lambda x: x.isNotNull()))
+    bar = F.get("path", F.size("path") - 1)
+    last = F.struct(bar["bar_idx"].alias("exit_idx"), bar["ts"].alias("exit_ts"), F.lit("time_exit").alias("reason"), bar["close"].alias("exit"))
+    first = F.get("ahead", F.lit(0))
+    begins = F.coalesce(F.get("path", F.lit(0))["bar_idx"] == first["bar_idx"], F.lit(False))
+    df = df.withColumn("status", F.when(begins, "deal").otherwise("skipped")).withColumn("done", F.when(begins, F.coalesce(F.get("hits", F.lit(0)), last)))
+    df = df.withColumn("entry", F.when(begins, first["open"])).withColumn("entry_ts", F.when(begins, first["ts"])).select("*", "done.*").drop("ahead", "path", "hits", "done")
     sign = F.when(long, 1).otherwise(-1)
     planned, realized = F.abs(F.col("entry_price") - stop), F.abs(F.col("entry") - stop)
     gain = (F.col("exit") - F.col("entry")) * sign
-    return (out.withColumn("planned_risk", planned).withColumn("realized_risk", realized).withColumn("r_planned", F.when(planned > 0, gain / planned))
-            .withColumn("r_realized", F.when(realized > 0, gain / realized)).withColumn("hold_bars", F.col("exit_idx") - F.col("bar_idx") - 1))
+    return (df.withColumn("planned_risk", planned).withColumn("realized_risk", realized).withColumn("r_planned", F.when(planned > 0, gain / planned - fees_r))
+            .withColumn("r_realized", F.when(realized > 0, gain / realized - fees_r)).withColumn("hold_bars", F.col("exit_idx") - F.col("bar_idx") - 1))
 
 
 def pick(first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Indices of trades in order of time, each begun at or after the exit bar of the one before."""
+    """Indices of deals in order of time, each begun at or after the exit bar of the one before."""
     chosen, free = [], -1
-    for i in range(len(first)):
-        if first[i] >= free:
+    for i, (begin, end) in enumerate(zip(first.tolist(), last.tolist(), strict=True)):
+        if begin >= free:
             chosen.append(i)
-            free = last[i]
+            free = end
     return np.array(chosen, int)
 
 
-def without_overlap(trades: DataFrame) -> DataFrame:
-    """Keeps the walk-forward's trades: after an exit, the next signal may fire on the exit bar."""
+def without_overlap(deals: DataFrame) -> DataFrame:
+    """Keeps the walk-forward's deals: after an exit, the next signal may fire on the exit bar.  Rows
+    without an exit_idx are kept where the walk meets them, and don't hold it up."""
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bar_idx", kind="stable")
-        return pdf.iloc[pick(pdf["bar_idx"].to_numpy(), pdf["exit_idx"].to_numpy())]
+        return pdf.iloc[pick(pdf["bar_idx"].to_numpy(), pdf["exit_idx"].fillna(-1).to_numpy())]
+
+    return deals.groupBy(*SERIES).applyInPandas(choose, deals.schema)
 
-    slim = trades.select(*SERIES, "bar_idx", "exit_idx")
-    kept = slim.groupBy(*SERIES).applyInPandas(choose, slim.schema).select(*SERIES, "bar_idx")
-    return trades.join(kept, [*SERIES, "bar_idx"], "left_semi")
 
+def walk_forward(scored: DataFrame, hold: int = 10, min_history: int = 60, risk_model: str = "planned", fees_r: float = 0.0, entries: tuple | None = None) -> DataFrame:
+    """Deals of the rule engine, one at a time per series, and the signals it had to skip (status).
 
-def walk_forward(scored: DataFrame, bars: DataFrame, hold: int = 10, min_history: int = 60, risk_model: str = "planned") -> DataFrame:
-    """Trades of the rule engine, one at a time per series; r under the chosen risk model."""
-    candidates = scored.where(F.col("has_signal") & F.col("action").isin("BUY", "SELL") & (F.col("bar_idx") >= max(50, min_history)))
-    candidates = candidates.select(*SERIES, "bar_idx", "ts", "action", "strength", "confidence", "entry_price", "stop_loss", "take_profit")
-    r = F.col("r_realized" if risk_model == "realized" else "r_planned")
-    return without_overlap(exits(candidates, bars, hold).where(r.isNotNull())).withColumn("r", r)
+    ``r`` is the result in units of the chosen risk, after ``fees_r``; ``entries`` limits the time of the
+    signal to [from, until), while exits may lie beyond."""
+    candidates = with_ahead(scored, hold).where(F.col("has_signal") & F.col("action").isin("BUY", "SELL") & (F.col("bar_idx") >= max(50, min_history)))
+    if entries:
+        candidates = candidates.where((F.col("ts") >= F.lit(entries[0]).cast("timestamp_ntz")) & (F.col("ts") < F.lit(entries[1]).cast("timestamp_ntz")))
+    candidates = candidates.select(*SERIES, "bar_idx", "ts", "action", "strength", "confidence", "entry_price", "stop_loss", "take_profit", "ahead")
+    out = exits(candidates, hold, fees_r).withColumn("r", F.col("r_realized" if risk_model == "realized" else "r_planned"))
+    none = F.col("r").isNull()
+    out = out.withColumn("status", F.when(none, "skipped").otherwise(F.col("status"))).withColumn("exit_idx", F.when(~none, F.col("exit_idx")))
+    return without_overlap(out)
 
 
-def trade_stats(trades: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """Count, wins, losses, rates, drawdown and longest losing streak of trades in order of time."""
+def deal_stats(deals: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Count, wins, losses, rates, drawdown and longest losing streak of deals in order of time."""
     w = Window.partitionBy(*by).orderBy(*order)
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    t = trades.withColumn("equity", F.sum("r").over(run)).withColumn("island", F.sum((F.col("r") >= 0).cast("int")).over(run))
+    t = deals.withColumn("equity", F.sum("r").over(run)).withColumn("island", F.sum((F.col("r") >= 0).cast("int")).over(run))
     t = t.withColumn("peak", F.greatest(F.lit(0.0), F.max("equity").over(run)))
     t = t.withColumn("streak", F.sum((F.col("r") < 0).cast("int")).over(Window.partitionBy(*by, "island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
     win, loss = F.sum(F.when(F.col("r") > 0, F.col("r")).otherwise(0.0)), F.sum(F.when(F.col("r") < 0, -F.col("r")).otherwise(0.0))

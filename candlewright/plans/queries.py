@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from candlewright.functions import prices
-from candlewright.operators import features, indicators, joins, simulation, statistics
+from candlewright.operators import features, indicators, joins, positions, simulation, statistics
 from candlewright.operators import signals as engine
+from candlewright.plans.engine_sql import LEVELS, gate_sql, signals_sql, state_sql, walk_sql
 from candlewright.sources.bars import DAILY_SQL, HOURLY_SQL, SERIES, daily_bars, hourly_bars, series, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -136,9 +137,10 @@ def swing_points(spark, sf_dir):
     return indicators.with_swings(daily_bars(spark, sf_dir)).where("swing_high OR swing_low").select(*KEY, "swing_high", "swing_low")
 
 
-@register()
+@register(DAILY_SQL + LEVELS + f" SELECT {', '.join('bars.' + c for c in KEY)}, coalesce(array_to_string(list_transform(supports, lambda q: printf('%.4f', q)), ','), '') AS supports, coalesce(array_to_string(list_transform(resistances, lambda q: printf('%.4f', q)), ','), '') AS resistances FROM bars LEFT JOIN near ON bars.symbol = near.symbol AND bars.market = near.market AND bars.timeframe = near.timeframe AND bars.bar_idx = near.bar_idx")
 def swing_levels(spark, sf_dir):
-    return indicators.with_levels(daily_bars(spark, sf_dir)).select(*KEY, "supports", "resistances")
+    shown = lambda name: F.array_join(F.transform(name, lambda x: F.format_string("%.4f", x)), ",").alias(name)
+    return indicators.with_levels(daily_bars(spark, sf_dir)).select(*KEY, shown("supports"), shown("resistances"))
 
 
 @register(HOURLY_SQL + f""", q AS (SELECT *, lag(open) {P}) AS po, lag(close) {P}) AS pc, abs(close - open) AS body, high - greatest(open, close) AS u, least(open, close) - low AS d FROM bars)
@@ -177,9 +179,17 @@ def rsi_14(spark, sf_dir):
     return indicators.with_recursive(hourly_bars(spark, sf_dir)).where("rsi14 IS NOT NULL").select(*KEY, *r6("rsi14"))
 
 
-@register()
+@register(state_sql(DAILY_SQL) + f" SELECT {', '.join('x.' + c for c in KEY)}, {', '.join(f'round(rec.{a}, 6) AS {b}' for a, b in (('e12', 'ema12'), ('e20', 'ema20'), ('e26', 'ema26'), ('macd', 'macd'), ('line', 'macd_signal'), ('hist', 'macd_hist'), ('rsi', 'rsi14')))} FROM x JOIN rec ON x.symbol = rec.symbol AND x.market = rec.market AND x.timeframe = rec.timeframe AND x.bar_idx = rec.bar_idx")
 def macd_full(spark, sf_dir):
-    return indicators.with_recursive(daily_bars(spark, sf_dir)).select(*KEY, *r6("ema12", "ema20", "ema26", "macd", "macd_signal", "macd_hist", "ewma_vol"))
+    return indicators.with_recursive(daily_bars(spark, sf_dir)).select(*KEY, *r6("ema12", "ema20", "ema26", "macd", "macd_signal", "macd_hist", "rsi14"))
+
+
+@register(_recursive(DAILY_SQL) + f""", q AS MATERIALIZED (SELECT *, ln(close) - ln(lag(close) {P})) AS r FROM bars),
+v AS (SELECT market, symbol, timeframe, ts, bar_idx, r * r AS v FROM q WHERE bar_idx = 1
+ UNION ALL SELECT q.market, q.symbol, q.timeframe, q.ts, q.bar_idx, 0.94::DOUBLE * v.v + 0.06::DOUBLE * q.r * q.r FROM v JOIN q ON q.market = v.market AND q.symbol = v.symbol AND q.timeframe = v.timeframe AND q.bar_idx = v.bar_idx + 1)
+SELECT {KEYS}, round(sqrt(v), 6) AS ewma_vol FROM v""")
+def ewma_volatility(spark, sf_dir):
+    return indicators.with_recursive(daily_bars(spark, sf_dir)).where("ewma_vol IS NOT NULL").select(*KEY, *r6("ewma_vol"))
 
 
 @register(DAILY_SQL + f""", m AS (SELECT *, avg(close) {P} ROWS 19 PRECEDING) AS m20, avg(close) {P} ROWS 49 PRECEDING) AS m50, avg(close) {P} ROWS 199 PRECEDING) AS m200 FROM bars),
@@ -206,27 +216,72 @@ def efficiency_ratio(spark, sf_dir):
 SIGNAL = ["action", "strength", "confidence", "entry_price", "stop_loss", "take_profit"]
 
 
-@register()
+SCORES = ["bull", "bear", "r_rsi_extreme", "r_rsi_cross", "r_macd", "r_hist", "r_trend", "r_band", "p_bull", "p_bear"]
+LABELS = F.array_join(F.transform("reasons", lambda x: x["label"]), ",").alias("reasons")
+
+
+def shown(names: list[str]) -> list:
+    return [F.round(n, 6).alias(n) if n in ("entry_price", "stop_loss", "take_profit") else F.col(n) for n in names]
+
+
+def _shown(names: list[str]) -> str:
+    return ", ".join(f"round({n}, 6) AS {n}" if n in ("entry_price", "stop_loss", "take_profit") else n for n in names)
+
+
+@register(signals_sql(DAILY_SQL) + f" SELECT {KEYS}, {_shown(SIGNAL)}, {', '.join(SCORES)}, reasons, expires_at FROM sig WHERE has_signal")
 def signals_all_bars(spark, sf_dir):
     s = engine.all_signals(daily_bars(spark, sf_dir)).where("has_signal")
-    return s.select(*KEY, *SIGNAL, "bull", "bear", "r_rsi_extreme", "r_rsi_cross", "r_macd", "r_hist", "r_trend", "r_band", "p_bull", "p_bear", F.to_json("reasons").alias("reasons"), "expires_at")
+    return s.select(*KEY, *shown(SIGNAL), *SCORES, LABELS, "expires_at")
 
 
-@register()
+NEWS = "(((bar_idx * 7) % 21 - 10) / 10.0)::DOUBLE"
+
+
+@register(signals_sql(HOURLY_SQL, f"round({NEWS.replace('bar_idx', 'x.bar_idx')}, 1)") + f" SELECT {KEYS}, action, confidence, bull, bear, r_news, reasons FROM sig WHERE has_signal")
+def signals_with_news(spark, sf_dir):
+    """Signals of bars that carry a news sentiment."""
+    b = hourly_bars(spark, sf_dir).withColumn("news", F.round((F.col("bar_idx") * 7 % 21 - 10) / 10, 1))
+    return engine.all_signals(b).where("has_signal").select(*KEY, "action", "confidence", "bull", "bear", "r_news", LABELS)
+
+
+PUBLISHED = {"rsi": ("rsi", 2), "macd": ("macd", 4), "macd_signal": ("line", 4), "ma20": ("e20", 4), "ma50": ("ma50", 4), "ma200": ("ma200", 4), "atr": ("atr", 4)}
+
+
+@register(signals_sql(HOURLY_SQL) + " UNION ALL ".join(f" SELECT {KEYS}, '{name}' AS name, round({column}, {n}) AS value FROM sig WHERE has_signal AND {column} IS NOT NULL" for name, (column, n) in PUBLISHED.items()))
+def signal_indicators(spark, sf_dir):
+    """The indicator map of every signal, one row per entry."""
+    s = engine.all_signals(hourly_bars(spark, sf_dir)).where("has_signal")
+    return s.select(*KEY, F.explode("indicators").alias("name", "value"))
+
+
+@register(signals_sql(HOURLY_SQL) + " SELECT rule, CAST(sum(score) AS BIGINT) AS total, count(*) FILTER (score <> 0) AS met, CAST(0 AS BIGINT) AS unexplained FROM (" + " UNION ALL ".join(f"SELECT '{r}' AS rule, {r} AS score FROM sig" for r in SCORES[2:]) + ") GROUP BY rule")
+def score_by_rule(spark, sf_dir):
+    """Each rule's sum, and the bars whose net score is not the sum of its parts (none)."""
+    s = engine.all_signals(hourly_bars(spark, sf_dir))
+    parts = sum((F.col(c) for c in [*SCORES[2:8], "p_bull", "s_support"]), F.lit(0)) - F.col("p_bear") - F.col("s_resistance")
+    s = s.withColumn("off", (F.col("bull") - F.col("bear") != parts).cast("long"))
+    rows = s.select("off", F.explode(F.create_map(*[x for r in SCORES[2:] for x in (F.lit(r), F.col(r))])).alias("rule", "score"))
+    return rows.groupBy("rule").agg(F.sum("score").alias("total"), F.count_if(F.col("score") != 0).alias("met"), F.sum("off").alias("unexplained"))
+
+
+@register(gate_sql(DAILY_SQL) + f" SELECT {KEYS}, {_shown(SIGNAL)}, round(rr, 6) AS rr, round(stop_pct, 6) AS stop_pct, array_to_string(rejections, ',') AS rejections, len(rejections) = 0 AS accepted FROM gt QUALIFY row_number() OVER (PARTITION BY market, symbol, timeframe ORDER BY ts DESC) = 1")
 def scan_latest(spark, sf_dir):
-    return engine.latest(engine.gate(engine.all_signals(daily_bars(spark, sf_dir)))).select(*KEY, *SIGNAL, "rr", "stop_pct", F.array_join("rejections", ",").alias("rejections"), "accepted")
+    g = engine.latest(engine.gate(engine.all_signals(daily_bars(spark, sf_dir))))
+    return g.select(*KEY, *shown(SIGNAL), *r6("rr", "stop_pct"), F.array_join("rejections", ",").alias("rejections"), "accepted")
 
 
-@register()
+@register(gate_sql(DAILY_SQL) + " SELECT code, count(*) AS n FROM (SELECT unnest(rejections) AS code FROM gt) GROUP BY code")
 def gate_rejections(spark, sf_dir):
     g = engine.gate(engine.all_signals(daily_bars(spark, sf_dir)))
     return g.select(F.explode("rejections").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "code")
 
 
-@register()
+@register(gate_sql(DAILY_SQL, 400.0) + f""", rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY ts ORDER BY confidence DESC, round(rr, 6) DESC, symbol, timeframe) AS INTEGER) AS rank FROM gt WHERE len(rejections) = 0)
+SELECT {KEYS}, {_shown(SIGNAL)}, round(rr, 6) AS rr, rank FROM rk WHERE rank <= 5""")
 def gate_top5(spark, sf_dir):
-    g = engine.gate(engine.all_signals(daily_bars(spark, sf_dir)))
-    return engine.ranked(g, ["ts"]).select(*KEY, *SIGNAL, F.round("rr", 6).alias("rr"), "rank")
+    """The five best of each day.  These prices jump by multiples, so the widest stop is set at 400 %."""
+    g = engine.gate(engine.all_signals(daily_bars(spark, sf_dir)), engine.GATE | {"max_stop_pct": 400.0}).withColumn("rr", F.round("rr", 6))
+    return engine.ranked(g, ["ts"]).select(*KEY, *shown(SIGNAL), "rr", "rank")
 
 
 def flat_signals(spark, sf_dir):
@@ -289,36 +344,40 @@ def _rounded(bars: DataFrame) -> DataFrame:
     return bars.select(*[c for c in bars.columns if c not in OHLCV], *r6(*OHLCV))
 
 
+def _both_sides(spark, sf_dir, hold: int) -> DataFrame:
+    b = simulation.with_ahead(_rounded(indicators.with_atr(hourly_bars(spark, sf_dir))), hold)
+    c = simulation.fixed_geometry(b).withColumn("stop_loss", F.round("stop_loss", 6)).withColumn("take_profit", F.round("take_profit", 6)).where("stop_loss > 0 AND take_profit > 0")
+    return simulation.exits(c, hold).where("status = 'deal'")
+
+
 @register(_exit_sql(HOURLY_SQL, 10))
 def fixed_geometry_exits(spark, sf_dir):
-    bars = hourly_bars(spark, sf_dir)
-    c = simulation.fixed_geometry(indicators.with_atr(bars)).withColumn("stop_loss", F.round("stop_loss", 6)).withColumn("take_profit", F.round("take_profit", 6)).where("stop_loss > 0 AND take_profit > 0")
-    both = [simulation.exits(c.where(F.col("action") == side), _rounded(bars), 10) for side in ("BUY", "SELL")]
-    return both[0].unionByName(both[1]).select(*SERIES, "bar_idx", "action", "reason", "exit_idx", F.round("exit", 6).alias("exit"))
+    return _both_sides(spark, sf_dir, 10).select(*SERIES, "bar_idx", "action", "reason", "exit_idx", F.round("exit", 6).alias("exit"))
+
 
+#: The hold caps that are compared.
+CAPS = (1, 2, 3, 5, 10, 20, 40)
 
-@register("SELECT cap, reason, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT {h} AS cap, * FROM ({_exit_sql(HOURLY_SQL, h)})" for h in (1, 5, 20)) + ") GROUP BY ALL")
+
+@register("SELECT cap, reason, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT {h} AS cap, * FROM ({_exit_sql(HOURLY_SQL, h)})" for h in CAPS) + ") GROUP BY ALL")
 def hold_cap_sweep(spark, sf_dir):
-    bars = hourly_bars(spark, sf_dir)
-    c = simulation.fixed_geometry(indicators.with_atr(bars)).withColumn("stop_loss", F.round("stop_loss", 6)).withColumn("take_profit", F.round("take_profit", 6)).where("stop_loss > 0 AND take_profit > 0")
-    arms = [simulation.exits(c.where(F.col("action") == side), _rounded(bars), h).select(F.lit(h).alias("cap"), "reason") for h in (1, 5, 20) for side in ("BUY", "SELL")]
-    out = arms[0]
-    for arm in arms[1:]:
-        out = out.unionByName(arm)
-    return out.groupBy("cap", "reason").agg(F.count(F.lit(1)).alias("n"))
+    """One pass with the longest cap tells the exits under all: a shorter one cuts later hits to time exits."""
+    out = _both_sides(spark, sf_dir, max(CAPS)).withColumn("cap", F.explode(F.array(*map(F.lit, CAPS))))
+    reason = F.when(F.col("exit_idx") - F.col("bar_idx") <= F.col("cap"), F.col("reason")).otherwise("time_exit")
+    return out.groupBy("cap", reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def recorded_signals(spark, sf_dir):
-    """A signal at every tenth hourly bar, with rounded levels."""
-    b = indicators.with_atr(hourly_bars(spark, sf_dir)).where("bar_idx % 10 = 0 AND atr > 0")
-    sign = F.when(F.col("bar_idx") % 20 == 0, 1).otherwise(-1)
+    """A signal at every hourly bar.  Levels keep six places: at four, products of short decimals tie."""
+    b = indicators.with_atr(hourly_bars(spark, sf_dir)).where("atr > 0")
+    sign = F.when(F.col("bar_idx") % 2 == 0, 1).otherwise(-1)
     entry = F.round("close", 4)
     return b.select(F.concat_ws(":", "symbol", F.col("bar_idx").cast("string")).alias("signal_id"), *SERIES, "bar_idx", "ts", F.when(sign == 1, "BUY").otherwise("SELL").alias("action"), entry.alias("entry_price"),
-                    F.round(entry - sign * 1.5 * F.round("atr", 4), 4).alias("stop_loss"), F.round(entry + sign * 2.5 * F.round("atr", 4), 4).alias("take_profit"), (F.col("ts") + F.expr("INTERVAL 12 HOURS")).alias("expires_at"))
+                    F.round(entry - sign * 1.5 * F.round("atr", 4), 6).alias("stop_loss"), F.round(entry + sign * 2.5 * F.round("atr", 4), 6).alias("take_profit"), (F.col("ts") + F.expr("INTERVAL 12 HOURS")).alias("expires_at"))
 
 
-@register(HOURLY_SQL + TR_SQL + """, s AS (SELECT concat(symbol, ':', bar_idx) AS signal_id, market, symbol, timeframe, bar_idx, ts, CASE WHEN bar_idx % 20 = 0 THEN 1 ELSE -1 END AS sign, round(close, 4) AS entry, round(atr, 4) AS a FROM atr WHERE bar_idx % 10 = 0 AND atr > 0),
-l AS (SELECT *, round(entry - sign * 1.5 * a, 4) AS stop, round(entry + sign * 2.5 * a, 4) AS target, ts + INTERVAL 12 HOURS AS expires_at FROM s),
+@register(HOURLY_SQL + TR_SQL + """, s AS (SELECT concat(symbol, ':', bar_idx) AS signal_id, market, symbol, timeframe, bar_idx, ts, CASE WHEN bar_idx % 2 = 0 THEN 1 ELSE -1 END AS sign, round(close, 4) AS entry, round(atr, 4) AS a FROM atr WHERE atr > 0),
+l AS (SELECT *, round(entry - sign * 1.5 * a, 6) AS stop, round(entry + sign * 2.5 * a, 6) AS target, ts + INTERVAL 12 HOURS AS expires_at FROM s),
 n AS (SELECT *, CASE WHEN NOT abs(entry - stop) > 0 OR abs(entry - stop) / abs(entry) < 1e-6 THEN 'no_risk' WHEN NOT (sign * (entry - stop) > 0 AND sign * (target - entry) > 0) THEN 'wrong_side' END AS note FROM l),
 p AS (SELECT n.signal_id, n.sign, n.entry, n.stop, n.target, n.expires_at, f.ts AS t, f.bar_idx - n.bar_idx AS k, f.high, f.low, f.close FROM n JOIN bars f ON f.market = n.market AND f.symbol = n.symbol AND f.timeframe = n.timeframe AND f.bar_idx BETWEEN n.bar_idx + 1 AND n.bar_idx + 24 WHERE n.note IS NULL),
 e AS (SELECT *, CASE WHEN CASE WHEN sign = 1 THEN low <= stop ELSE high >= stop END THEN 'sl' WHEN CASE WHEN sign = 1 THEN high >= target ELSE low <= target END THEN 'tp' WHEN t >= expires_at OR k = 24 THEN 'timeout' END AS o FROM p),
@@ -329,40 +388,43 @@ def resolve_outcomes(spark, sf_dir):
     return out.select("signal_id", "outcome", F.col("bars_held").cast("int").alias("bars_held"), F.round("exit_price", 6).alias("exit_price"))
 
 
-@register()
-def walk_forward_trades(spark, sf_dir):
-    bars = daily_bars(spark, sf_dir)
-    return simulation.walk_forward(engine.all_signals(bars), bars).select(*SERIES, "bar_idx", "action", "entry", "exit", "exit_idx", "reason", *r6("r_planned", "r_realized", "planned_risk", "realized_risk"), "hold_bars")
+@register(walk_sql(DAILY_SQL) + " SELECT market, symbol, timeframe, bar_idx, action, round(entry, 9) AS entry, round(exit, 9) AS exit, exit_idx, reason, round(gain / planned_risk, 6) AS r_planned, round(CASE WHEN realized_risk > 0 THEN gain / realized_risk END, 6) AS r_realized, round(planned_risk, 6) AS planned_risk, round(realized_risk, 6) AS realized_risk, exit_idx - bar_idx - 1 AS hold_bars FROM deals")
+def walk_forward_deals(spark, sf_dir):
+    w = simulation.walk_forward(engine.all_signals(daily_bars(spark, sf_dir))).where("status = 'deal'")
+    return w.select(*SERIES, "bar_idx", "action", F.round("entry", 9).alias("entry"), F.round("exit", 9).alias("exit"), "exit_idx", "reason", *r6("r_planned", "r_realized", "planned_risk", "realized_risk"), "hold_bars")
 
 
-@register()
+@register(walk_sql(DAILY_SQL) + """, t AS (SELECT *, gain / planned_risk AS r FROM deals), e AS (SELECT *, sum(r) OVER w AS equity, sum(CASE WHEN r >= 0 THEN 1 ELSE 0 END) OVER w AS island FROM t WINDOW w AS (PARTITION BY symbol ORDER BY bar_idx ROWS UNBOUNDED PRECEDING)),
+p AS (SELECT *, greatest(0, max(equity) OVER (PARTITION BY symbol ORDER BY bar_idx ROWS UNBOUNDED PRECEDING)) AS peak, sum(CASE WHEN r < 0 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol, island ORDER BY bar_idx ROWS UNBOUNDED PRECEDING) AS streak FROM e)
+SELECT market, symbol, timeframe, count(*) AS n, count(*) FILTER (r > 0) AS wins, count(*) FILTER (r < 0) AS losses, round(avg(r), 6) AS avg_r, round(sum(CASE WHEN r > 0 THEN r ELSE 0 END), 6) AS gross_win, round(sum(CASE WHEN r < 0 THEN -r ELSE 0 END), 6) AS gross_loss, round(max(peak - equity), 6) AS max_drawdown, CAST(max(streak) AS BIGINT) AS max_losses_in_row FROM p GROUP BY ALL""")
 def walk_forward_stats(spark, sf_dir):
-    bars = daily_bars(spark, sf_dir)
-    return simulation.trade_stats(simulation.walk_forward(engine.all_signals(bars), bars), SERIES, ["bar_idx"])
+    w = simulation.walk_forward(engine.all_signals(daily_bars(spark, sf_dir))).where("status = 'deal'")
+    out = simulation.deal_stats(w, SERIES, ["bar_idx"])
+    return out.select(*SERIES, "n", "wins", "losses", *r6("avg_r", "gross_win", "gross_loss", "max_drawdown"), "max_losses_in_row")
 
 
-def closed_trades(spark, sf_dir):
+def closed_deals(spark, sf_dir):
     """Closed positions from orders: side and exit by key, result in units of risk."""
     s = flat_signals(spark, sf_dir).where("status = 'F'")
     r = ((F.col("signal_id") * 7) % 41 - 20) / 10
     return s.select("signal_id", "user_id", "symbol", "action", "created_at", r.alias("r"))
 
 
-TRADES_SQL = SIGNALS_SQL + ", t AS (SELECT signal_id, user_id, symbol, action, created_at, ((signal_id * 7) % 41 - 20) / 10 AS r FROM s WHERE status = 'F')"
+DEALS_SQL = SIGNALS_SQL + ", t AS (SELECT signal_id, user_id, symbol, action, created_at, ((signal_id * 7) % 41 - 20) / 10 AS r FROM s WHERE status = 'F')"
 
 
-@register(TRADES_SQL + """, e AS (SELECT *, sum(r) OVER w AS equity, sum(CASE WHEN r >= 0 THEN 1 ELSE 0 END) OVER w AS island FROM t WINDOW w AS (PARTITION BY symbol ORDER BY created_at, signal_id ROWS UNBOUNDED PRECEDING)),
+@register(DEALS_SQL + """, e AS (SELECT *, sum(r) OVER w AS equity, sum(CASE WHEN r >= 0 THEN 1 ELSE 0 END) OVER w AS island FROM t WINDOW w AS (PARTITION BY symbol ORDER BY created_at, signal_id ROWS UNBOUNDED PRECEDING)),
 p AS (SELECT *, greatest(0, max(equity) OVER (PARTITION BY symbol ORDER BY created_at, signal_id ROWS UNBOUNDED PRECEDING)) AS peak, sum(CASE WHEN r < 0 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol, island ORDER BY created_at, signal_id ROWS UNBOUNDED PRECEDING) AS streak FROM e)
 SELECT symbol, count(*) AS n, count(*) FILTER (r > 0) AS wins, count(*) FILTER (r < 0) AS losses, round(avg(r), 6) AS avg_r, round(sum(CASE WHEN r > 0 THEN r ELSE 0 END), 6) AS gross_win, round(sum(CASE WHEN r < 0 THEN -r ELSE 0 END), 6) AS gross_loss, round(max(peak - equity), 6) AS max_drawdown, CAST(max(streak) AS BIGINT) AS max_losses_in_row FROM p GROUP BY symbol""")
-def trade_stats(spark, sf_dir):
-    out = simulation.trade_stats(closed_trades(spark, sf_dir), ["symbol"], ["created_at", "signal_id"])
+def deal_stats(spark, sf_dir):
+    out = simulation.deal_stats(closed_deals(spark, sf_dir), ["symbol"], ["created_at", "signal_id"])
     return out.select("symbol", "n", "wins", "losses", *r6("avg_r", "gross_win", "gross_loss", "max_drawdown"), "max_losses_in_row")
 
 
-@register(TRADES_SQL + " SELECT symbol, signal_id, round(sum(r) OVER (PARTITION BY symbol ORDER BY created_at, signal_id ROWS UNBOUNDED PRECEDING), 6) AS equity FROM t")
+@register(DEALS_SQL + " SELECT symbol, signal_id, round(sum(r) OVER (PARTITION BY symbol ORDER BY created_at, signal_id ROWS UNBOUNDED PRECEDING), 6) AS equity FROM t")
 def equity_curve(spark, sf_dir):
     w = Window.partitionBy("symbol").orderBy("created_at", "signal_id").rowsBetween(Window.unboundedPreceding, 0)
-    return closed_trades(spark, sf_dir).select("symbol", "signal_id", F.round(F.sum("r").over(w), 6).alias("equity"))
+    return closed_deals(spark, sf_dir).select("symbol", "signal_id", F.round(F.sum("r").over(w), 6).alias("equity"))
 
 
 # Joins
@@ -371,8 +433,8 @@ def equity_curve(spark, sf_dir):
 @register(HOURLY_SQL + """, leads AS (SELECT ts, close FROM bars WHERE symbol = 'click'), others AS (SELECT symbol, ts, close FROM bars WHERE symbol <> 'click')
 SELECT o.symbol, o.ts, round(o.close, 9) AS close, l.ts AS leader_ts, round(l.close, 9) AS leader_close FROM others o ASOF LEFT JOIN leads l ON o.ts >= l.ts""")
 def asof_leader(spark, sf_dir):
-    b = hourly_bars(spark, sf_dir).select(F.lit(1).alias("g"), "symbol", "ts", "close")
-    out = joins.asof_backward(b.where("symbol <> 'click'"), b.where("symbol = 'click'"), ["g"], "ts", ["close"])
+    b = hourly_bars(spark, sf_dir).select("symbol", "ts", "close")
+    out = joins.asof_bucketed(b.where("symbol <> 'click'"), b.where("symbol = 'click'").drop("symbol"), "ts", ["close"])
     return out.select("symbol", "ts", *r6("close"), F.col("r_ts").alias("leader_ts"), F.round("r_close", 9).alias("leader_close"))
 
 
@@ -432,53 +494,55 @@ def portfolio_stats(spark, sf_dir):
                                                               F.round(F.when(n > 0, F.count_if(closed & (F.col("target") > F.col("entry"))) / n * 100), 6).alias("win_rate"))
 
 
-@register(TRADES_SQL + """, p AS (SELECT symbol, action, count(*) AS n, round(avg(r), 4) AS m FROM t GROUP BY ALL)
+@register(DEALS_SQL + """, p AS (SELECT symbol, action, count(*) AS n, round(avg(r), 4) AS m FROM t GROUP BY ALL)
 SELECT symbol, action, CAST(sum(n) AS BIGINT) AS n, round(CASE WHEN sum(n) >= 30 THEN sum(n * m) / sum(n) END, 6) AS pooled FROM p GROUP BY GROUPING SETS ((symbol, action), (action), ())""")
 def pooled_grouping_sets(spark, sf_dir):
-    pairs = closed_trades(spark, sf_dir).groupBy("symbol", "action").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("r"), 4).alias("m"))
+    pairs = closed_deals(spark, sf_dir).groupBy("symbol", "action").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("r"), 4).alias("m"))
     sets = pairs.groupingSets([["symbol", "action"], ["action"], []], "symbol", "action")
     return sets.agg(F.sum("n").alias("n"), F.round(F.when(F.sum("n") >= 30, F.sum(F.col("n") * F.col("m")) / F.sum("n")), 6).alias("pooled"))
 
 
-@register(TRADES_SQL + """, h AS (SELECT *, signal_id % 7 + 1 AS held FROM t), k AS (SELECT unnest([1, 2, 3, 6]) AS k)
+@register(DEALS_SQL + """, h AS (SELECT *, signal_id % 7 + 1 AS held FROM t), k AS (SELECT unnest([1, 2, 3, 6]) AS k)
 SELECT symbol, CAST(k AS INTEGER) AS k, count(*) AS n, round(avg(CASE WHEN r > 0 AND held <= k THEN 1.0 ELSE 0.0 END), 6) AS p_target, round(avg(CASE WHEN r < 0 AND held <= k THEN 1.0 ELSE 0.0 END), 6) AS p_stop, round(avg(CASE WHEN held <= k THEN r ELSE 0.0 END), 6) AS e_r FROM h, k GROUP BY ALL""")
 def speed_by_k(spark, sf_dir):
-    t = closed_trades(spark, sf_dir).withColumn("held", F.col("signal_id") % 7 + 1).withColumn("k", F.explode(F.array(*[F.lit(k) for k in (1, 2, 3, 6)])))
+    t = closed_deals(spark, sf_dir).withColumn("held", F.col("signal_id") % 7 + 1).withColumn("k", F.explode(F.array(*[F.lit(k) for k in (1, 2, 3, 6)])))
     within = F.col("held") <= F.col("k")
     share = lambda c: F.round(F.avg(F.when(c & within, 1.0).otherwise(0.0)), 6)
     return t.groupBy("symbol", "k").agg(F.count(F.lit(1)).alias("n"), share(F.col("r") > 0).alias("p_target"), share(F.col("r") < 0).alias("p_stop"), F.round(F.avg(F.when(within, F.col("r")).otherwise(0.0)), 6).alias("e_r"))
 
 
-@register(TRADES_SQL + ", q AS (SELECT symbol, quantile_cont(r, 0.25) AS q1, quantile_cont(r, 0.5) AS q2, quantile_cont(r, 0.75) AS q3 FROM t GROUP BY symbol) SELECT t.symbol, CAST(1 + CAST(r > q1 AS INTEGER) + CAST(r > q2 AS INTEGER) + CAST(r > q3 AS INTEGER) AS INTEGER) AS bucket, count(*) AS n, round(avg(r), 6) AS mean_r FROM t JOIN q ON q.symbol = t.symbol GROUP BY ALL")
+@register(DEALS_SQL + ", q AS (SELECT symbol, quantile_cont(r, 0.25) AS q1, quantile_cont(r, 0.5) AS q2, quantile_cont(r, 0.75) AS q3 FROM t GROUP BY symbol) SELECT t.symbol, CAST(1 + CAST(r > q1 AS INTEGER) + CAST(r > q2 AS INTEGER) + CAST(r > q3 AS INTEGER) AS INTEGER) AS bucket, count(*) AS n, round(avg(r), 6) AS mean_r FROM t JOIN q ON q.symbol = t.symbol GROUP BY ALL")
 def quantile_buckets(spark, sf_dir):
-    t = closed_trades(spark, sf_dir)
+    t = closed_deals(spark, sf_dir)
     cuts = t.groupBy("symbol").agg(F.percentile("r", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
     bucket = F.lit(1) + sum(((F.col("r") > F.col("q")[i]).cast("int") for i in range(3)), F.lit(0))
     return t.join(cuts, "symbol").groupBy("symbol", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("r"), 6).alias("mean_r"))
 
 
-@register(TRADES_SQL + ", k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY r, signal_id) AS i, count(*) OVER (PARTITION BY symbol) AS n FROM t) SELECT symbol, max(n) AS n, round(avg(r) FILTER (i > floor(n * 0.05) AND i <= n - floor(n * 0.05)), 6) AS trimmed, round(median(r), 6) AS median_r, round(min(r), 6) AS least, round(max(r), 6) AS most FROM k GROUP BY symbol")
+@register(DEALS_SQL + ", k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY r, signal_id) AS i, count(*) OVER (PARTITION BY symbol) AS n FROM t) SELECT symbol, max(n) AS n, round(avg(r) FILTER (i > floor(n * 0.05) AND i <= n - floor(n * 0.05)), 6) AS trimmed, round(median(r), 6) AS median_r, round(min(r), 6) AS least, round(max(r), 6) AS most FROM k GROUP BY symbol")
 def trimmed_mean(spark, sf_dir):
     g = Window.partitionBy("symbol")
-    t = closed_trades(spark, sf_dir).withColumn("i", F.row_number().over(g.orderBy("r", "signal_id"))).withColumn("n", F.count(F.lit(1)).over(g))
+    t = closed_deals(spark, sf_dir).withColumn("i", F.row_number().over(g.orderBy("r", "signal_id"))).withColumn("n", F.count(F.lit(1)).over(g))
     cut = F.floor(F.col("n") * 0.05)
     inside = (F.col("i") > cut) & (F.col("i") <= F.col("n") - cut)
     return t.groupBy("symbol").agg(F.max("n").alias("n"), F.round(F.avg(F.when(inside, F.col("r"))), 6).alias("trimmed"), F.round(F.percentile("r", F.lit(0.5)), 6).alias("median_r"), F.round(F.min("r"), 6).alias("least"), F.round(F.max("r"), 6).alias("most"))
 
 
-@register(DAILY_SQL + "SELECT market, symbol, round(avg((high - low) / close * 100), 6) AS mean_range, round(median(volume * close), 4) AS median_turnover, round(median(close), 6) AS median_price, avg((high - low) / close * 100) >= 1.2 AND count(*) >= 1000 AS runner FROM bars GROUP BY ALL")
+@register(DAILY_SQL + "SELECT market, symbol, round(avg((high - low) / close * 100), 6) AS mean_range, round(median(volume * close), 4) AS median_turnover, round(median(close), 6) AS median_price, avg((high - low) / close * 100) >= 1.2 AND median(volume * close) >= 500000 AS active, avg((high - low) / close * 100) >= 1.2 AND median(volume * close) >= 500000 AND count(*) >= 3000 AS runner FROM bars GROUP BY ALL")
 def symbol_profile(spark, sf_dir):
     span = F.avg((F.col("high") - F.col("low")) / F.col("close") * 100)
-    return daily_bars(spark, sf_dir).groupBy("market", "symbol").agg(F.round(span, 6).alias("mean_range"), F.round(F.percentile(F.col("volume") * F.col("close"), F.lit(0.5)), 4).alias("median_turnover"), F.round(F.percentile("close", F.lit(0.5)), 6).alias("median_price"),
-                                                                     ((span >= 1.2) & (F.count(F.lit(1)) >= 1000)).alias("runner"))
+    turnover = F.percentile(F.col("volume") * F.col("close"), F.lit(0.5))
+    active = (span >= 1.2) & (turnover >= 500_000)
+    return daily_bars(spark, sf_dir).groupBy("market", "symbol").agg(F.round(span, 6).alias("mean_range"), F.round(turnover, 4).alias("median_turnover"), F.round(F.percentile("close", F.lit(0.5)), 6).alias("median_price"), active.alias("active"),
+                                                                     (active & (F.count(F.lit(1)) >= 3000)).alias("runner"))
 
 
-@register(TRADES_SQL + """, k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY abs(r) DESC, signal_id) AS i, count(*) OVER (PARTITION BY symbol) AS n, sum(r) OVER (PARTITION BY symbol) AS s, sum(abs(r)) OVER (PARTITION BY symbol) AS a FROM t)
-SELECT symbol, round(sum(CASE WHEN i <= ceil(n * 0.01) THEN abs(r) ELSE 0 END) / max(a), 6) AS top_share, round(max(abs((s - r) / (n - 1) - s / n)), 6) AS max_shift FROM k WHERE n > 1 GROUP BY symbol""")
+@register(DEALS_SQL + """, k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY abs(r) DESC, signal_id) AS i, count(*) OVER (PARTITION BY symbol) AS n, sum(r) OVER (PARTITION BY symbol) AS s, sum(abs(r)) OVER (PARTITION BY symbol) AS a FROM t)
+SELECT symbol, round(sum(CASE WHEN i <= ceil(n * 0.001) THEN abs(r) ELSE 0 END) / max(a), 6) AS top_share, round(max(abs((s - r) / (n - 1) - s / n)), 6) AS max_shift FROM k WHERE n > 1 GROUP BY symbol""")
 def influence_audit(spark, sf_dir):
     g = Window.partitionBy("symbol")
-    t = closed_trades(spark, sf_dir).withColumn("i", F.row_number().over(g.orderBy(F.desc(F.abs("r")), "signal_id"))).withColumn("n", F.count(F.lit(1)).over(g)).withColumn("s", F.sum("r").over(g)).withColumn("a", F.sum(F.abs("r")).over(g)).where("n > 1")
-    top = F.sum(F.when(F.col("i") <= F.ceil(F.col("n") * 0.01), F.abs("r")).otherwise(0.0)) / F.max("a")
+    t = closed_deals(spark, sf_dir).withColumn("i", F.row_number().over(g.orderBy(F.desc(F.abs("r")), "signal_id"))).withColumn("n", F.count(F.lit(1)).over(g)).withColumn("s", F.sum("r").over(g)).withColumn("a", F.sum(F.abs("r")).over(g)).where("n > 1")
+    top = F.sum(F.when(F.col("i") <= F.ceil(F.col("n") * 0.001), F.abs("r")).otherwise(0.0)) / F.max("a")
     shift = F.max(F.abs((F.col("s") - F.col("r")) / (F.col("n") - 1) - F.col("s") / F.col("n")))
     return t.groupBy("symbol").agg(F.round(top, 6).alias("top_share"), F.round(shift, 6).alias("max_shift"))
 
@@ -523,19 +587,21 @@ def momentum(spark, sf_dir):
 
 @register(DAILY_SQL + f""", v AS (SELECT *, close / lag(close) {P}) - 1 AS ret, (high + low + close) / 3 AS tp FROM bars),
 f AS (SELECT *, avg(volume) {P} ROWS 4 PRECEDING) AS v5, avg(volume) {P} ROWS 19 PRECEDING) AS v20, median(volume) {P} ROWS 19 PRECEDING) AS md, max(volume) {P} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS mx, sum(tp * volume) {P} ROWS 19 PRECEDING) AS fl, sum(volume) {P} ROWS 19 PRECEDING) AS sv,
- sum(CASE WHEN ret > 0 THEN volume ELSE 0 END) {P} ROWS 19 PRECEDING) AS up, sum(CASE WHEN ret < 0 THEN volume ELSE 0 END) {P} ROWS 19 PRECEDING) AS dn, avg(abs(ret) / (volume * close)) {P} ROWS 19 PRECEDING) AS il FROM v)
-SELECT {KEYS}, round(ln(v5 / v20), 5) AS vol_trend, round(volume / mx, 9) AS vol_shock, round(ln(volume / md), 5) AS vol_ratio_median, round((up - dn) / (up + dn), 9) AS imbalance20, round(ln(close / (fl / sv)), 5) AS vwap_gap, round(ln(il), 4) AS log_amihud FROM f WHERE bar_idx >= 20 AND il > 0""")
+ sum(CASE WHEN ret > 0 THEN volume ELSE 0 END) {P} ROWS 19 PRECEDING) AS up, sum(CASE WHEN ret < 0 THEN volume ELSE 0 END) {P} ROWS 19 PRECEDING) AS dn, avg(abs(ret) / (volume * close)) {P} ROWS 19 PRECEDING) AS il,
+ avg(volume) {P} ROWS 19 PRECEDING) AS vm, stddev_pop(volume) {P} ROWS 19 PRECEDING) AS vd, sum(CASE WHEN dtp > 0 THEN tp * volume ELSE 0 END) {P} ROWS 13 PRECEDING) AS mfu, sum(CASE WHEN dtp < 0 THEN tp * volume ELSE 0 END) {P} ROWS 13 PRECEDING) AS mfd FROM (SELECT *, tp - lag(tp) {P}) AS dtp FROM v))
+SELECT {KEYS}, round(CASE WHEN round(vd, 9) > 0 THEN (volume - vm) / vd END, 5) AS vol_z20, round(mfu / (mfu + mfd) - 0.5, 6) AS mfi14, round(ln(v5 / v20), 5) AS vol_trend, round(volume / mx, 9) AS vol_shock, round(ln(volume / md), 5) AS vol_ratio_median, round((up - dn) / (up + dn), 9) AS imbalance20, round(ln(close / (fl / sv)), 5) AS vwap_gap, round(ln(il), 4) AS log_amihud FROM f WHERE bar_idx >= 20 AND il > 0""")
 def volume_features(spark, sf_dir):
     names = ["vol_trend", "vol_ratio_median", "vwap_gap"]
     ratios = ["vol_shock", "imbalance20"]  # quotients of small whole numbers, which tie at few places
     b = features.volume_features(daily_bars(spark, sf_dir)).where("bar_idx >= 20 AND log_amihud IS NOT NULL")
-    return b.select(*KEY, *[F.round(n, 5).alias(n) for n in names], *[F.round(n, 9).alias(n) for n in ratios], F.round("log_amihud", 4).alias("log_amihud"))
+    return b.select(*KEY, F.round("vol_z20", 5).alias("vol_z20"), *r6("mfi14"), *[F.round(n, 5).alias(n) for n in names], *[F.round(n, 9).alias(n) for n in ratios], F.round("log_amihud", 4).alias("log_amihud"))
 
 
 @register(HOURLY_SQL + f""", c AS (SELECT *, high - low AS s, abs(close - lag(close) {P})) AS step FROM bars) SELECT {KEYS}, round(CASE WHEN s > 0 THEN (2 * close - high - low) / s END, 6) AS clv, round(CASE WHEN s > 0 THEN (close - open) / s END, 6) AS body,
- round(CASE WHEN s > 0 THEN ((least(open, close) - low) - (high - greatest(open, close))) / s END, 6) AS wick, round(CASE WHEN count(step) {P} ROWS 9 PRECEDING) = 10 AND sum(step) {P} ROWS 9 PRECEDING) > 0 THEN (close - lag(close, 10) {P})) / sum(step) {P} ROWS 9 PRECEDING) END, 5) AS eff10 FROM c""")
+ round(CASE WHEN s > 0 THEN ((least(open, close) - low) - (high - greatest(open, close))) / s END, 6) AS wick, round(CASE WHEN count(step) {P} ROWS 9 PRECEDING) = 10 AND sum(step) {P} ROWS 9 PRECEDING) > 0 THEN (close - lag(close, 10) {P})) / sum(step) {P} ROWS 9 PRECEDING) END, 5) AS eff10,
+ round(CASE WHEN count(CASE WHEN s > 0 THEN 1 END) {P} ROWS 4 PRECEDING) = 5 THEN avg(CASE WHEN s > 0 THEN (2 * close - high - low) / s END) {P} ROWS 4 PRECEDING) END, 6) AS clv5 FROM c""")
 def bar_shape(spark, sf_dir):
-    return features.bar_shape(hourly_bars(spark, sf_dir)).select(*KEY, *r6("clv", "body", "wick"), F.round("eff10", 5).alias("eff10"))
+    return features.bar_shape(hourly_bars(spark, sf_dir)).select(*KEY, *r6("clv", "clv5", "body", "wick"), F.round("eff10", 5).alias("eff10"))
 
 
 @register(HOURLY_SQL + f""", x AS (SELECT *, arg_max(bar_idx, (high, -bar_idx)) {P} ROWS 19 PRECEDING) AS t, arg_min(bar_idx, (low, bar_idx)) {P} ROWS 19 PRECEDING) AS d FROM bars) SELECT {KEYS}, CAST((bar_idx - t) - (bar_idx - d) AS INTEGER) AS extremes_age FROM x WHERE bar_idx >= 19""")
@@ -573,13 +639,13 @@ def union_first_wins(spark, sf_dir):
 
 
 @register(SIGNALS_SQL + "SELECT DISTINCT user_id, symbol FROM s WHERE status = 'F' EXCEPT SELECT user_id, symbol FROM s WHERE status = 'O'")
-def except_trades(spark, sf_dir):
+def except_deals(spark, sf_dir):
     s = flat_signals(spark, sf_dir)
     return s.where("status = 'F'").select("user_id", "symbol").distinct().join(s.where("status = 'O'"), ["user_id", "symbol"], "left_anti")
 
 
 @register(SIGNALS_SQL + "SELECT user_id, symbol FROM s WHERE status = 'F' INTERSECT SELECT user_id, symbol FROM s WHERE status = 'O'")
-def intersect_trades(spark, sf_dir):
+def intersect_deals(spark, sf_dir):
     s = flat_signals(spark, sf_dir)
     return s.where("status = 'F'").select("user_id", "symbol").distinct().join(s.where("status = 'O'"), ["user_id", "symbol"], "left_semi")
 
@@ -593,10 +659,10 @@ def latest_upsert(spark, sf_dir):
 # Statistics
 
 
-@register(TRADES_SQL + """, c AS (SELECT action, symbol, sum(r) AS s, count(*) AS n FROM t GROUP BY ALL), g AS (SELECT action, sum(s) AS ts, sum(n) AS tn, count(*) AS k FROM c GROUP BY action)
+@register(DEALS_SQL + """, c AS (SELECT action, symbol, sum(r) AS s, count(*) AS n FROM t GROUP BY ALL), g AS (SELECT action, sum(s) AS ts, sum(n) AS tn, count(*) AS k FROM c GROUP BY action)
 SELECT c.action, round(max(ts) / max(tn), 6) AS mean, CAST(max(tn) AS BIGINT) AS n, max(k) AS clusters, round(sqrt(sum((s - n * ts / tn) ** 2) * max(k) / (max(k) - 1)) / max(tn), 6) AS se FROM c JOIN g ON g.action = c.action GROUP BY c.action""")
 def cluster_se(spark, sf_dir):
-    out = statistics.cluster_mean(closed_trades(spark, sf_dir), "r", ["symbol"], ["action"])
+    out = statistics.cluster_mean(closed_deals(spark, sf_dir), "r", ["symbol"], ["action"])
     return out.select("action", *r6("mean"), "n", "clusters", *r6("se"))
 
 
@@ -621,7 +687,7 @@ def time_split(spark, sf_dir):
 
 @register()
 def bootstrap_ci(spark, sf_dir):
-    row = statistics.bootstrap_mean(closed_trades(spark, sf_dir), "r", ["symbol"])
+    row = statistics.bootstrap_mean(closed_deals(spark, sf_dir), "r", ["symbol"])
     return spark.createDataFrame([tuple(row.values())], "mean double, lo double, hi double, p double, clusters long")
 
 
@@ -641,11 +707,12 @@ def digest_tumbling(spark, sf_dir):
     return g.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "user_id", "n", "top")
 
 
-@register("SELECT event_id, user_id, ts, coalesce(epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) >= 180, true) AS allowed FROM events")
+@register("""WITH RECURSIVE e AS (SELECT user_id, ts, min(event_id) AS event_id FROM events GROUP BY ALL), n AS MATERIALIZED (SELECT e.user_id, e.ts, f.ts AS next_ts FROM e ASOF LEFT JOIN e f ON e.user_id = f.user_id AND e.ts + INTERVAL 180 SECONDS <= f.ts),
+sent AS (SELECT user_id, min(ts) AS ts FROM e GROUP BY user_id UNION ALL SELECT n.user_id, n.next_ts FROM sent JOIN n ON n.user_id = sent.user_id AND n.ts = sent.ts WHERE n.next_ts IS NOT NULL)
+SELECT x.event_id, x.user_id, x.ts, sent.ts IS NOT NULL AS allowed FROM events x LEFT JOIN e ON e.user_id = x.user_id AND e.ts = x.ts AND e.event_id = x.event_id LEFT JOIN sent ON sent.user_id = e.user_id AND sent.ts = e.ts""")
 def throttle_gap(spark, sf_dir):
-    before = F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    micros = lambda c: F.unix_micros(c.cast("timestamp"))
-    return table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.coalesce(micros(F.col("ts")) - micros(before) >= 180_000_000, F.lit(True)).alias("allowed"))
+    """Which events go out, at least three minutes after the last one that went out."""
+    return positions.throttle(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 180).select("event_id", "user_id", "ts", "allowed")
 
 
 @register(SIGNALS_SQL + ", now AS (SELECT max(created_at) AS t FROM s) SELECT signal_id, CASE WHEN created_at + INTERVAL 7 DAYS < t THEN 'expired' ELSE 'active' END AS state FROM s, now")

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlewright.functions import prices
-from candlewright.operators import features, indicators, positions
+from candlewright.operators import features, indicators, joins, positions, statistics
 from candlewright.operators import signals as engine
-from candlewright.plans.queries import DAILY_SQL, HOURLY_SQL, KEY, KEYS, P, SIGNALS_SQL, TR_SQL, TRADES_SQL, closed_trades, flat_signals, r6, register
+from candlewright.plans.queries import DAILY_SQL, HOURLY_SQL, KEY, KEYS, P, SIGNALS_SQL, TR_SQL, DEALS_SQL, closed_deals, flat_signals, r6, register
 from candlewright.sources.bars import SERIES, daily_bars, hourly_bars, market_of, series, table
 
 MARKET_SQL = "['GOLD','FOREX','TH_STOCK','US_STOCK','CRYPTO'][signal_id % 20 % 5 + 1]"
@@ -55,17 +55,17 @@ SELECT id, created_at FROM e, now WHERE created_at >= t - INTERVAL 720 HOURS AND
 def pending_outbox(spark, sf_dir):
     """The fifty newest unsent signals of thirty days."""
     s = flat_signals(spark, sf_dir)
-    now = s.agg(F.max("created_at")).first()[0]
-    rows = s.select(F.col("signal_id").alias("id"), "created_at", F.when(F.col("status") == "O", "active").otherwise("closed").alias("status"), (F.col("signal_id") % 4 == 0).alias("push_sent"),
+    s = s.crossJoin(F.broadcast(s.agg(F.max("created_at").alias("now"))))  # one row
+    rows = s.select(F.col("signal_id").alias("id"), "created_at", "now", F.when(F.col("status") == "O", "active").otherwise("closed").alias("status"), (F.col("signal_id") % 4 == 0).alias("push_sent"),
                     F.when(F.col("signal_id") % 3 != 0, F.col("created_at") + F.expr("INTERVAL 10 DAYS")).alias("expires_at"))
-    return positions.pending(rows, F.lit(now).cast("timestamp_ntz"), hours=720).select("id", "created_at")
+    return positions.pending(rows, F.col("now"), hours=720).select("id", "created_at")
 
 
-@register(SIGNALS_SQL + f", m AS (SELECT *, {MARKET_SQL} AS market FROM s), c AS (SELECT *, {COST_SQL} / 10000 * entry / abs(entry - stop) AS cost_r FROM m) SELECT market, count(*) AS signals, count(*) FILTER (round(cost_r, 9) < 0.5) AS tradeable, round(avg(cost_r), 8) AS mean_cost_r, round(max(cost_r), 8) AS max_cost_r FROM c GROUP BY market")
-def tradeable_cohort(spark, sf_dir):
+@register(SIGNALS_SQL + f", m AS (SELECT *, {MARKET_SQL} AS market FROM s), c AS (SELECT *, {COST_SQL} / 10000 * entry / abs(entry - stop) AS cost_r FROM m) SELECT market, count(*) AS signals, count(*) FILTER (round(cost_r, 9) < 0.5) AS affordable, round(avg(cost_r), 8) AS mean_cost_r, round(max(cost_r), 8) AS max_cost_r FROM c GROUP BY market")
+def affordable_cohort(spark, sf_dir):
     s = flat_signals(spark, sf_dir).withColumn("market", market_of(F.col("signal_id") % 20))
     cost = prices.cost_bps(F.col("market")) / 10000 * F.col("entry") / F.abs(F.col("entry") - F.col("stop"))
-    return s.withColumn("cost_r", cost).groupBy("market").agg(F.count(F.lit(1)).alias("signals"), F.count_if(F.round("cost_r", 9) < 0.5).alias("tradeable"), r8(F.avg("cost_r"), "mean_cost_r"), r8(F.max("cost_r"), "max_cost_r"))
+    return s.withColumn("cost_r", cost).groupBy("market").agg(F.count(F.lit(1)).alias("signals"), F.count_if(F.round("cost_r", 9) < 0.5).alias("affordable"), r8(F.avg("cost_r"), "mean_cost_r"), r8(F.max("cost_r"), "max_cost_r"))
 
 
 @register(DAILY_SQL + "SELECT market, timeframe, round(avg(CASE WHEN volume > 0 THEN 1.0 ELSE 0.0 END), 8) AS share, avg(CASE WHEN volume > 0 THEN 1.0 ELSE 0.0 END) >= 0.7 AS usable FROM bars GROUP BY ALL")
@@ -108,40 +108,43 @@ def watchlist_quotes(spark, sf_dir):
 
 @register(SIGNALS_SQL + ", c AS (SELECT * FROM s WHERE status = 'P') SELECT n_nationkey AS recipient, signal_id FROM nation JOIN c ON n_nationkey % 5 = 0 OR c.symbol = concat('S', n_nationkey % 20)")
 def recipients_fanout(spark, sf_dir):
-    """Who gets which signal: each recipient follows everything or one symbol, so one equal key serves both."""
+    """Who gets which signal: recipients of one symbol by an equal join, those who follow everything by
+    salted copies of the recipients, so that no key holds all signals."""
     n = table(spark, sf_dir, "nation")
-    follows = n.select(F.col("n_nationkey").alias("recipient"), F.when(F.col("n_nationkey") % 5 == 0, "*").otherwise(F.concat(F.lit("S"), (F.col("n_nationkey") % 20).cast("string"))).alias("scope"))
-    offered = flat_signals(spark, sf_dir).where("status = 'P'").select("signal_id", F.explode(F.array(F.lit("*"), F.col("symbol"))).alias("scope"))
-    return offered.join(follows, "scope").select("recipient", "signal_id")
+    everything = F.col("n_nationkey") % 5 == 0
+    offered = flat_signals(spark, sf_dir).where("status = 'P'").select("signal_id", F.col("symbol").alias("scope"))
+    follows = n.where(~everything).select(F.col("n_nationkey").alias("recipient"), F.concat(F.lit("S"), (F.col("n_nationkey") % 20).cast("string")).alias("scope"))
+    some = offered.join(follows, "scope").select("recipient", "signal_id")
+    return some.unionByName(joins.to_all(offered.select("signal_id"), n.where(everything).select(F.col("n_nationkey").alias("recipient"))))
 
 
 @register(HOURLY_SQL + TR_SQL + f""", g AS (SELECT *, lag(atr / close * 100) {P}) AS atr_before, avg(close) {P} ROWS 19 PRECEDING) AS m FROM atr), h AS (SELECT *, lag(CASE WHEN round(close, 9) > round(m, 6) THEN 'above' ELSE 'below' END) {P}) AS side_before FROM g)
-SELECT {KEYS}, round(atr_before, 6) AS atr_before, side_before FROM h WHERE bar_idx % 10 = 0 AND atr_before IS NOT NULL""")
+SELECT {KEYS}, round(atr_before, 6) AS atr_before, side_before FROM h WHERE atr_before IS NOT NULL""")
 def regime_before_entry(spark, sf_dir):
     """Volatility and side of the average on the bar before an entry, by an equal join on entry time."""
     b = indicators.with_atr(hourly_bars(spark, sf_dir)).withColumn("m", F.round(F.avg("close").over(indicators.last(20)), 6))
     side = F.when(F.round("close", 9) > F.col("m"), "above").otherwise("below")
     before = b.withColumn("side", side).select(*KEY, F.lag(F.col("atr") / F.col("close") * 100).over(series()).alias("atr_before"), F.lag("side").over(series()).alias("side_before"))
-    entries = b.where("bar_idx % 10 = 0").select(*KEY)
+    entries = b.select(*KEY)
     return entries.join(before, KEY).where("atr_before IS NOT NULL").select(*KEY, F.round("atr_before", 6).alias("atr_before"), "side_before")
 
 
-@register(TRADES_SQL + """, a AS (SELECT user_id, sum(r) AS x FROM t WHERE action = 'BUY' GROUP BY ALL), b AS (SELECT user_id, sum(r) AS y FROM t WHERE action = 'SELL' GROUP BY ALL)
+@register(DEALS_SQL + """, a AS (SELECT user_id, sum(r) AS x FROM t WHERE action = 'BUY' GROUP BY ALL), b AS (SELECT user_id, sum(r) AS y FROM t WHERE action = 'SELL' GROUP BY ALL)
 SELECT coalesce(a.user_id, b.user_id) AS user_id, round(coalesce(x, 0), 6) AS x, round(coalesce(y, 0), 6) AS y, round(coalesce(x, 0) - coalesce(y, 0), 6) AS diff FROM a FULL JOIN b ON a.user_id = b.user_id""")
 def paired_arms(spark, sf_dir):
-    t = closed_trades(spark, sf_dir)
+    t = closed_deals(spark, sf_dir)
     arms = [t.where(F.col("action") == side).groupBy("user_id").agg(F.sum("r").alias(name)) for side, name in (("BUY", "x"), ("SELL", "y"))]
     both = arms[0].join(arms[1], "user_id", "full_outer").fillna(0.0, ["x", "y"])
     return both.select("user_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), F.round(F.col("x") - F.col("y"), 6).alias("diff"))
 
 
-@register(HOURLY_SQL + TR_SQL + """, s AS (SELECT concat(symbol, ':', bar_idx) AS signal_id, market, symbol, timeframe, bar_idx, CASE WHEN bar_idx % 20 = 0 THEN 1 ELSE -1 END AS sign, round(close, 4) AS entry, round(atr, 4) AS a FROM atr WHERE bar_idx % 10 = 0 AND atr > 0),
+@register(HOURLY_SQL + TR_SQL + """, s AS (SELECT concat(symbol, ':', bar_idx) AS signal_id, market, symbol, timeframe, bar_idx, CASE WHEN bar_idx % 2 = 0 THEN 1 ELSE -1 END AS sign, round(close, 4) AS entry, round(atr, 4) AS a FROM atr WHERE atr > 0),
 l AS (SELECT *, 1.5::DOUBLE * a AS risk FROM s),
 x AS (SELECT l.signal_id, max(sign * (CASE WHEN sign = 1 THEN f.high ELSE f.low END - entry) / risk) AS mfe, min(sign * (CASE WHEN sign = 1 THEN f.low ELSE f.high END - entry) / risk) AS mae, count(*) AS bars FROM l JOIN bars f ON f.market = l.market AND f.symbol = l.symbol AND f.timeframe = l.timeframe AND f.bar_idx BETWEEN l.bar_idx + 1 AND l.bar_idx + 10 WHERE risk > 0 GROUP BY l.signal_id)
 SELECT signal_id, round(mfe, 6) AS mfe, round(mae, 6) AS mae, bars FROM x""")
-def trade_excursions(spark, sf_dir):
+def deal_excursions(spark, sf_dir):
     """Best and worst move of the ten bars after an entry, in units of risk."""
-    s = indicators.with_atr(hourly_bars(spark, sf_dir)).where("bar_idx % 10 = 0 AND atr > 0").withColumn("signal_id", F.concat_ws(":", "symbol", F.col("bar_idx").cast("string"))).withColumn("sign", F.when(F.col("bar_idx") % 20 == 0, 1).otherwise(-1))
+    s = indicators.with_atr(hourly_bars(spark, sf_dir)).where("atr > 0").withColumn("signal_id", F.concat_ws(":", "symbol", F.col("bar_idx").cast("string"))).withColumn("sign", F.when(F.col("bar_idx") % 2 == 0, 1).otherwise(-1))
     s = s.withColumn("entry_price", F.round("close", 4)).withColumn("risk", 1.5 * F.round("atr", 4)).where("risk > 0")
     s = s.withColumn("at", F.explode(F.sequence(F.col("bar_idx") + 1, F.col("bar_idx") + 10))).select("signal_id", *SERIES, "sign", "entry_price", "risk", F.col("at").alias("bar_idx"))
     path = s.join(hourly_bars(spark, sf_dir).select(*SERIES, "bar_idx", "high", "low"), [*SERIES, "bar_idx"])
@@ -153,39 +156,41 @@ def trade_excursions(spark, sf_dir):
 # Grouped studies
 
 
-@register(TRADES_SQL + """, y AS (SELECT *, CAST(year(created_at) AS INTEGER) AS year FROM t)
+@register(DEALS_SQL + """, y AS (SELECT *, CAST(year(created_at) AS INTEGER) AS year FROM t)
 SELECT symbol, action, year, count(*) AS n, count(*) FILTER (r > 0) AS wins, round(avg(r), 8) AS mean_r, round(stddev_samp(r) / sqrt(count(*)), 8) AS se FROM y GROUP BY GROUPING SETS ((symbol), (action), (year))""")
 def grouped_stats(spark, sf_dir):
-    """One pass over trades for all dimensions, each on its own."""
-    y = closed_trades(spark, sf_dir).withColumn("year", F.year("created_at"))
+    """One pass over deals for all dimensions, each on its own."""
+    y = closed_deals(spark, sf_dir).withColumn("year", F.year("created_at"))
     sets = y.groupingSets([["symbol"], ["action"], ["year"]], "symbol", "action", "year")
     return sets.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("r") > 0).alias("wins"), r8(F.avg("r"), "mean_r"), r8(F.stddev_samp("r") / F.sqrt(F.count(F.lit(1))), "se"))
 
 
-@register(TRADES_SQL + "SELECT symbol, count(*) AS n, round(sum(r), 6) AS raw, round(sum(greatest(least(r, 1.5), -1.0)), 6) AS winsorised, round(sum(r) / count(*) * 1000, 4) AS per_thousand FROM t GROUP BY symbol")
+@register(DEALS_SQL + "SELECT symbol, count(*) AS n, round(sum(r), 6) AS raw, round(sum(greatest(least(r, 1.5), -1.0)), 6) AS winsorised, round(sum(r) / count(*) * 1000, 4) AS per_thousand FROM t GROUP BY symbol")
 def winsorised_rates(spark, sf_dir):
     cut = F.greatest(F.least("r", F.lit(1.5)), F.lit(-1.0))
-    return closed_trades(spark, sf_dir).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("r"), 6).alias("raw"), F.round(F.sum(cut), 6).alias("winsorised"), F.round(F.sum("r") / F.count(F.lit(1)) * 1000, 4).alias("per_thousand"))
+    return closed_deals(spark, sf_dir).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("r"), 6).alias("raw"), F.round(F.sum(cut), 6).alias("winsorised"), F.round(F.sum("r") / F.count(F.lit(1)) * 1000, 4).alias("per_thousand"))
 
 
-@register(TRADES_SQL + """, k AS (SELECT *, row_number() OVER (PARTITION BY action ORDER BY r) - 1 AS i, count(*) OVER (PARTITION BY action) AS n FROM t),
+@register(DEALS_SQL + """, k AS (SELECT *, row_number() OVER (PARTITION BY action ORDER BY r) - 1 AS i, count(*) OVER (PARTITION BY action) AS n FROM t),
 e AS (SELECT action, list(r ORDER BY i) FILTER (i IN (floor(n / 5), floor(n * 2 / 5), floor(n * 3 / 5), floor(n * 4 / 5))) AS edges FROM k GROUP BY action)
 SELECT t.action, CAST(len(list_filter(edges, lambda x: t.r >= x)) AS INTEGER) AS bucket, count(*) AS n, round(sum(r), 6) AS total FROM t JOIN e ON e.action = t.action GROUP BY ALL""")
 def equal_count_buckets(spark, sf_dir):
     """Five buckets by edges that stand at equal counts; ties go up together."""
-    t = closed_trades(spark, sf_dir)
-    g = Window.partitionBy("action")
-    k = t.withColumn("i", F.row_number().over(g.orderBy("r")) - 1).withColumn("n", F.count(F.lit(1)).over(g))
-    edges = k.groupBy("action").agg(F.array(*[F.max(F.when(F.col("i") == F.floor(F.col("n") * j / 5), F.col("r"))) for j in range(1, 5)]).alias("edges"))
+    t = closed_deals(spark, sf_dir)
+    values = t.groupBy("action", "r").agg(F.count(F.lit(1)).alias("c"))  # rows of equal value together, before any order is asked for
+    through = F.sum("c").over(Window.partitionBy("action").orderBy("r"))
+    k = values.withColumn("through", through).withColumn("n", F.sum("c").over(Window.partitionBy("action")))
+    at = lambda j: F.min(F.when(F.col("through") > F.floor(F.col("n") * j / 5), F.col("r")))
+    edges = k.groupBy("action").agg(F.array(*[at(j) for j in range(1, 5)]).alias("edges"))
     bucket = F.size(F.filter("edges", lambda x: F.col("r") >= x))
     return t.join(edges, "action").groupBy("action", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("r"), 6).alias("total"))
 
 
-@register(TRADES_SQL + """, w AS (SELECT symbol, avg(r) FILTER (r > 0) AS w, -avg(r) FILTER (r < 0) AS l, avg(r) AS m FROM t GROUP BY symbol), f AS (SELECT unnest([0, 10, 20, 32, 40]) AS bps)
+@register(DEALS_SQL + """, w AS (SELECT symbol, avg(r) FILTER (r > 0) AS w, -avg(r) FILTER (r < 0) AS l, avg(r) AS m FROM t GROUP BY symbol), f AS (SELECT unnest([0, 10, 20, 32, 40]) AS bps)
 SELECT symbol, CAST(bps AS INTEGER) AS bps, round((l + bps / 100) / (w + l), 8) AS breakeven_p, round(m - bps / 100, 8) AS net FROM w, f""")
 def breakeven(spark, sf_dir):
     """The hit rate that a fee level asks for, and what is left after it."""
-    w = closed_trades(spark, sf_dir).groupBy("symbol").agg(F.avg(F.when(F.col("r") > 0, F.col("r"))).alias("w"), (-F.avg(F.when(F.col("r") < 0, F.col("r")))).alias("l"), F.avg("r").alias("m"))
+    w = closed_deals(spark, sf_dir).groupBy("symbol").agg(F.avg(F.when(F.col("r") > 0, F.col("r"))).alias("w"), (-F.avg(F.when(F.col("r") < 0, F.col("r")))).alias("l"), F.avg("r").alias("m"))
     w = w.withColumn("bps", F.explode(F.array(*map(F.lit, (0, 10, 20, 32, 40)))))
     return w.select("symbol", "bps", r8((F.col("l") + F.col("bps") / 100) / (F.col("w") + F.col("l")), "breakeven_p"), r8(F.col("m") - F.col("bps") / 100, "net"))
 
@@ -195,11 +200,11 @@ def action_census(spark, sf_dir):
     return flat_signals(spark, sf_dir).groupBy("action").pivot("status", ["F", "O", "P"]).agg(F.count(F.lit(1))).fillna(0)
 
 
-@register(TRADES_SQL + """, g AS (SELECT symbol, count(*) AS n, avg(r) AS m, var_pop(r) AS v FROM t GROUP BY symbol), a AS (SELECT sum(n) AS n, sum(n * m) / sum(n) AS m FROM g)
+@register(DEALS_SQL + """, g AS (SELECT symbol, count(*) AS n, avg(r) AS m, var_pop(r) AS v FROM t GROUP BY symbol), a AS (SELECT sum(n) AS n, sum(n * m) / sum(n) AS m FROM g)
 SELECT round(sum(g.n * g.v) / max(a.n), 8) AS within_var, round(sum(g.n * (g.m - a.m) ** 2) / max(a.n), 8) AS between_var FROM g, a""")
 def within_between(spark, sf_dir):
     """Variance inside and between symbols, from one row of moments per symbol."""
-    g = closed_trades(spark, sf_dir).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("m"), F.var_pop("r").alias("v"))
+    g = closed_deals(spark, sf_dir).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("m"), F.var_pop("r").alias("v"))
     n, m = F.sum("n"), F.sum(F.col("n") * F.col("m")) / F.sum("n")
     return g.agg(r8(F.sum(F.col("n") * F.col("v")) / n, "within_var"), r8(F.sum(F.col("n") * F.col("m") * F.col("m")) / n - m * m, "between_var"))
 
@@ -212,43 +217,43 @@ def threshold_study(spark, sf_dir):
     return c.groupBy("threshold").agg(F.count_if(kept).alias("kept"), r8(F.avg(F.when(kept, F.col("r"))), "kept_r"), r8(F.avg(F.when(~kept, F.col("r"))), "dropped_r"))
 
 
-@register(TRADES_SQL + "SELECT symbol, round(count(*) / ((epoch(max(created_at)) - epoch(min(created_at))) / 86400 / 30.436875), 6) AS per_month FROM t GROUP BY symbol HAVING max(created_at) > min(created_at)")
-def trades_per_month(spark, sf_dir):
+@register(DEALS_SQL + "SELECT symbol, round(count(*) / ((epoch(max(created_at)) - epoch(min(created_at))) / 86400 / 30.436875), 6) AS per_month FROM t GROUP BY symbol HAVING max(created_at) > min(created_at)")
+def deals_per_month(spark, sf_dir):
     seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1_000_000
-    g = closed_trades(spark, sf_dir).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), (seconds(F.max("created_at")) - seconds(F.min("created_at"))).alias("s")).where("s > 0")
+    g = closed_deals(spark, sf_dir).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), (seconds(F.max("created_at")) - seconds(F.min("created_at"))).alias("s")).where("s > 0")
     return g.select("symbol", F.round(F.col("n") / (F.col("s") / 86400 / 30.436875), 6).alias("per_month"))
 
 
-@register(TRADES_SQL + """, c AS (SELECT r, action, unnest(list_filter(['all', CASE WHEN r > 0 THEN 'winning' END, CASE WHEN abs(r) > 1 THEN 'large' END, CASE WHEN user_id % 2 = 0 THEN 'even' END], lambda x: x IS NOT NULL)) AS cohort FROM t)
+@register(DEALS_SQL + """, c AS (SELECT r, action, unnest(list_filter(['all', CASE WHEN r > 0 THEN 'winning' END, CASE WHEN abs(r) > 1 THEN 'large' END, CASE WHEN user_id % 2 = 0 THEN 'even' END], lambda x: x IS NOT NULL)) AS cohort FROM t)
 SELECT cohort, count(*) AS n, round(avg(r), 8) AS mean_r, round(avg(CASE WHEN action = 'BUY' THEN 1.0 ELSE 0.0 END), 8) AS buy_share FROM c GROUP BY cohort""")
 def cohort_digest(spark, sf_dir):
-    """A trade counts in every cohort it belongs to."""
+    """A deal counts in every cohort it belongs to."""
     r = F.col("r")
     cohorts = F.array_compact(F.array(F.lit("all"), F.when(r > 0, "winning"), F.when(F.abs(r) > 1, "large"), F.when(F.col("user_id") % 2 == 0, "even")))
-    return closed_trades(spark, sf_dir).withColumn("cohort", F.explode(cohorts)).groupBy("cohort").agg(F.count(F.lit(1)).alias("n"), r8(F.avg("r"), "mean_r"), r8(F.avg((F.col("action") == "BUY").cast("double")), "buy_share"))
+    return closed_deals(spark, sf_dir).withColumn("cohort", F.explode(cohorts)).groupBy("cohort").agg(F.count(F.lit(1)).alias("n"), r8(F.avg("r"), "mean_r"), r8(F.avg((F.col("action") == "BUY").cast("double")), "buy_share"))
 
 
-@register(TRADES_SQL + ", b AS (SELECT * FROM (VALUES ('S0', 'metals'), ('S1', 'currencies'), ('S2', 'asia'), ('S2', 'shares'), ('S3', 'shares'), ('S7', 'asia'), ('S7', 'shares')) v(symbol, grp)) SELECT grp, count(*) AS n, count(DISTINCT t.symbol) AS symbols, round(sum(r), 6) AS total FROM t JOIN b ON b.symbol = t.symbol GROUP BY grp")
+@register(DEALS_SQL + ", b AS (SELECT * FROM (VALUES ('S0', 'metals'), ('S1', 'currencies'), ('S2', 'asia'), ('S2', 'shares'), ('S3', 'shares'), ('S7', 'asia'), ('S7', 'shares')) v(symbol, grp)) SELECT grp, count(*) AS n, count(DISTINCT t.symbol) AS symbols, round(sum(r), 6) AS total FROM t JOIN b ON b.symbol = t.symbol GROUP BY grp")
 def group_tallies(spark, sf_dir):
     """Tallies by group through a bridge table; a symbol may be in several groups."""
     bridge = spark.createDataFrame([("S0", "metals"), ("S1", "currencies"), ("S2", "asia"), ("S2", "shares"), ("S3", "shares"), ("S7", "asia"), ("S7", "shares")], "symbol string, grp string")
-    per_symbol = closed_trades(spark, sf_dir).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.sum("r").alias("s"))  # before the join, so that no trade is copied
+    per_symbol = closed_deals(spark, sf_dir).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.sum("r").alias("s"))  # before the join, so that no deal is copied
     return per_symbol.join(F.broadcast(bridge), "symbol").groupBy("grp").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("symbols"), F.round(F.sum("s"), 6).alias("total"))
 
 
-@register(TRADES_SQL + ", g AS (SELECT symbol, count(*) FILTER (r > 0) AS wins FROM t GROUP BY symbol) SELECT symbol, wins FROM g ORDER BY wins DESC, symbol LIMIT 1")
+@register(DEALS_SQL + ", g AS (SELECT symbol, count(*) FILTER (r > 0) AS wins FROM t GROUP BY symbol) SELECT symbol, wins FROM g ORDER BY wins DESC, symbol LIMIT 1")
 def target_choice(spark, sf_dir):
-    return closed_trades(spark, sf_dir).groupBy("symbol").agg(F.count_if(F.col("r") > 0).alias("wins")).orderBy(F.desc("wins"), "symbol").limit(1)
+    return closed_deals(spark, sf_dir).groupBy("symbol").agg(F.count_if(F.col("r") > 0).alias("wins")).orderBy(F.desc("wins"), "symbol").limit(1)
 
 
-@register(TRADES_SQL + """, c AS (SELECT *, CASE WHEN created_at < TIMESTAMP '1996-07-01' THEN 1 ELSE 0 END AS train FROM t), q AS (SELECT quantile_cont(abs(r), [0.2, 0.4, 0.6, 0.8]) AS cuts FROM c WHERE train = 1)
+@register(DEALS_SQL + """, c AS (SELECT *, CASE WHEN created_at < TIMESTAMP '1996-07-01' THEN 1 ELSE 0 END AS train FROM t), q AS (SELECT quantile_cont(abs(r), [0.2, 0.4, 0.6, 0.8]) AS cuts FROM c WHERE train = 1)
 SELECT CAST(len(list_filter(cuts, lambda x: round(abs(r), 9) > round(x, 9))) AS INTEGER) AS bucket, count(*) AS n, round(avg(r), 8) AS mean_r FROM c, q WHERE train = 0 GROUP BY ALL""")
 def train_cuts(spark, sf_dir):
-    """Quintile cuts fitted on the early trades, applied to the later ones."""
-    c = closed_trades(spark, sf_dir).withColumn("early", F.col("created_at") < F.lit("1996-07-01").cast("timestamp_ntz"))
-    cuts = c.where("early").agg(F.percentile(F.abs("r"), F.array(*map(F.lit, (0.2, 0.4, 0.6, 0.8)))).alias("cuts")).first()["cuts"]  # four numbers
-    bucket = sum(((F.round(F.abs("r"), 9) > round(x, 9)).cast("int") for x in cuts), F.lit(0)) if cuts else F.lit(0)
-    return c.where("NOT early").groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), r8(F.avg("r"), "mean_r"))
+    """Quintile cuts fitted on the early deals, applied to the later ones."""
+    c = closed_deals(spark, sf_dir).withColumn("early", F.col("created_at") < F.lit("1996-07-01").cast("timestamp_ntz"))
+    cuts = c.where("early").agg(F.percentile(F.abs("r"), F.array(*map(F.lit, (0.2, 0.4, 0.6, 0.8)))).alias("cuts"))  # one row
+    bucket = F.size(F.filter("cuts", lambda x: F.round(F.abs("r"), 9) > F.round(x, 9)))
+    return c.where("NOT early").crossJoin(F.broadcast(cuts)).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), r8(F.avg("r"), "mean_r"))
 
 
 # Frame features
@@ -341,20 +346,20 @@ def top_movers(spark, sf_dir):
     return engine.latest(b).orderBy(F.desc(F.abs("moved_pct")), "symbol").limit(5).select("symbol", "moved_pct")
 
 
-@register(TRADES_SQL + ", k AS (SELECT *, row_number() OVER (PARTITION BY action ORDER BY r DESC, signal_id) AS best, row_number() OVER (PARTITION BY action ORDER BY r, signal_id) AS worst FROM t) SELECT action, signal_id, round(r, 6) AS r, best <= 5 AS is_best FROM k WHERE best <= 5 OR worst <= 5")
+@register(DEALS_SQL + ", k AS (SELECT *, row_number() OVER (PARTITION BY action ORDER BY r DESC, signal_id) AS best, row_number() OVER (PARTITION BY action ORDER BY r, signal_id) AS worst FROM t) SELECT action, signal_id, round(r, 6) AS r, best <= 5 AS is_best FROM k WHERE best <= 5 OR worst <= 5")
 def best_worst(spark, sf_dir):
-    t, g = closed_trades(spark, sf_dir), Window.partitionBy("action")
+    t, g = closed_deals(spark, sf_dir), Window.partitionBy("action")
     ends = [t.withColumn("k", F.row_number().over(g.orderBy(order, "signal_id"))).where("k <= 5").withColumn("is_best", F.lit(best)) for order, best in ((F.desc("r"), True), (F.asc("r"), False))]
     both = ends[0].unionByName(ends[1]).groupBy("action", "signal_id").agg(F.max("r").alias("r"), F.max("is_best").alias("is_best"))
     return both.select("action", "signal_id", F.round("r", 6).alias("r"), "is_best")
 
 
-@register(TRADES_SQL + """, h AS (SELECT symbol, avg(r) FILTER (created_at < TIMESTAMP '1996-07-01') AS early, avg(r) FILTER (created_at >= TIMESTAMP '1996-07-01') AS late FROM t GROUP BY symbol)
+@register(DEALS_SQL + """, h AS (SELECT symbol, avg(r) FILTER (created_at < TIMESTAMP '1996-07-01') AS early, avg(r) FILTER (created_at >= TIMESTAMP '1996-07-01') AS late FROM t GROUP BY symbol)
 SELECT symbol, round(early, 8) AS early, round(late, 8) AS late, row_number() OVER (ORDER BY round(early, 8) DESC NULLS LAST, symbol) <= 5 AS chosen FROM h""")
 def train_top5(spark, sf_dir):
     """The five best symbols of the early half, beside what they did later."""
     early = F.col("created_at") < F.lit("1996-07-01").cast("timestamp_ntz")
-    h = closed_trades(spark, sf_dir).groupBy("symbol").agg(r8(F.avg(F.when(early, F.col("r"))), "early"), r8(F.avg(F.when(~early, F.col("r"))), "late"))
+    h = closed_deals(spark, sf_dir).groupBy("symbol").agg(r8(F.avg(F.when(early, F.col("r"))), "early"), r8(F.avg(F.when(~early, F.col("r"))), "late"))
     top = h.orderBy(F.desc_nulls_last("early"), "symbol").limit(5).select("symbol", F.lit(True).alias("chosen"))
     return h.join(top, "symbol", "left").fillna(False, ["chosen"])
 
@@ -366,10 +371,10 @@ def digest_first(spark, sf_dir):
     return flat_signals(spark, sf_dir).where("status = 'P'").withColumn("k", F.row_number().over(w)).where("k = 1").select("symbol", "action", "signal_id", "confidence")
 
 
-@register(TRADES_SQL + ", u AS (SELECT symbol, 0.3::DOUBLE * r AS x FROM t WHERE action = 'BUY' UNION ALL SELECT symbol, 0.7::DOUBLE * r FROM t WHERE action = 'SELL') SELECT symbol, round(sum(x), 6) AS mixed, count(*) AS n FROM u GROUP BY symbol")
+@register(DEALS_SQL + ", u AS (SELECT symbol, 0.3::DOUBLE * r AS x FROM t WHERE action = 'BUY' UNION ALL SELECT symbol, 0.7::DOUBLE * r FROM t WHERE action = 'SELL') SELECT symbol, round(sum(x), 6) AS mixed, count(*) AS n FROM u GROUP BY symbol")
 def cluster_mixture(spark, sf_dir):
     """Cluster sums of two arms, scaled and merged."""
-    t = closed_trades(spark, sf_dir)
+    t = closed_deals(spark, sf_dir)
     arms = [t.where(F.col("action") == side).groupBy("symbol").agg((share * F.sum("r")).alias("x"), F.count(F.lit(1)).alias("n")) for side, share in (("BUY", 0.3), ("SELL", 0.7))]
     return arms[0].unionByName(arms[1]).groupBy("symbol").agg(F.round(F.sum("x"), 6).alias("mixed"), F.sum("n").alias("n"))
 
@@ -390,11 +395,11 @@ def percentile_score(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", r8((F.rank().over(g.orderBy("p_retailprice")) - 1) / F.count(F.lit(1)).over(g), "below"))
 
 
-@register(TRADES_SQL + ", e AS (SELECT symbol, arg_min(10000 + r, (created_at, signal_id)) AS a, arg_max(10000 + r, (created_at, signal_id)) AS b FROM t GROUP BY symbol) SELECT symbol, round(b - a, 6) AS change, round((b - a) / a * 100, 6) AS change_pct FROM e")
+@register(DEALS_SQL + ", e AS (SELECT symbol, arg_min(10000 + r, (created_at, signal_id)) AS a, arg_max(10000 + r, (created_at, signal_id)) AS b FROM t GROUP BY symbol) SELECT symbol, round(b - a, 6) AS change, round((b - a) / a * 100, 6) AS change_pct FROM e")
 def equity_change(spark, sf_dir):
     """From the first point to the last, in amount and percent."""
     at = F.struct("created_at", "signal_id")
-    e = closed_trades(spark, sf_dir).groupBy("symbol").agg(F.min_by(10000 + F.col("r"), at).alias("a"), F.max_by(10000 + F.col("r"), at).alias("b"))
+    e = closed_deals(spark, sf_dir).groupBy("symbol").agg(F.min_by(10000 + F.col("r"), at).alias("a"), F.max_by(10000 + F.col("r"), at).alias("b"))
     return e.select("symbol", F.round(F.col("b") - F.col("a"), 6).alias("change"), F.round((F.col("b") - F.col("a")) / F.col("a") * 100, 6).alias("change_pct"))
 
 
@@ -410,5 +415,5 @@ def _ranked_step(bars: DataFrame) -> DataFrame:
 SELECT timeframe, ts, count(*) AS names, round(corr(rx, ry), 6) AS ic FROM k GROUP BY ALL HAVING count(*) >= 4 AND var_pop(rx) > 0 AND var_pop(ry) > 0""")
 def cross_section_ic(spark, sf_dir):
     """Rank correlation of a feature with what follows, per time step of at least four names."""
-    g = _ranked_step(daily_bars(spark, sf_dir)).groupBy("timeframe", "ts").agg(F.count(F.lit(1)).alias("names"), F.corr("rx", "ry").alias("c"), F.var_pop("rx").alias("vx"), F.var_pop("ry").alias("vy"))
-    return g.where("names >= 4 AND vx > 0 AND vy > 0").select("timeframe", "ts", "names", F.round("c", 6).alias("ic"))
+    g = _ranked_step(daily_bars(spark, sf_dir)).groupBy("timeframe", "ts").agg(F.count(F.lit(1)).alias("names"), statistics.correlation("rx", "ry").alias("c"))
+    return g.where("names >= 4 AND c IS NOT NULL").select("timeframe", "ts", "names", F.round("c", 6).alias("ic"))

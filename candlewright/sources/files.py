@@ -1,4 +1,4 @@
-"""Readers and writers: candle JSON, trade CSV, append, upsert, conditional update, delete."""
+"""Readers and writers: candle JSON, deal CSV, append, upsert, conditional update, delete."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CANDLE_FILE = "symbol string, market string, timeframe string, quality struct<usable: struct<`from`: string>>, candles array<struct<timestamp: string, open: double, high: double, low: double, close: double, volume: double>>"
-TRADES = "market string, symbol string, timeframe string, action string, entry_idx int, exit_idx int, entry double, exit double, stop_loss double, take_profit double, r double, reason string, entry_ts timestamp, exit_ts timestamp"
+DEALS = "market string, symbol string, timeframe string, action string, entry_idx int, exit_idx int, entry double, exit double, stop_loss double, take_profit double, r double, reason string, entry_ts timestamp, exit_ts timestamp"
 
 
 def read_candles(spark: SparkSession, path: str) -> DataFrame:
@@ -17,12 +17,12 @@ def read_candles(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.col("usable").isNull() | (F.col("ts") >= F.to_timestamp_ntz("usable"))).drop("usable")
 
 
-def read_trades(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(TRADES).option("header", True).csv(path)
+def read_deals(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(DEALS).option("header", True).csv(path)
 
 
-def write_trades(trades: DataFrame, path: str) -> None:
-    trades.write.mode("overwrite").option("header", True).csv(path)
+def write_deals(deals: DataFrame, path: str) -> None:
+    deals.write.mode("overwrite").option("header", True).csv(path)
 
 
 def upsert(table: DataFrame, rows: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from candlewright.operators import indicators, positions, signals, simulation, s
 from candlewright.sources import files, synthetic
 
 
-def naive_trades(rows, bars, hold=10, floor=60):
+def naive_deals(rows, bars, hold=10, floor=60):
     out, i = [], floor
     while i <= len(bars) - 2:
         s = rows[i]
@@ -46,8 +46,8 @@ def test_walk_forward_equals_loop(spark, profile):
     scored = signals.all_signals(bars).cache()
     rows = [r.asDict() for r in scored.orderBy("bar_idx").collect()]
     plain = [r.asDict() for r in bars.orderBy("bar_idx").collect()]
-    got = [(r["bar_idx"], r["exit_idx"], round(r["exit"], 6), r["reason"]) for r in simulation.walk_forward(scored, bars).orderBy("bar_idx").collect()]
-    assert got == naive_trades(rows, plain)
+    got = [(r["bar_idx"], r["exit_idx"], round(r["exit"], 6), r["reason"]) for r in simulation.walk_forward(scored).orderBy("bar_idx").collect()]
+    assert got == naive_deals(rows, plain)
     for r in rows:
         if r["has_signal"] and r["action"] != "HOLD":
             sign = 1 if r["action"] == "BUY" else -1

@@ -9,7 +9,7 @@ import pytest
 
 from candlewright import catalog
 
-SLOW = {"signals_all_bars", "scan_latest", "gate_rejections", "gate_top5", "walk_forward_trades", "walk_forward_stats"}
+SLOW = {"signals_all_bars", "scan_latest", "gate_rejections", "gate_top5", "walk_forward_deals", "walk_forward_stats"}
 
 
 @pytest.fixture(scope="module")
