@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from candlewright.llm.common import batch, crc_mod, keyed, mix64, rows_of
 
-BITS, DIM, WINDOW, PER_CLASS = 18, 8, 3, 600
+BITS, DIM, WINDOW, PER_CLASS = 18, 8, 2, 600
 LONGEST, PIECE = 40, 12
 WORDS_KEPT = 500_000
 _EDGE = ".,;:!?\"'()[]{}<>|-_/\\=+`~^"

@@ -271,7 +271,15 @@ def test_toxicity_scores_whole_words():
 
 def test_language_features_of_whole_words():
     start = "abcdefgh" * 6
-    assert len(langid.features(start + "qzwxqzw")) > len(langid.features(start)) + 3
+    count = lambda word: len(set(np.concatenate(langid.features([word])[0]).tolist()))
+    assert count(start + "qzwxqzw") > count(start) + 3
+
+
+def test_language_id_without_letters_to_learn_from(spark):
+    rows = [(i, "the cat sat" if i % 4 == 2 else t, "en") for i, t in enumerate([" ", "", "12 !", None] * 6)]
+    got = langid.language_id(spark.createDataFrame(rows + [(90, "any text", None)], "doc_id long, text string, lang string").where("crc32(cast(cast(doc_id as string) as binary)) % 4 = 2 OR text IS NULL OR NOT text RLIKE '[a-z]'")).collect()
+    assert got and all(r["lang_pred"] == "und" and r["score"] == 0 for r in got)
+    assert langid.language_id(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
 
 
 def test_contamination(spark):
@@ -315,16 +323,59 @@ def test_alignment_equals_table():
         assert contamination.alignment_share(a, b) == naive_alignment(a.tolist(), b.tolist())
 
 
-def test_chat(spark):
-    rows = [(1, 0, "system", "Be brief."), (1, 1, "user", "What is it?"), (1, 2, "assistant", "A thing.\nIt has two lines."), (1, 3, "user", None), (2, 0, "user", "Hello there?"), (2, 1, "assistant", "Good day to you."), (3, None, None, "")]
-    rows += [(10 + k, t, ("user", "assistant")[t % 2], "Why so?" if t % 2 == 0 else "Because of many things, which I now list.") for k in range(30) for t in range(6)]
-    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(3)
-    got = {r["conv_id"]: r for r in chat.chat_turns(df).collect()}
-    assert got[12]["roles"] == "user assistant " * 2 + "user assistant" and got[3]["n_turns"] == 0
-    assert "<|assistant|>\nA thing.\nIt has two lines.\n<|end|>\n" in got[1]["rendered"]
-    assert chat.chat_turns(df.limit(0)).count() == 0
-    model = chat.counted(df)
-    assert [r for r, _ in chat.decode(model, "Human: hi?\n### AI\nhello\n[system] stop")] == ["user", "assistant", "system"]
+def talk(rng, convs, turns=6):
+    rows = []
+    for k in range(convs):
+        for t in range(turns):
+            role = ("user", "assistant")[t % 2] if t or k % 3 else "system"
+            text = {"system": "You are a careful helper.", "user": f"Why is {rng.choice(words(rng, 3))} so?"}.get(role) or "\n".join(f"Because of {' '.join(words(rng, 9))}." for _ in range(rng.randint(1, 3)))
+            rows.append((k, t, role, text))
+    return rows
+
+
+CONVERSATIONS = "conv_id long, turn int, role string, text string"
+
+
+def test_chat_recovers_roles_not_fitted_on(spark):
+    rng = random.Random(31)
+    rows = talk(rng, 160) + [(900, 0, "user", None), (901, None, None, ""), (902, 0, "tool", "Some output"), (None, 0, "user", "Hi?"), (903, 0, "user", "One?"), (903, 0, "user", "One?")]
+    got = {r["conv_id"]: r for r in chat.chat_turns(spark.createDataFrame(rows, CONVERSATIONS).repartition(3)).collect()}
+    held = [k for k in range(160) if got[k]["held_out"]]
+    assert all((zlib.crc32(str(k).encode()) % 4 == 2) == got[k]["held_out"] for k in range(160)) and len(held) > 20
+    want = {k: [r for c, _, r, _ in rows if c == k] for k in held}
+    assert np.mean([got[k]["roles"].split() == want[k] for k in held]) > 0.9
+    assert got[900]["n_turns"] == got[901]["n_turns"] == 0 and got[902]["n_turns"] == 1 and got[903]["rendered"].count("One?") == 2 and None not in got
+    for k in held:
+        if got[k]["roles"].split() == want[k]:
+            assert got[k]["rendered"] == chat.render([(r, t) for c, _, r, t in rows if c == k])
+    assert chat.chat_turns(spark.createDataFrame([], CONVERSATIONS)).count() == 0
+
+
+def test_chat_across_parts_equals_whole(spark, monkeypatch):
+    rng = random.Random(32)
+    df = spark.createDataFrame(talk(rng, 40, 9), CONVERSATIONS)
+    whole = {r["conv_id"]: r for r in chat.chat_turns(df).collect()}
+    monkeypatch.setattr(chat, "PART", 2)
+    parts = chat.chat_turns(df).toPandas().sort_values(["conv_id", "part"]).groupby("conv_id")
+    assert {k: " ".join(x for x in g.roles if x) for k, g in parts} == {k: r["roles"] for k, r in whole.items()}
+    assert {k: "".join(g.rendered) for k, g in parts} == {k: r["rendered"] for k, r in whole.items()}
+
+
+def test_viterbi_equals_enumeration():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 4):
+        log = lambda *shape: np.log(rng.dirichlet(np.ones(shape[-1]), shape[:-1]))
+        model = {"emit": log(chat.K, chat.OBSERVATIONS), "trans": log(chat.K, chat.K), "start": log(1, chat.K)[0]}
+        seen = rng.integers(0, chat.OBSERVATIONS, n).tolist()
+        score = lambda p: model["start"][p[0]] + model["emit"][p[0], seen[0]] + sum(model["trans"][a, b] + model["emit"][b, o] for a, b, o in zip(p, p[1:], seen[1:]))  # noqa: E731, B023
+        best = max(itertools.product(range(chat.K), repeat=n), key=score)
+        path, value = chat.viterbi(model, seen)
+        assert tuple(path) == best and np.isclose(value, score(best))
+
+
+def test_chat_markers():
+    assert [chat.marker(x)[0] for x in ("User: hi", "### Assistant", "[system] be", "<Human> x", "**AI:** x", "A", "System] x", "a thing", "Question of taste", "### A list")] == [1, 2, 0, 1, 2, -1, -1, -1, -1, -1]
+    assert [w for _, w, _ in chat.observed("### User\nWhy?\n\nAnswer: so")] == ["### User\nWhy?", "Answer: so"]
 
 
 def test_licenses(spark):
