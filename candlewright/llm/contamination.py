@@ -5,9 +5,11 @@ word 3-grams are seeds.  A bit table of fixed size tells which grams of a docume
 words around them are cut out as regions, and an exact join on gram hashes follows, so the table's
 size never decides a result.
 
-Candidates.  Every gram of a passage is a seed, however many documents hold it: a passage copied
-into a third of the corpus is found, and so is an edited or partial copy beside the exact ones.  A
-pair of region and passage with ``SEEDS`` different seeds is a candidate.  Hits of a gram with more
+Candidates.  A gram of a passage is a seed if at most ``ITEMS`` passages hold it, or if it is among the
+passage's ``LEAST`` rarest; phrases that all items share, such as a question's opening, are none where a
+passage has enough of its own.  Rarity is counted in the benchmark alone, however many documents hold a
+gram: a passage copied into a third of the corpus is found, and so is an edited or partial copy beside
+the exact ones.  A pair of region and passage with ``SEEDS`` different seeds is a candidate.  Hits of a gram with more
 than ``HOT`` regions are dealt out to several keys of the join.
 
 Alignment.  Smith-Waterman on words (match 2, mismatch -1, gap -1) scores each candidate, as a share
@@ -28,12 +30,13 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlewright.llm.common import batch, keyed, mix64, rows_of, Scratch
 
 GRAM, PASSAGE, REGION, SEEDS, SHARE, HOT = 3, 64, 256, 2, 0.5, 20_000
+ITEMS, LEAST = 64, 24
 TABLE_BITS = 25
 MATCH, MISMATCH, GAP = 2, -1, -1
 _EDGE = b".,;:!?\"'()[]{}<>|*#$%&"
@@ -70,6 +73,14 @@ def passages(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(cut, "item_id long, passage long, words binary, grams array<long>")
 
 
+def seed_grams(tests: DataFrame) -> DataFrame:
+    """(item_id, passage, gram): the seeds of each passage."""
+    grams = tests.select("item_id", "passage", F.explode("grams").alias("gram"))
+    counted = grams.join(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram")
+    rank = F.row_number().over(Window.partitionBy("item_id", "passage").orderBy("n", "gram"))
+    return counted.withColumn("rank", rank).where((F.col("n") <= ITEMS) | (F.col("rank") <= LEAST)).select("item_id", "passage", "gram")
+
+
 def seed_table(grams: DataFrame) -> np.ndarray:
     """A bit table of seeds: slots are distinct table places, so at most 2**TABLE_BITS of them."""
     table = np.zeros(1 << TABLE_BITS - 3, np.uint8)
@@ -127,7 +138,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, na
     spark = docs.sparkSession
     scratch = Scratch(spark, name)
     tests = scratch.save(passages(benchmark.where("text IS NOT NULL")).where(F.size("grams") > 0), "passages")
-    grams = tests.select("item_id", "passage", F.explode("grams").alias("gram"))
+    grams = scratch.save(seed_grams(tests), "seeds")
     spread = spark.sparkContext.broadcast(seed_table(grams))  # of fixed size
     found = scratch.save(regions(docs, spread), "regions")
     spread.destroy()

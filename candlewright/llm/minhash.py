@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from candlewright.llm.common import batch, keyed, mix64, rows_of, salt, Scratch
 from candlewright.llm.components import components
 
-SHINGLE, HASHES, BANDS, BLOCK = 5, 128, 32, 1024
+SHINGLE, HASHES, BANDS, BLOCK, PAIRS = 5, 128, 32, 1024, 256
 #: Pairs whose share of equal minima is below this are not confirmed: five deviations under 0.75.
 ESTIMATE = 0.55
 _rng = np.random.default_rng(20240607)
@@ -146,7 +146,7 @@ def confirmed_pairs(pairs: DataFrame, blobs: DataFrame, percent: int) -> DataFra
     texts per doc_id.
 
     The text of v travels to u's group; a group of many pairs is split, each part with u's text."""
-    spread = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    spread = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / PAIRS).alias("parts"))
     pairs = pairs.join(spread, "u").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts"))).select("u", "part", "v")
     heads = pairs.select("u", "part", F.col("u").alias("v")).distinct()
     rows = pairs.unionByName(heads).join(blobs.withColumnRenamed("doc_id", "v"), "v")

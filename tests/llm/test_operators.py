@@ -258,6 +258,46 @@ def test_toxicity(spark):
     assert toxicity.toxicity(frame(spark, rows), labels.limit(0)).agg({"score": "max"}).first()[0] < 1e-9
 
 
+def test_toxicity_scores_equal_plain_loops():
+    rng = random.Random(7)
+    rows = [(" ".join(words(rng, 30) + (["you", "blockhead"] if i % 3 == 0 else []) + words(rng, 10)), int(i % 3 == 0)) for i in range(120)]
+    model = toxicity.train(rows, rounds=30)
+    step, top = int(toxicity._STEP), (1 << 64) - 1
+
+    def mixed(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & top
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & top
+        return x ^ x >> 31
+
+    def value(word):
+        codes = [ord(c) for c in f"<{word.strip(toxicity._EDGE).lower()}>"]
+        places = []
+        if len(codes) > 2:
+            for n in (3, 4, 5):
+                for i in range(len(codes) - n + 1):
+                    h = codes[i]
+                    for c in codes[i + 1 : i + n]:
+                        h = (h * step + c) & top
+                    places.append(mixed(h + n - 1 & top) >> 64 - toxicity.BITS)
+            power, whole = 1, 0
+            for c in codes:
+                power = power * step & top
+                whole = whole + c * power & top
+            places.append(mixed(whole) >> 64 - toxicity.BITS)
+        return float(np.mean(model["table"][places].astype(float))) if places else 0.0
+
+    def plain(text):
+        values = [value(w) for w in toxicity.pieces(text)]
+        n = min(toxicity.WINDOW, len(values))
+        best = max((sum(values[i : i + n]) / n for i in range(len(values) - n + 1)), default=0.0) if n else 0.0
+        return 1 / (1 + np.exp(-(best + model["bias"])))
+
+    texts_ = [t for t, _ in rows[:20]] + ["", "...", "You BLOCKHEAD!", "blockheads", "x" * 300, "ab"]
+    assert np.allclose(toxicity.Scorer(model).scores(texts_), [plain(t) for t in texts_], atol=1e-6)
+
+
 def test_toxicity_scores_whole_words():
     rng = random.Random(6)
     rows = [(" ".join(words(rng, 40) + (["you", "blockhead"] if i % 3 == 0 else []) + words(rng, 40)), int(i % 3 == 0)) for i in range(200)]
@@ -308,6 +348,27 @@ def test_contamination_finds_edited_copies_beside_exact_ones(spark):
         assert set(got) == {(100 * k + i, k) for k in range(2) for i in [*range(40), 50]} and got[50, 0] == pytest.approx(0.7, abs=0.02)
 
 
+def test_contamination_equals_all_pairs(spark):
+    """The query against an alignment of every document with every item, over rates of edits."""
+    rng = random.Random(17)
+    opening = words(rng, 8)
+    items = [opening + words(rng, 40) for _ in range(8)]
+    rows = []
+    for k, item in enumerate(items):
+        for rate in (0.0, 0.1, 0.2, 0.3):
+            copy = [w if rng.random() >= rate else f"e{rng.random():.9f}" for w in item]
+            rows.append((len(rows), " ".join(words(rng, 30) + copy + words(rng, 30))))
+    rows += [(len(rows) + j, " ".join(words(rng, 80) + opening)) for j in range(6)]
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    want = {(i, k): naive_alignment(contamination.word_hashes(" ".join(w)).tolist(), contamination.word_hashes(t).tolist()) for i, t in rows for k, w in enumerate(items)}
+    want = {pair: s for pair, s in want.items() if s >= contamination.SHARE}
+    for common in (64, 2):  # below 8 items, the opening is no seed
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(contamination, "ITEMS", common)
+            got = {(r["doc_id"], r["item_id"]): r["score"] for r in contamination.contaminated(frame(spark, rows), benchmark).collect()}
+        assert got == pytest.approx(want)
+
+
 def naive_alignment(a, b):
     h = np.zeros((len(a) + 1, len(b) + 1), int)
     for i, x in enumerate(a, 1):
@@ -378,8 +439,43 @@ def test_chat_markers():
     assert [w for _, w, _ in chat.observed("### User\nWhy?\n\nAnswer: so")] == ["### User\nWhy?", "Answer: so"]
 
 
+def licence_files():
+    mit, apache = licenses.TEMPLATES["MIT"][1], licenses.TEMPLATES["Apache-2.0"][0]
+    rng = random.Random(41)
+    filler = " ".join(words(rng, 300))
+    rows = [("a/LICENSE", "Copyright (c) 2019 Some One\n\n" + mit), ("a/x.py", "code"), ("a/b/y.py", "code\n" + apache + "\nmore"), ("a/b/c/z.py", ""), ("a/b/c/LICENSE.txt", apache), ("a/b/c/d/w.py", None), ("q.py", "x"), (None, "license?"), ("a/x.py", "code"), ("LICENSE", "All rights")]
+    rows += [("long/deep.txt", f"{filler} Our little project is released under the MIT License, see https://example.org for more. {filler}"), ("own/c.c", f"{filler}\n * Copyright 2020 Example Corp. All rights reserved.\n{filler}"), ("own/plain.txt", filler + " software of any kind and the license of rights")]
+    rows += [("gpl/COPYING", licenses.TEMPLATES["GPL-3.0"][1].replace("program", "library")), ("gpl/src/deep/er/f.c", filler), ("bsd/LICENSE.md", licenses.TEMPLATES["BSD-3-Clause"][0].replace("copyright holder", "Regents"))]
+    return rows
+
+
 def test_licenses(spark):
-    mit, apache = licenses.TEMPLATES["MIT"][0], licenses.TEMPLATES["Apache-2.0"][1]
-    rows = [("a/LICENSE", mit), ("a/x.py", "code"), ("a/b/y.py", "code\n" + apache + "\nmore"), ("a/b/c/z.py", ""), ("a/b/c/LICENSE.txt", apache), ("a/b/c/d/w.py", None), ("q.py", "x"), (None, "license?"), ("a/x.py", "code")]
-    got = {(r["path"], r["license"], r["origin"]) for r in licenses.licences(spark.createDataFrame(rows, "path string, text string")).collect()}
-    assert got == {("a/LICENSE", "MIT", "own"), ("a/x.py", "MIT", "directory"), ("a/b/y.py", "Apache-2.0", "own"), ("a/b/c/z.py", "Apache-2.0", "directory"), ("a/b/c/LICENSE.txt", "Apache-2.0", "own"), ("a/b/c/d/w.py", "Apache-2.0", "directory"), ("q.py", None, "none"), (None, None, "none")}
+    rows = licence_files()
+    got = Counter((r["path"], r["license"], r["origin"]) for r in licenses.licences(spark.createDataFrame(rows, "path string, text string")).collect())
+    want = [("a/LICENSE", "MIT", "own"), ("a/x.py", "MIT", "directory"), ("a/b/y.py", "Apache-2.0", "own"), ("a/b/c/z.py", "Apache-2.0", "directory"), ("a/b/c/LICENSE.txt", "Apache-2.0", "own"), ("a/b/c/d/w.py", "Apache-2.0", "directory"), ("q.py", None, "none"), (None, None, "none"), ("a/x.py", "MIT", "directory"), ("LICENSE", None, "none")]
+    want += [("long/deep.txt", "MIT", "own"), ("own/c.c", "proprietary", "own"), ("own/plain.txt", None, "none"), ("gpl/COPYING", "GPL-3.0", "own"), ("gpl/src/deep/er/f.c", "GPL-3.0", "directory"), ("bsd/LICENSE.md", "BSD-3-Clause", "own")]
+    assert got == Counter(want)
+    assert licenses.licences(spark.createDataFrame([], "path string, text string")).count() == 0
+
+
+def test_licence_scan_equals_all_windows():
+    """Every window against every template, without the heavy terms' short cut."""
+    rng = random.Random(43)
+    matcher = licenses.Matcher({"the": 0.9, "of": 0.8, "under": 0.05, "license": 0.01, "rights": 0.02})
+    notices = [n for found in licenses.TEMPLATES.values() for n in found]
+    for _ in range(12):
+        notice = rng.choice(notices).split()
+        text = " ".join(words(rng, rng.randint(0, 60)) + [w for w in notice if rng.random() < 0.9] + words(rng, rng.randint(0, 60)))
+        tokens, best = licenses.terms(text), 0.0
+        for size, templates in matcher.sizes.items():
+            for at in range(0, len(tokens), 1 if size <= 16 else size // 4):
+                v = matcher.vector(Counter(tokens[at : at + size]))
+                best = max([best, *(sum(x * v.get(t, 0.0) for t, x in vector.items()) for _, vector, _ in templates)])
+        name, score = matcher.best(text)
+        assert (name is not None) == (best >= licenses.COSINE) and (name is None or np.isclose(score, best))
+
+
+def test_licences_do_not_depend_on_the_number_of_files(spark):
+    rows, more = licence_files(), [(f"other/f{i}.txt", " ".join(words(random.Random(i), 20))) for i in range(400)]
+    few, many = ({r["path"]: r["license"] for r in licenses.licences(spark.createDataFrame(x, "path string, text string")).collect()} for x in (rows, rows + more))
+    assert all(many[p] == few[p] for p, _ in rows)
