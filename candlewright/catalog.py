@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candlewright.plans import studies  # noqa: F401  registers its queries
+from candlewright.plans import research, studies  # noqa: F401  register their queries
 from candlewright.plans.queries import QUERIES, Query, bollinger_outliers
 
 

@@ -31,12 +31,12 @@ def usable(o: str = "open", h: str = "high", lo: str = "low", c: str = "close")
 
 
 def round_price(x: Column, market: Column) -> Column:
-    """Currencies keep 5 decimals, other markets 4; small prices keep 6 and 5 significant digits."""
+    """Currencies keep 5 decimals, other markets 4; prices under 1 keep 5 and 6 significant digits.  Half
+    goes up on the scaled value, as in the engine's levels."""
     forex = market == "FOREX"
-    digits = F.when(forex, 6).otherwise(5) - 1 - F.floor(F.log10(F.abs(x)))
-    scale = F.pow(F.lit(10.0), digits)
-    small = F.round(x * scale) / scale
-    return F.when(x == 0, F.lit(0.0)).when(F.abs(x) < 1, small).otherwise(F.when(forex, F.round(x, 5)).otherwise(F.round(x, 4)))
+    small = F.pow(F.lit(10.0), F.when(forex, 4).otherwise(5) - F.floor(F.log10(F.abs(x))))
+    scale = F.when((F.abs(x) < 1) & (x != 0), small).otherwise(F.when(forex, 1e5).otherwise(1e4))
+    return F.floor(x * scale + 0.5) / scale
 
 
 def round_half_up(decimals: int):

@@ -54,30 +54,48 @@ def cross_rank(df: DataFrame, column: str, step: list[str], least: int = 3, name
     return df.withColumn(name, F.when(F.col(column).isNotNull() & (m >= least) & (m > 1), place / (m - 1) - 0.5))
 
 
-def rolling_percentile(df: DataFrame, column: str, n: int, least: int, name: str = "pct") -> DataFrame:
-    """Mid-rank share of the current value among the last n, itself included.
-
-    No frame function ranks inside a frame, so a sorted buffer walks each series."""
+def percentile_array(x: np.ndarray, n: int | None, least: int, kind: str = "mid") -> np.ndarray:
+    """Share of a sorted buffer of the last ``n`` values (none: all so far) that lies below each value.
+
+    ``mid`` counts ties as half and the value itself, ``upto`` counts all that are not above, itself
+    included, ``before`` likewise among earlier values alone.  Under ``least`` values there is none."""
+    held: list[float] = []
+    out = np.full(len(x), np.nan)
+    values = x.tolist()
+    keep = n if kind != "before" or n is None else n + 1
+    for i, v in enumerate(values):
+        if keep is not None and i >= keep and values[i - keep] == values[i - keep]:
+            held.pop(bisect.bisect_left(held, values[i - keep]))
+        if v != v:
+            continue
+        lo, hi = bisect.bisect_left(held, v), bisect.bisect_right(held, v)
+        if kind == "before" and len(held) >= least:
+            out[i] = hi / len(held)
+        held.insert(hi, v)
+        if kind != "before" and len(held) >= least:
+            out[i] = (lo + (hi - lo + 1) / 2 if kind == "mid" else hi + 1) / len(held)
+    return out
+
+
+def percentiles(df: DataFrame, columns: dict[str, str], n: int | None, least: int, kind: str = "mid") -> DataFrame:
+    """Adds, for each column, its percentile under the given name.
+
+    No frame function ranks inside a frame, so sorted buffers walk each series, all columns in one pass."""
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts", kind="stable").reset_index(drop=True)
-        x = pdf[column].to_numpy(float)
-        held: list[float] = []
-        out = np.full(len(x), np.nan)
-        for i, v in enumerate(x):
-            if i >= n and not np.isnan(x[i - n]):
-                held.pop(bisect.bisect_left(held, x[i - n]))
-            if not np.isnan(v):
-                bisect.insort(held, v)
-                if len(held) >= least:
-                    lo, hi = bisect.bisect_left(held, v), bisect.bisect_right(held, v)
-                    out[i] = (lo + (hi - lo) / 2) / len(held)
-        pdf[name] = out
+        for column, name in columns.items():
+            pdf[name] = percentile_array(pdf[column].to_numpy(float), n, least, kind)
         return pdf
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", {name} double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + "".join(f", {name} double" for name in columns.values())
     out = df.groupBy(*SERIES).applyInPandas(fill, schema)
-    return out.withColumn(name, F.nanvl(name, F.lit(None)))
+    return out.withColumns({name: F.nanvl(name, F.lit(None)) for name in columns.values()})
+
+
+def rolling_percentile(df: DataFrame, column: str, n: int, least: int, name: str = "pct") -> DataFrame:
+    """Mid-rank share of the current value among the last n, itself included."""
+    return percentiles(df, {column: name}, n, least)
 
 
 def with_returns(bars: DataFrame) -> DataFrame:
@@ -152,3 +170,88 @@ def breadth(bars: DataFrame) -> DataFrame:
     r = with_returns(bars).where("log_ret IS NOT NULL")
     step = r.groupBy("timeframe", "ts").agg(F.avg((F.col("log_ret") > 0).cast("double")).alias("breadth1"), F.avg("log_ret").alias("index_ret"), F.stddev_pop("log_ret").alias("dispersion"), F.count(F.lit(1)).alias("names"))
     return step.withColumn("index_cum", F.sum("index_ret").over(Window.partitionBy("timeframe").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def sum_back(column: str, n: int) -> Column:
+    return F.sum(column).over(last(n))
+
+
+def on_index(bars: DataFrame) -> DataFrame:
+    """Bars with log_ret, index_ret (equal-weight mean of all names at the time) and index_cum."""
+    step = breadth(bars).select("timeframe", "ts", "index_ret", "index_cum")
+    return with_returns(bars).join(step, ["timeframe", "ts"], "left")
+
+
+def against_index(bars: DataFrame, beta: int = 120, corr: int = 60, step: int = 20) -> DataFrame:
+    """Adds corr60 (with the index), its change over as many bars, beta120, and idio20: momentum less beta
+    times the index's own."""
+    b = rolling_corr_beta(on_index(bars), "log_ret", "index_ret", corr).drop("beta").withColumnRenamed("corr", "corr60")
+    b = rolling_corr_beta(b, "log_ret", "index_ret", beta).drop("corr").withColumnRenamed("beta", "beta120")
+    w = series()
+    mom = F.ln("close") - F.ln(F.lag("close", step).over(w))
+    moved = F.col("index_cum") - F.lag("index_cum", step).over(w)
+    return b.withColumn("corr_change", F.col("corr60") - F.lag("corr60", corr).over(w)).withColumn("idio20", mom - F.col("beta120") * moved)
+
+
+def cumulative(bars_on_grid: DataFrame) -> DataFrame:
+    """On a grid of times: the last known price, and the sum of log returns so far (a missing bar adds
+    nothing); null before a series begins."""
+    w = series()
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    known = F.last("close", ignorenulls=True)
+    before = known.over(w.rowsBetween(Window.unboundedPreceding, -1))
+    b = bars_on_grid.withColumn("filled", known.over(run)).withColumn("_r", F.when(F.col("close").isNotNull() & before.isNotNull(), F.ln(F.col("close") / before)))
+    return b.withColumn("cum", F.when(F.col("filled").isNotNull(), F.coalesce(F.sum("_r").over(run), F.lit(0.0)))).drop("_r")
+
+
+def group_breadth(bars: DataFrame, least: int = 3) -> DataFrame:
+    """Per time step: breadth of 1 and 20 bars around a half, dispersion of 20-bar momentum, mean
+    correlation with the index, and the z-scores of the last two over 20 steps."""
+    b = against_index(momentum(bars, (20,)))
+    share = lambda c: F.when(F.count(c) >= least, F.avg((F.col(c) > 0).cast("double")) - 0.5)
+    step = b.groupBy("timeframe", "ts").agg(share("log_ret").alias("breadth1"), share("mom_20").alias("breadth20"), F.when(F.count("mom_20") >= least, F.stddev_pop("mom_20")).alias("disp20"), F.when(F.count("corr60") >= least, F.avg("corr60")).alias("avg_corr"))
+    w = Window.partitionBy("timeframe").orderBy("ts").rowsBetween(-19, 0)  # one row per time step
+    z = lambda c: F.when((F.count(c).over(w) == 20) & (F.stddev_pop(c).over(w) > 1e-12), (F.col(c) - F.avg(c).over(w)) / F.stddev_pop(c).over(w))
+    return step.withColumn("disp_z", z("disp20")).withColumn("corr_z", z("avg_corr"))
+
+
+#: Hours (UTC) of the sessions' overlap and of the quiet session.
+OVERLAP, QUIET = (13, 16), (0, 7)
+
+
+def sessions(bars: DataFrame, per_day: int = 24) -> DataFrame:
+    """Adds overlap, quiet, monday, friday and day progress to calendar features."""
+    hour = F.hour("ts")
+    b = bars.withColumn("overlap", (hour >= OVERLAP[0]) & (hour < OVERLAP[1])).withColumn("quiet", (hour >= QUIET[0]) & (hour < QUIET[1]))
+    b = b.withColumn("monday", F.col("weekday") == 2).withColumn("friday", F.col("weekday") == 6)
+    return b.withColumn("progress", F.least(F.lit(1.0), (F.col("bar_of_day") - 1) / (per_day - 1)))
+
+
+def range_features(bars_with_atr: DataFrame) -> DataFrame:
+    """Adds range_z20, squeeze (log ATR of 5 over 20 bars), bb_width, gap_atr, vwap_atr and out_of_range."""
+    w = series()
+    before = F.lag("close").over(w)
+    b = bars_with_atr.withColumn("span_pct", F.try_divide(F.col("high") - F.col("low"), "close")).withColumn("typical", (F.col("high") + F.col("low") + F.col("close")) / 3)
+    b = b.withColumn("flow", F.col("typical") * F.col("volume")).withColumn("range_z20", rolling_z("span_pct", 20, 15))
+    atr5, atr20 = valid(F.avg("true_range").over(last(5)), "true_range", 5, 4), valid(F.avg("true_range").over(last(20)), "true_range", 20, 15)
+    b = b.withColumn("squeeze", F.when((atr5 > 0) & (atr20 > 0), F.ln(atr5 / atr20)))
+    b = b.withColumn("bb_width", valid(F.try_divide(4 * F.stddev_pop("close").over(last(20)), F.avg("close").over(last(20))), "close", 20, 20))
+    b = b.withColumn("gap_atr", F.when(F.col("atr") > 0, (F.col("open") - before) / F.col("atr")))
+    b = b.withColumn("vwap_atr", F.when((F.col("atr") > 0) & (F.count("flow").over(last(20)) >= 12), (F.col("close") - F.try_divide(sum_back("flow", 20), sum_back("volume", 20))) / F.col("atr")))
+    top, bottom = F.greatest("open", "close"), F.least("open", "close")
+    return b.withColumn("out_of_range", F.greatest((top - F.col("high")) / F.col("close"), (F.col("low") - bottom) / F.col("close"), F.lit(0.0))).drop("typical", "flow", "span_pct")
+
+
+def gap_features(bars_with_atr: DataFrame) -> DataFrame:
+    """Gap and the reversal of the previous bar, both in units of the previous bar's ATR share."""
+    w = series()
+    pc, ppc = F.lag("close").over(w), F.lag("close", 2).over(w)
+    share = F.lag("atr").over(w) / pc
+    base = F.coalesce((pc - ppc) / ppc, (pc - F.lag("open").over(w)) / F.lag("open").over(w))
+    return bars_with_atr.withColumn("gap_z", F.when(share > 0, (F.col("open") - pc) / pc / share)).withColumn("rev_prev", F.when(share > 0, -base / share))
+
+
+def turnover_features(bars: DataFrame) -> DataFrame:
+    """z-score of log turnover over 20 bars, and the volume's z-score with the bar's sign."""
+    b = bars.withColumn("log_turnover", F.when((F.col("volume") > 0) & (F.col("close") > 0), F.ln(F.col("volume") * F.col("close")))).withColumn("turnover_z20", rolling_z("log_turnover", 20))
+    return b.withColumn("signed_vol_z20", rolling_z("volume", 20) * F.signum(F.col("close") - F.col("open"))).drop("log_turnover")

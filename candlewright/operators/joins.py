@@ -28,14 +28,18 @@ def on_grid(bars: DataFrame) -> DataFrame:
     return names.join(times, "timeframe").join(bars, ["market", "symbol", "timeframe", "ts"], "left")
 
 
-def fallback(left: DataFrame, lookups: list[tuple[DataFrame, list[str]]], value: str) -> DataFrame:
-    """Value from the first lookup that has the key; lookups are (table, keys), most specific first."""
+def fallback(left: DataFrame, lookups: list[tuple[DataFrame, list[str]]], value: str, strict: bool = False) -> DataFrame:
+    """Value from the first lookup that has the key; lookups are (table, keys), most specific first.  A
+    ``strict`` lookup fails on a row that none of them has."""
     names = []
     for i, (table, keys) in enumerate(lookups):
         names.append(f"_{value}{i}")
         left = left.join(table.select(*keys, F.col(value).alias(names[-1])), keys, "left")
     level = F.coalesce(*[F.when(F.col(n).isNotNull(), F.lit(i)) for i, n in enumerate(names)])
-    return left.withColumn(value, F.coalesce(*[F.col(n) for n in names])).withColumn("level", level).drop(*names)
+    values = [F.col(n) for n in names]
+    if strict:
+        values.append(F.raise_error(F.lit(f"no {value} for a row")).cast(lookups[0][0].schema[value].dataType))
+    return left.withColumn(value, F.coalesce(*values)).withColumn("level", level).drop(*names)
 
 
 def overlapping(a: DataFrame, b: DataFrame, by: list[str], begin: str, end: str, bucket: int = 50) -> DataFrame:

@@ -73,8 +73,8 @@ def score_rules(df: DataFrame, config: EngineConfig = EngineConfig()) -> DataFra
     before = {c: F.lag(c).over(w) for c in ("rsi14", "macd", "macd_signal", "macd_hist")}
     rsi, macd, line, hist, close = (F.col(c) for c in ("rsi14", "macd", "macd_signal", "macd_hist", "close"))
     flags = patterns()
-    near_support = F.get(F.filter("supports", lambda s: (s < close) & ((close - s) / close < config.level_share)), 0)
-    near_resistance = F.get(F.filter("resistances", lambda r: (r > close) & ((r - close) / close < config.level_share)), 0)
+    near_support = F.get(F.filter("supports", lambda s: (s < close) & (F.try_divide(close - s, close) < config.level_share)), 0)
+    near_resistance = F.get(F.filter("resistances", lambda r: (r > close) & (F.try_divide(r - close, close) < config.level_share)), 0)
     middle = rsi.between(config.rsi_low, config.rsi_high)
     out = df.withColumn("r_rsi_extreme", _rule(rsi < config.rsi_low, rsi > config.rsi_high, config.rsi_extreme))
     out = out.withColumn("r_rsi_cross", _rule(middle & (rsi > 50) & (before["rsi14"] < 50), middle & (rsi < 50) & (before["rsi14"] > 50), config.rsi_cross))
@@ -108,7 +108,7 @@ def deal_levels(config: EngineConfig):
 
         def rounded(x: np.ndarray) -> np.ndarray:
             with np.errstate(divide="ignore", invalid="ignore"):
-                small = 10.0 ** (np.where(forex, 5, 4) - np.floor(np.log10(np.abs(x))))
+                small = 10.0 ** (np.where(forex, 4, 5) - np.floor(np.log10(np.abs(x))))
                 scale = np.where((np.abs(x) < 1) & (x != 0), small, np.where(forex, 1e5, 1e4))
                 return np.floor(x * scale + 0.5) / scale
 

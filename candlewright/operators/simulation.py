@@ -76,7 +76,7 @@ def pick(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.array(chosen, int)
 
 
-def without_overlap(deals: DataFrame) -> DataFrame:
+def without_overlap(deals: DataFrame, by: list[str] = SERIES) -> DataFrame:
     """Keeps the walk-forward's deals: after an exit, the next signal may fire on the exit bar.  Rows
     without an exit_idx are kept where the walk meets them, and don't hold it up."""
 
@@ -84,7 +84,7 @@ def without_overlap(deals: DataFrame) -> DataFrame:
         pdf = pdf.sort_values("bar_idx", kind="stable")
         return pdf.iloc[pick(pdf["bar_idx"].to_numpy(), pdf["exit_idx"].fillna(-1).to_numpy())]
 
-    return deals.groupBy(*SERIES).applyInPandas(choose, deals.schema)
+    return deals.groupBy(*by).applyInPandas(choose, deals.schema)
 
 
 def walk_forward(scored: DataFrame, hold: int = 10, min_history: int = 60, risk_model: str = "planned", fees_r: float = 0.0, entries: tuple | None = None) -> DataFrame:
@@ -102,6 +102,48 @@ def walk_forward(scored: DataFrame, hold: int = 10, min_history: int = 60, risk_
     return without_overlap(out)
 
 
+#: Regime gates by name, and the combinations that are compared.
+REGIME_VARIANTS = {"BASE": (), "T1": ("T1",), "T2": ("T2",), "M1": ("M1",), "M2": ("M2",), "V1": ("V1",), "V2": ("V2",), "T1+V2": ("T1", "V2"), "T2+M1": ("T2", "M1"), "T2+V2": ("T2", "V2"), "T2+M1+V2": ("T2", "M1", "V2")}
+
+
+def regime_gates(rank: str = "atr_rank") -> dict[str, Column]:
+    """Gates on a scored bar: trend not sideways (T1) or with the action (T2); price on the action's side
+    of the long mean, which must exist (M1) or may be missing (M2); ATR share not in the top 20 % (V1) or
+    33 % (V2) of its own past."""
+    buy, up = F.col("action") == "BUY", F.col("close") > F.col("sma200")
+    sided = F.when(buy, up).otherwise(F.col("close") < F.col("sma200"))
+    quiet = lambda share: F.coalesce(F.col(rank) <= share, F.lit(True))
+    return {"T1": F.col("trend") != "sideways", "T2": F.col("trend") == F.when(buy, "uptrend").otherwise("downtrend"), "M1": F.coalesce(sided, F.lit(False)), "M2": F.coalesce(sided, F.lit(True)), "V1": quiet(0.80), "V2": quiet(0.67)}
+
+
+def regime_walk(scored: DataFrame, hold: int = 10, min_history: int = 60) -> DataFrame:
+    """The walk-forward of every regime variant from one set of signals: exits are simulated once, each
+    candidate goes to the variants whose gates it passes, and each variant chooses its own deals."""
+    candidates = with_ahead(scored, hold).where(F.col("has_signal") & F.col("action").isin("BUY", "SELL") & (F.col("bar_idx") >= max(50, min_history)))
+    gates = regime_gates()
+    passed = [F.when(F.coalesce(*[F.when(~gates[g], F.lit(False)) for g in names], F.lit(True)), F.lit(variant)) for variant, names in REGIME_VARIANTS.items()]
+    candidates = candidates.withColumn("variants", F.array_compact(F.array(*passed)))
+    deals = exits(candidates.select(*SERIES, "bar_idx", "ts", "action", "entry_price", "stop_loss", "take_profit", "variants", "ahead"), hold).where("status = 'deal' AND r_planned IS NOT NULL")
+    return without_overlap(deals.select(*SERIES, "bar_idx", "action", "exit_idx", F.col("r_planned").alias("r"), F.explode("variants").alias("variant")), [*SERIES, "variant"])
+
+
+def directed(bars_with_atr: DataFrame, direction: Column, hold: int, stop_atr: float = 1.5, target_atr: float = 3.0) -> DataFrame:
+    """Deals that enter at the signal bar's close in the given direction (1, -1; null for none), one at a
+    time per series: the next one begins after the bar of the last exit.  ``gross`` is the share gained."""
+    b = with_ahead(bars_with_atr, hold).withColumn("sign", direction).where("sign IS NOT NULL AND atr > 0 AND close > 0")
+    b = b.withColumn("action", F.when(F.col("sign") > 0, "BUY").otherwise("SELL")).withColumn("entry_price", F.col("close"))
+    b = b.withColumn("stop_loss", F.col("close") - F.col("sign") * stop_atr * F.col("atr")).withColumn("take_profit", F.col("close") + F.col("sign") * target_atr * F.col("atr")).where("stop_loss > 0 AND take_profit > 0")
+    d = exits(b, hold).where("status = 'deal'").select(*SERIES, "bar_idx", "sign", "entry_price", "exit", "reason", F.col("exit_idx").alias("last_idx"))
+    d = d.withColumn("gross", (F.col("exit") - F.col("entry_price")) / F.col("entry_price") * F.col("sign")).withColumn("exit_idx", F.col("last_idx") + 1)
+    return without_overlap(d).drop("exit_idx").withColumnRenamed("last_idx", "exit_idx")
+
+
+def compared(deals: DataFrame, stored: DataFrame, keys: list[str], value: str = "r") -> DataFrame:
+    """One row: deals that both have, that only one has, and the greatest difference of the value."""
+    both = deals.select(*keys, F.col(value).alias("_a"), F.lit(True).alias("_ours")).join(stored.select(*keys, F.col(value).alias("_b"), F.lit(True).alias("_theirs")), keys, "full_outer")
+    return both.agg(F.count_if(F.col("_ours") & F.col("_theirs")).alias("both"), F.count_if(F.col("_theirs").isNull()).alias("only_new"), F.count_if(F.col("_ours").isNull()).alias("only_stored"), F.max(F.abs(F.col("_a") - F.col("_b"))).alias("max_diff"))
+
+
 def deal_stats(deals: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """Count, wins, losses, rates, drawdown and longest losing streak of deals in order of time."""
     w = Window.partitionBy(*by).orderBy(*order)

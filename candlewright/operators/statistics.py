@@ -216,3 +216,64 @@ def time_split(bars: DataFrame, train: float = 0.6, validation: float = 0.2) ->
     seen = times.withColumn("through", F.sum("c").over(Window.partitionBy("timeframe").orderBy("ts"))).withColumn("total", F.sum("c").over(Window.partitionBy("timeframe")))
     at = lambda share: F.min(F.when(F.col("through") > F.floor(F.col("total") * share), F.col("ts")))
     return seen.groupBy("timeframe").agg(F.max("total").alias("bars"), at(train).alias("train_end"), at(round(train + validation, 9)).alias("validation_end"))
+
+
+def pooled_ic(df: DataFrame, x: str, y: str, by: list[str], cluster: list[str]) -> DataFrame:
+    """Rank correlation pooled over series: ranks are standardised inside each series, so the mean product
+    is the mean of their correlations; its error is clustered."""
+    pairs = average_rank(average_rank(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), x, by, "rx"), y, by, "ry")
+    g = Window.partitionBy(*by)
+    z = lambda c: F.try_divide(F.col(c) - F.avg(c).over(g), F.stddev_pop(c).over(g))
+    return cluster_mean(pairs.withColumn("zz", z("rx") * z("ry")).where("zz IS NOT NULL"), "zz", cluster, [])
+
+
+def sign_test(agree: Column, n: Column) -> Column:
+    """Two-sided p of at least ``agree`` of ``n`` fair coins, from log factorials."""
+    log_fact = lambda k: F.aggregate(F.when(k >= 1, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array(F.lit(1).cast("long"))), F.lit(0.0), lambda a, i: a + F.ln(i))
+    terms = F.transform(F.sequence(agree, n), lambda k: F.exp(log_fact(n) - log_fact(k) - log_fact(n - k) - n * math.log(2)))
+    return F.least(F.lit(1.0), 2 * F.aggregate(terms, F.lit(0.0), lambda a, x: a + x))
+
+
+@F.pandas_udf(DoubleType())
+def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
+    """Two-sided p of Student's t, one value per group."""
+    return pd.Series([None if pd.isna(a) or pd.isna(b) or b <= 0 else t_test_p(float(a), float(b)) for a, b in zip(t, df, strict=True)], dtype=float)
+
+
+def cluster_t_test(df: DataFrame, value: str, cluster: list[str], by: list[str]) -> DataFrame:
+    """Cluster mean with Student's p on clusters less one degrees of freedom."""
+    return cluster_mean(df, value, cluster, by).withColumn("p", student_p("z", (F.col("clusters") - 1).cast("double")))
+
+
+def expanding_ridge(df: DataFrame, features: list[str], target: str, period: str, penalties: tuple[float, ...], first: int = 3, embargo: int = 1) -> DataFrame:
+    """Squared error of each penalty, chosen without looking ahead: for each period from the ``first`` on,
+    weights come from the periods before it, less an embargo of ``embargo`` of them, and are scored on it.
+
+    All that leaves Spark is one row of product sums per period."""
+    names = [*features, target]
+    terms = [F.sum(F.col(a) * F.col(b)).alias(f"p{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if j >= i]
+    rows = df.dropna(subset=names).groupBy(period).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(names)], *terms)
+    rows = rows.orderBy(period).limit(CLUSTERS).toPandas()  # one row per period
+    k, out = len(features), []
+
+    def moments(part: pd.DataFrame) -> tuple[float, np.ndarray, np.ndarray]:
+        n = float(part["n"].sum())
+        s = np.array([part[f"s{i}"].sum() for i in range(k + 1)])
+        q = np.array([[part[f"p{min(i, j)}_{max(i, j)}"].sum() for j in range(k + 1)] for i in range(k + 1)])
+        return n, s, q
+
+    for penalty in penalties:
+        error, count = 0.0, 0.0
+        for at in range(first, len(rows)):
+            n, s, q = moments(rows.iloc[: max(1, at - embargo)])
+            mean = s / n
+            cov = q / n - np.outer(mean, mean)
+            dev = np.sqrt(np.maximum(np.diag(cov)[:k], 1e-300))
+            w = np.linalg.solve(cov[:k, :k] / np.outer(dev, dev) * n + penalty * np.eye(k), cov[:k, k] / dev * n) / dev
+            b = np.append(-w, 1.0)  # target less prediction, without the intercept
+            c = mean[k] - w @ mean[:k]
+            n1, s1, q1 = moments(rows.iloc[at : at + 1])
+            error += b @ q1 @ b - 2 * c * (b @ s1) + c * c * n1
+            count += n1
+        out.append((float(penalty), float(error / count) if count else None, int(count)))
+    return df.sparkSession.createDataFrame(out, "penalty double, error double, n long")

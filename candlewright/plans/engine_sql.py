@@ -53,7 +53,7 @@ near AS (SELECT s.{SERIES.replace(", ", ", s.")}, s.bar_idx, max(v) FILTER (s.ki
 
 def _place(x: str) -> str:
     """Price rounding: half up on the scaled value."""
-    scale = f"CASE WHEN abs({x}) < 1 AND {x} <> 0 THEN 10.0 ** (CASE WHEN market = 'FOREX' THEN 5 ELSE 4 END - floor(log10(abs({x}))))::DOUBLE ELSE CASE WHEN market = 'FOREX' THEN 1e5 ELSE 1e4 END END"
+    scale = f"CASE WHEN abs({x}) < 1 AND {x} <> 0 THEN 10.0 ** (CASE WHEN market = 'FOREX' THEN 4 ELSE 5 END - floor(log10(abs({x}))))::DOUBLE ELSE CASE WHEN market = 'FOREX' THEN 1e5 ELSE 1e4 END END"
     return f"floor({x} * ({scale}) + 0.5) / ({scale})"
 
 

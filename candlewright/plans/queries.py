@@ -217,7 +217,11 @@ SIGNAL = ["action", "strength", "confidence", "entry_price", "stop_loss", "take_
 
 
 SCORES = ["bull", "bear", "r_rsi_extreme", "r_rsi_cross", "r_macd", "r_hist", "r_trend", "r_band", "p_bull", "p_bear"]
-LABELS = F.array_join(F.transform("reasons", lambda x: x["label"]), ",").alias("reasons")
+
+
+def labels():
+    """The reasons' labels as one text."""
+    return F.array_join(F.transform("reasons", lambda x: x["label"]), ",").alias("reasons")
 
 
 def shown(names: list[str]) -> list:
@@ -231,7 +235,7 @@ def _shown(names: list[str]) -> str:
 @register(signals_sql(DAILY_SQL) + f" SELECT {KEYS}, {_shown(SIGNAL)}, {', '.join(SCORES)}, reasons, expires_at FROM sig WHERE has_signal")
 def signals_all_bars(spark, sf_dir):
     s = engine.all_signals(daily_bars(spark, sf_dir)).where("has_signal")
-    return s.select(*KEY, *shown(SIGNAL), *SCORES, LABELS, "expires_at")
+    return s.select(*KEY, *shown(SIGNAL), *SCORES, labels(), "expires_at")
 
 
 NEWS = "(((bar_idx * 7) % 21 - 10) / 10.0)::DOUBLE"
@@ -241,7 +245,7 @@ NEWS = "(((bar_idx * 7) % 21 - 10) / 10.0)::DOUBLE"
 def signals_with_news(spark, sf_dir):
     """Signals of bars that carry a news sentiment."""
     b = hourly_bars(spark, sf_dir).withColumn("news", F.round((F.col("bar_idx") * 7 % 21 - 10) / 10, 1))
-    return engine.all_signals(b).where("has_signal").select(*KEY, "action", "confidence", "bull", "bear", "r_news", LABELS)
+    return engine.all_signals(b).where("has_signal").select(*KEY, "action", "confidence", "bull", "bear", "r_news", labels())
 
 
 PUBLISHED = {"rsi": ("rsi", 2), "macd": ("macd", 4), "macd_signal": ("line", 4), "ma20": ("e20", 4), "ma50": ("ma50", 4), "ma200": ("ma200", 4), "atr": ("atr", 4)}

@@ -1,7 +1,10 @@
-"""Readers and writers: candle JSON, deal CSV, append, upsert, conditional update, delete."""
+"""Readers and writers: candle JSON, deal CSV, universe, append, upsert, conditional update, delete, reports."""
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +20,27 @@ def read_candles(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.col("usable").isNull() | (F.col("ts") >= F.to_timestamp_ntz("usable"))).drop("usable")
 
 
+def read_metadata(spark: SparkSession, path: str, markets: list[str] | None = None, timeframes: list[str] | None = None, symbols: list[str] | None = None) -> DataFrame:
+    """One row per series file, without its bars: the bars' column is pruned from the scan."""
+    files = spark.read.schema("symbol string, market string, timeframe string, quality struct<usable: struct<`from`: string>, verdict: string>").option("multiLine", True).json(path)
+    out = files.select("market", "symbol", "timeframe", F.col("quality.usable.from").alias("usable_from"), F.col("quality.verdict").alias("verdict"))
+    for column, wanted in (("market", markets), ("timeframe", timeframes), ("symbol", symbols)):
+        if wanted is not None:
+            out = out.where(F.col(column).isin(*wanted))
+    return out
+
+
+def read_universe(spark: SparkSession, path: str) -> DataFrame:
+    """(market, symbol, name) of a universe file: a JSON object with a list of symbols per market."""
+    rows = spark.read.schema("markets map<string, array<struct<symbol: string, name: string>>>").option("multiLine", True).json(path)
+    return rows.select(F.explode("markets").alias("market", "names")).select("market", F.explode("names").alias("s")).select("market", "s.symbol", "s.name")
+
+
+def train_only(bars: DataFrame, until: str) -> DataFrame:
+    """The bars before a time; later ones never leave the scan."""
+    return bars.where(F.col("ts") < F.lit(until).cast("timestamp_ntz"))
+
+
 def read_deals(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(DEALS).option("header", True).csv(path)
 
@@ -25,6 +49,34 @@ def write_deals(deals: DataFrame, path: str) -> None:
     deals.write.mode("overwrite").option("header", True).csv(path)
 
 
+def append(rows: DataFrame, path: str) -> None:
+    rows.write.mode("append").parquet(path)
+
+
+def write_report(summary: DataFrame, path: str, title: str) -> None:
+    """A small table as JSON lines and as a Markdown page below ``path``."""
+    rows = [r.asDict() for r in summary.limit(1000).collect()]  # a report, of a thousand rows at most
+    lines = [f"# {title}", "", "| " + " | ".join(summary.columns) + " |", "|" + "---|" * len(summary.columns)]
+    lines += ["| " + " | ".join("" if r[c] is None else str(r[c]) for c in summary.columns) + " |" for r in rows]
+    spark = summary.sparkSession
+    summary.limit(1000).coalesce(1).write.mode("overwrite").json(f"{path}/data")
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/page")
+
+
+def write_ledger(result: DataFrame, config: dict, path: str) -> str:
+    """What a result came from: the hash of its configuration and the files it reads; returns the hash."""
+    text = json.dumps(config, sort_keys=True, default=str)
+    digest = hashlib.sha256(text.encode()).hexdigest()
+    rows = [(digest, text, f) for f in sorted(result.inputFiles())] or [(digest, text, None)]
+    result.sparkSession.createDataFrame(rows, "config_hash string, config string, input string").coalesce(1).write.mode("overwrite").json(path)
+    return digest
+
+
+def slim(scorecard: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns that a client may see."""
+    return scorecard.select(*[c for c in scorecard.columns if c in columns])
+
+
 def upsert(table: DataFrame, rows: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
     """The table after an upsert: new rows win; among new rows of a key the first in ``order``."""
     both = table.withColumn("_new", F.lit(0)).unionByName(rows.withColumn("_new", F.lit(1)))
@@ -42,5 +94,10 @@ def update_where(table: DataFrame, condition: Column, changes: dict[str, Column]
     return table.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in changes.items()})
 
 
+def affected(table: DataFrame, condition: Column, changes: dict[str, Column]) -> DataFrame:
+    """The rows that ``update_where`` changes, as they are afterwards."""
+    return table.where(F.coalesce(condition, F.lit(False))).withColumns(changes)
+
+
 def delete_keys(table: DataFrame, keys: DataFrame) -> DataFrame:
     return table.join(keys, keys.columns, "left_anti")

@@ -95,3 +95,49 @@ def outbox(deliver: Callable[[DataFrame], None], path: str) -> Callable[[DataFra
         spark.range(1).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return sink
+
+
+def closes(quotes: DataFrame, late: str = "1 hour") -> DataFrame:
+    """The one close of each position: a stop before a target inside a quote, nothing after the first.
+
+    ``quotes``: position_id, direction, entry_price, stop_loss, take_profit, low, high, ts."""
+
+    def watch(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.exists:  # closed before: the state is the mark
+            return
+        for row in pd.concat(list(frames)).sort_values("ts", kind="stable").itertuples(index=False):
+            sign = 1 if row.direction == "long" else -1
+            worst, best = (row.low, row.high) if sign == 1 else (row.high, row.low)
+            sided = lambda level, way: level is not None and level == level and level > 0 and (level - row.entry_price) * way > 0  # noqa: E731, B023
+            for level, way, outcome, reached in ((row.stop_loss, -sign, "stop_loss", worst), (row.take_profit, sign, "take_profit", best)):
+                if sided(level, way) and (reached - level) * way >= 0:
+                    state.update((outcome,))
+                    yield pd.DataFrame([(key[0], outcome, level, row.ts)], columns=["position_id", "outcome", "exit_price", "ts"])
+                    return
+
+    schema = "position_id long, outcome string, exit_price double, ts timestamp"
+    return quotes.withWatermark("ts", late).groupBy("position_id").applyInPandasWithState(watch, schema, "outcome string", "append", GroupStateTimeout.NoTimeout)
+
+
+def resolver(signals: DataFrame, bars_path: str, outcomes_path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that resolves recorded signals as bars arrive.
+
+    A batch is stored under its number, so one that is tried again replaces itself.  Signals that have an
+    outcome in another batch are left out; those without one stay open."""
+    from candlewright.operators.simulation import resolve_outcomes
+
+    def stored(spark, path: str, number: int) -> DataFrame | None:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            return None
+        return spark.read.parquet(path).where(F.col("batch") != number)
+
+    def sink(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{bars_path}/batch={number}")
+        done = stored(spark, outcomes_path, number)
+        still = signals if done is None else signals.join(done.select("signal_id"), "signal_id", "left_anti")
+        out = resolve_outcomes(still, spark.read.parquet(bars_path).drop("batch")).where("outcome IS NOT NULL")
+        out.write.mode("overwrite").parquet(f"{outcomes_path}/batch={number}")
+
+    return sink
