@@ -255,6 +255,9 @@ def test_toxicity(spark):
     held = [i for i in range(300) if got[i]["held_out"]]
     assert held and np.mean([got[i]["predicted"] == (i % 3 == 0) for i in held]) > 0.95
     assert got[900]["predicted"] == got[901]["predicted"] == 0 and got[902]["score"] > 0.5 and len(got) == 303
+    assert toxicity.toxicity(frame(spark, []), labels).count() == 0
+    twice = toxicity.toxicity(frame(spark, rows[:5] + rows[:5] + [(None, "you blockhead")]), labels).collect()
+    assert sorted(r["doc_id"] for r in twice) == sorted(2 * [i for i, _ in rows[:5]])
     assert toxicity.toxicity(frame(spark, rows), labels.limit(0)).agg({"score": "max"}).first()[0] < 1e-9
 
 
