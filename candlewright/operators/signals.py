@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlewright.functions.prices import risk_reward
+from candlewright.functions.prices import risk_reward, round_half_up
 from candlewright.operators.indicators import bollinger, patterns, sma, trend, with_atr, with_state
 from candlewright.sources.bars import SERIES, series
 
@@ -154,8 +154,8 @@ INDICATORS = {"rsi": ("rsi14", 2), "macd": ("macd", 4), "macd_signal": ("macd_si
 
 
 def indicator_map() -> Column:
-    """The published indicators by name; missing ones are left out."""
-    values = F.create_map(*[x for name, (column, places) in INDICATORS.items() for x in (F.lit(name), F.round(column, places))])
+    """The published indicators by name, rounded from their exact binary value; missing ones are left out."""
+    values = F.create_map(*[x for name, (column, places) in INDICATORS.items() for x in (F.lit(name), round_half_up(places)(column))])
     return F.map_filter(values, lambda _, v: v.isNotNull())
 
 

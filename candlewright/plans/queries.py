@@ -248,14 +248,15 @@ def signals_with_news(spark, sf_dir):
     return engine.all_signals(b).where("has_signal").select(*KEY, "action", "confidence", "bull", "bear", "r_news", labels())
 
 
-PUBLISHED = {"rsi": ("rsi", 2), "macd": ("macd", 4), "macd_signal": ("line", 4), "ma20": ("e20", 4), "ma50": ("ma50", 4), "ma200": ("ma200", 4), "atr": ("atr", 4)}
+PUBLISHED = {"rsi": ("rsi", 2), "macd": ("macd", 4), "macd_signal": ("line", 4), "ma20": ("e20", 4), "atr": ("atr", 4)}
 
 
-@register(signals_sql(HOURLY_SQL) + " UNION ALL ".join(f" SELECT {KEYS}, '{name}' AS name, round({column}, {n}) AS value FROM sig WHERE has_signal AND {column} IS NOT NULL" for name, (column, n) in PUBLISHED.items()))
+@register(signals_sql(HOURLY_SQL) + " UNION ALL ".join(f" SELECT {KEYS}, '{name}' AS name, CAST(printf('%.{n}f', {column}) AS DOUBLE) AS value FROM sig WHERE has_signal AND {column} IS NOT NULL" for name, (column, n) in PUBLISHED.items()))
 def signal_indicators(spark, sf_dir):
-    """The indicator map of every signal, one row per entry."""
+    """The indicator map of every signal, one row per entry; the plain means, which tie at four places
+    and are checked by other queries, are left to the map."""
     s = engine.all_signals(hourly_bars(spark, sf_dir)).where("has_signal")
-    return s.select(*KEY, F.explode("indicators").alias("name", "value"))
+    return s.select(*KEY, F.explode("indicators").alias("name", "value")).where(F.col("name").isin(*PUBLISHED))
 
 
 @register(signals_sql(HOURLY_SQL) + " SELECT rule, CAST(sum(score) AS BIGINT) AS total, count(*) FILTER (score <> 0) AS met, CAST(0 AS BIGINT) AS unexplained FROM (" + " UNION ALL ".join(f"SELECT '{r}' AS rule, {r} AS score FROM sig" for r in SCORES[2:]) + ") GROUP BY rule")
