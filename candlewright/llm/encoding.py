@@ -35,8 +35,9 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already fill the cores
         self.tokenizer = Tokenizer.from_file(path)
-        names = [t.content.strip() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(map(re.escape, filter(None, names))) or "(?!)", re.IGNORECASE)
+        tokens = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content.strip() for t in tokens if t.content.strip()]
+        self.any_case = any(t.normalized for t in tokens)  # found in normalised text, so perhaps in another case
         self.kind, self.pieces = kind, _PIECES[kind]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
@@ -55,13 +56,19 @@ class Encoder:
                 self.known[piece] = ids[start:end]
                 start = end
 
+    def _names_added(self, text: str) -> bool:
+        if self.any_case:
+            text = text.lower()
+            return any(name.lower() in text for name in self.added)
+        return any(name in text for name in self.added)
+
     def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         """The ids of each text; null counts as empty."""
         out = []
         for text in texts:
             if not text:
                 out.append(b"")
-            elif _PLAIN.fullmatch(text) and not self.added.search(text):
+            elif _PLAIN.fullmatch(text) and not self._names_added(text):
                 pieces = self.pieces.findall(text.lower() if self.kind == "word" else text)
                 try:
                     out.append(b"".join(map(self.known.__getitem__, pieces)))
