@@ -312,13 +312,13 @@ def signed_index(spark, sf_dir):
     return g.select("timeframe", "ts", "legs", F.round(F.when(F.col("legs") >= 6, F.col("r")), 6).alias("index_r"))
 
 
-@register(DAILY_SQL + f""", m AS (SELECT *, avg((high - low) / close * 100) {P} ROWS 49 PRECEDING) AS span, avg(volume * close) {P} ROWS 49 PRECEDING) AS turnover FROM bars), q AS (SELECT *, round(turnover, 6) AS tq, round(span, 6) AS sq FROM m WHERE bar_idx >= 49),
+@register(DAILY_SQL + f""", m AS (SELECT *, avg((high - low) / close * 100) {P} ROWS 249 PRECEDING) AS span, avg(volume * close) {P} ROWS 249 PRECEDING) AS turnover FROM bars), q AS (SELECT *, round(turnover, 6) AS tq, round(span, 6) AS sq FROM m WHERE bar_idx >= 249),
 h AS (SELECT *, median(tq) OVER (PARTITION BY timeframe, ts) AS mid, count(*) OVER (PARTITION BY timeframe, ts) AS n FROM q)
 SELECT {KEYS}, sq AS mean_span FROM h WHERE n >= 3 AND tq >= round(mid, 6) QUALIFY row_number() OVER (PARTITION BY timeframe, ts ORDER BY sq DESC, market, symbol) <= 8""")
 def runner_mask(spark, sf_dir):
     """Point-in-time choice: above-median turnover, then the eight widest ranges of each time step."""
-    w = indicators.last(50)
-    b = daily_bars(spark, sf_dir).withColumn("sq", F.round(F.avg((F.col("high") - F.col("low")) / F.col("close") * 100).over(w), 6)).withColumn("tq", F.round(F.avg(F.col("volume") * F.col("close")).over(w), 6)).where("bar_idx >= 49")
+    w = indicators.last(250)
+    b = daily_bars(spark, sf_dir).withColumn("sq", F.round(F.avg((F.col("high") - F.col("low")) / F.col("close") * 100).over(w), 6)).withColumn("tq", F.round(F.avg(F.col("volume") * F.col("close")).over(w), 6)).where("bar_idx >= 249")
     step = b.groupBy("timeframe", "ts").agg(F.round(F.percentile("tq", F.lit(0.5)), 6).alias("mid"), F.count(F.lit(1)).alias("n")).where("n >= 3")
     order = Window.partitionBy("timeframe", "ts").orderBy(F.desc("sq"), "market", "symbol")
     return b.join(step, ["timeframe", "ts"]).where("tq >= mid").withColumn("k", F.row_number().over(order)).where("k <= 8").select(*KEY, F.col("sq").alias("mean_span"))

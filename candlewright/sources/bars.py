@@ -29,11 +29,17 @@ def market_of(number: Column) -> Column:
 
 
 def aggregate_bars(ticks: DataFrame) -> DataFrame:
-    """Bars from ticks with columns series key, ts (bucket), price, size and ord (a struct that orders
-    ticks inside a bucket).  Partial aggregates go into the shuffle, ticks do not."""
+    """Bars from ticks with columns series key, ts (bucket), price, size and ord (a number that orders
+    ticks inside a bucket).  Partial aggregates go into the shuffle, ticks do not; with a number of fixed
+    width they are hashed, where a struct would have all ticks sorted first."""
     return ticks.groupBy(*SERIES, "ts").agg(F.min_by("price", "ord").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "ord").alias("close"), F.sum("size").alias("volume"))
 
 
+def ordered_by(high: Column, low: Column, room: int) -> Column:
+    """Two whole numbers as one, the first counting before the second, which stays below 10**room."""
+    return (high.cast("decimal(24,0)") * F.lit(10**room).cast("decimal(13,0)") + low.cast("decimal(13,0)")).cast("decimal(38,0)")
+
+
 def with_bar_idx(bars: DataFrame) -> DataFrame:
     return bars.withColumn("bar_idx", (F.row_number().over(series()) - 1).cast("int"))
 
@@ -44,7 +50,7 @@ def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     ticks = table(spark, sf_dir, "lineitem").where("l_quantity > 0").select(
         market_of(number).alias("market"), F.concat(F.lit("S"), number.cast("string")).alias("symbol"), F.lit("1D").alias("timeframe"),
         F.date_trunc("day", "l_shipdate").cast("timestamp_ntz").alias("ts"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("size"),
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity").alias("ord"))
+        ordered_by(F.col("l_orderkey") * 8 + F.col("l_linenumber"), F.col("l_partkey"), 12).alias("ord"))
     return with_bar_idx(aggregate_bars(ticks))
 
 
@@ -52,7 +58,8 @@ def hourly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly bars of the event types from ``events`` values; volume counts events."""
     ticks = table(spark, sf_dir, "events").select(
         F.lit("CRYPTO").alias("market"), F.col("event_type").alias("symbol"), F.lit("1H").alias("timeframe"),
-        F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts"), F.col("value").alias("price"), F.lit(1.0).alias("size"), F.struct("ts", "event_id").alias("ord"))
+        F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts"), F.col("value").alias("price"), F.lit(1.0).alias("size"),
+        ordered_by(F.unix_micros(F.col("ts").cast("timestamp")), F.col("event_id"), 12).alias("ord"))
     return with_bar_idx(aggregate_bars(ticks))
 
 
