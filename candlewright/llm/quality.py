@@ -137,9 +137,9 @@ def word_distance(words: DataFrame, references: DataFrame, apart: DataFrame) ->
     document = ["row", "doc_id", "text_key", "n_words"]
     counted = words.join(references.select("word").distinct(), "word", "left_semi").groupBy(*document, "word").agg(F.count(F.lit(1)).alias("n"))
     p, q, mass = F.col("n") / F.col("n_words"), F.col("q"), F.col("mass")
-    sums = [F.sum(_term(p, q)).alias("t"), F.sum(p).alias("p"), F.sum("q").alias("q")]
+    sums = [F.sum(_term(p, q) - q / 2).alias("t"), F.sum(p).alias("p")]  # a word of a language that the document lacks adds q / 2
     each = counted.join(references, "word").groupBy(*document, "lang", "mass").agg(*sums)
-    js = _root(F.col("t") + (mass - F.col("q")) / 2 + _term(1 - F.col("p"), 1 - mass))
+    js = _root(F.col("t") + mass / 2 + _term(1 - F.col("p"), 1 - mass))
     near = each.groupBy(*document).agg(F.min(js).alias("js"), F.collect_set("lang").alias("met"))
     other = F.get(F.filter("apart", lambda x: ~F.array_contains("met", x["lang"])), F.lit(0))["apart"]
     each_row = near.crossJoin(F.broadcast(apart)).select("doc_id", "text_key", F.least("js", other).alias("js_words"))  # one row
