@@ -78,8 +78,26 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from candlewright.llm.whitening import whitened
+
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from candlewright.llm.simhash import near_fingerprints
+
+    return near_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from candlewright.llm.variants import variants
+
+    return variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_records, op2_chat_turns, op3_packing, op4_language_id, op5_licenses, op6_minhash, op7_decontamination, op8_toxicity, op9_quality, op10_suffix_dedup)
+    found = (op1_token_records, op2_chat_turns, op3_packing, op4_language_id, op5_licenses, op6_minhash, op7_decontamination, op8_toxicity, op9_quality, op10_suffix_dedup, op11_whitening, op12_simhash, op13_variants)
     return {query.__name__: query for query in found}
 
 
