@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from decimal import ROUND_HALF_UP, Decimal
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Round-trip cost of a market in basis points.
 COST_BPS = {"GOLD": 5.0, "FOREX": 1.5, "TH_STOCK": 40.0, "US_STOCK": 5.0, "CRYPTO": 25.0}
@@ -30,25 +31,41 @@ def usable(o: str = "open", h: str = "high", lo: str = "low", c: str = "close")
     return good & F.coalesce(F.col(lo) <= F.col(h), F.lit(False))
 
 
-def round_price(x: Column, market: Column) -> Column:
-    """Currencies keep 5 decimals, other markets 4; prices under 1 keep 5 and 6 significant digits.  Half
-    goes up on the scaled value, as in the engine's levels."""
-    forex = market == "FOREX"
-    small = F.pow(F.lit(10.0), F.when(forex, 4).otherwise(5) - F.floor(F.log10(F.abs(x))))
-    scale = F.when((F.abs(x) < 1) & (x != 0), small).otherwise(F.when(forex, 1e5).otherwise(1e4))
-    return F.floor(x * scale + 0.5) / scale
+def rounder(market: pd.Series) -> Callable[[np.ndarray], np.ndarray]:
+    """The price rounding of a batch's markets: currencies keep 5 decimals, other markets 4; prices under 1 keep 5
+    and 6 significant digits.  Half goes up on the scaled value."""
+    forex = (market == "FOREX").to_numpy()
 
+    def rounded(x: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            small = 10.0 ** (np.where(forex, 4, 5) - np.floor(np.log10(np.abs(x))))
+            scale = np.where((np.abs(x) < 1) & (x != 0), small, np.where(forex, 1e5, 1e4))
+            return np.floor(x * scale + 0.5) / scale
 
-def round_half_up(decimals: int):
-    """A pandas UDF that rounds the exact binary value, ties up; for parity with systems that do so."""
-    unit = Decimal(1).scaleb(-decimals)
+    return rounded
 
-    @F.pandas_udf("double")
-    def rounded(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for v in values:
-            yield v.map(lambda x: None if pd.isna(x) else float(Decimal(x).quantize(unit, ROUND_HALF_UP)))
 
-    return rounded
+@F.pandas_udf(DoubleType())
+def round_price(x: pd.Series, market: pd.Series) -> pd.Series:
+    """The price rounding as a column function."""
+    return pd.Series(rounder(market)(x.to_numpy(float)))
+
+
+def exact_round(x: Column, places: int, even: bool = False) -> Column:
+    """Rounds the exact binary value to decimal places; ties go away from zero, or with ``even`` to the even digit.
+
+    The scaled value is kept as a product and its rounding error (Veltkamp's and Dekker's splitting), so a value
+    next to a tie falls to its true side, as it does where all digits are written out.  Sizes from 2^52 up, scaled, have no
+    decimals and stay as they are."""
+    scale, a = float(10**places), F.abs(x)
+    split = lambda v: v * 134217729.0 - (v * 134217729.0 - v)
+    high, top = split(a), scale * 134217729.0 - (scale * 134217729.0 - scale)
+    product = a * scale
+    error = (a - high) * (scale - top) - (((product - high * top) - (a - high) * top) - high * (scale - top))
+    whole = F.floor(product)
+    past = (product - whole - 0.5) + error
+    up = (past > 0) | ((past == 0) & (whole % 2 == 1)) if even else past >= 0
+    return F.when(product < 2.0**52, F.signum(x) * (whole + up.cast("int")) / scale).otherwise(x)
 
 
 def tick_size(price: Column) -> Column:

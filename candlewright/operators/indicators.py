@@ -1,4 +1,4 @@
-"""Indicators as window expressions, and the recursive ones as one grouped pandas pass.
+"""Indicators as window expressions; the recursive ones are block scans.
 
 Every window row is the value on the prefix that ends there, so nothing looks ahead.  Warm-up
 values are null.  Sliding frames are at most 250 rows, whatever the length of a series.
@@ -6,11 +6,11 @@ values are null.  Sliding frames are at most 250 rows, whatever the length of a
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from candlewright.functions.prices import exact_round
+from candlewright.operators import scans
 from candlewright.sources.bars import SERIES, series
 
 
@@ -51,7 +51,7 @@ def with_swings(bars: DataFrame, reach: int = 5) -> DataFrame:
     whole = (F.count("high").over(before) == reach) & (F.count("high").over(after) == reach)
     high = whole & (F.col("high") > F.max("high").over(before)) & (F.col("high") > F.max("high").over(after))
     low = whole & (F.col("low") < F.min("low").over(before)) & (F.col("low") < F.min("low").over(after))
-    return bars.withColumn("swing_high", high).withColumn("swing_low", low)
+    return bars.withColumns({"swing_high": high, "swing_low": low})
 
 
 def patterns() -> dict[str, Column]:
@@ -83,105 +83,62 @@ def efficiency_ratio(n: int = 20) -> tuple[Column, Column]:
     return move, full(F.sum("step").over(last(n)), "step", last(n), n)
 
 
-def ema_array(x: np.ndarray, n: int) -> np.ndarray:
-    """Exponential mean, seeded with the plain mean of the first n values; leading gaps are skipped."""
-    out = np.full(len(x), np.nan)
-    first = int(np.argmax(~np.isnan(x))) if (~np.isnan(x)).any() else len(x)
-    if len(x) - first < n:
-        return out
-    k = 2 / (n + 1)
-    value = float(x[first : first + n].mean())
-    run = [value]
-    for v in x[first + n :].tolist():
-        value = v * k + value * (1 - k)
-        run.append(value)
-    out[first + n - 1 :] = run
-    return out
-
-
-def rsi_array(x: np.ndarray, n: int = 14) -> np.ndarray:
-    """Relative strength with Wilder's smoothing; 100 where there was no loss."""
-    out = np.full(len(x), np.nan)
-    if len(x) <= n:
-        return out
-    d = np.diff(x)
-    gain, loss = np.maximum(d, 0), np.maximum(-d, 0)
-    g, s = float(gain[:n].mean()), float(loss[:n].mean())
-    run = [100.0 if s == 0 else 100 - 100 / (1 + g / s)]
-    for up, down in zip(gain[n:].tolist(), loss[n:].tolist(), strict=True):
-        g, s = (g * (n - 1) + up) / n, (s * (n - 1) + down) / n
-        run.append(100.0 if s == 0 else 100 - 100 / (1 + g / s))
-    out[n:] = run
-    return out
-
-
-def ewma_vol_array(close: np.ndarray, decay: float = 0.94) -> np.ndarray:
-    """Exponentially weighted volatility of log returns."""
-    out = np.full(len(close), np.nan)
-    v = np.nan
-    for i, x in enumerate(np.diff(np.log(close)).tolist()):
-        v = x * x if v != v else decay * v + (1 - decay) * x * x
-        out[i + 1] = v
-    return np.sqrt(out)
-
-
-RECURSIVE = ["ema12", "ema20", "ema26", "macd", "macd_signal", "macd_hist", "rsi14", "ewma_vol"]
-
-
-def _fill_recursive(pdf: pd.DataFrame) -> None:
-    close = pdf["close"].to_numpy(float)
-    pdf["ema12"], pdf["ema20"], pdf["ema26"] = (ema_array(close, n) for n in (12, 20, 26))
-    pdf["macd"] = pdf["ema12"] - pdf["ema26"]
-    pdf["macd_signal"] = ema_array(pdf["macd"].to_numpy(float), 9)
-    pdf["macd_hist"] = pdf["macd"] - pdf["macd_signal"]
-    pdf["rsi14"], pdf["ewma_vol"] = rsi_array(close), ewma_vol_array(close)
-
-
-def levels_array(swing: np.ndarray, price: np.ndarray, reach: int, kept: int, ascending: bool) -> list[list[float]]:
-    """At each bar the last ``kept`` distinct levels, by first appearance, of swings ``reach`` bars old."""
-    seen: set[float] = set()
-    recent: list[float] = []
-    out, now = [], []
-    for i in range(len(price)):
-        j = i - reach
-        if j >= 0 and swing[j] and (level := round(float(price[j]), 4)) not in seen:
-            seen.add(level)
-            recent = [*recent[-(kept - 1) :], level]
-            now = sorted(recent, reverse=not ascending)
-        out.append(now)
-    return out
-
-
-def _fill_levels(pdf: pd.DataFrame, reach: int, kept: int) -> None:
-    low, high = (pdf.pop(c).fillna(False).to_numpy(bool) for c in ("swing_low", "swing_high"))
-    pdf["supports"] = levels_array(low, pdf["low"].to_numpy(float), reach, kept, False)
-    pdf["resistances"] = levels_array(high, pdf["high"].to_numpy(float), reach, kept, True)
-
-
-def with_state(bars: DataFrame, recursive: bool = True, levels: bool = True, reach: int = 5, kept: int = 3) -> DataFrame:
-    """Adds what needs a series' whole past in one grouped pass: the recursive indicators, and supports
-    (descending) and resistances (ascending) known at each bar, from swing flags that windows made.  A
-    series is one group: its length is bounded by time, and series are the unit of parallel work."""
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts", kind="stable").reset_index(drop=True)
-        if recursive:
-            _fill_recursive(pdf)
-        if levels:
-            _fill_levels(pdf, reach, kept)
-        return pdf
-
-    added = [f"{c} double" for c in RECURSIVE] * recursive + ["supports array<double>", "resistances array<double>"] * levels
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema] + added)
-    out = (with_swings(bars, reach) if levels else bars).groupBy(*SERIES).applyInPandas(fill, schema)
-    return out.select(*bars.columns, *[F.nanvl(c, F.lit(None)).alias(c) for c in RECURSIVE] * recursive, *["supports", "resistances"] * levels)
-
-
-def with_recursive(bars: DataFrame) -> DataFrame:
-    """Adds the recursive indicators."""
-    return with_state(bars, levels=False)
+RECURSIVE = ["ema12", "ema20", "ema26", "macd", "macd_signal", "macd_hist", "rsi14"]
+#: Rows of a block, for which a bar without a close leaves the recursive indicators null: then it has no weight any more.
+SILENT = scans.block_rows(13 / 14, *(1 - 2 / (n + 1) for n in (12, 20, 26, 9)))
+
+
+def mean_terms(value: Column, n: int, share: float, first: int, so_far) -> Column:
+    """Terms of a recursion that begins ``first`` + n rows into its series with the plain mean of n values."""
+    at = F.col("bar_idx")
+    begin = F.avg(F.when(at.between(first, first + n - 1), value)).over(so_far)
+    return F.when(at == first + n - 1, begin).when(at >= first + n, value * share)
+
+
+def with_recursive(bars: DataFrame, chunk: int = scans.CHUNK) -> DataFrame:
+    """Adds the recursive indicators: exponential means, MACD and its signal line, relative strength with Wilder's
+    smoothing (100 where there was no loss).  See scans: chunks of one series are dealt to several tasks.
+
+    A bar without a close makes them null for the ``SILENT`` bars from there."""
+    w, at, close = scans.chunk_window(), F.col("bar_idx"), F.col("close")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    df = scans.in_chunks(bars, SILENT, chunk=chunk).withColumn("_step", close - F.lag("close").over(w))
+    missing = F.last(F.when(close.isNull() | F.isnan(close), at), ignorenulls=True).over(so_far)
+    gain, loss = F.greatest("_step", F.lit(0.0)), F.greatest(-F.col("_step"), F.lit(0.0))
+    terms = {f"_t{n}": mean_terms(close, n, 2 / (n + 1), 0, so_far) for n in (12, 20, 26)} | {"_tg": mean_terms(gain, 14, 1 / 14, 1, so_far), "_tl": mean_terms(loss, 14, 1 / 14, 1, so_far)}
+    df = df.withColumns(terms | {"_silent": F.coalesce(at - missing < SILENT, F.lit(False))})
+    df = scans.scan(df, {f"ema{n}": (1 - 2 / (n + 1), f"_t{n}") for n in (12, 20, 26)} | {"_g": (13 / 14, "_tg"), "_l": (13 / 14, "_tl")}, SILENT)
+    df = df.withColumn("macd", F.col("ema12") - F.col("ema26"))
+    df = scans.scan(df.withColumn("_ts", mean_terms(F.col("macd"), 9, 2 / 10, 25, so_far)), {"macd_signal": (1 - 2 / 10, "_ts")}, SILENT)
+    found = {"macd_hist": F.col("macd") - F.col("macd_signal"), "rsi14": F.when(F.col("_l") == 0, F.lit(100.0)).otherwise(100 - 100 / (1 + F.try_divide("_g", "_l")))}
+    sound = [F.when(~F.col("_silent"), F.nanvl(found.get(c, F.col(c)), F.lit(None))).alias(c) for c in RECURSIVE]
+    return scans.own_rows(df, chunk=chunk).select(*bars.columns, *sound)
+
+
+def with_volatility(bars: DataFrame, decay: float = 0.94, chunk: int = scans.CHUNK) -> DataFrame:
+    """Adds ewma_vol, the exponentially weighted volatility of log returns.  It begins with the first return;
+    where a return is missing it is null and begins anew."""
+    block, w = scans.block_rows(decay), scans.chunk_window()
+    df = scans.in_chunks(bars, block, chunk=chunk).withColumn("_r", F.nanvl(F.ln("close") - F.ln(F.lag("close").over(w)), F.lit(None)))
+    df = df.withColumn("_run", F.sum(F.col("_r").isNull().cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    df = df.withColumn("_t", F.when(F.lag("_r").over(w).isNull(), F.col("_r") * F.col("_r")).otherwise(F.col("_r") * F.col("_r") * (1 - decay)))
+    df = scans.scan(df, {"_v": (decay, "_t")}, block, [*SERIES, "_run"])
+    return scans.own_rows(df, chunk=chunk).select(*bars.columns, F.when(F.col("_r").isNotNull(), F.sqrt("_v")).alias("ewma_vol"))
 
 
 def with_levels(bars: DataFrame, reach: int = 5, kept: int = 3) -> DataFrame:
-    """Adds supports and resistances."""
-    return with_state(bars, recursive=False, reach=reach, kept=kept)
+    """Adds supports (descending) and resistances (ascending): at each bar the last ``kept`` distinct levels, by first
+    appearance, of swings that are ``reach`` bars old.
+
+    A row with a new level knows the one before it, that one the one before, and so on, so the latest few are as many
+    running values and no set of all levels is held."""
+    w, kinds = series(), ("low", "high")
+    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    df = with_swings(bars, reach).withColumns({f"_{k}": F.when(F.col(f"swing_{k}"), exact_round(F.col(k), 4, even=True)) for k in kinds})
+    df = df.withColumns({f"_{k}": F.lag(f"_{k}", reach).over(w) for k in kinds})
+    df = df.withColumns({f"_{k}": F.when(F.row_number().over(Window.partitionBy(*SERIES, f"_{k}").orderBy("ts")) == 1, F.col(f"_{k}")) for k in kinds})
+    for n in range(kept):
+        latest = lambda k, frame: F.last(f"_{k}", ignorenulls=True).over(frame)
+        df = df.withColumns({f"_{k}{n}": latest(k, upto) for k in kinds} | {f"_{k}": F.when(F.col(f"_{k}").isNotNull(), latest(k, before)) for k in kinds})
+    found = {k: F.sort_array(F.array_compact(F.array(*[f"_{k}{n}" for n in range(kept)])), k == "high") for k in kinds}
+    return df.select(*bars.columns, found["low"].alias("supports"), found["high"].alias("resistances"))

@@ -12,10 +12,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from candlewright.functions.prices import risk_reward, round_half_up
-from candlewright.operators.indicators import bollinger, patterns, sma, trend, with_atr, with_state
-from candlewright.sources.bars import SERIES, series
+from candlewright.functions.prices import exact_round, risk_reward, rounder
+from candlewright.operators.indicators import bollinger, patterns, sma, trend, with_atr, with_levels, with_recursive
+from candlewright.sources.bars import SERIES, dealt, series
 
 
 @dataclass(frozen=True)
@@ -56,9 +57,9 @@ class EngineConfig:
 
 def with_indicators(bars: DataFrame) -> DataFrame:
     """Bars with every indicator that the rules read."""
-    out = with_atr(with_state(bars))
+    out = with_levels(with_atr(dealt(with_recursive(bars))))
     lower, _, upper = bollinger()
-    out = out.withColumn("sma50", sma("close", 50)).withColumn("sma200", sma("close", 200)).withColumn("bb_lower", lower).withColumn("bb_upper", upper)
+    out = out.withColumns({"sma50": sma("close", 50), "sma200": sma("close", 200), "bb_lower": lower, "bb_upper": upper})
     return out.withColumn("trend", trend(F.col("close"), F.col("ema20"), F.col("sma50"), F.col("sma200")))
 
 
@@ -76,56 +77,43 @@ def score_rules(df: DataFrame, config: EngineConfig = EngineConfig()) -> DataFra
     near_support = F.get(F.filter("supports", lambda s: (s < close) & (F.try_divide(close - s, close) < config.level_share)), 0)
     near_resistance = F.get(F.filter("resistances", lambda r: (r > close) & (F.try_divide(r - close, close) < config.level_share)), 0)
     middle = rsi.between(config.rsi_low, config.rsi_high)
-    out = df.withColumn("r_rsi_extreme", _rule(rsi < config.rsi_low, rsi > config.rsi_high, config.rsi_extreme))
-    out = out.withColumn("r_rsi_cross", _rule(middle & (rsi > 50) & (before["rsi14"] < 50), middle & (rsi < 50) & (before["rsi14"] > 50), config.rsi_cross))
-    out = out.withColumn("r_macd", _rule((macd > line) & (before["macd"] <= before["macd_signal"]), (macd < line) & (before["macd"] >= before["macd_signal"]), config.macd_cross))
-    out = out.withColumn("r_hist", _rule((hist > 0) & (before["macd_hist"] < hist), (hist < 0) & (before["macd_hist"] > hist), config.hist_expand))
-    out = out.withColumn("r_trend", _rule(F.col("trend") == "uptrend", F.col("trend") == "downtrend", F.when(F.col("sma200").isNotNull(), config.trend_confirmed).otherwise(config.trend_short)))
-    out = out.withColumn("r_band", _rule(close < F.col("bb_lower"), close > F.col("bb_upper"), config.band_touch))
-    for name in ("bullish_engulfing", "bearish_engulfing", "hammer", "shooting_star", "doji"):
-        out = out.withColumn(name, flags[name])
-    out = out.withColumns({f"s_{n}": getattr(config, n) * F.col(n).cast("int") for n in ("bullish_engulfing", "bearish_engulfing", "hammer", "shooting_star")})
-    weighed = lambda *names: sum((F.col(f"s_{n}") for n in names), F.lit(0))
-    out = out.withColumn("p_bull", weighed("bullish_engulfing", "hammer")).withColumn("p_bear", weighed("bearish_engulfing", "shooting_star"))
     tone = F.col("news") if "news" in df.columns else F.lit(None).cast("double")
-    out = out.withColumn("r_news", _rule(tone > 0.3, tone < -0.3, F.floor(F.abs(tone) * 2 + 0.5).cast("int")))
-    return out.withColumn("near_support", near_support).withColumn("near_resistance", near_resistance)
-
-
-def deal_levels(config: EngineConfig):
-    """A pandas UDF for entry, stop and target.
+    rules = {
+        "r_rsi_extreme": _rule(rsi < config.rsi_low, rsi > config.rsi_high, config.rsi_extreme),
+        "r_rsi_cross": _rule(middle & (rsi > 50) & (before["rsi14"] < 50), middle & (rsi < 50) & (before["rsi14"] > 50), config.rsi_cross),
+        "r_macd": _rule((macd > line) & (before["macd"] <= before["macd_signal"]), (macd < line) & (before["macd"] >= before["macd_signal"]), config.macd_cross),
+        "r_hist": _rule((hist > 0) & (before["macd_hist"] < hist), (hist < 0) & (before["macd_hist"] > hist), config.hist_expand),
+        "r_trend": _rule(F.col("trend") == "uptrend", F.col("trend") == "downtrend", F.when(F.col("sma200").isNotNull(), config.trend_confirmed).otherwise(config.trend_short)),
+        "r_band": _rule(close < F.col("bb_lower"), close > F.col("bb_upper"), config.band_touch),
+        "r_news": _rule(tone > 0.3, tone < -0.3, F.floor(F.abs(tone) * 2 + 0.5).cast("int")),
+    }
+    scored = {f"s_{n}": getattr(config, n) * F.col(n).cast("int") for n in ("bullish_engulfing", "hammer", "bearish_engulfing", "shooting_star")}
+    out = df.withColumns(rules | flags | {"near_support": near_support, "near_resistance": near_resistance}).withColumns(scored)
+    return out.withColumns({"p_bull": F.col("s_bullish_engulfing") + F.col("s_hammer"), "p_bear": F.col("s_bearish_engulfing") + F.col("s_shooting_star")})
+
+
+@F.pandas_udf(StructType([StructField(c, DoubleType()) for c in ("entry_price", "stop_loss", "take_profit")]))
+def deal_levels(close: pd.Series, market: pd.Series, atr: pd.Series, support: pd.Series, resistance: pd.Series, action: pd.Series, stop_atr: pd.Series, target_atr: pd.Series) -> pd.DataFrame:
+    """Entry, stop and target.
 
     Levels near the price count if they stay on their side after their margin; else ATR distances.
     Rounded levels that fall on the entry fall back once more; where that fails too, stop and target
     are null.  The steps refer to each other many times over, which as column expressions would be
     copied into one another; here each is computed once per Arrow batch."""
-
-    @F.pandas_udf("entry_price double, stop_loss double, take_profit double")
-    def levels(close: pd.Series, market: pd.Series, atr: pd.Series, support: pd.Series, resistance: pd.Series, action: pd.Series) -> pd.DataFrame:
-        price, hold, sign = close.to_numpy(float), (action == "HOLD").to_numpy(), np.where(action == "SELL", -1.0, 1.0)
-        unit = np.where(atr.to_numpy(float) > 0, atr.to_numpy(float), price * 0.02)
-        forex = (market == "FOREX").to_numpy()
-
-        def rounded(x: np.ndarray) -> np.ndarray:
-            with np.errstate(divide="ignore", invalid="ignore"):
-                small = 10.0 ** (np.where(forex, 4, 5) - np.floor(np.log10(np.abs(x))))
-                scale = np.where((np.abs(x) < 1) & (x != 0), small, np.where(forex, 1e5, 1e4))
-                return np.floor(x * scale + 0.5) / scale
-
-        far_stop, far_target = price - sign * config.stop_atr * unit, price + sign * config.target_atr * unit
-        below, above = support.to_numpy(float), resistance.to_numpy(float)
-        behind, ahead = np.where(sign > 0, below * 0.995, above * 1.005), np.where(sign > 0, above * 0.995, below * 1.005)
-        stop = np.where((price - behind) * sign > 0, behind, far_stop)
-        target = np.where((ahead - price) * sign > 0, ahead, far_target)
-        stop, target = np.where(hold, price - unit, stop), np.where(hold, price + unit, target)
-        entry, stop, target = rounded(price), rounded(stop), rounded(target)
-        stop = np.where(hold | ((entry - stop) * sign > 0), stop, rounded(far_stop))
-        target = np.where(hold | ((target - entry) * sign > 0), target, rounded(far_target))
-        dead = ~hold & ((stop == entry) | (target == entry) | (stop <= 0) | (target <= 0))
-        found = pd.DataFrame({"entry_price": entry, "stop_loss": np.where(dead, np.nan, stop), "take_profit": np.where(dead, np.nan, target)})
-        return found
-
-    return levels
+    price, hold, sign = close.to_numpy(float), (action == "HOLD").to_numpy(), np.where(action == "SELL", -1.0, 1.0)
+    unit = np.where(atr.to_numpy(float) > 0, atr.to_numpy(float), price * 0.02)
+    rounded = rounder(market)
+    far_stop, far_target = price - sign * stop_atr.to_numpy(float) * unit, price + sign * target_atr.to_numpy(float) * unit
+    below, above = support.to_numpy(float), resistance.to_numpy(float)
+    behind, ahead = np.where(sign > 0, below * 0.995, above * 1.005), np.where(sign > 0, above * 0.995, below * 1.005)
+    stop = np.where((price - behind) * sign > 0, behind, far_stop)
+    target = np.where((ahead - price) * sign > 0, ahead, far_target)
+    stop, target = np.where(hold, price - unit, stop), np.where(hold, price + unit, target)
+    entry, stop, target = rounded(price), rounded(stop), rounded(target)
+    stop = np.where(hold | ((entry - stop) * sign > 0), stop, rounded(far_stop))
+    target = np.where(hold | ((target - entry) * sign > 0), target, rounded(far_target))
+    dead = ~hold & ((stop == entry) | (target == entry) | (stop <= 0) | (target <= 0))
+    return pd.DataFrame({"entry_price": entry, "stop_loss": np.where(dead, np.nan, stop), "take_profit": np.where(dead, np.nan, target)})
 
 
 #: Reasons in the order of their rules, (type, label, score column, its sign, weight).
@@ -155,7 +143,7 @@ INDICATORS = {"rsi": ("rsi14", 2), "macd": ("macd", 4), "macd_signal": ("macd_si
 
 def indicator_map() -> Column:
     """The published indicators by name, rounded from their exact binary value; missing ones are left out."""
-    values = F.create_map(*[x for name, (column, places) in INDICATORS.items() for x in (F.lit(name), round_half_up(places)(column))])
+    values = F.create_map(*[x for name, (column, places) in INDICATORS.items() for x in (F.lit(name), exact_round(F.col(column), places))])
     return F.map_filter(values, lambda _, v: v.isNotNull())
 
 
@@ -165,20 +153,19 @@ def signals(df: DataFrame, config: EngineConfig = EngineConfig(), min_bars: int
     rules = ["r_rsi_extreme", "r_rsi_cross", "r_macd", "r_hist", "r_trend", "r_band", "r_news"]
     df = score_rules(df, config)
     at_support, at_resistance = F.col("near_support").isNotNull().cast("int"), F.col("near_resistance").isNotNull().cast("int")
-    df = df.withColumn("bull", sum((F.greatest(F.col(r), F.lit(0)) for r in rules), F.col("p_bull") + config.level * at_support))
-    df = df.withColumn("bear", sum((F.greatest(-F.col(r), F.lit(0)) for r in rules), F.col("p_bear") + config.level * at_resistance))
+    bull = sum((F.greatest(F.col(r), F.lit(0)) for r in rules), F.col("p_bull") + config.level * at_support)
+    bear = sum((F.greatest(-F.col(r), F.lit(0)) for r in rules), F.col("p_bear") + config.level * at_resistance)
+    df = df.withColumns({"bull": bull, "bear": bear, "s_support": config.level * at_support, "s_resistance": config.level * at_resistance})
     net, top = F.col("bull") - F.col("bear"), F.greatest("bull", "bear")
-    df = df.withColumn("action", F.when(net >= config.act_at, "BUY").when(net <= -config.act_at, "SELL").otherwise("HOLD"))
-    df = df.withColumn("strength", F.when(top >= 8, "very_strong").when(top >= 5, "strong").when(top >= 3, "moderate").otherwise("weak"))
-    df = df.withColumn("confidence", F.least(F.lit(95), 40 + 6 * top).cast("double"))
-    levels = deal_levels(config)("close", "market", "atr", "near_support", "near_resistance", "action")
+    action = F.when(net >= config.act_at, "BUY").when(net <= -config.act_at, "SELL").otherwise("HOLD")
+    strength = F.when(top >= 8, "very_strong").when(top >= 5, "strong").when(top >= 3, "moderate").otherwise("weak")
+    df = df.withColumns({"action": action, "strength": strength, "confidence": F.least(F.lit(95), 40 + 6 * top).cast("double")})
+    levels = deal_levels("close", "market", "atr", "near_support", "near_resistance", "action", F.lit(config.stop_atr), F.lit(config.target_atr))
     df = df.withColumn("levels", levels).select("*", *[F.nanvl(f"levels.{c}", F.lit(None)).alias(c) for c in ("entry_price", "stop_loss", "take_profit")]).drop("levels")
-    df = df.withColumn("has_signal", (F.col("bar_idx") + 1 >= min_bars) & (F.col("close") > 0) & F.col("stop_loss").isNotNull())
-    df = df.withColumn("s_support", config.level * at_support).withColumn("s_resistance", config.level * at_resistance)
     reasons = [F.when(F.col(column) * sign > 0, F.struct(F.lit(kind).alias("type"), F.lit(label).alias("label"), F.lit(weight).alias("weight"))) for kind, label, column, sign, weight in REASONS]
-    df = df.withColumn("reasons", F.slice(F.array_compact(F.array(*reasons)), 1, 5)).withColumn("indicators", indicator_map())
     held = F.when(F.col("timeframe") == "1H", F.expr("INTERVAL 48 HOURS")).otherwise(F.expr("INTERVAL 168 HOURS"))
-    return df.withColumn("expires_at", F.col("ts") + held)
+    told = {"reasons": F.slice(F.array_compact(F.array(*reasons)), 1, 5), "indicators": indicator_map(), "expires_at": F.col("ts") + held}
+    return df.withColumns({"has_signal": (F.col("bar_idx") + 1 >= min_bars) & (F.col("close") > 0) & F.col("stop_loss").isNotNull()} | told)
 
 
 def all_signals(bars: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:

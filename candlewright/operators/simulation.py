@@ -31,7 +31,7 @@ def with_ahead(bars: DataFrame, hold: int) -> DataFrame:
     return bars.withColumn("ahead", F.collect_list(bar).over(series().rowsBetween(1, hold)))
 
 
-def exits(candidates: DataFrame, hold: int, fees_r: float = 0.0) -> DataFrame:
+def exits(candidates: DataFrame, hold: int | Column, fees_r: float = 0.0) -> DataFrame:
     """Exit of each candidate (with ``ahead``), entered at the next bar's open.
 
     Per usable bar: gap through the stop, gap through the target, stop, target; a bar that touches both

@@ -1,7 +1,7 @@
-"""Statistics of deals and features: cluster errors, ranks, resampling, multiple testing, ridge.
+"""Statistics of deals and features: cluster errors, ranks, multiple testing, ridge.
 
-Clusters are aggregated in Spark; only per-cluster sums, one row per series or period, reach numpy,
-and ``CLUSTERS`` bounds how many may."""
+Only the ridges' product sums, one row per period, reach numpy; ``PERIODS`` bounds how many may.  Resampling has a
+module of its own."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-CLUSTERS = 1_000_000
+PERIODS = 100_000
 
 
 @F.pandas_udf(DoubleType())
@@ -86,83 +86,14 @@ def holm(tests: DataFrame, family: list[str], alpha: float = 0.05) -> DataFrame:
     return df.withColumn("holm_p", F.least(F.lit(1.0), F.max("_adj").over(run))).withColumn("rejected", F.min(F.col("p") <= F.col("holm_threshold")).over(run)).drop("_adj")
 
 
-def _bounded(sums: DataFrame, cluster: list[str]) -> pd.DataFrame:
-    """Per-cluster rows, in order; refuses more than ``CLUSTERS`` of them."""
-    rows = sums.orderBy(*cluster).limit(CLUSTERS + 1).toPandas()
-    if len(rows) > CLUSTERS:
-        raise ValueError(f"over {CLUSTERS} clusters; choose a coarser cluster")
+def _bounded(rows: DataFrame, order: str) -> pd.DataFrame:
+    """Rows in order; refuses more than ``PERIODS`` of them."""
+    rows = rows.orderBy(order).limit(PERIODS + 1).toPandas()
+    if len(rows) > PERIODS:
+        raise ValueError(f"over {PERIODS} periods; choose a coarser period")
     return rows
 
 
-def cluster_sums(df: DataFrame, value: str, cluster: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    sums = _bounded(df.groupBy(*cluster).agg(F.sum(value).alias("s"), F.count(value).alias("n")), cluster)
-    return sums["s"].to_numpy(float), sums["n"].to_numpy(float)
-
-
-def resampled(columns: list[np.ndarray], draws: int, seed: int, block: int = 1) -> np.ndarray:
-    """Sums of the columns over resampled clusters, one row per draw.
-
-    With ``block`` over 1, runs of that many neighbours are drawn, around the end.  A draw needs one
-    count per cluster, so memory does not grow with the number of draws."""
-    rng, n = np.random.Generator(np.random.PCG64(seed)), len(columns[0])
-    table, out = np.stack(columns, axis=1), np.empty((draws, len(columns)))
-    for i in range(draws):
-        at = rng.integers(0, n, -(-n // block))
-        if block > 1:
-            at = ((at[:, None] + np.arange(block)).ravel() % n)[:n]
-        out[i] = np.bincount(at, minlength=n) @ table
-    return out
-
-
-def interval(values: np.ndarray, level: float = 0.95, tests: int = 1) -> tuple[float, float, float]:
-    """Quantile interval, at a level shared out over ``tests`` (Bonferroni), and the two-sided p."""
-    tail = (1 - level) / 2 / tests
-    few = min((values <= 0).sum(), (values >= 0).sum())
-    return float(np.quantile(values, tail)), float(np.quantile(values, 1 - tail)), float(min(1.0, 2 * (few + 1) / (len(values) + 1)))
-
-
-def bootstrap_mean(df: DataFrame, value: str, cluster: list[str], draws: int = 2000, seed: int = 7, level: float = 0.95, block: int = 1, tests: int = 1) -> dict:
-    """Cluster bootstrap of the mean, deterministic under its seed.  Every row its own cluster gives the
-    plain bootstrap; ``block`` gives the block bootstrap over clusters in order."""
-    s, n = cluster_sums(df, value, cluster)
-    if not len(s):
-        return {"mean": None, "lo": None, "hi": None, "p": None, "clusters": 0}
-    sums = resampled([s, n], draws, seed, block)
-    lo, hi, p = interval(sums[:, 0] / np.maximum(sums[:, 1], 1), level, tests)
-    return {"mean": float(s.sum() / n.sum()), "lo": lo, "hi": hi, "p": p, "clusters": len(s)}
-
-
-def paired_bootstrap(a: DataFrame, b: DataFrame, value: str, cluster: list[str], draws: int = 2000, seed: int = 7) -> dict:
-    """Bootstrap of the difference of two arms' totals per cluster; missing clusters count 0."""
-    sums = [x.groupBy(*cluster).agg(F.sum(value).alias(f"s{i}")) for i, x in enumerate((a, b))]
-    both = _bounded(sums[0].join(sums[1], cluster, "full_outer").fillna(0.0, ["s0", "s1"]), cluster)
-    d = (both["s0"] - both["s1"]).to_numpy(float)
-    if not len(d):
-        return {"diff": None, "lo": None, "hi": None, "p": None, "clusters": 0}
-    lo, hi, p = interval(resampled([d], draws, seed)[:, 0] / len(d))
-    return {"diff": float(d.mean()), "lo": lo, "hi": hi, "p": p, "clusters": len(d)}
-
-
-def bootstrap_spearman(df: DataFrame, x: str, y: str, cluster: list[str], draws: int = 2000, seed: int = 7) -> dict:
-    """Rank correlation on ranks fixed over all rows, with an interval from resampled clusters: each
-    cluster is six moment sums, so the rows are aggregated before anything is drawn."""
-    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_all", F.lit(0))
-    ranks = joined_rank(joined_rank(pairs, x, "rx"), y, "ry")
-    parts = {"n": F.count(F.lit(1)), "a": F.sum("rx"), "b": F.sum("ry"), "aa": F.sum(F.col("rx") * F.col("rx")), "bb": F.sum(F.col("ry") * F.col("ry")), "ab": F.sum(F.col("rx") * F.col("ry"))}
-    rows = _bounded(ranks.groupBy(*cluster).agg(*[v.alias(k) for k, v in parts.items()]), cluster)
-    if not len(rows):
-        return {"rho": None, "lo": None, "hi": None, "p": None, "clusters": 0}
-
-    def rho(t: np.ndarray) -> np.ndarray:
-        n, a, b, aa, bb, ab = t.T
-        spread = np.sqrt(np.maximum(aa / n - (a / n) ** 2, 0) * np.maximum(bb / n - (b / n) ** 2, 0))
-        return np.divide(ab / n - a / n * b / n, spread, out=np.zeros(len(t)), where=spread > 0)
-
-    columns = [rows[k].to_numpy(float) for k in parts]
-    lo, hi, p = interval(rho(resampled(columns, draws, seed)))
-    return {"rho": float(rho(np.array([[c.sum() for c in columns]]))[0]), "lo": lo, "hi": hi, "p": p, "clusters": len(rows)}
-
-
 def joined_rank(df: DataFrame, column: str, name: str) -> DataFrame:
     """Average rank over the whole table: counts per value first, then running sums over ranges of
     values, so that no task sees all rows."""
@@ -170,28 +101,20 @@ def joined_rank(df: DataFrame, column: str, name: str) -> DataFrame:
     return df.join(running(counts, column, "_c").withColumn(name, F.col("_before") + (F.col("_c") + 1) / 2).drop("_before", "_c"), column)
 
 
-def running(counts: DataFrame, order: str, count: str, cells: int = 512) -> DataFrame:
+def running(counts: DataFrame, order: str, count: str, cells: int = 64) -> DataFrame:
     """Adds _before, the sum of ``count`` over all smaller values of a numeric ``order``.
 
-    Values fall into cells of equal width between the least and the greatest; cell sums are few and are
-    run through in one task, values inside their cell."""
-    ends = counts.agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))  # one row
-    width = F.greatest((F.col("_hi") - F.col("_lo")) / cells, F.lit(1e-300))
-    placed = counts.crossJoin(F.broadcast(ends)).withColumn("_cell", F.least(F.lit(cells - 1), F.floor((F.col(order) - F.col("_lo")) / width)).cast("int")).drop("_lo", "_hi")
+    Values fall into cells between approximate quantiles, so an outlier moves no other value; cell sums are few and are run
+    through in one task, values inside their cell.  The quantiles are taken when this is called."""
+    cuts = sorted(set(counts.approxQuantile(order, [k / cells for k in range(1, cells)], 0.2 / cells)))
+    below = F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(order)) if cuts else F.array()
+    placed = counts.withColumn("_cell", F.size(below))
     sums = placed.groupBy("_cell").agg(F.sum(count).alias("_sum"))
     sums = sums.select("_cell", (F.sum("_sum").over(Window.orderBy("_cell")) - F.col("_sum")).alias("_start"))
     inside = F.sum(count).over(Window.partitionBy("_cell").orderBy(order)) - F.col(count)
     return placed.join(F.broadcast(sums), "_cell").withColumn("_before", F.col("_start") + inside).drop("_cell", "_start")  # at most ``cells`` rows
 
 
-def permutation_p(x: np.ndarray, y: np.ndarray, draws: int = 10_000, seed: int = 7) -> float:
-    """Add-one permutation p of a correlation of ranks."""
-    rng = np.random.Generator(np.random.PCG64(seed))
-    rx, ry = (pd.Series(v).rank().to_numpy() for v in (x, y))
-    seen = abs(np.corrcoef(rx, ry)[0, 1])
-    return (1 + sum(abs(np.corrcoef(rx, rng.permutation(ry))[0, 1]) >= seen - 1e-12 for _ in range(draws))) / (draws + 1)
-
-
 def ridge(df: DataFrame, features: list[str], target: str, penalty: float) -> np.ndarray:
     """Standardised ridge from sums of products: one aggregate row, whatever the number of rows."""
     names = [*features, target]
@@ -253,7 +176,7 @@ def expanding_ridge(df: DataFrame, features: list[str], target: str, period: str
     names = [*features, target]
     terms = [F.sum(F.col(a) * F.col(b)).alias(f"p{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if j >= i]
     rows = df.dropna(subset=names).groupBy(period).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(names)], *terms)
-    rows = rows.orderBy(period).limit(CLUSTERS).toPandas()  # one row per period
+    rows = _bounded(rows, period)  # one row per period
     k, out = len(features), []
 
     def moments(part: pd.DataFrame) -> tuple[float, np.ndarray, np.ndarray]:

@@ -110,3 +110,25 @@ ex AS MATERIALIZED (SELECT {SERIES}, bar_idx, action, sign, entry_price, stop_lo
 nx AS MATERIALIZED (SELECT a.{SERIES.replace(", ", ", a.")}, a.bar_idx, b.bar_idx AS next_idx FROM ex a ASOF LEFT JOIN (SELECT {SERIES}, bar_idx FROM ex) b ON {same("a", "b")} AND a.exit_idx <= b.bar_idx),
 chain AS (SELECT {SERIES}, min(bar_idx) AS bar_idx FROM ex GROUP BY ALL UNION ALL SELECT nx.market, nx.symbol, nx.timeframe, nx.next_idx FROM chain JOIN nx ON {same("chain", "nx")} AND nx.bar_idx = chain.bar_idx WHERE nx.next_idx IS NOT NULL),
 deals AS (SELECT ex.*, abs(entry_price - stop_loss) AS planned_risk, abs(entry - stop_loss) AS realized_risk, (exit - entry) * sign AS gain FROM ex JOIN chain ON {same("ex", "chain")} AND ex.bar_idx = chain.bar_idx)"""
+
+
+def sweep_sql(bars_sql: str, arms: list[tuple]) -> str:
+    """CTE ``swept``: the deals of every arm.  ``arms``: (name, nine weights, buy_at, sell_at, stop_atr, target_atr, at_levels, hold)."""
+    rows = ", ".join(f"('{name}', {list(w)}, {buy}, {sell}, {stop!r}::DOUBLE, {target!r}::DOUBLE, {str(levels).lower()}, {hold})" for name, w, buy, sell, stop, target, levels, hold in arms)
+    scores = "[r_rsi_extreme, r_rsi_cross, r_macd, r_hist, r_trend, r_band, r_news, p_bull - p_bear, (sup IS NOT NULL)::INTEGER - (res IS NOT NULL)::INTEGER]"
+    near = f"a.arm = b.arm AND {same('a', 'b')}"
+    return signals_sql(bars_sql) + f""",
+arms(arm, weights, buy_at, sell_at, stop_atr, target_atr, at_levels, hold) AS (VALUES {rows}),
+av0 AS (SELECT tot.*, arms.*, list_dot_product(CAST({scores} AS DOUBLE[]), CAST(weights AS DOUBLE[])) AS net, CASE WHEN r_trend > 0 THEN 'uptrend' WHEN r_trend < 0 THEN 'downtrend' ELSE 'sideways' END AS trend, CASE WHEN atr > 0 THEN atr ELSE close * 0.02 END AS unit FROM tot, arms WHERE bar_idx >= 60 AND close > 0),
+av1 AS (SELECT *, CASE WHEN net >= buy_at THEN 1 WHEN net <= sell_at THEN -1 END AS sign FROM av0),
+av2 AS (SELECT *, close - sign * stop_atr * unit AS far_stop, close + sign * target_atr * unit AS far_target, CASE WHEN at_levels THEN CASE WHEN sign > 0 THEN sup * 0.995::DOUBLE ELSE res * 1.005::DOUBLE END END AS behind, CASE WHEN at_levels THEN CASE WHEN sign > 0 THEN res * 0.995::DOUBLE ELSE sup * 1.005::DOUBLE END END AS ahead FROM av1 WHERE sign IS NOT NULL),
+av3 AS (SELECT *, CASE WHEN (close - behind) * sign > 0 THEN behind ELSE far_stop END AS stop0, CASE WHEN (ahead - close) * sign > 0 THEN ahead ELSE far_target END AS target0 FROM av2),
+av4 AS (SELECT *, {_place("close")} AS entry_price, {_place("stop0")} AS stop1, {_place("target0")} AS target1, {_place("far_stop")} AS stop2, {_place("far_target")} AS target2 FROM av3),
+av5 AS (SELECT *, CASE WHEN (entry_price - stop1) * sign > 0 THEN stop1 ELSE stop2 END AS stop_loss, CASE WHEN (target1 - entry_price) * sign > 0 THEN target1 ELSE target2 END AS take_profit FROM av4),
+av AS MATERIALIZED (SELECT arm, {SERIES}, bar_idx, ts, sign, trend, hold, entry_price, stop_loss, take_profit FROM av5 WHERE stop_loss <> entry_price AND take_profit <> entry_price AND stop_loss > 0 AND take_profit > 0),
+ap AS (SELECT c.*, f.bar_idx AS j, f.open AS fo, f.close AS fc, CASE WHEN sign = 1 THEN f.low ELSE f.high END AS worst, CASE WHEN sign = 1 THEN f.high ELSE f.low END AS best FROM av c JOIN bars f ON {same("c", "f")} AND f.bar_idx > c.bar_idx AND f.bar_idx <= c.bar_idx + c.hold),
+ah AS (SELECT *, CASE WHEN sign * (fo - stop_loss) <= 0 THEN fo WHEN sign * (fo - take_profit) >= 0 THEN fo WHEN sign * (worst - stop_loss) <= 0 THEN stop_loss WHEN sign * (best - take_profit) >= 0 THEN take_profit END AS hit FROM ap),
+ae AS MATERIALIZED (SELECT arm, {SERIES}, bar_idx, ts, sign, trend, entry_price, stop_loss, coalesce(min(j) FILTER (hit IS NOT NULL), max(j)) AS exit_idx, arg_min(fo, j) AS entry, coalesce(arg_min(hit, j) FILTER (hit IS NOT NULL), arg_max(fc, j)) AS exit FROM ah GROUP BY ALL),
+an AS MATERIALIZED (SELECT a.arm, a.{SERIES.replace(", ", ", a.")}, a.bar_idx, b.bar_idx AS next_idx FROM ae a ASOF LEFT JOIN (SELECT arm, {SERIES}, bar_idx FROM ae) b ON {near} AND a.exit_idx <= b.bar_idx),
+ac AS (SELECT arm, {SERIES}, min(bar_idx) AS bar_idx FROM ae GROUP BY ALL UNION ALL SELECT b.arm, b.{SERIES.replace(", ", ", b.")}, b.next_idx FROM ac a JOIN an b ON {near} AND a.bar_idx = b.bar_idx WHERE b.next_idx IS NOT NULL),
+swept AS MATERIALIZED (SELECT a.*, (exit - entry) * sign / abs(entry_price - stop_loss) AS r FROM ae a JOIN ac b ON {near} AND a.bar_idx = b.bar_idx)"""

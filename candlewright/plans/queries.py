@@ -189,7 +189,7 @@ v AS (SELECT market, symbol, timeframe, ts, bar_idx, r * r AS v FROM q WHERE bar
  UNION ALL SELECT q.market, q.symbol, q.timeframe, q.ts, q.bar_idx, 0.94::DOUBLE * v.v + 0.06::DOUBLE * q.r * q.r FROM v JOIN q ON q.market = v.market AND q.symbol = v.symbol AND q.timeframe = v.timeframe AND q.bar_idx = v.bar_idx + 1)
 SELECT {KEYS}, round(sqrt(v), 6) AS ewma_vol FROM v""")
 def ewma_volatility(spark, sf_dir):
-    return indicators.with_recursive(daily_bars(spark, sf_dir)).where("ewma_vol IS NOT NULL").select(*KEY, *r6("ewma_vol"))
+    return indicators.with_volatility(daily_bars(spark, sf_dir)).where("ewma_vol IS NOT NULL").select(*KEY, *r6("ewma_vol"))
 
 
 @register(DAILY_SQL + f""", m AS (SELECT *, avg(close) {P} ROWS 19 PRECEDING) AS m20, avg(close) {P} ROWS 49 PRECEDING) AS m50, avg(close) {P} ROWS 199 PRECEDING) AS m200 FROM bars),
@@ -690,12 +690,6 @@ def time_split(spark, sf_dir):
     return statistics.time_split(daily_bars(spark, sf_dir))
 
 
-@register()
-def bootstrap_ci(spark, sf_dir):
-    row = statistics.bootstrap_mean(closed_deals(spark, sf_dir), "r", ["symbol"])
-    return spark.createDataFrame([tuple(row.values())], "mean double, lo double, hi double, p double, clusters long")
-
-
 @register()
 def ridge_fit(spark, sf_dir):
     b = features.momentum(daily_bars(spark, sf_dir)).withColumn("y", features.forward_returns(None, 5, "close_close"))

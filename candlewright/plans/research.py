@@ -481,21 +481,6 @@ def cluster_t_test(spark, sf_dir):
     return out.select("action", *r6("mean", "se", "z", "p"), "n", "clusters")
 
 
-@register()
-def bootstrap_study(spark, sf_dir):
-    """Intervals of one mean under several resamplings: single deals, symbols, runs of months, Bonferroni."""
-    t = closed_deals(spark, sf_dir).withColumn("month", F.date_trunc("month", "created_at"))
-    rows = []
-    for kind, cluster, extra in (("iid", ["signal_id"], {}), ("cluster", ["symbol"], {}), ("block", ["month"], {"block": 3}), ("bonferroni", ["symbol"], {"tests": 10})):
-        d = statistics.bootstrap_mean(t, "r", cluster, draws=500, **extra)
-        rows.append((kind, d["mean"], d["lo"], d["hi"], d["p"], d["clusters"]))
-    s = statistics.bootstrap_spearman(t.withColumn("x", F.col("signal_id") % 97), "x", "r", ["symbol"], draws=500)
-    rows.append(("spearman", s["rho"], s["lo"], s["hi"], s["p"], s["clusters"]))
-    d = statistics.paired_bootstrap(t.where("action = 'BUY'"), t.where("action = 'SELL'"), "r", ["symbol"], draws=500)
-    rows.append(("paired", d["diff"], d["lo"], d["hi"], d["p"], d["clusters"]))
-    return spark.createDataFrame(rows, "kind string, value double, lo double, hi double, p double, clusters long")
-
-
 @register()
 def ridge_choice(spark, sf_dir):
     """Error of each penalty under an expanding window of years with an embargo."""

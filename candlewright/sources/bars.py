@@ -24,6 +24,13 @@ def series(order: str = "ts"):
     return Window.partitionBy(*SERIES).orderBy(order)
 
 
+def dealt(df: DataFrame, *also: str) -> DataFrame:
+    """Rows dealt out by market and symbol (and ``also``) to as many tasks as the session shuffles to, which is what windows
+    over series need.  Windows cost time rather than bytes, so the number is named: adaptive execution would
+    put small partitions together into one task.  The timeframe is left out, as a constant one would hide that the rows lie right."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "market", "symbol", *also)
+
+
 def market_of(number: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, MARKETS)), (F.pmod(number, F.lit(5)) + 1).cast("int"))
 

@@ -54,13 +54,14 @@ def append(rows: DataFrame, path: str) -> None:
 
 
 def write_report(summary: DataFrame, path: str, title: str) -> None:
-    """A small table as JSON lines and as a Markdown page below ``path``."""
-    rows = [r.asDict() for r in summary.limit(1000).collect()]  # a report, of a thousand rows at most
-    lines = [f"# {title}", "", "| " + " | ".join(summary.columns) + " |", "|" + "---|" * len(summary.columns)]
-    lines += ["| " + " | ".join("" if r[c] is None else str(r[c]) for c in summary.columns) + " |" for r in rows]
-    spark = summary.sparkSession
-    summary.limit(1000).coalesce(1).write.mode("overwrite").json(f"{path}/data")
-    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/page")
+    """A table as JSON lines and as a Markdown page below ``path``, with all its rows.  The page is one file, written
+    row by row by one task; nothing of it passes through the driver."""
+    cell = lambda c: F.regexp_replace(F.regexp_replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), r"\|", r"\\|"), r"\s*\n\s*", " ")
+    head = [f"# {title}", "", "| " + " | ".join(summary.columns) + " |", "|" + "---|" * len(summary.columns)]
+    summary.write.mode("overwrite").json(f"{path}/data")
+    first = summary.sparkSession.createDataFrame([("\n".join(head),)], "value string").coalesce(1)
+    body = summary.select(F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, summary.columns)), F.lit(" |")).alias("value"))
+    first.union(body).coalesce(1).write.mode("overwrite").text(f"{path}/page")
 
 
 def write_ledger(result: DataFrame, config: dict, path: str) -> str:

@@ -63,13 +63,6 @@ def test_nothing_looks_ahead(spark):
     assert whole.select(columns).collect() == cut.select(columns).collect()
 
 
-def test_ema_and_rsi_by_hand():
-    x = np.array([1.0, 2, 3, 4, 5, 4, 3])
-    assert np.allclose(indicators.ema_array(x, 3)[2:], [2, 3, 4, 4, 3.5])
-    assert indicators.rsi_array(np.arange(20.0))[14] == 100
-    assert indicators.levels_array(np.array([1, 0, 1, 1, 0, 0], bool), np.array([5.0, 9, 4, 5, 9, 9]), 1, 2, False)[-1] == [5.0, 4.0]
-
-
 @pytest.mark.parametrize("kind", synthetic.CORRUPTIONS)
 def test_corrupt_series_do_not_break(spark, kind):
     bars = synthetic.to_spark(spark, synthetic.corrupt(synthetic.candles("side", 80), kind))
@@ -110,9 +103,6 @@ def test_positions(spark):
 def test_statistics():
     assert abs(statistics.t_test_p(2.0, 10) - 0.07338803) < 1e-6
     assert abs(statistics.t_test_p(0.0, 5) - 1) < 1e-9
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=40)
-    assert statistics.permutation_p(x, x + rng.normal(size=40) * 0.1, 200) < 0.02
 
 
 def test_upserts(spark):

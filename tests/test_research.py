@@ -86,30 +86,6 @@ def test_walk_forward_counts_skips_and_fees(spark):
     scored.unpersist()
 
 
-def test_resampling_is_seeded_and_right(spark):
-    rng = np.random.default_rng(5)
-    rows = [(i % 12, int(rng.integers(0, 50)), float(rng.normal())) for i in range(300)]
-    df = spark.createDataFrame(rows, "g int, x int, r double")
-    a, b = (statistics.bootstrap_mean(df, "r", ["g"], draws=300) for _ in range(2))
-    assert a == b and a["lo"] < a["mean"] < a["hi"] and np.isclose(a["mean"], np.mean([r for _, _, r in rows]))
-    wide = statistics.bootstrap_mean(df, "r", ["g"], draws=300, tests=10)
-    assert wide["lo"] <= a["lo"] and wide["hi"] >= a["hi"]
-    assert statistics.bootstrap_mean(df.where("g < 0"), "r", ["g"])["mean"] is None
-    one = np.array([1.0, 2.0, 4.0, 8.0])
-    assert set(statistics.resampled([one], 50, 1, block=4)[:, 0]) == {15.0}  # a block of all is all
-    p = pd.DataFrame(rows, columns=["g", "x", "r"])
-    s = statistics.bootstrap_spearman(df, "x", "r", ["g"], draws=200)
-    assert np.isclose(s["rho"], p.x.rank().corr(p.r.rank())) and s["lo"] <= s["rho"] <= s["hi"]
-    d = statistics.paired_bootstrap(df.where("x < 25"), df.where("x >= 25"), "r", ["g"], draws=200)
-    sums = p.assign(s=np.where(p.x < 25, p.r, -p.r)).groupby("g").s.sum()
-    assert np.isclose(d["diff"], sums.mean()) and d["lo"] <= d["diff"] <= d["hi"]
-    with pytest.MonkeyPatch.context() as m:
-        m.setattr(statistics, "CLUSTERS", 5)
-        for call in (lambda: statistics.paired_bootstrap(df, df, "r", ["g"]), lambda: statistics.bootstrap_mean(df, "r", ["g"])):
-            with pytest.raises(ValueError):
-                call()
-
-
 def test_student_p(spark):
     got = [r[0] for r in spark.createDataFrame([(2.0, 10.0), (0.0, 3.0), (None, 4.0), (-2.571, 5.0)], "t double, d double").select(statistics.student_p("t", "d")).collect()]
     assert got[2] is None and np.allclose([got[0], got[1], got[3]], [0.073388, 1.0, 0.05], atol=1e-4)
@@ -201,6 +177,9 @@ def test_files(spark, tmp_path):
     files.write_report(deals.select("symbol", "r"), f"file://{tmp_path}/report", "Deals")
     page = [r[0] for r in spark.read.text(f"file://{tmp_path}/report/page").collect()]
     assert page[0] == "# Deals" and page[-1] == "| S1 | 2.0 |"
+    files.write_report(spark.range(2500).select("id", F.when(F.col("id") % 2 == 0, "a|b").alias("x")), f"file://{tmp_path}/long", "All")
+    page = [r[0] for r in spark.read.text(f"file://{tmp_path}/long/page").collect()]
+    assert len(page) == 2504 and page[4] == "| 0 | a\\|b |" and page[5] == "| 1 |  |" and spark.read.json(f"file://{tmp_path}/long/data").count() == 2500
     digest = files.write_ledger(files.read_deals(spark, f"{tmp_path}/deals"), {"b": 1, "a": 2}, f"file://{tmp_path}/ledger")
     ledger = spark.read.json(f"file://{tmp_path}/ledger").collect()
     assert ledger and all(r["config_hash"] == digest and "deals" in r["input"] for r in ledger)
