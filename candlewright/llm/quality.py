@@ -12,9 +12,9 @@ distance (base 2), and its least distances count.  It is rejected if either is a
 threshold; documents under ``min_words`` words have histograms too small to judge and are left to
 the base rules.
 
-References are tables for any number of languages: the class histograms become one row that every
-document meets; the common words are joined to the documents' words, and a grouped minimum over the
-languages follows.  A document's word histogram is pre-aggregated before its shuffle.
+A text is read once: its counts and the histogram of its short words stay in its row and are written as a table.  Only
+(language, word) counts and sums per language are shuffled.  The references of all languages, ``COMMON_WORDS`` words and six
+classes each, become one row that every document meets, so distances need no shuffle and no key.
 
 Cases: null and empty texts have no words and fail; without any language in the table, or for a
 document without words, no divergence is measured; each row of the input is judged by its own text
@@ -38,11 +38,6 @@ COMMON_WORDS, MIN_WORDS = 30, 50
 CHARS_DISTANCE, WORDS_DISTANCE = 0.29, 0.42
 
 
-def text_key() -> Column:
-    """Tells the rows of one doc_id with different texts apart, in four bytes, as it is shuffled with every word."""
-    return F.hash("text").alias("text_key")
-
-
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
@@ -73,14 +68,30 @@ def with_repeat_words(df: DataFrame) -> DataFrame:
     return df.withColumn("n_repeat_words", F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x)).drop("p", "d")
 
 
+def short_words(words: Column) -> Column:
+    """The words of at most five letters; those without a letter are the empty word, all others are left out."""
+    kind = F.transform(words, lambda w: F.when(~w.rlike(r"\p{L}"), F.lit("")).when((F.length(w) <= 5) & w.rlike(SHORT_WORD), w))
+    return F.array_compact(kind)
+
+
+def with_histogram(df: DataFrame) -> DataFrame:
+    """Adds hist, the short words of ``words`` and how often each occurs: in sorted order, a word's first place to the next one's."""
+    df = df.withColumn("s", F.sort_array(short_words(F.col("words"))))
+    s = F.col("s")
+    first = F.filter(F.transform(s, lambda w, i: F.when((i == 0) | (F.get(s, i - 1) != w), i)), lambda i: i.isNotNull())
+    df = df.withColumn("at", first)
+    at = F.col("at")
+    return df.withColumn("hist", F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("word"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).cast("long").alias("n")))).drop("s", "at")
+
+
 def features(docs: DataFrame) -> DataFrame:
-    """The counts and character classes of each document."""
+    """The counts, character classes and short words of each document."""
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = docs.select("doc_id", text_key(), "lang", "text", words_of(F.col("text")).alias("words"), lines.alias("lines"))
-    df = with_repeat_words(df)
+    df = docs.select("doc_id", "lang", "text", words_of(F.col("text")).alias("words"), lines.alias("lines"))
+    df = with_histogram(with_repeat_words(df))
     classes = [count_of(F.col("text"), others).alias(f"c_{name}") for name, others in CLASSES.items()]
-    df = df.select("doc_id", "text_key", "lang", F.size("words").cast("long").alias("n_words"), F.length(text).cast("long").alias("n_chars_all"), count_of(F.col("text"), SYMBOLS).alias("n_symbols"),
+    df = df.select("doc_id", "lang", "hist", F.size("words").cast("long").alias("n_words"), F.length(text).cast("long").alias("n_chars_all"), count_of(F.col("text"), SYMBOLS).alias("n_symbols"),
                    (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), "n_repeat_words", *classes)
     df = df.withColumn("word_chars", F.col("n_chars_all") - F.col("c_space")).withColumn("c_symbol", F.col("n_symbols"))
     return df.withColumn("c_other", F.col("n_chars_all") - F.col("c_lower") - F.col("c_upper") - F.col("c_digit") - F.col("c_space") - F.col("c_symbol"))
@@ -112,38 +123,26 @@ def char_distance(refs: Column) -> Column:
     return F.when(total > 0, F.array_min(each))
 
 
-def tokens(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, text_key, lang, n_words, word): one row per word; words without a letter become
-    one, empty.  ``row`` numbers the documents within this plan, so that repeats stay apart."""
-    words = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text_key(), "lang", words_of(F.col("text")).alias("words"))
-    words = words.select("row", "doc_id", "text_key", "lang", F.size("words").alias("n_words"), F.explode("words").alias("word"))
-    return words.withColumn("word", F.when(F.col("word").rlike(r"\p{L}"), F.col("word")).otherwise(""))
-
-
-def word_references(words: DataFrame, spoken: DataFrame) -> DataFrame:
-    """(lang, word, q, mass, apart): each language's most frequent short words with their shares, the sum
-    of those, and the distance of a document that has none of them."""
-    counted = words.where(F.col("lang").isNotNull() & F.col("word").rlike(SHORT_WORD)).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+def word_references(per_doc: DataFrame, spoken: DataFrame) -> DataFrame:
+    """One row (word_refs): for each language the shares of its most frequent short words, and the sum of those."""
+    counted = per_doc.where("lang IS NOT NULL").select("lang", F.explode("hist").alias("h")).groupBy("lang", "h.word").agg(F.sum("h.n").alias("n"))
     first = [F.desc(F.col("word") == ""), F.desc("n"), "word"]  # the bin of words without a letter always counts
     ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*first))).where(F.col("rank") <= COMMON_WORDS)
     shares = ranked.join(spoken.select("lang", F.col("words").alias("total")), "lang").select("lang", "word", (F.col("n") / F.col("total")).alias("q"))
-    mass = shares.groupBy("lang").agg(F.sum("q").alias("mass")).withColumn("apart", _root(F.col("mass") / 2 + _term(F.lit(1.0), 1 - F.col("mass"))))
-    return shares.join(mass, "lang")
+    each = shares.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("word", "q"))).alias("words"), F.sum("q").alias("mass"))  # COMMON_WORDS at most
+    return each.agg(F.collect_list(F.struct("words", "mass")).alias("word_refs"), F.array_distinct(F.flatten(F.collect_list("words.word"))).alias("common"))
+
 
+def word_distance(refs: Column, found: Column) -> Column:
+    """Least distance of the common words; ``found`` maps a document's common words to their shares."""
 
-def word_distance(words: DataFrame, references: DataFrame, apart: DataFrame) -> DataFrame:
-    """(doc_id, text_key, js_words): least distance of the common-word histograms, of the documents with
-    any common word.  ``apart``: one row with the languages by their distance from none of their words."""
-    document = ["row", "doc_id", "text_key", "n_words"]
-    counted = words.join(references.select("word").distinct(), "word", "left_semi").groupBy(*document, "word").agg(F.count(F.lit(1)).alias("n"))
-    p, q, mass = F.col("n") / F.col("n_words"), F.col("q"), F.col("mass")
-    sums = [F.sum(_term(p, q) - q / 2).alias("t"), F.sum(p).alias("p")]  # a word of a language that the document lacks adds q / 2
-    each = counted.join(references, "word").groupBy(*document, "lang", "mass").agg(*sums)
-    js = _root(F.col("t") + mass / 2 + _term(1 - F.col("p"), 1 - mass))
-    near = each.groupBy(*document).agg(F.min(js).alias("js"), F.collect_set("lang").alias("met"))
-    other = F.get(F.filter("apart", lambda x: ~F.array_contains("met", x["lang"])), F.lit(0))["apart"]
-    each_row = near.crossJoin(F.broadcast(apart)).select("doc_id", "text_key", F.least("js", other).alias("js_words"))  # one row
-    return each_row.groupBy("doc_id", "text_key").agg(F.min("js_words").alias("js_words"))  # the same for repeated rows
+    def each(ref: Column) -> Column:
+        share = lambda x: F.coalesce(F.try_element_at(found, x["word"]), F.lit(0.0))
+        zero = F.struct(F.lit(0.0).alias("t"), F.lit(0.0).alias("p"))
+        total = F.aggregate(ref["words"], zero, lambda a, x: F.struct((a["t"] + _term(share(x), x["q"])).alias("t"), (a["p"] + share(x)).alias("p")))
+        return _root(total["t"] + _term(1 - total["p"], 1 - ref["mass"]))
+
+    return F.array_min(F.transform(refs, each))
 
 
 def quality(docs: DataFrame, scratch: Scratch | None = None, chars_distance: float = CHARS_DISTANCE, words_distance: float = WORDS_DISTANCE, min_words: int = MIN_WORDS) -> DataFrame:
@@ -153,13 +152,12 @@ def quality(docs: DataFrame, scratch: Scratch | None = None, chars_distance: flo
     per_doc = scratch.save(features(docs), "features")
     spoken = per_doc.where("lang IS NOT NULL").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words"), *[F.sum(b).alias(b) for b in BINS])
     spoken = scratch.save(spoken, "spoken")
-    words = tokens(docs)
-    references = scratch.save(word_references(words.select("lang", "word"), spoken), "references")
-    apart = references.select("apart", "lang").distinct().agg(F.sort_array(F.collect_list(F.struct("apart", "lang"))).alias("apart"))
-
     df = per_doc.crossJoin(F.broadcast(char_references(spoken))).withColumn("js_chars", char_distance(F.col("refs"))).drop("refs")  # one row
-    df = df.join(word_distance(words.drop("lang"), references, apart), ["doc_id", "text_key"], "left").crossJoin(F.broadcast(apart))
-    df = df.withColumn("js_words", F.coalesce("js_words", F.when(F.col("n_words") > 0, F.get("apart", F.lit(0))["apart"])))
+    df = df.crossJoin(F.broadcast(scratch.save(word_references(per_doc, spoken), "references")))  # one row
+    df = df.withColumn("met", F.array_intersect(F.transform("hist", lambda h: h["word"]), "common"))
+    df = df.withColumn("met", F.filter("hist", lambda h: F.array_contains("met", h["word"])))
+    df = df.withColumn("found", F.map_from_entries(F.transform("met", lambda h: F.struct(h["word"], h["n"] / F.col("n_words")))))
+    df = df.withColumn("js_words", F.when(F.col("n_words") > 0, word_distance(F.col("word_refs"), F.col("found"))))
     df = df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     far = (F.col("n_words") >= min_words) & ((F.coalesce("js_chars", F.lit(0.0)) > chars_distance) | (F.coalesce("js_words", F.lit(0.0)) > words_distance))
     return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~far).alias("kept"), "js_chars", "js_words")
