@@ -5,20 +5,21 @@ word 3-grams are seeds.  A bit table of fixed size tells which grams of a docume
 words around them are cut out as regions, and an exact join on gram hashes follows, so the table's
 size never decides a result.
 
-Candidates.  A gram of a passage is a seed if at most ``ITEMS`` passages hold it, or if it is among the
-passage's ``LEAST`` rarest; phrases that all items share, such as a question's opening, are none where a
-passage has enough of its own.  Rarity is counted in the benchmark alone, however many documents hold a
+Candidates.  A gram of a passage is a seed if at most ``ITEMS`` passages hold it, or if it is among as many of the passage's
+rarest that every clean copy of ``SHARE`` of the passage holds ``SEEDS`` of them, wherever it lies (a copy misses fewer grams than
+that).  So phrases that all items share, such as a question's opening, are no seeds where a passage has enough
+of its own, and nothing is lost by it but heavily edited copies of what is common.  Rarity is counted in the benchmark alone, however many documents hold a
 gram: a passage copied into a third of the corpus is found, and so is an edited or partial copy beside
-the exact ones.  A pair of region and passage with ``SEEDS`` different seeds is a candidate.  Hits of a gram with more
-than ``HOT`` regions are dealt out to several keys of the join.
+the exact ones.  A pair of region and passage with ``SEEDS`` different seeds, or all of a passage's if it has fewer, is a
+candidate.  Hits of a gram with more than ``HOT`` regions are dealt out to several keys of the join.
 
 Alignment.  Smith-Waterman on words (match 2, mismatch -1, gap -1) scores each candidate, as a share
 of the score of a perfect copy.  A document is contaminated by an item if some passage reaches
 ``SHARE``.  No score exceeds the share of the passage's words that the region holds, so candidates
 under ``SHARE`` by that count are not aligned.
 
-Cases: null and empty texts and items without a 3-gram match nothing; repeated rows are matched once
-per doc_id; an empty corpus or benchmark gives an empty result; further columns are ignored;
+Cases: null and empty texts, items under three words and items without an item_id match nothing; an item of three words is
+found where it is copied exactly; repeated rows are matched once per doc_id; an empty corpus or benchmark gives an empty result; further columns are ignored;
 long texts yield many regions, each of bounded reach around its seeds.
 """
 
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from candlewright.llm.common import batch, keyed, mix64, rows_of, Scratch
 
 GRAM, PASSAGE, REGION, SEEDS, SHARE, HOT = 3, 64, 256, 2, 0.5, 20_000
-ITEMS, LEAST = 64, 24
+ITEMS, FEW = 64, 100_000
 TABLE_BITS = 25
 MATCH, MISMATCH, GAP = 2, -1, -1
 _EDGE = b".,;:!?\"'()[]{}<>|*#$%&"
@@ -73,12 +74,14 @@ def passages(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(cut, "item_id long, passage long, words binary, grams array<long>")
 
 
-def seed_grams(tests: DataFrame) -> DataFrame:
-    """(item_id, passage, gram): the seeds of each passage."""
-    grams = tests.select("item_id", "passage", F.explode("grams").alias("gram"))
+def seed_grams(tests: DataFrame, share: float = SHARE) -> DataFrame:
+    """(item_id, passage, gram, needed): the seeds of each passage, and how many of them make a candidate."""
+    grams = tests.select("item_id", "passage", (F.octet_length("words") / 8).alias("length"), F.size("grams").alias("all"), F.explode("grams").alias("gram"))
     counted = grams.join(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram")
     rank = F.row_number().over(Window.partitionBy("item_id", "passage").orderBy("n", "gram"))
-    return counted.withColumn("rank", rank).where((F.col("n") <= ITEMS) | (F.col("rank") <= LEAST)).select("item_id", "passage", "gram")
+    in_copy = F.greatest(F.lit(1), F.ceil(F.col("length") * share) - GRAM + 1)
+    kept = counted.withColumn("rank", rank).where((F.col("n") <= ITEMS) | (F.col("rank") <= F.col("all") - in_copy + SEEDS))
+    return kept.select("item_id", "passage", "gram", F.least(F.lit(SEEDS), F.col("all")).alias("needed"))
 
 
 def seed_table(grams: DataFrame) -> np.ndarray:
@@ -90,25 +93,30 @@ def seed_table(grams: DataFrame) -> np.ndarray:
     return table
 
 
-def regions(docs: DataFrame, spread: Broadcast[np.ndarray]) -> DataFrame:
-    """Stretches of documents around grams that the bit table lets through."""
+def in_table(bits: np.ndarray, g: np.ndarray) -> np.ndarray:
+    slot = g & np.uint64((1 << TABLE_BITS) - 1)
+    return bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1
+
+
+def regions(docs: DataFrame, spread: Broadcast[tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Stretches of documents around grams that the bit table lets through: ``SEEDS`` of them, or one that the second
+    table, of passages with a single gram, lets through."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, low = spread.value, np.uint64((1 << TABLE_BITS) - 1)
+        bits, lone = spread.value
         for part in rows_of(batches):
             out = []
             for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 w = word_hashes(text)
                 g = gram_hashes(w)
-                slot = g & low
-                hits = np.flatnonzero(bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
+                hits = np.flatnonzero(in_table(bits, g))
                 if not len(hits):
                     continue
                 breaks = np.flatnonzero((hits[1:] - hits[:-1] > PASSAGE)) + 1
                 for run in np.split(hits, breaks):
                     for at in range(int(run[0]), int(run[-1]) + 1, REGION - PASSAGE):  # long runs in overlapping pieces
                         inside = run[(run >= at) & (run < at + REGION)]
-                        if len(inside) >= SEEDS:
+                        if len(inside) >= SEEDS or in_table(lone, g[inside]).any():
                             lo, hi = max(0, at - PASSAGE), min(len(w), int(inside[-1]) + GRAM + PASSAGE)
                             out.append((doc_id, lo, w[lo:hi].tobytes(), np.unique(g[inside]).view(np.int64)))
             if out:
@@ -137,20 +145,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, na
     """One row per document and test item that it contains: doc_id, item_id, n_seeds, score."""
     spark = docs.sparkSession
     scratch = Scratch(spark, name)
-    tests = scratch.save(passages(benchmark.where("text IS NOT NULL")).where(F.size("grams") > 0), "passages")
-    grams = scratch.save(seed_grams(tests), "seeds")
-    spread = spark.sparkContext.broadcast(seed_table(grams))  # of fixed size
+    tests = scratch.save(passages(benchmark.where("text IS NOT NULL AND item_id IS NOT NULL")).where(F.size("grams") > 0), "passages")
+    grams = scratch.save(seed_grams(tests, share), "seeds")
+    spread = spark.sparkContext.broadcast((seed_table(grams), seed_table(grams.where("needed = 1"))))  # of fixed size
     found = scratch.save(regions(docs, spread), "regions")
     spread.destroy()
     hits = found.select("doc_id", "region", F.explode("grams").alias("gram"))
     hits = scratch.save(hits.join(grams.select("gram").distinct(), "gram", "left_semi"), "hits")
 
     frequent = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT)
-    frequent = F.broadcast(scratch.save(frequent.select("gram", F.floor(F.col("n") / HOT + 1).alias("parts")), "frequent"))  # a part of the benchmark's grams, and one of HOT hits
+    frequent = scratch.save(frequent.select("gram", F.floor(F.col("n") / HOT + 1).alias("parts")), "frequent")
+    frequent = F.broadcast(frequent) if frequent.count() <= FEW else frequent
     parts = F.coalesce("parts", F.lit(1).cast("long"))
     dealt = hits.join(frequent, "gram", "left").select("gram", F.pmod(F.xxhash64("doc_id", "region"), parts).alias("part"), "doc_id", "region")
-    seeds = grams.join(frequent, "gram", "left").select("gram", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "item_id", "passage")
-    pairs = dealt.join(seeds, ["gram", "part"]).groupBy("doc_id", "region", "item_id", "passage").agg(F.count_distinct("gram").alias("n_seeds")).where(F.col("n_seeds") >= SEEDS)
+    seeds = grams.join(frequent, "gram", "left").select("gram", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "item_id", "passage", "needed")
+    pairs = dealt.join(seeds, ["gram", "part"]).groupBy("doc_id", "region", "item_id", "passage", "needed").agg(F.count_distinct("gram").alias("n_seeds")).where("n_seeds >= needed")
     rows = (pairs.join(tests.select("item_id", "passage", F.col("words").alias("test")), ["item_id", "passage"])
             .join(found.select("doc_id", "region", "words"), ["doc_id", "region"]))
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_seeds", pa.int64()), ("score", pa.float64())])

@@ -6,7 +6,9 @@ share is the part of all files that hold it (partial counts per task, then a gro
 the templates' terms), so weights do not drift with the number of files; terms of no template weigh
 ``OTHER``.  A whole text is compared with each template by the cosine of sparse TF-IDF vectors over
 windows about as long as the template, a quarter of which lies between two windows (one term for short
-ones).  The best template at or above ``COSINE`` is the file's own licence.
+ones).  Among the templates at or above ``COSINE`` the file's own licence is that of greatest cosine times the fourth root of
+the template's terms: a whole licence says more than a line above it ("All rights reserved." over an MIT text), and a
+text that holds a shorter one says more than that one.
 
 Not every window is weighed: the heaviest terms of a template are those without which the cosine must
 stay under ``COSINE`` (by the Cauchy-Schwarz bound on the lighter rest), so only windows with one of
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 
 from candlewright.llm.common import batch, rows_of, Scratch
 
-COSINE, FLOOR, OTHER = 0.65, 1e-4, 4.0
+COSINE, FLOOR, OTHER, BY_LENGTH = 0.65, 1e-4, 4.0, 0.25
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. """
 _AS_IS = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
 _BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. """
@@ -109,7 +111,7 @@ class Matcher:
 
     def __init__(self, shares: dict[str, float]):
         self.weight = {t: math.log(1 / (min(1.0, shares.get(t, 0.0)) + FLOOR)) + 1e-9 for t in VOCABULARY}
-        self.sizes: dict[int, list[tuple[str, dict[str, float], frozenset[str]]]] = {}
+        self.sizes: dict[int, list[tuple[str, dict[str, float], frozenset[str], float]]] = {}
         for name, notices in TEMPLATES.items():
             for n in notices:
                 vector = self.vector(Counter(terms(n)))
@@ -119,8 +121,8 @@ class Matcher:
                         break
                     heavy.add(term)
                     rest -= x * x
-                self.sizes.setdefault(window_size(len(terms(n))), []).append((name, vector, frozenset(heavy)))
-        self.heavy = frozenset(t for found in self.sizes.values() for _, _, h in found for t in h)
+                self.sizes.setdefault(window_size(len(terms(n))), []).append((name, vector, frozenset(heavy), len(terms(n)) ** BY_LENGTH))
+        self.heavy = frozenset(t for found in self.sizes.values() for _, _, h, _ in found for t in h)
         self.order = {name: i for i, name in enumerate(TEMPLATES)}
 
     def vector(self, counts: Counter) -> dict[str, float]:
@@ -129,15 +131,15 @@ class Matcher:
         return {t: x / norm for t, x in raw.items()}
 
     def best(self, text: str | None) -> tuple[str | None, float]:
-        """The best template over all windows of a whole text; of equal ones the first listed."""
+        """The best template over all windows of a whole text and its cosine; of equal ones the first listed.  Without
+        one, the greatest cosine that was met."""
         words = terms(text or "")
         marks = [i for i, w in enumerate(words) if w in self.heavy]
-        found: tuple[str | None, float] = (None, 0.0)
-        if not marks:
-            return found
-        for size, templates in sorted(self.sizes.items()):
+        found: tuple[float, int, str, float] = (0.0, 0, "", 0.0)  # strength, place, name, cosine
+        nearest = 0.0
+        for size, templates in sorted(self.sizes.items()) if marks else ():
             step = 1 if size <= 16 else size // 4
-            heavy = frozenset().union(*(h for _, _, h in templates))
+            heavy = frozenset().union(*(t[2] for t in templates))
             starts = {s * step for i in marks if words[i] in heavy for s in range(max(0, i - size) // step, i // step + 1)}
             seen = set()
             for at in sorted(starts):
@@ -148,13 +150,14 @@ class Matcher:
                 seen.add(key)
                 counts = Counter(window)
                 v = self.vector(counts)
-                for name, t, h in templates:
+                for name, t, h, by_length in templates:
                     if h.isdisjoint(counts):
                         continue
                     cosine = sum(x * v.get(term, 0.0) for term, x in t.items())
-                    if cosine > found[1] + 1e-12 or abs(cosine - found[1]) <= 1e-12 and found[0] and self.order[name] < self.order[found[0]]:
-                        found = (name, cosine)
-        return found if found[1] >= COSINE else (None, found[1])
+                    nearest = max(nearest, cosine)
+                    if cosine >= COSINE:
+                        found = max(found, (round(cosine * by_length, 12), -self.order[name], name, cosine))
+        return (found[2], found[3]) if found[2] else (None, nearest)
 
 
 def own_licences(files: DataFrame) -> DataFrame:

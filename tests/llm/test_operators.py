@@ -372,6 +372,30 @@ def test_contamination_equals_all_pairs(spark):
         assert got == pytest.approx(want)
 
 
+def test_contamination_finds_short_items(spark):
+    rng = random.Random(19)
+    items = {n: [f"i{n}w{k}" for k in range(n)] for n in (1, 2, 3, 4, 5, 12, 200)}
+    rows = [(n, " ".join(words(rng, 90) + w + words(rng, 90))) for n, w in items.items()] + [(500 + n, " ".join(w)) for n, w in items.items()]
+    rows += [(1000, " ".join(words(rng, 60) + items[200][:60] + words(rng, 30))), (1001, " ".join(words(rng, 60) + items[3][:2] + words(rng, 60)))]
+    benchmark = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()] + [(None, " ".join(items[12]))], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in contamination.contaminated(frame(spark, rows), benchmark).collect()}
+    assert got == {(n, n) for n in items if n >= 3} | {(500 + n, n) for n in items if n >= 3} | {(1000, 200)}
+
+
+def test_contamination_of_items_with_a_common_opening(spark):
+    """A hundred items share an opening: all pairs by alignment are found, from copies of the opening alone, too."""
+    rng = random.Random(23)
+    opening = [f"open{k}" for k in range(40)]
+    items = [opening + [f"i{n}w{k}" for k in range(22)] for n in range(100)]
+    rows = [(n, " ".join(words(rng, 10) + items[n][:36] + words(rng, 10))) for n in range(4)]
+    rows += [(10 + n, " ".join(words(rng, 10) + items[n][31:] + words(rng, 10))) for n in range(4)] + [(20, " ".join(words(rng, 10) + opening[:8] + words(rng, 10))), (21, " ".join(items[5]))]
+    benchmark = spark.createDataFrame([(n, " ".join(w)) for n, w in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in contamination.contaminated(frame(spark, rows), benchmark).collect()}
+    texts_of = {i: contamination.word_hashes(t) for i, t in rows}
+    want = {(i, n) for i, b in texts_of.items() for n, w in enumerate(items) if contamination.alignment_share(contamination.word_hashes(" ".join(w)), b) >= contamination.SHARE}
+    assert got == want and len(want) > 400
+
+
 def naive_alignment(a, b):
     h = np.zeros((len(a) + 1, len(b) + 1), int)
     for i, x in enumerate(a, 1):
@@ -469,13 +493,29 @@ def test_licence_scan_equals_all_windows():
     for _ in range(12):
         notice = rng.choice(notices).split()
         text = " ".join(words(rng, rng.randint(0, 60)) + [w for w in notice if rng.random() < 0.9] + words(rng, rng.randint(0, 60)))
-        tokens, best = licenses.terms(text), 0.0
+        tokens, best = licenses.terms(text), (0.0, 0.0)
         for size, templates in matcher.sizes.items():
             for at in range(0, len(tokens), 1 if size <= 16 else size // 4):
                 v = matcher.vector(Counter(tokens[at : at + size]))
-                best = max([best, *(sum(x * v.get(t, 0.0) for t, x in vector.items()) for _, vector, _ in templates)])
+                for name, vector, _, by_length in templates:
+                    cosine = sum(x * v.get(t, 0.0) for t, x in vector.items())
+                    if cosine >= licenses.COSINE:
+                        best = max(best, (cosine * by_length, cosine))
         name, score = matcher.best(text)
-        assert (name is not None) == (best >= licenses.COSINE) and (name is None or np.isclose(score, best))
+        assert (name is not None) == (best[0] > 0) and (name is None or np.isclose(score, best[1]))
+
+
+def test_licences_outrank_the_line_above_them(spark):
+    """Every template under a copyright line, as a licence file from which a file inherits."""
+    rows, want = [], {}
+    for name, notices in licenses.TEMPLATES.items():
+        for k, notice in enumerate(notices):
+            home = f"{name}-{k}"
+            rows += [(f"{home}/LICENSE", f"Copyright (c) 2020, Some One. All rights reserved.\n\n{notice}"), (f"{home}/a.c", "int main() {}")]
+            want |= {f"{home}/LICENSE": name, f"{home}/a.c": name}
+    rows.append(("both/LICENSE", "All rights reserved. Released under the MIT License. " + licenses.TEMPLATES["BSD-3-Clause"][0]))
+    got = {r["path"]: r["license"] for r in licenses.licences(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == want | {"both/LICENSE": "BSD-3-Clause"}
 
 
 def test_licences_do_not_depend_on_the_number_of_files(spark):
