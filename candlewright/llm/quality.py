@@ -75,23 +75,24 @@ def short_words(words: Column) -> Column:
 
 
 def with_histogram(df: DataFrame) -> DataFrame:
-    """Adds hist, the short words of ``words`` and how often each occurs: in sorted order, a word's first place to the next one's."""
+    """Adds hist, which maps the short words of ``words`` to how often each occurs: in sorted order, a word's first place to the next one's."""
     df = df.withColumn("s", F.sort_array(short_words(F.col("words"))))
     s = F.col("s")
     first = F.filter(F.transform(s, lambda w, i: F.when((i == 0) | (F.get(s, i - 1) != w), i)), lambda i: i.isNotNull())
     df = df.withColumn("at", first)
     at = F.col("at")
-    return df.withColumn("hist", F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("word"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).cast("long").alias("n")))).drop("s", "at")
+    entries = F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("word"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).cast("long").alias("n")))
+    return df.withColumn("hist", F.map_from_entries(entries)).drop("s", "at")
 
 
 def features(docs: DataFrame) -> DataFrame:
     """The counts, character classes and short words of each document."""
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = docs.select("doc_id", "lang", "text", words_of(F.col("text")).alias("words"), lines.alias("lines"))
+    df = docs.select("doc_id", "lang", "text", F.xxhash64(text).alias("copy"), words_of(F.col("text")).alias("words"), lines.alias("lines"))
     df = with_histogram(with_repeat_words(df))
     classes = [count_of(F.col("text"), others).alias(f"c_{name}") for name, others in CLASSES.items()]
-    df = df.select("doc_id", "lang", "hist", F.size("words").cast("long").alias("n_words"), F.length(text).cast("long").alias("n_chars_all"), count_of(F.col("text"), SYMBOLS).alias("n_symbols"),
+    df = df.select("doc_id", "copy", "lang", "hist", F.size("words").cast("long").alias("n_words"), F.length(text).cast("long").alias("n_chars_all"), count_of(F.col("text"), SYMBOLS).alias("n_symbols"),
                    (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), "n_repeat_words", *classes)
     df = df.withColumn("word_chars", F.col("n_chars_all") - F.col("c_space")).withColumn("c_symbol", F.col("n_symbols"))
     return df.withColumn("c_other", F.col("n_chars_all") - F.col("c_lower") - F.col("c_upper") - F.col("c_digit") - F.col("c_space") - F.col("c_symbol"))
@@ -125,28 +126,29 @@ def char_distance(refs: Column) -> Column:
 
 def word_references(per_doc: DataFrame, spoken: DataFrame) -> DataFrame:
     """One row (word_refs): for each language the shares of its most frequent short words, and the sum of those."""
-    counted = per_doc.where("lang IS NOT NULL").select("lang", F.explode("hist").alias("h")).groupBy("lang", "h.word").agg(F.sum("h.n").alias("n"))
+    counted = per_doc.where("lang IS NOT NULL").select("lang", F.explode("hist").alias("word", "n")).groupBy("lang", "word").agg(F.sum("n").alias("n"))
     first = [F.desc(F.col("word") == ""), F.desc("n"), "word"]  # the bin of words without a letter always counts
     ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*first))).where(F.col("rank") <= COMMON_WORDS)
     shares = ranked.join(spoken.select("lang", F.col("words").alias("total")), "lang").select("lang", "word", (F.col("n") / F.col("total")).alias("q"))
     each = shares.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("word", "q"))).alias("words"), F.sum("q").alias("mass"))  # COMMON_WORDS at most
-    return each.agg(F.collect_list(F.struct("words", "mass")).alias("word_refs"), F.array_distinct(F.flatten(F.collect_list("words.word"))).alias("common"))
+    return each.agg(F.collect_list(F.struct("words", "mass")).alias("word_refs"))
 
 
-def word_distance(refs: Column, found: Column) -> Column:
-    """Least distance of the common words; ``found`` maps a document's common words to their shares."""
+def word_distance(refs: Column, hist: Column, n_words: Column) -> Column:
+    """Least distance of the common words.  ``hist`` is read from a table: an expression in its place would be computed again for
+    every word of every language."""
 
     def each(ref: Column) -> Column:
-        share = lambda x: F.coalesce(F.try_element_at(found, x["word"]), F.lit(0.0))
+        shares = F.transform(ref["words"], lambda x: F.struct((F.coalesce(F.try_element_at(hist, x["word"]), F.lit(0)) / n_words).alias("p"), x["q"].alias("q")))
         zero = F.struct(F.lit(0.0).alias("t"), F.lit(0.0).alias("p"))
-        total = F.aggregate(ref["words"], zero, lambda a, x: F.struct((a["t"] + _term(share(x), x["q"])).alias("t"), (a["p"] + share(x)).alias("p")))
-        return _root(total["t"] + _term(1 - total["p"], 1 - ref["mass"]))
+        total = F.aggregate(shares, zero, lambda a, x: F.struct((a["t"] + _term(x["p"], x["q"])).alias("t"), (a["p"] + x["p"]).alias("p")), lambda a: _root(a["t"] + _term(1 - a["p"], 1 - ref["mass"])))
+        return total
 
     return F.array_min(F.transform(refs, each))
 
 
 def quality(docs: DataFrame, scratch: Scratch | None = None, chars_distance: float = CHARS_DISTANCE, words_distance: float = WORDS_DISTANCE, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per document: doc_id, the counts, base_failed, kept, js_chars, js_words."""
+    """One row per row of ``docs``: doc_id, the counts, base_failed, kept, js_chars, js_words, copy (xxhash64 of the text, empty for null)."""
     scratch = scratch or Scratch(docs.sparkSession, "op9")
     docs = docs.where("doc_id IS NOT NULL")
     per_doc = scratch.save(features(docs), "features")
@@ -154,13 +156,10 @@ def quality(docs: DataFrame, scratch: Scratch | None = None, chars_distance: flo
     spoken = scratch.save(spoken, "spoken")
     df = per_doc.crossJoin(F.broadcast(char_references(spoken))).withColumn("js_chars", char_distance(F.col("refs"))).drop("refs")  # one row
     df = df.crossJoin(F.broadcast(scratch.save(word_references(per_doc, spoken), "references")))  # one row
-    df = df.withColumn("met", F.array_intersect(F.transform("hist", lambda h: h["word"]), "common"))
-    df = df.withColumn("met", F.filter("hist", lambda h: F.array_contains("met", h["word"])))
-    df = df.withColumn("found", F.map_from_entries(F.transform("met", lambda h: F.struct(h["word"], h["n"] / F.col("n_words")))))
-    df = df.withColumn("js_words", F.when(F.col("n_words") > 0, word_distance(F.col("word_refs"), F.col("found"))))
+    df = df.withColumn("js_words", F.when(F.col("n_words") > 0, word_distance(F.col("word_refs"), F.col("hist"), F.col("n_words"))))
     df = df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     far = (F.col("n_words") >= min_words) & ((F.coalesce("js_chars", F.lit(0.0)) > chars_distance) | (F.coalesce("js_words", F.lit(0.0)) > words_distance))
-    return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~far).alias("kept"), "js_chars", "js_words")
+    return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~far).alias("kept"), "js_chars", "js_words", "copy")
 
 
 ORACLE = r"""
