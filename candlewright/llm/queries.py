@@ -69,7 +69,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from candlewright.llm.quality import quality
 
-    return quality(table(spark, sf_dir, "documents")).drop("js_chars", "js_words")
+    return quality(table(spark, sf_dir, "documents")).drop("js_chars", "js_words", "copy")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

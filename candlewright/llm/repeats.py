@@ -43,12 +43,12 @@ from candlewright.llm.suffix_sort import repeated_offsets
 
 SPAN, GRAM = 200, 48
 WINDOW = SPAN - GRAM + 1
-HOT, CHUNK = 20_000, 1 << 24
+HOT, CHUNK = 20_000, 1 << 20
 _rng = np.random.default_rng(77)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _M = 0x9E3779B97F4A7C15
 _POS = np.uint64((1 << 28) - 1)
-_ANCHORS = pa.schema([("gram", pa.int64()), ("context", pa.int64()), ("doc_id", pa.int64()), ("copy", pa.int32()), ("at", pa.int64())])
+_ANCHORS = pa.schema([("gram", pa.int64()), ("context", pa.int64()), ("doc_id", pa.int64()), ("copy", pa.int64()), ("at", pa.int64())])
 
 
 def _power(n: int) -> np.uint64:
@@ -117,20 +117,21 @@ def find_anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
 
 
 def copy_key(text: bytes) -> int:
-    """Tells the rows of one doc_id apart."""
-    return xxhash.xxh32_intdigest(text) - (1 << 31)
+    """Tells the rows of one doc_id apart: Spark's own xxhash64 of the text, so that others can join by it."""
+    h = xxhash.xxh64_intdigest(text, 42)
+    return h - (1 << 64) if h >> 63 else h
 
 
 def packed(docs: DataFrame) -> DataFrame:
     """(doc_id, copy, blob): texts compressed before they are shuffled."""
-    schema = pa.schema([("doc_id", pa.int64()), ("copy", pa.int32()), ("blob", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("copy", pa.int64()), ("blob", pa.binary())])
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in rows_of(batches):
             texts = part.column(1).to_pylist()
             yield batch(schema, part.column(0), [copy_key((t or "").encode()) for t in texts], [pack_text(t) for t in texts])
 
-    return keyed(docs).mapInArrow(squeeze, "doc_id long, copy int, blob binary")
+    return keyed(docs).mapInArrow(squeeze, "doc_id long, copy long, blob binary")
 
 
 def anchors(docs: DataFrame) -> DataFrame:
@@ -138,7 +139,7 @@ def anchors(docs: DataFrame) -> DataFrame:
         for part in rows_of(batches, text_bytes=1 << 16):
             ids = part.column(0).to_numpy()
             texts = [(t or "").encode() for t in part.column(1).to_pylist()]
-            copies = np.array([copy_key(t) for t in texts], np.int32)
+            copies = np.array([copy_key(t) for t in texts], np.int64)
             chunks = [(i, at) for i, t in enumerate(texts) for at in range(0, max(1, len(t) - SPAN + 1), CHUNK)]  # each window begins in one chunk
             for k in range(0, len(chunks), len(texts)):
                 row, base = (np.array(x) for x in zip(*chunks[k : k + len(texts)], strict=True))
@@ -146,14 +147,14 @@ def anchors(docs: DataFrame) -> DataFrame:
                 if len(text):
                     yield batch(_ANCHORS, gram, context, ids[row[text]], copies[row[text]], at + (base[text] << 16))
 
-    return keyed(docs).mapInArrow(found, "gram long, context long, doc_id long, copy int, at long")
+    return keyed(docs).mapInArrow(found, "gram long, context long, doc_id long, copy long, at long")
 
 
 def _contexts(kinds: DataFrame, docs: DataFrame) -> DataFrame:
     """The bytes of one context of each kind (gram, n, doc_id, copy, at)."""
     wanted = kinds.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("gram", "n", "at")).alias("wanted"))
     rows = packed(docs).dropDuplicates(["doc_id", "copy"]).join(wanted, ["doc_id", "copy"]).select("doc_id", "copy", "blob", "wanted")
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("copy", pa.int32()), ("at", pa.int64()), ("n", pa.int64()), ("least", pa.int32()), ("most", pa.int32()), ("bytes", pa.binary())])
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("copy", pa.int64()), ("at", pa.int64()), ("n", pa.int64()), ("least", pa.int32()), ("most", pa.int32()), ("bytes", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in rows_of(batches, rows=256):
@@ -169,12 +170,12 @@ def _contexts(kinds: DataFrame, docs: DataFrame) -> DataFrame:
             if out:
                 yield batch(schema, *(list(c) for c in zip(*out, strict=True)))
 
-    return rows.mapInArrow(cut, "key long, doc_id long, copy int, at long, n long, least int, most int, bytes binary")
+    return rows.mapInArrow(cut, "key long, doc_id long, copy long, at long, n long, least int, most int, bytes binary")
 
 
 def _windows(contexts: DataFrame) -> DataFrame:
     """Every window of some contexts by itself: gram, offset and a hash of its bytes, and its place."""
-    schema = pa.schema([("key", pa.int64()), ("offset", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64()), ("doc_id", pa.int64()), ("copy", pa.int32()), ("begin", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("offset", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64()), ("doc_id", pa.int64()), ("copy", pa.int64()), ("begin", pa.int64())])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in rows_of(batches, rows=256):
@@ -187,7 +188,7 @@ def _windows(contexts: DataFrame) -> DataFrame:
             key, offset, doc_id, copy, begin = zip(*out, strict=True)
             yield batch(schema, list(key), list(offset), halves[:, 0], halves[:, 1], list(doc_id), list(copy), list(begin))
 
-    return contexts.mapInArrow(deal, "key long, offset int, w1 long, w2 long, doc_id long, copy int, begin long")
+    return contexts.mapInArrow(deal, "key long, offset int, w1 long, w2 long, doc_id long, copy long, begin long")
 
 
 def _counted(contexts: DataFrame, scratch: Scratch) -> DataFrame:
@@ -201,7 +202,7 @@ def _counted(contexts: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _resolved(contexts: DataFrame) -> DataFrame:
     """Spans (doc_id, copy, begin, end) of windows that occur twice among different contexts of a gram."""
-    schema = pa.schema([("doc_id", pa.int64()), ("copy", pa.int32()), ("begin", pa.int64()), ("end", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("copy", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())])
 
     def spans(table: pa.Table) -> pa.RecordBatch | None:
         key, doc, copy, at, n, least, most = (table.column(c).to_numpy() for c in ("key", "doc_id", "copy", "at", "n", "least", "most"))
@@ -234,7 +235,7 @@ def _resolved(contexts: DataFrame) -> DataFrame:
         if held and (out := spans(pa.Table.from_batches(held))) is not None:
             yield out
 
-    return contexts.repartition("key").sortWithinPartitions("key").mapInArrow(resolve, "doc_id long, copy int, begin long, end long")
+    return contexts.repartition("key").sortWithinPartitions("key").mapInArrow(resolve, "doc_id long, copy long, begin long, end long")
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -243,29 +244,32 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
     twice = group_sizes(anchors(docs), ["gram"], place, scratch, "grams")
     dealt = anchors(docs).withColumn("salt", salt(docs.sparkSession, *place))
     shared = scratch.save(dealt.join(twice, ["gram", "salt"], "left_semi").drop("salt"), "anchors")
-    kinds = scratch.save(shared.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*place)).alias("one")).select("gram", "context", "n", "one.*"), "kinds")
+    shared = shared.withColumn("salt", salt(docs.sparkSession, *place))
+    parts = scratch.save(shared.groupBy("gram", "context", "salt").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*place)).alias("one")), "parts")
+    kinds = scratch.save(parts.groupBy("gram", "context").agg(F.sum("c").alias("n"), F.min("one").alias("one")).select("gram", "context", "n", "one.*"), "kinds")
     several = group_sizes(kinds, ["gram"], ["context"], scratch, "kind-counts").withColumnRenamed("n", "kinds")
     several = scratch.save(kinds.withColumn("salt", salt(docs.sparkSession, "context")).join(several, ["gram", "salt"]), "several")
     partial = scratch.save(_resolved(_contexts(several.where(F.col("kinds") <= HOT), docs)), "partial")
     hot = _counted(_contexts(several.where(F.col("kinds") > HOT), docs), scratch)
-    whole = shared.join(kinds.where("n > 1").select("gram", "context"), ["gram", "context"])
+    often = parts.select("gram", "context", "salt").join(kinds.where("n > 1").select("gram", "context"), ["gram", "context"])  # a row for each salt of a context
+    whole = shared.join(often, ["gram", "context", "salt"], "left_semi")
     pos = F.shiftright("at", 16)
     whole = whole.select("doc_id", "copy", (pos - F.col("at").bitwiseAND(255)).alias("begin"), (pos - F.shiftright("at", 8).bitwiseAND(255) + SPAN).alias("end"))
     return whole.unionByName(partial).unionByName(hot)
 
 
 def remove_repeats(docs: DataFrame, name: str = "op10", with_text: bool = True) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, where asked for,
-    the remaining text (bytes that no longer form a character are left out of it)."""
+    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, where asked for, copy (the
+    xxhash64 of the row's text, empty for null) and the remaining text (bytes that no longer form a character are left out of it)."""
     scratch = Scratch(docs.sparkSession, name)
     spans = scratch.last(repeated_spans(docs, scratch).groupBy("doc_id", "copy").agg(F.collect_set(F.struct("begin", "end")).alias("spans")))
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
-    schema = pa.schema(fields + [("kept_text", pa.string())] * with_text)
+    schema = pa.schema(fields + [("copy", pa.int64()), ("kept_text", pa.string())] * with_text)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in rows_of(batches, rows=512):
             out = []
-            for doc_id, blob, spans in zip(*(part.column(c).to_pylist() for c in ("doc_id", "blob", "spans")), strict=True):
+            for doc_id, copy, blob, spans in zip(*(part.column(c).to_pylist() for c in ("doc_id", "copy", "blob", "spans")), strict=True):
                 data = unpack_text(blob)
                 kept, runs, done = [], 0, 0
                 merged_end = -1
@@ -277,8 +281,8 @@ def remove_repeats(docs: DataFrame, name: str = "op10", with_text: bool = True)
                 kept.append(data[done:])
                 rest = b"".join(kept)
                 row = (doc_id, len(data), len(data) - len(rest), runs, hashlib.sha256(rest).hexdigest())
-                out.append((*row, rest.decode(errors="ignore")) if with_text else row)
+                out.append((*row, copy, rest.decode(errors="ignore")) if with_text else row)
             yield batch(schema, *(list(c) for c in zip(*out, strict=True)))
 
-    columns = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
+    columns = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", copy long, kept_text string" * with_text
     return packed(docs).join(spans, ["doc_id", "copy"], "left").mapInArrow(cut, columns)

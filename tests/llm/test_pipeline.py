@@ -35,3 +35,28 @@ def test_stages(spark, tmp_path):
 
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "repeat_removal", "decontamination", "packing"]
+
+
+def test_stages_on_rows_of_one_document(spark, tmp_path):
+    """Rows of one doc_id: each judged by its own text, one left by near-dedup, none multiplied."""
+    rng = random.Random(22)
+    a, b = (" ".join(words(rng, 120)) for _ in range(2))
+    passage = " ".join(words(rng, 60))
+    rows = [(1, a), (1, "too short"), (1, a), (2, b), (2, b), (None, a)]
+    docs = frame(spark, rows).drop("n", "text_2", "kept")
+    assert sorted(r["text"] for r in corpus_pipeline.quality_rules(spark, docs, "").collect()) == sorted([a, a, b, b])
+    for order in (rows, rows[::-1]):
+        kept = corpus_pipeline.near_dedup(spark, frame(spark, order).drop("n", "text_2", "kept").where("text <> 'too short' AND doc_id IS NOT NULL"), "").collect()
+        assert sorted((r["doc_id"], r["text"]) for r in kept) == [(1, a), (2, b)]
+    twice = frame(spark, [(5, a + passage), (5, b + passage), (5, a + passage), (6, b)]).drop("n", "text_2", "kept")
+    left = corpus_pipeline.repeat_removal(spark, twice, "")
+    assert left.columns == twice.columns and left.collect() == []  # every text is repeated in another
+    apart = frame(spark, [(5, a), (5, b), (6, passage * 1)]).drop("n", "text_2", "kept")
+    assert sorted((r["doc_id"], r["text"], r["n_chars"]) for r in corpus_pipeline.repeat_removal(spark, apart, "").collect()) == sorted([(5, a, len(a)), (5, b, len(b)), (6, passage, len(passage))])
+
+
+def test_stages_on_an_empty_table(spark, tmp_path):
+    docs = frame(spark, []).drop("n", "text_2", "kept")
+    spark.createDataFrame([(0, "some item of a few words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == 0, name
