@@ -2,8 +2,8 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written as Parquet and
 read again as the next stage's ``docs``.  All but the last return the columns of ``documents``.
-Rows without a doc_id can't be judged and go with the first stage; repeated rows of one doc_id
-are one document after near-dedup.
+Rows without a doc_id can't be judged and go with the first stage.  Rows of one doc_id are judged each by its own text;
+near-dedup leaves one row of a doc_id, that with the least hash of all its columns.
 """
 
 from __future__ import annotations
@@ -25,24 +25,32 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 ORACLE_SQL = None
 
 
+def copy_of(text: str = "text"):
+    """Tells rows of one doc_id apart, as the operators do."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the quality rules reject."""
     scratch = Scratch(spark, "quality-rules")
-    kept = scratch.last(quality(docs, scratch=scratch).where("kept").select("doc_id"))
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    kept = scratch.last(quality(docs, scratch=scratch).where("kept").select(F.col("doc_id").alias("kept_id"), "copy"))
+    return docs.join(kept, (F.col("doc_id") == F.col("kept_id")) & (copy_of() == F.col("copy")), "left_semi")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates."""
     scratch = Scratch(spark, "near-dedup")
     kept = scratch.last(near_duplicates(docs, scratch=scratch).where("kept").select("doc_id"))
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    rows = docs.join(kept, "doc_id", "left_semi")
+    least = rows.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
+    return least.select("row.*").select(*docs.columns)
 
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts long repeated strings out of the texts; documents of which nothing is left go."""
-    cut = remove_repeats(docs).select("doc_id", "n_removed", F.col("kept_text").alias("text"))
-    out = docs.drop("text", "n_chars").join(cut.where("n_removed = 0 OR text <> ''"), "doc_id")
+    cut = remove_repeats(docs).select(F.col("doc_id").alias("cut_id"), F.col("copy").alias("cut_copy"), "n_removed", F.col("kept_text").alias("cut_text"))
+    cut = cut.where("n_removed = 0 OR cut_text <> ''").dropDuplicates(["cut_id", "cut_copy"])
+    out = docs.join(cut, (F.col("doc_id") == F.col("cut_id")) & (copy_of() == F.col("cut_copy"))).withColumn("text", F.col("cut_text"))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
