@@ -54,17 +54,51 @@ def cross_rank(df: DataFrame, column: str, step: list[str], least: int = 3, name
     return df.withColumn(name, F.when(F.col(column).isNotNull() & (m >= least) & (m > 1), place / (m - 1) - 0.5))
 
 
+def counts_before(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each value how many earlier ones are less, and how many are not above, in n log^2 n steps.
+
+    Blocks of twice the length at each level: every value in the later half of a block counts the earlier half's
+    values in one sort of all blocks at once."""
+    n = len(x)
+    rank = np.unique(x, return_inverse=True)[1].astype(np.int64).ravel()
+    at, width, less, upto = np.arange(n), 1, np.zeros(n, np.int64), np.zeros(n, np.int64)
+    while width < n:
+        block, later = at // (2 * width), (at // width) & 1
+        for out, ties in ((upto, later), (less, 1 - later)):  # of equal ranks the earlier half first, or last
+            order = np.argsort((block * (n + 1) + rank) * 2 + ties, kind="stable")
+            seen = np.cumsum(1 - later[order])
+            seen -= (block[order] * width)  # every block before this one is whole
+            out[order] += np.where(later[order] == 1, seen, 0)
+        width *= 2
+    return less, upto
+
+
+def expanding_array(x: np.ndarray, least: int, kind: str) -> np.ndarray:
+    """percentile_array over all values so far."""
+    out, live = np.full(len(x), np.nan), ~np.isnan(x)
+    less, upto = counts_before(x[live])
+    m = np.arange(len(less))
+    if kind == "before":
+        share, enough = upto / np.maximum(m, 1), m >= max(least, 1)
+    else:
+        share, enough = (less + (upto - less + 1) / 2 if kind == "mid" else upto + 1) / (m + 1), m + 1 >= least
+    out[live] = np.where(enough, share, np.nan)
+    return out
+
+
 def percentile_array(x: np.ndarray, n: int | None, least: int, kind: str = "mid") -> np.ndarray:
     """Share of a sorted buffer of the last ``n`` values (none: all so far) that lies below each value.
 
     ``mid`` counts ties as half and the value itself, ``upto`` counts all that are not above, itself
     included, ``before`` likewise among earlier values alone.  Under ``least`` values there is none."""
+    if n is None:
+        return expanding_array(x, least, kind)
     held: list[float] = []
     out = np.full(len(x), np.nan)
     values = x.tolist()
-    keep = n if kind != "before" or n is None else n + 1
+    keep = n if kind != "before" else n + 1
     for i, v in enumerate(values):
-        if keep is not None and i >= keep and values[i - keep] == values[i - keep]:
+        if i >= keep and values[i - keep] == values[i - keep]:
             held.pop(bisect.bisect_left(held, values[i - keep]))
         if v != v:
             continue
@@ -80,7 +114,8 @@ def percentile_array(x: np.ndarray, n: int | None, least: int, kind: str = "mid"
 def percentiles(df: DataFrame, columns: dict[str, str], n: int | None, least: int, kind: str = "mid") -> DataFrame:
     """Adds, for each column, its percentile under the given name.
 
-    No frame function ranks inside a frame, so sorted buffers walk each series, all columns in one pass."""
+    No frame function ranks inside a frame, so sorted buffers of a frame walk each series, and merges count a growing past, all columns
+    in one pass."""
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts", kind="stable").reset_index(drop=True)

@@ -138,6 +138,31 @@ def directed(bars_with_atr: DataFrame, direction: Column, hold: int, stop_atr: f
     return without_overlap(d).drop("exit_idx").withColumnRenamed("last_idx", "exit_idx")
 
 
+def replayed(stored: DataFrame, bars: DataFrame) -> DataFrame:
+    """Stored deals simulated again from what was stored: time of entry, action, stop, target and bars held.
+
+    Adds again_exit and again_reason (null where no bar has the time of entry).  Nothing of the engine is run: the bars from the entry on are
+    met by an equal join on their numbers, and the first that ends the deal counts; without any, the last bar's close."""
+    deal = [*SERIES, "entry_ts", "action"]
+    at = bars.select(*SERIES, F.col("ts").alias("entry_ts"), (F.col("bar_idx") - 1).alias("bar_idx"))
+    path = hold_window(stored.select(*deal, "stop_loss", "take_profit", "hold_bars").join(at, [*SERIES, "entry_ts"]), bars, F.col("hold_bars") + 1)
+    side = F.when(F.col("action") == "BUY", 1).otherwise(-1)
+    worst, best = F.when(side == 1, F.col("b_low")).otherwise(F.col("b_high")), F.when(side == 1, F.col("b_high")).otherwise(F.col("b_low"))
+    ended = lambda reason, price: F.struct(price.alias("price"), F.lit(reason).alias("reason"))
+    stop, target = F.col("stop_loss"), F.col("take_profit")
+    hit = (F.when((F.col("b_open") - stop) * side <= 0, ended("gap_stop", F.col("b_open"))).when((F.col("b_open") - target) * side >= 0, ended("gap_target", F.col("b_open")))
+           .when((worst - stop) * side <= 0, ended("stop_loss", stop)).when((best - target) * side >= 0, ended("take_profit", target)))
+    done = path.withColumn("hit", hit).groupBy(*deal).agg(F.min_by("hit", F.when(F.col("hit").isNotNull(), F.col("k"))).alias("hit"), F.max_by("b_close", "k").alias("close"))
+    found = F.coalesce("hit", F.struct(F.col("close").alias("price"), F.lit("time_exit").alias("reason")))
+    return stored.join(done.withColumn("again", found).select(*deal, F.col("again.price").alias("again_exit"), F.col("again.reason").alias("again_reason")), deal, "left")
+
+
+def replay_faults(again: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """One row: deals checked, deals without a bar, deals with another exit or reason, and the greatest difference of exits."""
+    known, off = F.col("again_reason").isNotNull(), F.abs(F.col("again_exit") - F.col("exit"))
+    return again.agg(F.count_if(known).alias("checked"), F.count_if(~known).alias("missing"), F.count_if(off > tolerance).alias("exit_off"), F.count_if(F.col("again_reason") != F.col("reason")).alias("reason_off"), F.max(off).alias("max_exit_error"))
+
+
 def compared(deals: DataFrame, stored: DataFrame, keys: list[str], value: str = "r") -> DataFrame:
     """One row: deals that both have, that only one has, and the greatest difference of the value."""
     both = deals.select(*keys, F.col(value).alias("_a"), F.lit(True).alias("_ours")).join(stored.select(*keys, F.col(value).alias("_b"), F.lit(True).alias("_theirs")), keys, "full_outer")

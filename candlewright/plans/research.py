@@ -8,7 +8,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from candlewright.functions import prices
-from candlewright.operators import features, indicators, joins, simulation, statistics
+from candlewright.operators import features, indicators, joins, scorecard, simulation, statistics
 from candlewright.operators import signals as engine
 from candlewright.plans.engine_sql import signals_sql, walk_sql
 from candlewright.plans.queries import DAILY_SQL, DEALS_SQL, HOURLY_SQL, KEY, KEYS, P, SIGNALS_SQL, TR_SQL, closed_deals, flat_signals, r6, register
@@ -220,6 +220,12 @@ def first_hits(spark, sf_dir):
 AUDIT_SQL = walk_sql(HOURLY_SQL) + ", au AS (SELECT *, gain / realized_risk AS old, gain / planned_risk AS new, realized_risk / planned_risk AS keep FROM deals WHERE realized_risk > 0)"
 
 
+def gated_deal() -> Column:
+    """Whether a deal passes the gate's price limits by the price it was entered at."""
+    risk, reward, g = F.abs(F.col("entry") - F.col("stop_loss")), F.abs(F.col("take_profit") - F.col("entry")), engine.GATE
+    return (risk > 0) & (reward > 0) & (F.try_divide(reward, risk) >= g["min_rr"]) & (risk / F.col("entry") * 100).between(g["min_stop_pct"], g["max_stop_pct"])
+
+
 def _walk(spark, sf_dir):
     return simulation.walk_forward(engine.all_signals(hourly_bars(spark, sf_dir))).where("status = 'deal'")
 
@@ -245,23 +251,23 @@ def gap_fairness(spark, sf_dir):
     return rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("old") > 0).alias("positive"), F.round(F.sum("old"), 6).alias("old_r"), F.round(F.sum("new"), 6).alias("new_r"))
 
 
-@register(walk_sql(HOURLY_SQL) + " SELECT count(*) AS both, CAST(0 AS BIGINT) AS only_new, CAST(0 AS BIGINT) AS only_stored, CAST(0 AS DOUBLE) AS max_diff FROM deals")
+@register(walk_sql(HOURLY_SQL) + """, st AS (SELECT *, bar_idx % 11 = 3 AS gone, bar_idx % 7 = 2 AS price, bar_idx % 5 = 1 AND reason <> 'time_exit' AS label FROM deals)
+SELECT count(*) FILTER (NOT gone) AS checked, count(*) FILTER (gone) AS missing, count(*) FILTER (NOT gone AND price) AS exit_off, count(*) FILTER (NOT gone AND label) AS reason_off, round(max(CASE WHEN price THEN abs(exit) * 0.01 ELSE 0 END) FILTER (NOT gone), 6) AS max_exit_error FROM st""")
 def replay_check(spark, sf_dir):
-    """The walk run again by series alone against the walk over all: the same deals with the same results."""
-    scored = engine.all_signals(hourly_bars(spark, sf_dir))
-    stored = simulation.walk_forward(scored.where("symbol < 'm'")).unionByName(simulation.walk_forward(scored.where("symbol >= 'm'"))).where("status = 'deal'")
-    out = simulation.compared(_walk(spark, sf_dir), stored, [*SERIES, "bar_idx"])
-    return out.select("both", "only_new", "only_stored", F.round("max_diff", 9).alias("max_diff"))
+    """Stored deals simulated again from their entry and levels.  Faults are planted on purpose, by the number of the signal's bar: exits
+    moved by a hundredth, reasons changed, entries at a time without a bar.  Just these must be found."""
+    i = F.col("bar_idx")
+    stored = _walk(spark, sf_dir).withColumn("entry_ts", F.when(i % 11 == 3, F.col("entry_ts") + F.expr("INTERVAL 1 SECOND")).otherwise(F.col("entry_ts")))
+    stored = stored.withColumns({"exit": F.when(i % 7 == 2, F.col("exit") * 1.01).otherwise(F.col("exit")), "reason": F.when(i % 5 == 1, "time_exit").otherwise(F.col("reason"))})
+    again = simulation.replayed(stored.select(*SERIES, "entry_ts", "action", "stop_loss", "take_profit", "hold_bars", "exit", "reason"), hourly_bars(spark, sf_dir))
+    return simulation.replay_faults(again).select("checked", "missing", "exit_off", "reason_off", *r6("max_exit_error"))
 
 
 @register(walk_sql(HOURLY_SQL) + " SELECT count(*) AS n, count(*) FILTER (risk > 0 AND reward > 0 AND reward / risk >= 1.5 AND risk / entry * 100 >= 0.15 AND risk / entry * 100 <= 8) AS kept FROM (SELECT abs(deals.entry - deals.stop_loss) AS risk, abs(cand.take_profit - deals.entry) AS reward, deals.entry FROM deals JOIN cand USING (market, symbol, timeframe, bar_idx))")
 def gate_on_deals(spark, sf_dir):
     """The gate's price limits on past deals, by the price they were entered at."""
     w = _walk(spark, sf_dir)
-    risk, reward = F.abs(F.col("entry") - F.col("stop_loss")), F.abs(F.col("take_profit") - F.col("entry"))
-    g = engine.GATE
-    kept = (risk > 0) & (reward > 0) & (F.try_divide(reward, risk) >= g["min_rr"]) & (risk / F.col("entry") * 100).between(g["min_stop_pct"], g["max_stop_pct"])
-    return w.agg(F.count(F.lit(1)).alias("n"), F.count_if(kept).alias("kept"))
+    return w.agg(F.count(F.lit(1)).alias("n"), F.count_if(gated_deal()).alias("kept"))
 
 
 @register(DEALS_SQL + """, m AS (SELECT t.*, CASE market WHEN 'GOLD' THEN 5.0::DOUBLE WHEN 'FOREX' THEN 1.5::DOUBLE WHEN 'TH_STOCK' THEN 40.0::DOUBLE WHEN 'US_STOCK' THEN 5.0::DOUBLE ELSE 25.0::DOUBLE END AS bps, market, s.entry, s.stop FROM t JOIN (SELECT *, """ + MARKET_SQL + """ AS market FROM s) s USING (signal_id)), c AS (SELECT market, bps, abs(entry - stop) / entry AS dist, bps / 10000 * entry / abs(entry - stop) AS cost_r FROM m)
@@ -430,19 +436,31 @@ def cell_gate(spark, sf_dir):
 # Scores and statistics
 
 
-@register(DEALS_SQL + """, d AS (SELECT *, """ + MARKET_SQL + """ AS market, CASE WHEN r > 0 AND signal_id % 7 < 2 THEN 1.0 ELSE 0.0 END AS fast FROM t), p AS (SELECT symbol, market, count(*) AS n, avg(fast) AS x FROM d GROUP BY ALL), m AS (SELECT market, count(*) AS n, avg(fast) AS x FROM d WHERE market <> 'GOLD' GROUP BY market), a AS (SELECT count(*) AS n, avg(fast) AS x FROM d),
-b AS (SELECT p.symbol, p.market, CASE WHEN p.n >= 130 THEN 'pair' WHEN m.n IS NOT NULL THEN 'market' ELSE 'timeframe' END AS basis, CASE WHEN p.n >= 130 THEN p.n WHEN m.n IS NOT NULL THEN m.n ELSE a.n END AS sample_size, CASE WHEN p.n >= 130 THEN p.x WHEN m.n IS NOT NULL THEN m.x ELSE a.x END AS x, p.n < 130 AS few FROM p LEFT JOIN m ON m.market = p.market, a)
-SELECT symbol, market, basis, sample_size, round(x, 8) AS p_target2, CASE WHEN few THEN 'few_deals' ELSE '' END AS warnings FROM b""")
+FLOOR = 20
+_WITHIN = "avg(CASE WHEN reason IN ({0}) AND held <= {1} THEN 1.0 ELSE 0.0 END)"
+_HITS, _STOPS = "'take_profit', 'gap_target'", "'stop_loss', 'gap_stop'"
+_RESULTS = ", ".join(f"avg(CASE WHEN held <= {k} THEN r ELSE 0 END) AS e{k}" for k in (2, 6))
+
+
+@register(walk_sql(HOURLY_SQL) + f""", dl AS (SELECT deals.*, gain / planned_risk AS r, exit_idx - bar_idx AS held, abs(deals.entry - deals.stop_loss) AS risk, abs(cand.take_profit - deals.entry) AS reward FROM deals JOIN cand USING (market, symbol, timeframe, bar_idx)),
+pr AS (SELECT market, symbol, timeframe, count(*) AS n, {_WITHIN.format(_HITS, 2)} AS p2, {_RESULTS} FROM dl GROUP BY ALL), mk AS (SELECT market, timeframe, count(*) AS n, {_WITHIN.format(_HITS, 2)} AS p2, {_RESULTS} FROM dl GROUP BY ALL), tf AS (SELECT timeframe, count(*) AS n, {_WITHIN.format(_HITS, 2)} AS p2, {_RESULTS} FROM dl GROUP BY ALL),
+gd AS (SELECT * FROM dl WHERE risk > 0 AND reward > 0 AND reward / risk >= 1.5 AND risk / entry * 100 BETWEEN 0.15 AND 8), gt AS (SELECT timeframe, count(*) AS n, {_WITHIN.format(_HITS, 1)} AS p1, {_WITHIN.format(_STOPS, 1)} AS s1, {_RESULTS} FROM gd GROUP BY ALL), gm AS (SELECT market, timeframe, count(*) AS n, {_WITHIN.format(_HITS, 1)} AS p1, {_WITHIN.format(_STOPS, 1)} AS s1, {_RESULTS} FROM gd GROUP BY ALL),
+q AS (SELECT DISTINCT symbol, m.market, t.timeframe FROM bars, (SELECT unnest(['CRYPTO', 'GOLD']) AS market) m, (SELECT unnest(['1H', '4H']) AS timeframe) t UNION ALL SELECT 'none', 'CRYPTO', '1H'),
+j AS (SELECT q.*, pr.n AS pn, pr.p2 AS pp, pr.e2 AS pe, mk.n AS mn, mk.p2 AS mp, mk.e2 AS me, tf.n AS tn, tf.p2 AS tp, tf.e2 AS te, coalesce(gm.n, gt.n, 0) AS gated_n, coalesce(gm.p1, gt.p1) AS p1, coalesce(gm.s1, gt.s1) AS s1, CASE WHEN gm.n IS NOT NULL THEN gm.e2 ELSE gt.e2 END AS ge FROM q LEFT JOIN pr USING (market, symbol, timeframe) LEFT JOIN mk USING (market, timeframe) LEFT JOIN tf USING (timeframe) LEFT JOIN gm USING (market, timeframe) LEFT JOIN gt USING (timeframe)),
+bs AS (SELECT *, CASE WHEN pn >= {FLOOR} AND timeframe = '1H' THEN 'pair' WHEN mn IS NOT NULL THEN 'market' WHEN tn IS NOT NULL THEN 'timeframe' ELSE 'none' END AS basis FROM j),
+v AS (SELECT *, CASE basis WHEN 'pair' THEN pp WHEN 'market' THEN mp WHEN 'timeframe' THEN tp END AS x, CASE basis WHEN 'pair' THEN pn WHEN 'market' THEN mn WHEN 'timeframe' THEN tn ELSE 0 END AS sample_size, CASE basis WHEN 'pair' THEN pe WHEN 'market' THEN me WHEN 'timeframe' THEN te END AS e FROM bs)
+SELECT symbol, market, timeframe, basis, sample_size, CAST(CASE WHEN x IS NULL THEN 50 ELSE floor((SELECT count(*) FILTER (round(pr.p2, 12) < round(x, 12)) / count(*) FROM pr WHERE pr.timeframe = v.timeframe) * 100 + 0.5) END AS INTEGER) AS score, round(x, 8) AS p_target2, round(e, 8) AS result2, gated_n,
+ array_to_string(list_filter([CASE WHEN timeframe <> '1H' THEN 'not_measurable' END, CASE WHEN basis <> 'pair' THEN CASE WHEN pn < {FLOOR} THEN 'few_deals' WHEN timeframe <> '1H' THEN 'pairs_not_proven' WHEN pn IS NULL THEN 'unknown_pair' END END, CASE WHEN timeframe = '1H' AND p1 IS NOT NULL AND s1 IS NOT NULL THEN 'rarely_within_one' END, CASE WHEN ge < 0 THEN 'fast_is_not_profit' END, CASE WHEN x IS NULL THEN 'no_data' END], lambda w: w IS NOT NULL), ',') AS warnings FROM v""")
 def speed_score(spark, sf_dir):
-    """Speed of each symbol by its own deals where there are enough, else by its market, else by all."""
-    d = closed_deals(spark, sf_dir).withColumn("market", market_of(F.col("signal_id") % 20)).withColumn("fast", ((F.col("r") > 0) & (F.col("signal_id") % 7 < 2)).cast("double"))
-    p = d.groupBy("symbol", "market").agg(F.count(F.lit(1)).alias("pn"), F.avg("fast").alias("px"))
-    m = d.where("market <> 'GOLD'").groupBy("market").agg(F.count(F.lit(1)).alias("mn"), F.avg("fast").alias("mx"))
-    a = d.agg(F.count(F.lit(1)).alias("an"), F.avg("fast").alias("ax"))
-    b = p.join(m, "market", "left").crossJoin(F.broadcast(a))  # one row
-    enough, known = F.col("pn") >= 130, F.col("mn").isNotNull()
-    pick = lambda x, y, z: F.when(enough, x).when(known, y).otherwise(z)
-    return b.select("symbol", "market", pick(F.lit("pair"), F.lit("market"), F.lit("timeframe")).alias("basis"), pick(F.col("pn"), F.col("mn"), F.col("an")).alias("sample_size"), r8(pick(F.col("px"), F.col("mx"), F.col("ax")), "p_target2"), F.when(enough, "").otherwise("few_deals").alias("warnings"))
+    """Speed of signals of every symbol in its own and a foreign market and timeframe, and of an unknown symbol, by the scorecard of
+    real deals: by the pair's own deals where there are enough, else by its market, its timeframe, or not at all."""
+    d = _walk(spark, sf_dir).withColumn("gated", gated_deal())
+    policy = spark.createDataFrame([("1H", True, False, True)], scorecard.POLICY)
+    card = scorecard.build(d.withColumn("held", F.col("exit_idx") - F.col("bar_idx")), policy, FLOOR, "1")
+    symbols = hourly_bars(spark, sf_dir).select("symbol").distinct().withColumn("market", F.explode(F.array(F.lit("CRYPTO"), F.lit("GOLD")))).withColumn("timeframe", F.explode(F.array(F.lit("1H"), F.lit("4H"))))
+    asked = symbols.unionByName(spark.createDataFrame([("none", "CRYPTO", "1H")], "symbol string, market string, timeframe string"))
+    out = scorecard.speed(asked, card)
+    return out.select("symbol", "market", "timeframe", "basis", "sample_size", "score", r8("p_target2", "p_target2"), r8("result2", "result2"), "gated_n", F.array_join("warnings", ",").alias("warnings"))
 
 
 @register(DAILY_SQL + f""", q AS (SELECT symbol, year(ts) AS year, round(volume, 6) AS x, round(ln(lead(close, 5) {P}) / close), 6) AS y FROM bars), k AS (SELECT symbol, year, rank() OVER (PARTITION BY symbol ORDER BY x) + (count(*) OVER (PARTITION BY symbol, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY symbol ORDER BY y) + (count(*) OVER (PARTITION BY symbol, y) - 1) / 2 AS ry FROM q WHERE y IS NOT NULL),
