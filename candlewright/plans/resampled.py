@@ -202,3 +202,23 @@ def tercile_money(spark, sf_dir):
     p = features.percentiles(b.select(*KEY, "v", "y"), {"v": "pct"}, 250, 150).where("y IS NOT NULL AND pct IS NOT NULL")
     third = F.when(F.col("pct") >= 2 / 3, "upper").when(F.col("pct") <= 1 / 3, "lower").otherwise("middle")
     return p.groupBy("symbol", third.alias("tercile")).agg(F.count(F.lit(1)).alias("n"), r8(F.avg("y"), "mean_y"), r8(F.avg(F.abs("y")), "size"))
+
+
+# Deals by every dimension
+
+_RR = "CASE WHEN rr < 1 THEN 'under 1' WHEN rr < 1.5 THEN '1 to 1.5' WHEN rr < 2 THEN '1.5 to 2' WHEN rr < 3 THEN '2 to 3' ELSE '3 and more' END"
+DIMENSIONS = ("market", "timeframe", "action", "strength", "month", "rr_bucket", "reason")
+
+
+@register(walk_sql(HOURLY_SQL) + f""", dd AS (SELECT d.market, d.timeframe, d.action, s.strength, strftime(s.ts, '%Y-%m') AS month, abs(s.take_profit - d.entry_price) / d.planned_risk AS rr, d.reason, d.gain / d.planned_risk AS r FROM deals d JOIN sig s USING (market, symbol, timeframe, bar_idx)),
+de AS (SELECT *, {_RR} AS rr_bucket FROM dd), lo AS ({" UNION ALL ".join(f"SELECT '{d}' AS dimension, {d} AS value, r FROM de" for d in DIMENSIONS)})
+SELECT dimension, value, count(*) AS n, count(*) FILTER (r > 0) AS wins, round(avg(r), 8) AS mean_r, round(avg(r) - 1.96 * stddev_samp(r) / sqrt(count(*)), 8) AS lo, round(avg(r) + 1.96 * stddev_samp(r) / sqrt(count(*)), 8) AS hi FROM lo GROUP BY ALL""")
+def deal_dimensions(spark, sf_dir):
+    """The walk-forward's deals by each of seven dimensions, with intervals: one pass over grouping sets."""
+    rr = F.abs(F.col("take_profit") - F.col("entry_price")) / F.col("planned_risk")
+    bucket = F.when(rr < 1, "under 1").when(rr < 1.5, "1 to 1.5").when(rr < 2, "1.5 to 2").when(rr < 3, "2 to 3").otherwise("3 and more")
+    d = simulation.walk_forward(engine.all_signals(hourly_bars(spark, sf_dir))).where("status = 'deal'").withColumns({"month": F.date_format("ts", "yyyy-MM"), "rr_bucket": bucket})
+    half = 1.96 * F.stddev_samp("r") / F.sqrt(F.count(F.lit(1)))
+    sets = d.groupingSets([[c] for c in DIMENSIONS], *DIMENSIONS).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("r") > 0).alias("wins"), r8(F.avg("r"), "mean_r"), r8(F.avg("r") - half, "lo"), r8(F.avg("r") + half, "hi"))
+    named = F.filter(F.array(*[F.struct(F.lit(c).alias("dimension"), F.col(c).alias("value")) for c in DIMENSIONS]), lambda x: x["value"].isNotNull())  # no dimension is ever null
+    return sets.select(F.inline(named), "n", "wins", "mean_r", "lo", "hi")
