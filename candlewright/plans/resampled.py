@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from candlewright.operators import features, resampling, simulation, statistics, sweep
@@ -222,3 +223,29 @@ def deal_dimensions(spark, sf_dir):
     sets = d.groupingSets([[c] for c in DIMENSIONS], *DIMENSIONS).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("r") > 0).alias("wins"), r8(F.avg("r"), "mean_r"), r8(F.avg("r") - half, "lo"), r8(F.avg("r") + half, "hi"))
     named = F.filter(F.array(*[F.struct(F.lit(c).alias("dimension"), F.col(c).alias("value")) for c in DIMENSIONS]), lambda x: x["value"].isNotNull())  # no dimension is ever null
     return sets.select(F.inline(named), "n", "wins", "mean_r", "lo", "hi")
+
+
+FEE_BPS = (0.0, 10.0, 20.0, 26.0, 31.0, 40.0)
+
+
+@register(walk_sql(HOURLY_SQL) + f""", bd AS (SELECT symbol, round(planned_risk / entry_price, 9) AS dist, gain / planned_risk AS r FROM deals),
+bk AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY dist) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM bd), be AS (SELECT symbol, list(dist ORDER BY i) FILTER (i IN (floor(n / 5), floor(n * 2 / 5), floor(n * 3 / 5), floor(n * 4 / 5))) AS edges FROM bk GROUP BY symbol),
+bb AS (SELECT bd.symbol, CAST(len(list_filter(edges, lambda x: bd.dist >= x)) AS INTEGER) AS bucket, count(*) AS n, avg(1 / dist) AS inv, round(avg(r), 9) AS edge FROM bd JOIN be ON be.symbol = bd.symbol GROUP BY ALL),
+br AS (SELECT *, rank() OVER (PARTITION BY symbol ORDER BY bucket) AS rx, rank() OVER (PARTITION BY symbol ORDER BY edge) + (count(*) OVER (PARTITION BY symbol, edge) - 1) / 2 AS ry FROM bb),
+bt AS (SELECT symbol, CASE WHEN var_pop(rx) > 0 AND var_pop(ry) > 0 THEN covar_pop(rx, ry) / (stddev_pop(rx) * stddev_pop(ry)) END AS trend, arg_max(edge, bucket) - arg_min(edge, bucket) AS spread FROM br GROUP BY symbol)
+SELECT br.symbol, bucket, CAST(bps AS DOUBLE) AS bps, n, round(edge, 8) AS edge, round(bps / 10000 * inv, 8) AS cost_r, round(edge - bps / 10000 * inv, 8) AS net, round(CASE WHEN edge > 0 THEN edge / inv * 10000 END, 6) AS breakeven_bps, round(trend, 8) AS trend, round(spread, 8) AS top_less_bottom FROM br JOIN bt ON bt.symbol = br.symbol, (SELECT unnest({list(FEE_BPS)}) AS bps)""")
+def bucket_trend(spark, sf_dir):
+    """Deals of each symbol in five buckets of their stop's distance: edge, cost at six fees, the fee that leaves nothing, the rank
+    correlation of bucket and edge, and the last bucket less the first."""
+    w = simulation.walk_forward(engine.all_signals(hourly_bars(spark, sf_dir))).where("status = 'deal'")
+    d = w.select("symbol", F.round(F.col("planned_risk") / F.col("entry_price"), 9).alias("dist"), "r")
+    values = d.groupBy("symbol", "dist").agg(F.count(F.lit(1)).alias("c"))
+    order = Window.partitionBy("symbol")
+    k = values.withColumn("through", F.sum("c").over(order.orderBy("dist"))).withColumn("n", F.sum("c").over(order))
+    edges = k.groupBy("symbol").agg(F.array(*[F.min(F.when(F.col("through") > F.floor(F.col("n") * j / 5), F.col("dist"))) for j in range(1, 5)]).alias("edges"))
+    b = d.join(edges, "symbol").groupBy("symbol", F.size(F.filter("edges", lambda x: F.col("dist") >= x)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.avg(1 / F.col("dist")).alias("inv"), F.round(F.avg("r"), 9).alias("edge"))
+    ends = b.groupBy("symbol").agg((F.max_by("edge", "bucket") - F.min_by("edge", "bucket")).alias("spread"))
+    t = statistics.spearman(b, "bucket", "edge", ["symbol"]).select("symbol", F.col("rho").alias("trend")).join(ends, "symbol")
+    out = b.join(t, "symbol").withColumn("bps", F.explode(F.array(*map(F.lit, FEE_BPS))))
+    cost = F.col("bps") / 10000 * F.col("inv")
+    return out.select("symbol", "bucket", "bps", "n", r8("edge", "edge"), r8(cost, "cost_r"), r8(F.col("edge") - cost, "net"), F.round(F.when(F.col("edge") > 0, F.col("edge") / F.col("inv") * 10000), 6).alias("breakeven_bps"), r8("trend", "trend"), r8("spread", "top_less_bottom"))
