@@ -13,8 +13,9 @@ two rounds:
 1. each document is checked against the least of the documents it shares buckets with;
 2. in buckets that still hold documents not known to be linked, those are compared, block by
    block: their minima first (at similarity 0.75 an estimate under 0.55 is more than five deviations
-   off, about 1 in 4 million pairs), then their full sets.  At most n-1 links leave a bucket of n.  Buckets
-   beyond ``BLOCK`` documents are compared in pairs of blocks, spread over tasks.
+   off, about 1 in 4 million pairs), then the full sets of those that have a partner by their minima; the
+   texts of the others don't travel.  At most n-1 links leave a bucket of n.  Buckets beyond ``BLOCK``
+   documents are compared in pairs of blocks, spread over tasks, with 256 bytes a document and block.
 
 Each link is confirmed on full shingle sets.  Components come from alternating large-star and
 small-star steps.
@@ -39,6 +40,8 @@ from candlewright.llm.common import batch, keyed, mix64, rows_of, salt, Scratch
 from candlewright.llm.components import components
 
 SHINGLE, HASHES, BANDS, BLOCK, PAIRS = 5, 128, 32, 1024, 256
+#: Bytes of shingle sets that a task of the second round holds.
+SETS = 128 << 20
 #: Pairs whose share of equal minima is below this are not confirmed: five deviations under 0.75.
 ESTIMATE = 0.55
 _rng = np.random.default_rng(20240607)
@@ -172,6 +175,62 @@ def confirmed_pairs(pairs: DataFrame, blobs: DataFrame, percent: int) -> DataFra
     return rows.select("u", "part", "v", "blob").mapInArrow(confirm, "u long, v long")
 
 
+class _Group:
+    """The documents of one pair of blocks of a bucket, with their minima."""
+
+    def __init__(self, group: pa.Table):
+        self.ids, self.component, self.block = (group.column(c).to_numpy() for c in ("doc_id", "component", "block"))
+        self.minima = np.frombuffer(b"".join(group.column("minima").to_pylist()), "<u2").reshape(len(self.ids), HASHES)
+        self.within = group.column("x")[0] == group.column("y")[0]
+
+    def near(self, i: int) -> np.ndarray:
+        """Later documents of other components (where there are two blocks: of the other block) whose minima could be those of a link."""
+        later = i + 1 + np.flatnonzero(self.component[i + 1 :] != self.component[i])
+        if not self.within:
+            later = later[self.block[later] != self.block[i]]
+        return later[(self.minima[later] == self.minima[i]).sum(axis=1) >= ESTIMATE * HASHES]
+
+
+class _Sets:
+    """Shingle sets of a group's texts, of which at most ``SETS`` bytes are held at a time."""
+
+    def __init__(self, blobs: pa.ChunkedArray):
+        self.blobs, self.held, self.size = blobs, {}, 0
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        found = self.held.pop(i, None)
+        if found is None:
+            found = shingles(unpack_text(self.blobs[i].as_py()).decode())
+            self.size += found.nbytes
+        self.held[i] = found  # the last used is the last to go
+        while self.size > SETS and len(self.held) > 2:
+            self.size -= self.held.pop(next(iter(self.held))).nbytes
+        return found
+
+
+def candidates(members: DataFrame) -> DataFrame:
+    """The documents of each pair of blocks that could be linked there, by minima alone, without their texts.
+
+    ``members``: bucket, x, y (blocks), doc_id, block, component, minima, sorted by group.  A document is returned once for
+    each group in which it has a partner, so a bucket of unlike texts returns nothing."""
+    names = ["bucket", "x", "y", "doc_id", "block", "component"]
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups_of(batches, ["bucket", "x", "y"]):
+            group = _Group(table)
+            kept = np.zeros(len(group.ids), bool)
+            for i in range(len(group.ids)):
+                near = group.near(i)
+                kept[near] = True
+                kept[i] |= len(near) > 0
+            if kept.any():
+                rows = np.flatnonzero(kept)
+                rows = rows[np.unique(group.ids[rows], return_index=True)[1]]
+                yield from table.select(names).take(pa.array(rows)).combine_chunks().to_batches()
+
+    return members.mapInArrow(pick, ", ".join(f"{c} long" for c in names))
+
+
 def bucket_links(members: DataFrame, percent: int) -> DataFrame:
     """Links between documents of different components that share a bucket; ``component`` may be any
     label that linked documents have in common.
@@ -180,12 +239,9 @@ def bucket_links(members: DataFrame, percent: int) -> DataFrame:
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups_of(batches, ["bucket", "x", "y"]):
-            ids, comp, block = (group.column(c).to_numpy() for c in ("doc_id", "component", "block"))
-            sign = np.frombuffer(b"".join(group.column("minima").to_pylist()), "<u2").reshape(len(ids), HASHES)
-            blobs = group.column("blob")
-            sets: dict[int, np.ndarray] = {}
-            root = {c: c for c in comp.tolist()}
+        for table in groups_of(batches, ["bucket", "x", "y"]):
+            group, sets = _Group(table), _Sets(table.column("blob"))
+            root = {c: c for c in group.component.tolist()}
 
             def find(c: int) -> int:
                 while root[c] != c:
@@ -193,23 +249,13 @@ def bucket_links(members: DataFrame, percent: int) -> DataFrame:
                     c = root[c]
                 return c
 
-            x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
             out = []
-            for i in range(len(ids)):
-                near = i + 1 + np.flatnonzero(comp[i + 1 :] != comp[i])
-                if x != y:
-                    near = near[block[near] != block[i]]
-                near = near[(sign[near] == sign[i]).sum(axis=1) >= ESTIMATE * HASHES]
-                for j in near.tolist():
-                    a, b = find(int(comp[i])), find(int(comp[j]))
-                    if a == b:
-                        continue
-                    for k in (i, j):
-                        if k not in sets:
-                            sets[k] = shingles(unpack_text(blobs[k].as_py()).decode())
-                    if similar(sets[i], sets[j], percent):
+            for i in range(len(group.ids)):
+                for j in group.near(i).tolist():
+                    a, b = find(int(group.component[i])), find(int(group.component[j]))
+                    if a != b and similar(sets[i], sets[j], percent):
                         root[max(a, b)] = min(a, b)
-                        out.append(sorted((int(ids[i]), int(ids[j]))))
+                        out.append(sorted((int(group.ids[i]), int(group.ids[j]))))
             if out:
                 yield batch(schema, *(list(c) for c in zip(*out, strict=True)))
 
@@ -230,8 +276,11 @@ def _second_round(members: DataFrame, labels: DataFrame, heads: DataFrame, perce
     rows = placed.join(mixed.select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks")), "bucket")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "doc_id", "block", "component").join(heads.select("doc_id", "minima", "blob"), "doc_id")
-    rows = rows.select("bucket", "x", "y", "doc_id", "block", "component", "minima", "blob").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    group, placing = ["bucket", "x", "y"], ["doc_id", "block", "component"]
+    rows = rows.select("bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), *placing).join(heads.select("doc_id", "minima"), "doc_id")
+    rows = candidates(rows.select(*group, *placing, "minima").repartition(*group).sortWithinPartitions(*group))
+    rows = rows.join(heads.select("doc_id", "minima", "blob"), "doc_id").select(*group, *placing, "minima", "blob")
+    rows = rows.repartition(*group).sortWithinPartitions(*group)
     return bucket_links(rows, percent)
 
 

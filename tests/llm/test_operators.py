@@ -108,6 +108,37 @@ def test_near_duplicates(spark, monkeypatch, block):
     assert got == {i: (n, c, c == i) for i, (n, c) in want.items()}
 
 
+def test_a_bucket_of_unlike_texts_sends_no_texts(spark, monkeypatch):
+    """One bucket of many unlike documents in several blocks: only those with a partner by their minima go on."""
+    monkeypatch.setattr(minhash, "SETS", 1)  # holds two sets at a time
+    rng = random.Random(12)
+    rows = [(k, " ".join(words(rng, 60))) for k in range(2500)]
+    edited = rows[7][1].split()
+    edited[20] = "edited"
+    rows += [(5000 + k, " ".join([*edited, f"end{k}"])) for k in range(3)]
+    heads = minhash.sketch(frame(spark, rows)).cache()
+    ids = heads.select("doc_id")
+    members = ids.selectExpr("1L AS bucket", "doc_id", "doc_id % 3 AS block", "doc_id AS component").join(heads.select("doc_id", "minima"), "doc_id")
+    blocks = spark.createDataFrame([(x, y) for x in range(3) for y in range(x, 3)], "x long, y long")
+    members = members.join(blocks, (members.block == blocks.x) | (members.block == blocks.y)).repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    assert {r["doc_id"] for r in minhash.candidates(members).collect()} == {7, 5000, 5001, 5002}
+    sets = {i: set(minhash.shingles(t).tolist()) for i, t in rows}
+    alike = {(u, v) for u in (7, 5000, 5001, 5002) for v in (5000, 5001, 5002) if u < v and 100 * len(sets[u] & sets[v]) >= 75 * len(sets[u] | sets[v])}
+    bucket = ids.selectExpr("1L AS bucket", "doc_id")
+    labels = spark.createDataFrame([], "doc_id long, component long")
+    monkeypatch.setattr(minhash, "BLOCK", 900)
+    found = {(r["u"], r["v"]) for r in minhash._second_round(bucket, labels, heads, 75).collect()}
+    assert found <= alike and len(alike) == 6
+
+    def reach(links):
+        group = {7}
+        while more := {w for pair in links for w in pair if group & set(pair)} - group:
+            group |= more
+        return group
+
+    assert reach(found) == reach(alike) == {7, 5000, 5001, 5002}
+
+
 def test_near_duplicates_of_repeated_rows(spark):
     rng = random.Random(4)
     a, b, c = (" ".join(words(rng, 80)) for _ in range(3))
