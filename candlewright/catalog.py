@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candlewright.plans import ingested, research, resampled, studies  # noqa: F401  register their queries
+from candlewright.plans import ingested, measured, research, resampled, studies  # noqa: F401  register their queries
 from candlewright.plans.queries import QUERIES, Query, bollinger_outliers
 
 

@@ -82,6 +82,14 @@ def thai_cost_r(price: Column, stop_share: Column) -> Column:
     return (fee + value * SLIP_TICKS * tick_size(price) / price) / RISKED
 
 
+def thai_cost_parts(price: Column, stop_share: Column, risked: Column | float = RISKED, ticks: Column | int = SLIP_TICKS) -> Column:
+    """The parts of that cost for other amounts at risk and spreads: commission_r, tick_r and whether the least commission is paid."""
+    value = F.lit(risked) / stop_share
+    commission = 2 * F.greatest(value * COMMISSION, F.lit(LEAST_FEE)) / risked
+    spread = F.lit(ticks) * tick_size(price) / price / stop_share
+    return F.struct(commission.alias("commission_r"), spread.alias("tick_r"), (value * COMMISSION < LEAST_FEE).alias("least_fee"))
+
+
 def cost_bps(market: Column) -> Column:
     table = F.create_map(*[F.lit(x) for pair in COST_BPS.items() for x in pair])
     return table[market]

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from candlewright.functions.prices import finite
 from candlewright.operators.indicators import last
 from candlewright.sources.bars import SERIES, series
 
@@ -145,6 +146,15 @@ def momentum(bars: DataFrame, steps: tuple[int, ...] = (1, 5, 20, 60)) -> DataFr
     return bars
 
 
+def signed_index(returns: DataFrame, value: str, legs: dict[str, int], least: int) -> DataFrame:
+    """An index of signed legs per timeframe and time step: the mean of the legs' values, each with its sign, where at
+    least ``least`` of them have one.  Other symbols have no part in it."""
+    sign = F.create_map(*[F.lit(x) for pair in legs.items() for x in pair])[F.col("symbol")]
+    r = returns.withColumn("leg", sign * finite(F.col(value)))
+    g = r.where("leg IS NOT NULL").groupBy("timeframe", "ts").agg(F.count(F.lit(1)).alias("legs"), F.avg("leg").alias("mean"))
+    return g.select("timeframe", "ts", "legs", F.when(F.col("legs") >= least, F.col("mean")).alias("index_r"))
+
+
 def volume_features(bars: DataFrame) -> DataFrame:
     """Volume z-score, trend, shock, imbalance, money flow, VWAP distance and illiquidity."""
     w = series()

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from candlewright.functions import prices
 from candlewright.functions.prices import cost_bps, finite
 from candlewright.sources.bars import SERIES, series
 
@@ -87,19 +88,47 @@ def without_overlap(deals: DataFrame, by: list[str] = SERIES) -> DataFrame:
     return deals.groupBy(*by).applyInPandas(choose, deals.schema)
 
 
-def walk_forward(scored: DataFrame, hold: int = 10, min_history: int = 60, risk_model: str = "planned", fees_r: float = 0.0, entries: tuple | None = None) -> DataFrame:
+def walk_forward(scored: DataFrame, hold: int = 10, min_history: int = 60, risk_model: str = "planned", fees_r: float = 0.0, entries: tuple | None = None, splits: dict[str, tuple] | None = None) -> DataFrame:
     """Deals of the rule engine, one at a time per series, and the signals it had to skip (status).
 
     ``r`` is the result in units of the chosen risk, after ``fees_r``; ``entries`` limits the time of the
-    signal to [from, until), while exits may lie beyond."""
+    signal to [from, until), while exits may lie beyond.  ``splits`` names disjoint windows of the time of
+    entry: each is a walk of its own from the same exits, and its name the deal's ``split``."""
     candidates = with_ahead(scored, hold).where(F.col("has_signal") & F.col("action").isin("BUY", "SELL") & (F.col("bar_idx") >= max(50, min_history)))
     if entries:
         candidates = candidates.where((F.col("ts") >= F.lit(entries[0]).cast("timestamp_ntz")) & (F.col("ts") < F.lit(entries[1]).cast("timestamp_ntz")))
-    candidates = candidates.select(*SERIES, "bar_idx", "ts", "action", "strength", "confidence", "entry_price", "stop_loss", "take_profit", "ahead")
+    by = SERIES
+    if splits:
+        at, time = F.get("ahead", F.lit(0))["ts"], lambda t: F.lit(t).cast("timestamp_ntz")
+        candidates = candidates.withColumn("split", F.coalesce(*[F.when((at >= time(lo)) & (at < time(hi)), F.lit(name)) for name, (lo, hi) in splits.items()])).where("split IS NOT NULL")
+        by = [*SERIES, "split"]
+    candidates = candidates.select(*by, "bar_idx", "ts", "action", "strength", "confidence", "entry_price", "stop_loss", "take_profit", "ahead")
     out = exits(candidates, hold, fees_r).withColumn("r", F.col("r_realized" if risk_model == "realized" else "r_planned"))
     none = F.col("r").isNull()
     out = out.withColumn("status", F.when(none, "skipped").otherwise(F.col("status"))).withColumn("exit_idx", F.when(~none, F.col("exit_idx")))
-    return without_overlap(out)
+    return without_overlap(out, by)
+
+
+def with_costs(deals: DataFrame, by_symbol: dict[str, float] | None = None, multiplier: float | Column = 1.0, risk_model: str = "planned") -> DataFrame:
+    """Deals of the walk-forward with their costs and what a gap before the entry did to them.
+
+    A deal pays the basis points of its symbol (``by_symbol``), else of its market, on its own entry price; one
+    with neither is an error, as a fee of zero would pass unseen.  Costs in units of risk differ with the
+    stop's distance: ``cost_r`` is multiplied by the scenario, ``cost_r_base`` never is, so that what can be
+    traded does not change with the scenario.  ``risk_keep`` is the share of the planned risk that the open of
+    the entry bar left; ``rr_planned`` is the signal's own, before any gap."""
+    bps = prices.cost_bps(F.col("market"))
+    if by_symbol:
+        bps = F.coalesce(F.create_map(*[F.lit(x) for pair in by_symbol.items() for x in pair])[F.col("symbol")], bps)
+    bps = F.coalesce(bps, F.raise_error(F.concat(F.lit("no fee for "), F.col("market"), F.lit("/"), F.col("symbol"))).cast("double"))
+    risk, planned = F.col("realized_risk" if risk_model == "realized" else "planned_risk"), F.col("planned_risk")
+    deals = deals.withColumn("cost_money_base", bps / 10000 * F.col("entry")).withColumn("cost_money", F.col("cost_money_base") * multiplier)
+    gain = (F.col("exit") - F.col("entry")) * F.when(F.col("action") == "BUY", 1).otherwise(-1)
+    return deals.withColumns({
+        "r_gross": gain / risk, "cost_r": F.col("cost_money") / risk, "cost_r_base": F.col("cost_money_base") / risk, "r_net": (gain - F.col("cost_money")) / risk,
+        "rr_planned": prices.risk_reward(F.col("entry_price"), F.col("stop_loss"), F.col("take_profit")), "stop_share": risk / F.col("entry"),
+        "planned_stop_share": planned / F.col("entry_price"), "realized_stop_share": F.col("realized_risk") / F.col("entry"),
+        "risk_keep": F.when(planned > 0, F.col("realized_risk") / planned), "year": F.year("entry_ts")})
 
 
 #: Regime gates by name, and the combinations that are compared.

@@ -99,17 +99,18 @@ gt AS (SELECT *, CASE WHEN NOT has_signal THEN ['no_signal'] WHEN action = 'HOLD
  list_filter([CASE WHEN strength IN ('weak', 'moderate') THEN 'below_min_strength' END, CASE WHEN confidence < 70 THEN 'below_min_confidence' END, CASE WHEN rr < 1.5 THEN 'below_min_rr' END, CASE WHEN stop_pct < 0.15 THEN 'stop_too_tight' END, CASE WHEN stop_pct > {max_stop_pct} THEN 'stop_too_wide' END], lambda q: q IS NOT NULL) END AS rejections FROM ga)"""
 
 
-def walk_sql(bars_sql: str, hold: int = 10) -> str:
-    """CTE ``deals``: the walk-forward's deals, one at a time per series."""
+def walk_sql(bars_sql: str, hold: int = 10, split: str = "'all'") -> str:
+    """CTE ``deals``: the walk-forward's deals, one at a time per series and ``split``, an expression on entry_ts."""
     return signals_sql(bars_sql) + f""",
 cand AS MATERIALIZED (SELECT {SERIES}, bar_idx, action, sign, entry_price, stop_loss, take_profit FROM sig WHERE has_signal AND action <> 'HOLD' AND bar_idx >= 60),
-pth AS (SELECT c.*, f.bar_idx AS j, f.open AS fo, f.close AS fc, CASE WHEN sign = 1 THEN f.low ELSE f.high END AS worst, CASE WHEN sign = 1 THEN f.high ELSE f.low END AS best FROM cand c JOIN bars f ON {same("c", "f")} AND f.bar_idx BETWEEN c.bar_idx + 1 AND c.bar_idx + {hold}),
+pth AS (SELECT c.*, f.bar_idx AS j, f.ts AS ft, f.open AS fo, f.close AS fc, CASE WHEN sign = 1 THEN f.low ELSE f.high END AS worst, CASE WHEN sign = 1 THEN f.high ELSE f.low END AS best FROM cand c JOIN bars f ON {same("c", "f")} AND f.bar_idx BETWEEN c.bar_idx + 1 AND c.bar_idx + {hold}),
 ht AS (SELECT *, CASE WHEN sign * (fo - stop_loss) <= 0 THEN 'gap_stop' WHEN sign * (fo - take_profit) >= 0 THEN 'gap_target' WHEN sign * (worst - stop_loss) <= 0 THEN 'stop_loss' WHEN sign * (best - take_profit) >= 0 THEN 'take_profit' END AS hit FROM pth),
-ex AS MATERIALIZED (SELECT {SERIES}, bar_idx, action, sign, entry_price, stop_loss, coalesce(arg_min(hit, j) FILTER (hit IS NOT NULL), 'time_exit') AS reason, coalesce(min(j) FILTER (hit IS NOT NULL), max(j)) AS exit_idx, arg_min(fo, j) AS entry,
+ex0 AS (SELECT {SERIES}, bar_idx, action, sign, entry_price, stop_loss, coalesce(arg_min(hit, j) FILTER (hit IS NOT NULL), 'time_exit') AS reason, coalesce(min(j) FILTER (hit IS NOT NULL), max(j)) AS exit_idx, arg_min(fo, j) AS entry, arg_min(ft, j) AS entry_ts,
  coalesce(arg_min(CASE WHEN hit LIKE 'gap%' THEN fo WHEN hit = 'stop_loss' THEN stop_loss ELSE take_profit END, j) FILTER (hit IS NOT NULL), arg_max(fc, j)) AS exit FROM ht GROUP BY ALL),
-nx AS MATERIALIZED (SELECT a.{SERIES.replace(", ", ", a.")}, a.bar_idx, b.bar_idx AS next_idx FROM ex a ASOF LEFT JOIN (SELECT {SERIES}, bar_idx FROM ex) b ON {same("a", "b")} AND a.exit_idx <= b.bar_idx),
-chain AS (SELECT {SERIES}, min(bar_idx) AS bar_idx FROM ex GROUP BY ALL UNION ALL SELECT nx.market, nx.symbol, nx.timeframe, nx.next_idx FROM chain JOIN nx ON {same("chain", "nx")} AND nx.bar_idx = chain.bar_idx WHERE nx.next_idx IS NOT NULL),
-deals AS (SELECT ex.*, abs(entry_price - stop_loss) AS planned_risk, abs(entry - stop_loss) AS realized_risk, (exit - entry) * sign AS gain FROM ex JOIN chain ON {same("ex", "chain")} AND ex.bar_idx = chain.bar_idx)"""
+ex AS MATERIALIZED (SELECT *, {split} AS split FROM ex0 WHERE {split} IS NOT NULL),
+nx AS MATERIALIZED (SELECT a.{SERIES.replace(", ", ", a.")}, a.split, a.bar_idx, b.bar_idx AS next_idx FROM ex a ASOF LEFT JOIN (SELECT {SERIES}, split, bar_idx FROM ex) b ON {same("a", "b")} AND a.split = b.split AND a.exit_idx <= b.bar_idx),
+chain AS (SELECT {SERIES}, split, min(bar_idx) AS bar_idx FROM ex GROUP BY ALL UNION ALL SELECT nx.market, nx.symbol, nx.timeframe, nx.split, nx.next_idx FROM chain JOIN nx ON {same("chain", "nx")} AND nx.split = chain.split AND nx.bar_idx = chain.bar_idx WHERE nx.next_idx IS NOT NULL),
+deals AS (SELECT ex.*, abs(entry_price - stop_loss) AS planned_risk, abs(entry - stop_loss) AS realized_risk, (exit - entry) * sign AS gain FROM ex JOIN chain ON {same("ex", "chain")} AND ex.split = chain.split AND ex.bar_idx = chain.bar_idx)"""
 
 
 def sweep_sql(bars_sql: str, arms: list[tuple]) -> str:

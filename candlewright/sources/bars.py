@@ -14,6 +14,10 @@ SERIES = ["market", "symbol", "timeframe"]
 #: The five markets, in the order of a symbol's number modulo five.
 MARKETS = ("GOLD", "FOREX", "TH_STOCK", "US_STOCK", "CRYPTO")
 
+#: The legs of the dollar index, with 1 where the pair's rise is the dollar's and -1 where it is its fall.
+DOLLAR_LEGS = {"USDJPY": 1, "USDCAD": 1, "USDCHF": 1, "USDMXN": 1, "USDZAR": 1, "USDTHB": 1, "EURUSD": -1, "GBPUSD": -1, "AUDUSD": -1, "NZDUSD": -1}
+PAIRS = (*DOLLAR_LEGS, "EURJPY", "EURGBP")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -51,16 +55,25 @@ def with_bar_idx(bars: DataFrame) -> DataFrame:
     return bars.withColumn("bar_idx", (F.row_number().over(series()) - 1).cast("int"))
 
 
-def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bars of twenty symbols from ``lineitem`` unit prices."""
-    number = F.col("l_suppkey") % 20
+def _daily(spark: SparkSession, sf_dir: str, market: Column, symbol: Column) -> DataFrame:
     ticks = table(spark, sf_dir, "lineitem").where("l_quantity > 0").select(
-        market_of(number).alias("market"), F.concat(F.lit("S"), number.cast("string")).alias("symbol"), F.lit("1D").alias("timeframe"),
+        market.alias("market"), symbol.alias("symbol"), F.lit("1D").alias("timeframe"),
         F.date_trunc("day", "l_shipdate").cast("timestamp_ntz").alias("ts"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("size"),
         ordered_by(F.col("l_orderkey") * 8 + F.col("l_linenumber"), F.col("l_partkey"), 12).alias("ord"))
     return with_bar_idx(aggregate_bars(ticks))
 
 
+def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars of twenty symbols from ``lineitem`` unit prices."""
+    number = F.col("l_suppkey") % 20
+    return _daily(spark, sf_dir, market_of(number), F.concat(F.lit("S"), number.cast("string")))
+
+
+def pair_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars of twelve currency pairs from ``lineitem`` unit prices: those of the dollar index and two more."""
+    return _daily(spark, sf_dir, F.lit("FOREX"), F.element_at(F.array(*map(F.lit, PAIRS)), (F.pmod(F.col("l_partkey"), F.lit(12)) + 1).cast("int")))
+
+
 def hourly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly bars of the event types from ``events`` values; volume counts events."""
     ticks = table(spark, sf_dir, "events").select(
@@ -83,6 +96,7 @@ WITH b AS (
   FROM lineitem WHERE l_quantity > 0 GROUP BY ALL),
 bars AS (SELECT *, CAST(row_number() OVER (PARTITION BY market, symbol, timeframe ORDER BY ts) - 1 AS INTEGER) AS bar_idx FROM b)
 """
+PAIR_SQL = DAILY_SQL.replace("['GOLD','FOREX','TH_STOCK','US_STOCK','CRYPTO'][l_suppkey % 20 % 5 + 1]", "'FOREX'").replace("concat('S', l_suppkey % 20)", f"{list(PAIRS)}[l_partkey % 12 + 1]")
 HOURLY_SQL = """
 WITH b AS (
   SELECT 'CRYPTO' AS market, event_type AS symbol, '1H' AS timeframe,
