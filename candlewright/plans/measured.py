@@ -27,11 +27,11 @@ def split_deals(spark, sf_dir):
 
 
 @register(COSTED_SQL.replace("s.take_profit", "s.take_profit AS target") + """ SELECT market, symbol, timeframe, split, bar_idx, action, round(gain / planned_risk, 6) AS r_gross, round(2 * base / planned_risk, 6) AS cost_r, round(base / planned_risk, 6) AS cost_r_base, round((gain - 2 * base) / planned_risk, 6) AS r_net,
- round(abs(target - entry_price) / planned_risk, 6) AS rr_planned, round(planned_risk / entry, 6) AS stop_share, round(planned_risk / entry_price, 6) AS planned_stop_share, round(realized_risk / entry, 6) AS realized_stop_share, round(realized_risk / planned_risk, 6) AS risk_keep, round(2 * base, 6) AS cost_money, CAST(year(entry_ts) AS INTEGER) AS year FROM cd""")
+ round(abs(target - entry_price) / planned_risk, 6) AS rr_planned, round(planned_risk / entry, 6) AS stop_share, round(planned_risk / entry_price, 6) AS planned_stop_share, round(realized_risk / entry, 6) AS realized_stop_share, round(realized_risk / planned_risk, 6) AS risk_keep, round(2 * base, 12) AS cost_money, CAST(year(entry_ts) AS INTEGER) AS year FROM cd""")
 def split_deal_costs(spark, sf_dir):
     """Deals of a walk of its own in each split, with the cost of each at its symbol's or market's fee, doubled, and its gap ratios."""
     d = simulation.with_costs(split_deals(spark, sf_dir), SYMBOL_BPS, SCENARIOS["pessimistic"])
-    return d.select(*SERIES, "split", "bar_idx", "action", *r6("r_gross", "cost_r", "cost_r_base", "r_net", "rr_planned", "stop_share", "planned_stop_share", "realized_stop_share", "risk_keep", "cost_money"), "year")
+    return d.select(*SERIES, "split", "bar_idx", "action", *r6("r_gross", "cost_r", "cost_r_base", "r_net", "rr_planned", "stop_share", "planned_stop_share", "realized_stop_share", "risk_keep"), F.round("cost_money", 12).alias("cost_money"), "year")
 
 
 @register(COSTED_SQL + f""" SELECT market, split, scenario, count(*) AS n, count(*) FILTER (round((gain - base * m) / planned_risk, 9) > 0) AS wins, count(*) FILTER (round(base / planned_risk, 9) < 0.5) AS affordable, round(avg(gain / planned_risk), 8) AS gross, round(avg(base * m / planned_risk), 8) AS cost, round(avg((gain - base * m) / planned_risk), 8) AS net, round(avg(realized_risk / planned_risk), 8) AS risk_keep
