@@ -29,14 +29,14 @@ def stats() -> Column:
 
 
 def build(deals: DataFrame, policy: DataFrame, least: int, version: str) -> DataFrame:
-    """The artefact of ``deals`` (series, reason, held, r, exit_ts, gated), one row per timeframe (CARD).  Timeframes without a
-    policy may use no pair and count as not measurable."""
+    """The artefact of ``deals`` (series, reason, held, r, exit_ts, gated), one row per timeframe of a deal or of the policy (CARD).
+    Timeframes without a policy may use no pair and count as not measurable; those without deals keep their policy, and the rest is null."""
     sets = lambda df: df.groupingSets([["timeframe", "market", "symbol"], ["timeframe", "market"], ["timeframe"]], "timeframe", "market", "symbol").agg(stats().alias("s"), F.max("exit_ts").alias("until"), F.grouping_id().alias("level"))
     own = lambda level, *names: F.sort_array(F.collect_list(F.when(F.col("level") == level, F.struct(*names, "s.*"))))  # noqa: E731  one entry per symbol or market
     whole = lambda: F.max(F.when(F.col("level") == 3, F.col("s")))
     every = sets(deals).groupBy("timeframe").agg(F.max("until").cast("timestamp_ntz").alias("measured_at"), own(0, "market", "symbol").alias("pairs"), own(1, "market").alias("markets"), whole().alias("pooled"))
     passed = sets(deals.where("gated")).groupBy("timeframe").agg(own(1, "market").alias("gated_markets"), whole().alias("gated"))
-    card = every.join(passed, "timeframe", "left").join(policy, "timeframe", "left")
+    card = every.join(passed, "timeframe", "left").join(policy, "timeframe", "full")
     card = card.withColumns({"version": F.lit(version), "least": F.lit(least).cast("long"), "reference": F.sort_array(F.transform("pairs", lambda p: F.round(p["p2"], 12)))})
     return card.fillna(False, ["pair_speed", "pair_profit", "measurable"]).select(*[f.split()[0] for f in CARD.split(", ")])
 

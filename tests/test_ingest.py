@@ -103,6 +103,16 @@ def test_scorecard(spark, tmp_path):
     assert json.loads(spark.read.text(f"file://{tmp_path}/card").first()[0])["pairs"]
 
 
+def test_scorecard_without_deals_keeps_its_policy(spark, tmp_path):
+    none = spark.createDataFrame([], "market string, symbol string, timeframe string, reason string, held int, r double, exit_ts timestamp_ntz, gated boolean")
+    card = scorecard.build(none, spark.createDataFrame([("1H", True, True, True)], scorecard.POLICY), 3, "v1")
+    scorecard.write(card, f"file://{tmp_path}/card")
+    asked = spark.createDataFrame([("A", "M", "1H"), ("A", "M", "4H")], "symbol string, market string, timeframe string")
+    for c in (card, scorecard.read(spark, f"file://{tmp_path}/card", "v1")):
+        got = {r["timeframe"]: (r["basis"], r["sample_size"], r["score"], r["p_target2"], r["gated_n"], r["may_rank_by_profit"], list(r["warnings"])) for r in scorecard.speed(asked, c).collect()}
+        assert got == {"1H": ("none", 0, 50, None, 0, True, ["unknown_pair", "no_data"]), "4H": ("none", 0, 50, None, 0, False, ["not_measurable", "pairs_not_proven", "no_data"])}
+
+
 @pytest.mark.parametrize("kind", ["mid", "upto", "before"])
 def test_ranks_of_a_growing_past(kind):
     rng = np.random.default_rng(1)
