@@ -89,6 +89,20 @@ def test_rank_correlation_and_pairs(spark):
     assert np.isclose(d["value"], sums.mean()) and d["clusters"] == 12 and d["lo"] <= d["value"] <= d["hi"]
 
 
+def test_estimates_of_nothing_count_on_both_sides(spark):
+    """Tenths whose sum is 0 in some draws, where doubles leave a last bit."""
+    tenths, draws = {"a": 1, "b": 2, "c": -3}, 200
+    counts = np.array([[count(7, g, d) for g in tenths] for d in range(draws)])
+    df = spark.createDataFrame([(g, t / 10) for g, t in tenths.items()], "g string, r double")
+    p = interval(counts @ np.array(list(tenths.values())))[2]
+    for df in (df, df.withColumn("r", F.col("r") * 2.0**-60)):  # whatever the unit
+        assert np.isclose(resampling.bootstrap_mean(df, "r", F.col("g"), [], draws).first()["p"], p)
+        assert np.isclose(resampling.paired_bootstrap(df, "r", F.lit(1), F.col("g"), draws).first()["p"], p)
+    arms = spark.createDataFrame([("x", side, g, t / 10, 1.0) for side, own in (("left", (1, 2, 4)), ("right", (3, 0, 4))) for g, t in zip("abc", own, strict=True)], "id string, side string, _c string, s double, n double")
+    gaps = (counts @ np.array([-2, 2, 0])) / np.maximum(counts.sum(1), 1)
+    assert np.isclose(resampling.bootstrap_difference(arms, draws).first()["p"], interval(gaps)[2])
+
+
 def test_nothing_reaches_the_driver(spark):
     """The plan of a bootstrap holds no collected rows: clusters stay in Spark."""
     df = spark.range(1000).select(F.col("id"), (F.col("id") % 7).cast("double").alias("r"))
