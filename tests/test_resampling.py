@@ -89,6 +89,19 @@ def test_rank_correlation_and_pairs(spark):
     assert np.isclose(d["value"], sums.mean()) and d["clusters"] == 12 and d["lo"] <= d["value"] <= d["hi"]
 
 
+def test_a_hash_is_taken_once_for_four_draws(spark):
+    """Every draw's sums, and a plan that adds up before it parts a hash into draws."""
+    df = spark.createDataFrame([("a", 1.0, 2.0), ("b", -3.0, 1.0), (None, 0.5, 4.0)], "_c string, s double, n double")
+    for draws in (1, 6, 9):
+        got = {r["draw"]: (r["s"], r["n"]) for r in resampling.draw_sums(df, ["s", "n"], [], draws, 3).collect()}
+        own = [[count(3, k, d) for k in ("a", "b", "")] for d in range(draws)]
+        assert got == {d: (c[0] - 3 * c[1] + c[2] / 2, 2 * c[0] + c[1] + 4 * c[2]) for d, c in enumerate(own)}
+    plan = resampling.draw_sums(df.withColumn("arm", F.col("n")), ["s", "n"], ["arm"], 40, 3)._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    assert plan.count("md5(") == 1 and "conv(" not in plan and "Join" not in plan
+    assert next(i for i, line in enumerate(lines) if "Generate inline" in line) < next(i for i, line in enumerate(lines) if "Aggregate" in line)
+
+
 def test_estimates_of_nothing_count_on_both_sides(spark):
     """Tenths whose sum is 0 in some draws, where doubles leave a last bit."""
     tenths, draws = {"a": 1, "b": 2, "c": -3}, 200
